@@ -1,10 +1,12 @@
 """Queries of this subpackage by name, with DuckDB SQL where it can express them."""
 
-from tracewright.llm import piece_codec, secret_scan, token_counts
+from tracewright.llm import decontaminate, piece_codec, secret_scan, simhash_dedup, token_counts
 
 QUERIES = {
     "op2_secret_scan": secret_scan.op2_secret_scan,
     "op5_token_counts": token_counts.op5_token_counts,
     "op7_piece_codec": piece_codec.op7_piece_codec,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
+    "op9_simhash_dedup": simhash_dedup.op9_simhash_dedup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op8_decontaminate": decontaminate.OP8_SQL}
