@@ -2,7 +2,22 @@
 
 from __future__ import annotations
 
-from tracewright.llm import piece_codec, secret_scan
+from tracewright.llm import decontaminate, piece_codec, secret_scan, simhash_dedup, toxicity
+
+
+def toxicity_stage(spark, docs, sf_dir):
+    """Documents that the classifier rejects go; it learns from the labels and the documents at hand."""
+    return toxicity.drop_toxic(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def near_duplicate_stage(spark, docs, sf_dir):
+    """Of each group of near duplicates the document with the smallest id stays."""
+    return simhash_dedup.keep_one(docs)
+
+
+def benchmark_stage(spark, docs, sf_dir):
+    """Documents that hold a window of a benchmark item go."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_stage(spark, docs, sf_dir):
@@ -15,7 +30,13 @@ def codec_stage(spark, docs, sf_dir):
     return piece_codec.encode_decode(docs)
 
 
-STAGES = [("secret_scan", secret_stage), ("piece_codec", codec_stage)]
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("simhash_dedup", near_duplicate_stage),
+    ("decontaminate", benchmark_stage),
+    ("secret_scan", secret_stage),
+    ("piece_codec", codec_stage),
+]
 
 ORACLE_SQL = None  # learned scores, fingerprints and a tokenizer are beyond SQL
 

@@ -1,12 +1,15 @@
 """Queries of this subpackage by name, with DuckDB SQL where it can express them."""
 
-from tracewright.llm import decontaminate, piece_codec, secret_scan, simhash_dedup, token_counts
+from tracewright.llm import decontaminate, language_id, lm_score, piece_codec, secret_scan, simhash_dedup, token_counts, toxicity
 
 QUERIES = {
     "op2_secret_scan": secret_scan.op2_secret_scan,
+    "op3_lm_score": lm_score.op3_lm_score,
     "op5_token_counts": token_counts.op5_token_counts,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_piece_codec": piece_codec.op7_piece_codec,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_simhash_dedup": simhash_dedup.op9_simhash_dedup,
+    "op10_language_id": language_id.op10_language_id,
 }
 ORACLES = {"op8_decontaminate": decontaminate.OP8_SQL}

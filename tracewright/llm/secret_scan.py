@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewright.llm import spans as sp
-from tracewright.llm.common import id_field, ids_and_texts, map_texts, table, utf8
+from tracewright.llm.common import by_bytes, id_field, ids_and_texts, map_texts, table, utf8
 
 #: Strings that a finite part of a regex may stand for before its query is cut there.
 MOST_STRINGS = 64
@@ -245,8 +245,6 @@ def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, placeholder
         return pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
     def run(batches):
-        from tracewright.llm.common import by_bytes
-
         for batch in batches:
             for part in by_bytes(batch, column=text_col):
                 yield redact(part)

@@ -1,6 +1,6 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A linear classifier on the presence of hashed words and word beginnings is trained in numpy on the driver from
+A linear classifier on the presence and frequency levels of hashed words and word beginnings is trained in numpy on the driver from
 confirmed toxic documents and unlabelled text. With class prior p and logistic loss, the risk is p * E_pos[loss(f)] +
 max(0, E_unl[loss(-f)] - p * E_pos[loss(-f)]): the unlabelled risk is corrected for the toxic share it holds, and the
 corrected part is kept from going negative. The prior is the toxic share of the labels that learning may see.
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.llm.common import id_field, ids_and_texts, is_held_out, map_texts, remainder, table
+from tracewright.llm.common import by_bytes, id_field, ids_and_texts, is_held_out, map_texts, remainder, table
 from tracewright.llm.simhash_dedup import shingle_hashes
 from tracewright.llm.words import Words, first_bytes, letter_runs, low_bytes
 
@@ -60,22 +60,49 @@ def features(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(owner), np.concatenate(hashed).astype(np.int64)
 
 
-def present(texts: pa.Array, number: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(text, feature) pairs, each once. number: the place of a feature among the selected ones, or -1."""
+def leveled(feature: np.ndarray, level: int) -> np.ndarray:
+    """The hashed feature that says a feature is at least at a level; level 0 is presence."""
+    return feature if level == 0 else (feature * (2 * level * 0x9E37 + 1) + level * 0x3C6EF) & ((1 << HASH_BITS) - 1)
+
+
+def reached(count: np.ndarray, words: np.ndarray) -> list[np.ndarray]:
+    """Which (text, feature) pairs reach each level, from the feature's count in the text and the text's words."""
+    again = count >= 2
+    return [count >= 1, again, count >= 4, again & (count * 200 >= words), again & (count * 50 >= words)]
+
+
+LEVELS = len(reached(np.zeros(1), np.zeros(1)))
+
+
+def base_of(number: np.ndarray) -> np.ndarray:
+    """Features of which some level is selected (number >= 0)."""
+    every = np.arange(1 << HASH_BITS)
+    return np.logical_or.reduce([number[leveled(every, k)] >= 0 for k in range(LEVELS)])
+
+
+def present(texts: pa.Array, number: np.ndarray | None = None, base: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text, feature) pairs, each once, by text. number: the place of a feature among the selected ones, or -1."""
     words = Words.of(texts)
     word, feature = features(words)
     if number is not None:
-        feature = number[feature]
-        word, feature = word[feature >= 0], feature[feature >= 0]
+        kept = (base_of(number) if base is None else base)[feature]
+        word, feature = word[kept], feature[kept]
     # occurrences of the distinct words that have features
     order = np.argsort(word, kind="stable")
     word, feature = word[order], feature[order]
-    first, last = (np.searchsorted(word, words.code, side) for side in ("left", "right"))
-    n = last - first
+    begin = np.searchsorted(word, np.arange(len(words.distinct) + 1))
+    first, n = begin[words.code], (begin[1:] - begin[:-1])[words.code]
     used = np.flatnonzero(n)
     text = np.repeat(np.searchsorted(words.bounds, used, "right") - 1, n[used])
     at = np.repeat(first[used], n[used]) + np.arange(n[used].sum()) - np.repeat(np.cumsum(n[used]) - n[used], n[used])
-    pair = np.unique(text.astype(np.int64) << HASH_BITS | feature[at])
+    pair, count = np.unique(text.astype(np.int64) << HASH_BITS | feature[at], return_counts=True)
+    text, feature = pair >> HASH_BITS, pair & ((1 << HASH_BITS) - 1)
+    levels = reached(count, np.diff(words.bounds)[text])
+    pair = np.concatenate([text[k] << HASH_BITS | leveled(feature[k], i) for i, k in enumerate(levels)])
+    if number is not None:
+        place = number[pair & ((1 << HASH_BITS) - 1)]
+        pair = (pair >> HASH_BITS << HASH_BITS | place)[place >= 0]
+    pair = np.unique(pair)
     return pair >> HASH_BITS, pair & ((1 << HASH_BITS) - 1)
 
 
@@ -84,9 +111,12 @@ class Classifier:
     weights: np.ndarray  # by hashed feature; zero for those not selected
     bias: float
 
+    def __post_init__(self):
+        self.number = np.where(self.weights != 0, np.arange(len(self.weights)), -1)
+        self.base = base_of(self.number)
+
     def scores(self, texts: pa.Array) -> np.ndarray:
-        number = np.where(self.weights != 0, np.arange(len(self.weights)), -1)
-        text, feature = present(texts, number)
+        text, feature = present(texts, self.number, self.base)
         raw = self.bias + np.bincount(text, self.weights[feature], minlength=len(texts)) if len(texts) else np.zeros(0)
         return 1 / (1 + np.exp(-np.clip(raw, -40, 40)))
 
@@ -220,8 +250,6 @@ def drop_toxic(docs: DataFrame, model: Classifier, threshold: float = THRESHOLD,
     held: list[Classifier] = []
 
     def run(batches):
-        from tracewright.llm.common import by_bytes
-
         if not held:
             weights = np.zeros(size)
             weights[used] = small
