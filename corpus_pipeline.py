@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from tracewright.llm import decontaminate, piece_codec, secret_scan, simhash_dedup, toxicity
+from tracewright.llm.common import table
 
 
 def toxicity_stage(spark, docs, sf_dir):
     """Documents that the classifier rejects go; it learns from the labels and the documents at hand."""
-    return toxicity.drop_toxic(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return toxicity.drop_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicate_stage(spark, docs, sf_dir):
@@ -17,7 +18,7 @@ def near_duplicate_stage(spark, docs, sf_dir):
 
 def benchmark_stage(spark, docs, sf_dir):
     """Documents that hold a window of a benchmark item go."""
-    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_stage(spark, docs, sf_dir):
@@ -43,7 +44,7 @@ ORACLE_SQL = None  # learned scores, fingerprints and a tokenizer are beyond SQL
 
 def run(spark, sf_dir):
     """All stages over the documents, one after another."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs
