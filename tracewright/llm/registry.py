@@ -1,10 +1,12 @@
 """Queries of this subpackage by name, with DuckDB SQL where it can express them."""
 
-from tracewright.llm import decontaminate, language_id, lm_score, piece_codec, secret_scan, simhash_dedup, token_counts, toxicity
+from tracewright.llm import decontaminate, language_id, lm_score, pii_crf, piece_codec, secret_scan, simhash_dedup, token_counts, toxicity, vector_dedup
 
 QUERIES = {
+    "op1_vector_dedup": vector_dedup.op1_vector_dedup,
     "op2_secret_scan": secret_scan.op2_secret_scan,
     "op3_lm_score": lm_score.op3_lm_score,
+    "op4_pii_crf": pii_crf.op4_pii_crf,
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_piece_codec": piece_codec.op7_piece_codec,
@@ -12,4 +14,17 @@ QUERIES = {
     "op9_simhash_dedup": simhash_dedup.op9_simhash_dedup,
     "op10_language_id": language_id.op10_language_id,
 }
-ORACLES = {"op8_decontaminate": decontaminate.OP8_SQL}
+
+OP1_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+n AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS e FROM v
+      WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(e, lambda y: y * y)) > 0),
+pairs AS (SELECT a.vec_id AS u, b.vec_id AS w FROM n a JOIN n b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_inner_product(a.e, b.e) >= 0.95),
+reach(id, at) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.id, p.w FROM reach r JOIN pairs p ON p.u = r.at),
+comp AS (SELECT id, min(at) AS component_id FROM reach GROUP BY id),
+deg AS (SELECT u, count(*) AS n FROM pairs GROUP BY u)
+SELECT v.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id::BIGINT AS component_id, v.vec_id = component_id AS kept
+FROM v LEFT JOIN deg ON deg.u = v.vec_id JOIN comp ON comp.id = v.vec_id
+"""
+
+ORACLES = {"op1_vector_dedup": OP1_SQL, "op8_decontaminate": decontaminate.OP8_SQL}
