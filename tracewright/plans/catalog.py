@@ -1,5 +1,5 @@
 """Imports every module that registers queries."""
 
-from tracewright.plans import trace_queries  # noqa: F401
+from tracewright.plans import relational_queries, retrieval_queries, text_queries, trace_queries  # noqa: F401
 
 FLAGSHIP = "task_success"
