@@ -201,14 +201,14 @@ def first_existing_path(spark, sf_dir):
     """
     WITH w AS (SELECT c_nationkey AS k, list_sort(list_distinct(list(c_mktsegment))) AS a FROM customer WHERE c_custkey % 3 = 0 GROUP BY 1),
     v AS (SELECT c_nationkey AS k, list_sort(list_distinct(list(c_mktsegment))) AS b FROM customer WHERE c_custkey % 40 = 1 GROUP BY 1)
-    SELECT k, list_sort(list_distinct(list_concat(a, b))) AS u, list_sort(list_filter(a, lambda x: list_contains(b, x))) AS i, list_sort(list_filter(a, lambda x: NOT list_contains(b, x))) AS m, a = b AS same, len(list_filter(b, lambda x: NOT list_contains(a, x))) = 0 AS covered FROM w JOIN v USING (k)
+    SELECT k, array_to_string(list_sort(list_distinct(list_concat(a, b))), '|') AS u, array_to_string(list_sort(list_filter(a, lambda x: list_contains(b, x))), '|') AS i, array_to_string(list_sort(list_filter(a, lambda x: NOT list_contains(b, x))), '|') AS m, a = b AS same, len(list_filter(b, lambda x: NOT list_contains(a, x))) = 0 AS covered FROM w JOIN v USING (k)
     """,
 )
 def set_operations(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     side = lambda cond, name: c.where(cond).groupBy(F.col("c_nationkey").alias("k")).agg(F.array_sort(F.collect_set("c_mktsegment")).alias(name))
     both = side("c_custkey % 3 = 0", "a").join(side("c_custkey % 40 = 1", "b"), "k")
-    return both.select("k", F.array_sort(F.array_union("a", "b")).alias("u"), F.array_sort(F.array_intersect("a", "b")).alias("i"), F.array_sort(F.array_except("a", "b")).alias("m"), (F.col("a") == F.col("b")).alias("same"), F.forall("b", lambda x: F.array_contains("a", x)).alias("covered"))
+    return both.select("k", *(F.array_join(F.array_sort(f("a", "b")), "|").alias(n) for n, f in (("u", F.array_union), ("i", F.array_intersect), ("m", F.array_except))), (F.col("a") == F.col("b")).alias("same"), F.forall("b", lambda x: F.array_contains("a", x)).alias("covered"))
 
 
 @query("severity_max", "SELECT user_id, max(CASE event_type WHEN 'error' THEN 3 WHEN 'purchase' THEN 2 ELSE 0 END)::INT AS worst, bool_or(event_type = 'error') AS any_error, bool_and(value >= 0) AS all_positive, arg_max(event_type, (CASE event_type WHEN 'error' THEN 3 WHEN 'purchase' THEN 2 ELSE 0 END) * 1000000000::BIGINT - event_id) AS kind FROM events GROUP BY user_id")

@@ -112,16 +112,16 @@ def guardrail_full(spark, sf_dir):
     "extract_entities",
     f"""
     WITH {picked("i", ISSUES)}
-    SELECT doc_id, list_sort(list_distinct(regexp_extract_all(t, '\\b([A-Z][a-zA-Z0-9]*(?:Error|Exception|Warning))\\b\\s*:', 1))) AS exceptions,
-           list_sort(list_distinct(regexp_extract_all(t, '`?([\\w\\-/]+\\.py)`?', 1))) AS paths,
-           list_sort(list_filter(list_distinct(list_transform(regexp_extract_all(t, '`([\\w.]+)`', 1), lambda x: string_split(x, '.')[-1])), lambda x: x <> 'print')) AS names,
-           list_sort(list_distinct(list_concat(regexp_extract_all(t, 'File "([^"]+\\.py)"', 1), regexp_extract_all(t, '`{{1,3}}([^`\\s]+\\.py)`{{1,3}}', 1)))) AS referenced
+    SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(t, '\\b([A-Z][a-zA-Z0-9]*(?:Error|Exception|Warning))\\b\\s*:', 1))), '|') AS exceptions,
+           array_to_string(list_sort(list_distinct(regexp_extract_all(t, '`?([\\w\\-/]+\\.py)`?', 1))), '|') AS paths,
+           array_to_string(list_sort(list_filter(list_distinct(list_transform(regexp_extract_all(t, '`([\\w.]+)`', 1), lambda x: string_split(x, '.')[-1])), lambda x: x <> 'print')), '|') AS names,
+           array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(t, 'File "([^"]+\\.py)"', 1), regexp_extract_all(t, '`{{1,3}}([^`\\s]+\\.py)`{{1,3}}', 1)))), '|') AS referenced
     FROM i_t
     """,
 )
 def extract_entities(spark, sf_dir):
     t = F.col("t")
-    return table(spark, sf_dir, "documents").select("doc_id", pick(ISSUES).alias("t")).select("doc_id", tx.exception_types(t).alias("exceptions"), tx.python_paths(t).alias("paths"), tx.identifiers(t).alias("names"), tx.referenced_paths(t).alias("referenced"))
+    return table(spark, sf_dir, "documents").select("doc_id", pick(ISSUES).alias("t")).select("doc_id", *(F.array_join(f(t), "|").alias(n) for n, f in (("exceptions", tx.exception_types), ("paths", tx.python_paths), ("names", tx.identifiers), ("referenced", tx.referenced_paths))))
 
 
 CLEANED = ("intro", "foo", "Only", "a  b", "", ISSUES[5], ISSUES[6], ISSUES[7])
@@ -203,12 +203,12 @@ def apply_edits(spark, sf_dir):
 
 @query(
     "edit_shape",
-    "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN []::VARCHAR[] WHEN 1 THEN ['new_source'] WHEN 2 THEN ['chunk_id', 'old_source'] ELSE ['chunk_id', 'file_path', 'new_source', 'old_source'] END AS missing FROM documents",
+    "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'new_source' WHEN 2 THEN 'chunk_id, old_source' ELSE 'chunk_id, file_path, new_source, old_source' END AS missing FROM documents",
 )
 def edit_shape(spark, sf_dir):
     sets = [("chunk_id", "file_path", "old_source", "new_source"), ("chunk_id", "file_path", "old_source"), ("new_source", "file_path", "reasoning"), ("reasoning",)]
     keys = F.element_at(F.array(*(F.array(*map(F.lit, s)) for s in sets)), (F.col("doc_id") % 4 + 1).cast("int"))
-    return table(spark, sf_dir, "documents").select("doc_id", routing.missing_edit_keys(keys).alias("missing"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(routing.missing_edit_keys(keys), ", ").alias("missing"))
 
 
 @query(
