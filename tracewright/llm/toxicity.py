@@ -1,17 +1,19 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A linear classifier on the presence and frequency levels of hashed words and word beginnings is trained in numpy on the driver from
-confirmed toxic documents and unlabelled text. With class prior p and logistic loss, the risk is p * E_pos[loss(f)] +
-max(0, E_unl[loss(-f)] - p * E_pos[loss(-f)]): the unlabelled risk is corrected for the toxic share it holds, and the
-corrected part is kept from going negative. The prior is the toxic share of the labels that learning may see.
+A linear classifier on the presence and frequency levels of hashed words and word beginnings is trained in numpy on the
+driver from confirmed toxic documents and unlabelled text. With class prior p and logistic loss, the risk is
+p * E_pos[loss(f)] + max(0, E_unl[loss(-f)] - p * E_pos[loss(-f)]): the unlabelled risk is corrected for the toxic share
+it holds, and the corrected part is kept from going negative. The prior is the toxic share of the labels that learning
+may see.
 
 Both training samples are bounded (POSITIVES, UNLABELLED documents, chosen by a hash of the id); the features are
-selected from document frequencies in the samples, so the driver sees two count vectors per sample part and the
+selected from document frequencies in the samples, so the driver sees two count vectors (compressed) per sample part and the
 selected features of the sampled documents. Scoring is one Arrow pass over all documents without a shuffle.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +31,8 @@ POSITIVES, UNLABELLED = 4_000, 12_000
 #: Parts that a sample is read in, hashed features, and how many of them are selected.
 PARTS, HASH_BITS, SELECTED = 8, 20, 4_096
 PREFIX_BYTES = (4, 5, 6, 7)
+#: Bytes of text at once where all features are looked at, not only selected ones.
+TRAIN_BYTES = 1 << 20
 #: Standard deviations by which a selected feature's frequency in toxic documents exceeds the expected one.
 SIGMAS = 5.0
 THRESHOLD = 0.3
@@ -111,11 +115,10 @@ class Classifier:
     weights: np.ndarray  # by hashed feature; zero for those not selected
     bias: float
 
-    def __post_init__(self):
-        self.number = np.where(self.weights != 0, np.arange(len(self.weights)), -1)
-        self.base = base_of(self.number)
-
     def scores(self, texts: pa.Array) -> np.ndarray:
+        if not hasattr(self, "base"):
+            self.number = np.where(self.weights != 0, np.arange(len(self.weights)), -1)
+            self.base = base_of(self.number)
         text, feature = present(texts, self.number, self.base)
         raw = self.bias + np.bincount(text, self.weights[feature], minlength=len(texts)) if len(texts) else np.zeros(0)
         return 1 / (1 + np.exp(-np.clip(raw, -40, 40)))
@@ -185,18 +188,20 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
         counts = {0: (0, 0), 1: (0, 0)}
         for r in sample.mapInArrow(_frequencies, "y int, n long, seen binary").collect():
             n, seen = counts[r["y"]]
-            counts[r["y"]] = n + r["n"], seen + np.frombuffer(r["seen"], np.int32)
+            counts[r["y"]] = n + r["n"], seen + np.frombuffer(zlib.decompress(r["seen"]), np.int32)
         if not counts[1][0] or not counts[0][0]:
             return nothing
         chosen_features = select(counts[1][1], counts[0][1], counts[1][0], counts[0][0])
-        number = np.full(1 << HASH_BITS, -1)
-        number[chosen_features] = np.arange(len(chosen_features))
 
         def selected(batches):
+            number = np.full(1 << HASH_BITS, -1)
+            number[chosen_features] = np.arange(len(chosen_features))
+            base = base_of(number)
             for batch in batches:
-                text, feature = present(batch.column("text"), number)
-                cut = np.searchsorted(text, np.arange(batch.num_rows + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("y"), pa.ListArray.from_arrays(pa.array(cut), pa.array(feature.astype(np.int32)))], ["y", "x"])
+                for part in by_bytes(batch, TRAIN_BYTES):
+                    text, feature = present(part.column("text"), number, base)
+                    cut = np.searchsorted(text, np.arange(part.num_rows + 1)).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([part.column("y"), pa.ListArray.from_arrays(pa.array(cut), pa.array(feature.astype(np.int32)))], ["y", "x"])
 
         rows = sample.mapInArrow(selected, "y int, x array<int>").toArrow()
     finally:
@@ -211,14 +216,16 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
 
 
 def _frequencies(batches):
+    """Documents and document frequencies of the features (compressed) by class, one row of each for a sample part."""
     counts = {y: [0, np.zeros(1 << HASH_BITS, np.int32)] for y in (0, 1)}
     for batch in batches:
-        y = batch.column("y").to_numpy()
-        text, feature = present(batch.column("text"))
-        for k, own in counts.items():
-            own[0] += int((y == k).sum())
-            own[1] += np.bincount(feature[y[text] == k], minlength=1 << HASH_BITS).astype(np.int32)
-    yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int32()), pa.array([n for n, _ in counts.values()]), pa.array([s.tobytes() for _, s in counts.values()])], ["y", "n", "seen"])
+        for part in by_bytes(batch, TRAIN_BYTES):
+            y = part.column("y").to_numpy()
+            text, feature = present(part.column("text"))
+            for k, own in counts.items():
+                own[0] += int((y == k).sum())
+                np.add.at(own[1], feature[y[text] == k], 1)
+    yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int32()), pa.array([n for n, _ in counts.values()]), pa.array([zlib.compress(s.tobytes(), 1) for _, s in counts.values()])], ["y", "n", "seen"])
 
 
 def score(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
