@@ -190,7 +190,10 @@ def linked(nodes: DataFrame, plans: dict[int, Plan], kind: str, threshold: float
             total = np.bincount(i, copies[j], minlength=len(node)) + np.bincount(j, copies[i], minlength=len(node))
             has = np.flatnonzero(total)
             u, v = links.forest(node, i, j)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([node[has], u])), pa.array(np.concatenate([v[:0].repeat(0), np.zeros(len(has), v.dtype), v]), mask=np.arange(len(has) + len(u)) < len(has)), pa.array(np.concatenate([total[has].astype(np.int64), np.zeros(len(u), np.int64)]))], ["u", "v", "links"])
+            ends = pa.array(v)
+            ends = pa.concat_arrays([pa.nulls(len(has), ends.type), ends])
+            sums = np.concatenate([total[has].astype(np.int64), np.zeros(len(u), np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([node[has], u])), ends, pa.array(sums)], ["u", "v", "links"])
 
     keyed = nodes.mapInArrow(tables, T.StructType([*nodes.schema.fields, T.StructField("key", T.LongType())]))
     return links.in_blocks(keyed).mapInArrow(work, f"u {node_type}, v {node_type}, links long")
