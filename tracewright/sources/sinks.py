@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from tracewright.functions.text import head
 
@@ -61,3 +62,11 @@ def write_checkpoint(done: DataFrame, path: str, key: str = "source_id") -> None
 def keyed_upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Old rows whose key is not among the new ones, and the new ones: reruns replace and do not duplicate."""
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def read_checkpoint(spark, path: str, key: str = "source_id") -> DataFrame:
+    """Finished ids; none where there is no checkpoint or it can't be read."""
+    try:
+        return spark.read.parquet(path).select(key)
+    except AnalysisException:
+        return spark.createDataFrame([], f"{key} string")
