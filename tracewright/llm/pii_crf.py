@@ -28,7 +28,7 @@ from tracewright.llm.common import id_field, ids_and_texts, map_texts, table, ut
 
 KINDS = ["email", "ip", "card", "phone"]
 #: Tokens of an entity; characters around an anchor; documents of the sample, zones trained on, steps of training.
-MOST_TOKENS, AROUND, SAMPLE, TRAIN_ZONES, STEPS = 18, 48, 300, 400, 120
+MOST_TOKENS, AROUND, SAMPLE, TRAIN_ZONES, STEPS = 18, 48, 300, 300, 80
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -81,6 +81,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\x00-\x7F]+|[^\sA-Za-z0-9]")
 _ANCHOR = re.compile(r"[0-9@]|\b[Aa][Tt]\b[^.\n]{1,40}\b[Dd][Oo][Tt]\b|\[at\]|\(at\)")
+_TOP_LEVEL = {"com", "org", "net", "edu", "gov", "io", "co", "uk", "de", "fr", "es", "it", "eu", "info"}
 _CUES = {"email": 0, "mail": 0, "contact": 0, "write": 0, "ip": 1, "host": 1, "server": 1, "card": 2, "visa": 2, "credit": 2, "payment": 2, "phone": 3, "tel": 3, "call": 3, "fax": 3, "mobile": 3}
 
 
@@ -147,6 +148,8 @@ def segments(tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if n > back:
             hit = (cue[:-back] >= 0) & (tokens.zone[back:] == tokens.zone[:-back])
             near[np.flatnonzero(hit) + back, cue[:-back][hit]] = True
+    top_level = np.array([w in _TOP_LEVEL for w in low])
+    last_at = np.maximum(np.maximum.accumulate(np.where(at, np.arange(n), -1)), 0)
     total = lambda x: np.concatenate([[0], np.cumsum(x)])
     sums = {k: total(v) for k, v in {"digits": np.where(digit, length, 0), "runs": digit, "alpha": alpha, "at": at, "sign": sign, "dot": dot, "real": real_dot, "plus": plus, "odd": ~(digit | alpha | joint), "gap": gap, "wide": wide, "small": small}.items()}
     out_start, out_len, out = [], [], []
@@ -171,7 +174,11 @@ def segments(tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         for k in np.flatnonzero(pure & (digits >= 12) & (digits <= 19) & (over("real") == 0) & (over("plus") == 0)):
             checked[k] = luhn("".join(w for w in words[i[k] : last[k] + 1] if w.isdigit()))
         address = (over("sign") == 1) & (gaps == 0) & (over("real") >= 1) & (letters >= 2) & (digit | alpha)[i]
-        spelled = (over("at") == 1) & (over("sign") == 0) & (over("dot") >= 1) & (letters >= 4) & (gaps >= 2) & (size <= 12)
+        # words before and after the at: a name and a host, each with spelled dots between single words
+        middle, words_in = last_at[last], lambda k, x, y: sums[k][y] - sums[k][x]
+        dots = lambda x, y: words_in("dot", x, y) - words_in("real", x, y)
+        spelled = top_level[last] & (over("at") == 1) & (over("sign") == 0) & (letters >= 4) & (dots(middle, i + size) >= 1)
+        spelled &= (words_in("gap", i, middle) == 1 + 2 * dots(i, middle)) & (words_in("gap", middle, last) == 1 + 2 * dots(middle, i + size))
         phone_like = pure & (digits >= 9) & (digits <= 15) & (over("real") <= 3) & ~four
         dates = pure & (over("runs") == 3) & (digits == 8) & (size == 5)
         f = np.stack(
