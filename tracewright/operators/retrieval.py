@@ -9,20 +9,18 @@ from pyspark.sql.window import Window
 from tracewright.functions.text import tokenize
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Query terms that may be broadcast (some 30 bytes each).
+BROADCAST_TERMS = 200_000
 POOL, FINAL, PATH_BOOST, EMBED_CHARS = 20, 5, 0.25, 6000
 
 
-def postings(docs: DataFrame, doc: str, text: Column) -> DataFrame:
-    """(doc, term, tf, n_terms): one row per document and term, with the document's length."""
-    tokens = docs.select(F.col(doc).alias("doc"), tokenize(text).alias("tokens"))
-    each = tokens.select("doc", F.size("tokens").alias("n_terms"), F.explode("tokens").alias("term"))
-    return each.groupBy("doc", "n_terms", "term").agg(F.count(F.lit(1)).alias("tf"))
-
+def idf_table(docs: DataFrame, text: Column, corpus: DataFrame) -> DataFrame:
+    """(term, idf): negative values are replaced by EPSILON times the mean over the vocabulary (of raw values).
 
-def idf_table(post: DataFrame, n_docs: DataFrame) -> DataFrame:
-    """(term, idf): negative values are replaced by EPSILON times the mean over the vocabulary (of raw values)."""
-    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.crossJoin(n_docs.select("n_docs")).select("term", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    Each document counts a term once before the shuffle, so tasks send partial sums by term.
+    """
+    df = docs.select(F.explode(F.array_distinct(tokenize(text))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    raw = df.crossJoin(corpus.select("n_docs")).select("term", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.crossJoin(mean).select("term", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
@@ -30,14 +28,18 @@ def idf_table(post: DataFrame, n_docs: DataFrame) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, doc: str, text: Column) -> DataFrame:
     """(query, doc, score) of documents that share a term with a query. queries: query, term, one row per occurrence.
 
-    Only postings of query terms are joined; lengths and frequencies cover all documents. One-row sides (corpus size,
-    means) are cross joined, which broadcasts a row.
+    Tokens are cut down to query terms before any shuffle, where there are few enough terms to broadcast; lengths and
+    frequencies cover all documents. One-row sides (corpus size, means) are cross joined, which broadcasts a row.
     """
-    post = postings(docs, doc, text)
     corpus = docs.select(F.size(tokenize(text)).alias("n")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n").alias("mean_terms"))
     terms = queries.groupBy("query", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    weighted = terms.join(idf_table(post, corpus), "term")
-    hit = weighted.join(post, "term").crossJoin(corpus.select("mean_terms"))
+    asked = terms.select("term").distinct()
+    if asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        asked = F.broadcast(asked)
+    tokens = docs.select(F.col(doc).alias("doc"), tokenize(text).alias("tokens"))
+    each = tokens.select("doc", F.size("tokens").alias("n_terms"), F.explode("tokens").alias("term")).join(asked, "term")
+    post = each.groupBy("doc", "n_terms", "term").agg(F.count(F.lit(1)).alias("tf"))
+    hit = terms.join(idf_table(docs, text, corpus), "term").join(post, "term").crossJoin(corpus.select("mean_terms"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_terms") / F.col("mean_terms")))
     return hit.groupBy("query", "doc").agg(F.sum(part).alias("score"))
 
