@@ -136,9 +136,14 @@ def guardrail_facts(source: str | None) -> dict:
 # --- error handling -------------------------------------------------------------------------------------------------
 
 # Fixed values.
-SEVERITY = {"critical": 3, "error": 2, "exception": 2, "warning": 1, "info": 0, "debug": 0}
+SEVERITY = {"critical": 3, "error": 2, "exception": 2, "warning": 1, "debug": 0, "info": 0}
 LOGGER_NAMES = ("log", "logger", "logging")
-RISKY_METHODS = frozenset("get post put delete patch request urlopen fetch open read write run call check_call check_output popen loads load".split())
+RISKY_METHODS = {
+    "get", "post", "put", "delete", "patch", "request", "urlopen", "fetch",
+    "open", "read", "write",
+    "run", "call", "check_call", "check_output", "popen",
+    "loads", "load",
+}
 RISKY_OWNERS = ("requests", "httpx", "urllib", "subprocess", "json", "yaml", "client", "session", "conn")
 
 
