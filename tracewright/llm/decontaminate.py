@@ -60,7 +60,8 @@ def occurrences(docs: DataFrame, windows: DataFrame) -> DataFrame:
     held = {r["size"]: (r["rows"], r["shingles"]) for r in parts.groupBy("size").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("shingle").alias("shingles")).collect()}
     found = []
     for size, (rows, shingles) in sorted(held.items()):
-        places = docs.select("id", "hash", "words", F.posexplode("words").alias("at", "word")).withColumn("shingle", shingle_at(F.col("words"), F.col("at"), size))
+        # the outer form, as the inner one would add a filter that splits every text a second time
+        places = docs.select("id", "hash", "words", F.posexplode_outer("words").alias("at", "word")).withColumn("shingle", shingle_at(F.col("words"), F.col("at"), size))
         own = parts.where(F.col("size") == size)
         wanted = own.select("shingle").distinct()
         common = [places.select("shingle").join(F.broadcast(g), "shingle").groupBy("shingle").agg(F.count(F.lit(1)).alias("seen")) for g in _groups(wanted, shingles, F.col("shingle"))]
