@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tracewright.llm.common import cut, table
 
 WINDOW_WORDS, SHINGLE_WORDS = 10, 2
-#: Rows of windows (at most some 200 bytes each) that one broadcast may have.
+#: Rows of windows (some 200 bytes each at most) or of document ids that one broadcast may have.
 BROADCAST_ROWS = 100_000
 #: What parts words in a text whose A-Z are not lower-cased yet.
 _APART = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -111,13 +111,19 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The documents that hold no window of any item, with all columns. Only (id, hash) pairs of the others are joined."""
+    """The documents that hold no window of any item, with all columns.
+
+    Only (id, hash) pairs of the others are joined; up to BROADCAST_ROWS of them go to the texts, beyond that both
+    sides are shuffled.
+    """
     text = F.col(text_col).cast("string")
     whole = docs.select(docs[id_col].alias("id"), F.xxhash64(text).alias("hash"), words_of(docs[text_col]).alias("words"))
     hits = occurrences(whole, windows_of(items, item_col, item_text_col).select("window", "n").distinct())
     if hits is None:
         return docs
     bad = cut(hits.select(F.col("id").alias("__id"), F.col("hash").alias("__hash")).distinct())
+    if bad.count() <= BROADCAST_ROWS:
+        bad = F.broadcast(bad)
     return docs.join(bad, docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("__hash")), "left_anti")
 
 
