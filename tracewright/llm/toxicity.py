@@ -183,7 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     pos = texts.join(F.broadcast(chosen), "id").select("text", F.lit(1).alias("y"))
     unl = texts.where(_share(F.col("id"), unlabelled, texts.count())).select("text", F.lit(0).alias("y"))
     # of copies and near copies one: else whatever words they share looks toxic
-    sample = pos.unionByName(unl).mapInArrow(_sketch, "text string, y int, key long").dropDuplicates(["y", "key"]).select("text", "y").repartition(PARTS).persist()
+    sample = pos.unionByName(unl).mapInArrow(_sketch, "text string, y int, key long").groupBy("y", "key").agg(F.min("text").alias("text")).select("text", "y").repartition(PARTS).persist()
     try:
         counts = {0: (0, 0), 1: (0, 0)}
         for r in sample.mapInArrow(_frequencies, "y int, n long, seen binary").collect():
