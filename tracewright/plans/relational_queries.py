@@ -106,12 +106,12 @@ def event_band_join(spark, sf_dir):
 @query(
     "interval_overlap",
     """
-    WITH l AS (SELECT l_orderkey % 50 AS g, l_orderkey * 10 + l_linenumber AS id, l_partkey AS s, l_partkey + (l_quantity::INT % 7) - 1 AS e, l_linenumber AS n FROM lineitem WHERE l_orderkey <= 3000)
+    WITH l AS (SELECT l_suppkey AS g, l_orderkey * 10 + l_linenumber AS id, l_partkey AS s, l_partkey + (l_quantity::INT % 7) - 1 AS e, l_linenumber AS n FROM lineitem)
     SELECT a.id AS a, b.id AS b FROM l a JOIN l b ON a.g = b.g AND a.n = 1 AND b.n = 2 AND a.s <= b.e AND b.s <= a.e WHERE a.s <= a.e AND b.s <= b.e
     """,
 )
 def interval_overlap(spark, sf_dir):
-    own = table(spark, sf_dir, "lineitem").where("l_orderkey <= 3000").select((F.col("l_orderkey") % 50).alias("g"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_partkey").alias("s"), (F.col("l_partkey") + F.col("l_quantity").cast("int") % 7 - 1).alias("e"), "l_linenumber")
+    own = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("g"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_partkey").alias("s"), (F.col("l_partkey") + F.col("l_quantity").cast("int") % 7 - 1).alias("e"), "l_linenumber")
     side = lambda n, x: own.where(F.col("l_linenumber") == n).select("g", F.col("id").alias(x), F.col("s").alias(f"{x}_s"), F.col("e").alias(f"{x}_e"))
     return joins.overlap_join(side(1, "a"), side(2, "b"), "g", ("a_s", "a_e"), ("b_s", "b_e"), 64).select("a", "b")
 
@@ -142,13 +142,13 @@ def suffix_unique_match(spark, sf_dir):
 @query(
     "suffix_any_match",
     """
-    WITH f AS (SELECT DISTINCT url AS path FROM pages), c AS (SELECT DISTINCT cand FROM (SELECT right(path, 9) AS cand FROM f UNION ALL SELECT 'x/' || path FROM f WHERE length(path) % 2 = 0))
+    WITH f AS (SELECT DISTINCT url AS path FROM pages), c AS (SELECT DISTINCT cand FROM (SELECT right(path, 9) AS cand FROM f UNION ALL SELECT 'x/' || path FROM f))
     SELECT cand, min(path) AS path FROM c JOIN f ON ends_with(path, cand) OR ends_with(cand, path) GROUP BY cand
     """,
 )
 def suffix_any_match(spark, sf_dir):
     f = table(spark, sf_dir, "pages").select(F.col("url").alias("path")).distinct()
-    wanted = f.select(F.right("path", F.lit(9)).alias("cand")).unionByName(f.where(F.length("path") % 2 == 0).select(F.concat(F.lit("x/"), "path").alias("cand"))).distinct()
+    wanted = f.select(F.right("path", F.lit(9)).alias("cand")).unionByName(f.select(F.concat(F.lit("x/"), "path").alias("cand"))).distinct()
     return joins.any_suffix_match(wanted, f, "cand", "path")
 
 
@@ -171,14 +171,16 @@ def positional_full_join(spark, sf_dir):
     """
     WITH f AS (SELECT DISTINCT url AS path FROM pages), p AS (SELECT path, string_split(path, '/') AS c FROM f),
     s AS (SELECT path, i, array_to_string(c[1:i], '/') AS folder FROM (SELECT path, c, unnest(range(0, len(c))) AS i FROM p)),
-    r AS (SELECT DISTINCT folder FROM s WHERE length(folder) % 3 = 0)
+    r AS (SELECT array_to_string(c[1:len(c) - 1], '/') AS folder FROM p WHERE contains(path, '?') UNION SELECT array_to_string(c[1:3], '/') FROM p WHERE NOT contains(path, '#'))
     SELECT f.path, arg_max(r.folder, i) FILTER (WHERE r.folder IS NOT NULL) AS folder FROM f LEFT JOIN s USING (path) LEFT JOIN r USING (folder) GROUP BY f.path
     """,
 )
 def nearest_ancestor(spark, sf_dir):
     f = table(spark, sf_dir, "pages").select(F.col("url").alias("path")).distinct()
     parts = F.split("path", "/")
-    roots = f.select(F.explode(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("folder")).where(F.length("folder") % 3 == 0)
+    holds_query = f.where(F.contains("path", F.lit("?"))).select(F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/").alias("folder"))
+    hosts = f.where(~F.contains("path", F.lit("#"))).select(F.array_join(F.slice(parts, 1, 3), "/").alias("folder"))
+    roots = holds_query.unionByName(hosts).distinct()
     return joins.nearest_ancestor(f, roots, "path", "folder")
 
 
@@ -199,15 +201,15 @@ def first_existing_path(spark, sf_dir):
 @query(
     "set_operations",
     """
-    WITH w AS (SELECT c_nationkey AS k, list_sort(list_distinct(list(c_mktsegment))) AS a FROM customer WHERE c_custkey % 3 = 0 GROUP BY 1),
-    v AS (SELECT c_nationkey AS k, list_sort(list_distinct(list(c_mktsegment))) AS b FROM customer WHERE c_custkey % 40 = 1 GROUP BY 1)
+    WITH w AS (SELECT c_nationkey AS k, list_sort(list_distinct(list(c_mktsegment))) AS a FROM customer WHERE c_acctbal >= 0 GROUP BY 1),
+    v AS (SELECT c_nationkey AS k, list_sort(list_distinct(list(c_mktsegment))) AS b FROM customer WHERE c_acctbal < 0 GROUP BY 1)
     SELECT k, array_to_string(list_sort(list_distinct(list_concat(a, b))), '|') AS u, array_to_string(list_sort(list_filter(a, lambda x: list_contains(b, x))), '|') AS i, array_to_string(list_sort(list_filter(a, lambda x: NOT list_contains(b, x))), '|') AS m, a = b AS same, len(list_filter(b, lambda x: NOT list_contains(a, x))) = 0 AS covered FROM w JOIN v USING (k)
     """,
 )
 def set_operations(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     side = lambda cond, name: c.where(cond).groupBy(F.col("c_nationkey").alias("k")).agg(F.array_sort(F.collect_set("c_mktsegment")).alias(name))
-    both = side("c_custkey % 3 = 0", "a").join(side("c_custkey % 40 = 1", "b"), "k")
+    both = side("c_acctbal >= 0", "a").join(side("c_acctbal < 0", "b"), "k")
     return both.select("k", *(F.array_join(F.array_sort(f("a", "b")), "|").alias(n) for n, f in (("u", F.array_union), ("i", F.array_intersect), ("m", F.array_except))), (F.col("a") == F.col("b")).alias("same"), F.forall("b", lambda x: F.array_contains("a", x)).alias("covered"))
 
 

@@ -66,14 +66,15 @@ def tokenize_df(spark, sf_dir):
 @query(
     "line_cooccurrence",
     """
-    WITH l AS (SELECT doc_id, i, x[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE NOT regexp_matches(text, '[\\x0b-\\x0d\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]'))),
+    WITH s AS (SELECT doc_id, string_split(regexp_replace(text, '\\r\\n|[\\x0b-\\x0d\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]', chr(10), 'g'), chr(10)) AS x FROM documents),
+    l AS (SELECT doc_id, i, x[i] AS line FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM s)),
     a AS (SELECT doc_id, i FROM l WHERE regexp_matches(line, 'token|@')), b AS (SELECT doc_id, i FROM l WHERE regexp_matches(line, '[.]$')),
     p AS (SELECT a.doc_id, a.i AS a, min(b.i) AS b FROM a JOIN b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i AND a.i + 10 GROUP BY 1, 2)
     SELECT doc_id, min(a)::INT AS a, arg_min(b, a)::INT AS b FROM p GROUP BY doc_id
     """,
 )
 def line_cooccurrence(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[\x0b-\x0d\x1c-\x1e\x{85}\x{2028}\x{2029}]"))
+    docs = table(spark, sf_dir, "documents")
     pair = guardrail.first_pair(tx.lines(F.col("text")), "token|@", "[.]$", 10)
     return docs.select("doc_id", pair.alias("p")).where("p is not null").select("doc_id", F.col("p.a").alias("a"), F.col("p.b").alias("b"))
 
@@ -190,13 +191,13 @@ def occurrence_count(spark, sf_dir):
 @query(
     "apply_edits",
     """
-    WITH o AS (SELECT doc_id, text, left(text, 7) AS old1, substr(text, 12, 5) AS old2 FROM documents WHERE length(text) >= 20),
-    a AS (SELECT *, left(text, strpos(text, old1) - 1) || '<1>' || substr(text, strpos(text, old1) + 7) AS t1 FROM o)
-    SELECT doc_id, CASE WHEN strpos(t1, old2) > 0 THEN left(t1, strpos(t1, old2) - 1) || '<2>' || substr(t1, strpos(t1, old2) + 5) ELSE t1 END AS text FROM a
+    WITH o AS (SELECT doc_id, text, left(text, 7) AS old1, substr(text, 12, 5) AS old2 FROM documents),
+    a AS (SELECT *, left(text, strpos(text, old1) - 1) || '<1>' || substr(text, strpos(text, old1) + length(old1)) AS t1 FROM o)
+    SELECT doc_id, CASE WHEN strpos(t1, old2) > 0 THEN left(t1, strpos(t1, old2) - 1) || '<2>' || substr(t1, strpos(t1, old2) + length(old2)) ELSE t1 END AS text FROM a
     """,
 )
 def apply_edits(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where(F.length("text") >= 20)
+    d = table(spark, sf_dir, "documents")
     edit = lambda a, n, new: F.struct(F.substring("text", a, n).alias("old"), F.lit(new).alias("new"))
     return d.select("doc_id", edits.apply_in_order(F.col("text"), F.array(edit(1, 7, "<1>"), edit(12, 5, "<2>"))).alias("text"))
 
