@@ -145,7 +145,7 @@ def test_segmentation_is_the_best_one():
                 return 0.0
             return max([best(at + 1), *(v + best(at + s) for (i, s, _), v in value.items() if i == at)])
 
-        got = pii_crf.decode(tokens, start, size, scores)
+        got = pii_crf.decode(tokens, start, size, scores.argmax(axis=1), scores.max(axis=1))
         assert sum(value[a, b - a + 1, k] for _, a, b, k in got) == pytest.approx(best(0))
         dense = pii_crf._dense((1, len(tokens.text)), np.zeros(len(start), int), start, size, scores)
         total, p = pii_crf.expected(dense, np.array([len(tokens.text)]))
@@ -156,6 +156,15 @@ def test_segmentation_is_the_best_one():
             return every(at + 1) + sum(np.exp(v) * every(at + s) for (i, s, _), v in value.items() if i == at)
 
         assert float(total[0]) == pytest.approx(np.log(every(0)))
+
+
+def test_candidates_do_not_depend_on_the_stretch():
+    """Scoring a few tokens at once gives the candidates and scores of scoring them all together."""
+    weights = np.random.default_rng(1).normal(0, 2, (len(pii_crf.KINDS), pii_crf.FEATURES))
+    tokens = pii_crf.Tokens.of(["call 442-555-2345 or write to jo at mail dot org, card 4111 1111 1111 1111", "12 34 56 78 90 " * 30, "a@b.cd"])
+    whole, cut = (sorted(zip(*(x.tolist() for x in pii_crf.scored(tokens, weights, n)), strict=True)) for n in (10**6, 7))
+    assert [x[:3] for x in whole] == [x[:3] for x in cut] and len(whole) > 100
+    assert np.allclose([x[3] for x in whole], [x[3] for x in cut])
         assert np.nanmax(p.sum(axis=(2, 3))) <= 1 + 1e-9
 
 

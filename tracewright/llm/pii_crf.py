@@ -29,6 +29,8 @@ from tracewright.llm.common import id_field, ids_and_texts, map_texts, table, ut
 KINDS = ["email", "ip", "card", "phone"]
 #: Tokens of an entity; characters around an anchor; documents of the sample, zones trained on, steps of training.
 MOST_TOKENS, AROUND, SAMPLE, TRAIN_ZONES, STEPS = 18, 48, 300, 300, 80
+#: Tokens whose candidates are scored at once, and characters of zones that are segmented together (a longer one alone).
+SCORE_TOKENS, ZONE_CHARS = 8_000, 250_000
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -192,6 +194,27 @@ def segments(tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(out_start), np.concatenate(out_len), np.concatenate(out).astype(np.float32)
 
 
+def scored(tokens: Tokens, weights: np.ndarray, at_once: int = SCORE_TOKENS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First token, length, best kind and its score of every candidate, with the features of a stretch of tokens at once.
+
+    A stretch reaches as far beyond its own tokens as a candidate and its features do, so the results are those of all
+    tokens together.
+    """
+    n, parts = len(tokens.text), []
+    for a in range(0, n, at_once):
+        low, high = max(0, a - 5), min(n, a + at_once + MOST_TOKENS + 1)
+        start, size, features = segments(Tokens(tokens.text[low:high], tokens.start[low:high], tokens.end[low:high], tokens.zone[low:high], tokens.bounds))
+        start = start + low
+        own = (start >= a) & (start < a + at_once)
+        scores = features[own] @ weights.T
+        kind = scores.argmax(axis=1).astype(np.int8)
+        parts.append((start[own], size[own].astype(np.int8), kind, scores[np.arange(len(kind)), kind]))
+    if not parts:
+        return np.zeros(0, int), np.zeros(0, np.int8), np.zeros(0, np.int8), np.zeros(0)
+    start, size, kind, score = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return start, size, kind, score
+
+
 def lattice(tokens: Tokens, start: np.ndarray, size: np.ndarray, chosen: np.ndarray):
     """Places of segments side by side: zone rows and in-zone first tokens of the chosen zones."""
     row = np.full(len(tokens.bounds) - 1, -1)
@@ -207,8 +230,11 @@ def _dense(shape, row, first, size, scores):
     return dense
 
 
-def decode(tokens: Tokens, start: np.ndarray, size: np.ndarray, scores: np.ndarray, cells: int = 60_000) -> list[tuple[int, int, int, int]]:
-    """(zone, first token, last token, kind) of the entities of the best segmentation of each zone."""
+def decode(tokens: Tokens, start: np.ndarray, size: np.ndarray, kind_of: np.ndarray, score: np.ndarray, cells: int = 60_000) -> list[tuple[int, int, int, int]]:
+    """(zone, first token, last token, kind) of the entities of the best segmentation of each zone.
+
+    Of a candidate only its best kind matters, as kinds do not depend on one another.
+    """
     n, found = np.diff(tokens.bounds), []
     order = [z for z in np.argsort(n, kind="stable").tolist() if n[z]]
     at = 0
@@ -222,12 +248,12 @@ def decode(tokens: Tokens, start: np.ndarray, size: np.ndarray, scores: np.ndarr
         if not len(kept):
             continue
         steps = int(n[chosen].max())
-        dense = _dense((len(chosen), steps), row, first, length, scores[kept])
-        kind = dense.argmax(axis=3)
-        top = dense.max(axis=3)
+        top = np.full((len(chosen), steps, MOST_TOKENS), -np.inf, np.float32)
+        kind = np.zeros(top.shape, np.int8)
+        top[row, first, length - 1], kind[row, first, length - 1] = score[kept], kind_of[kept]
         value = np.full((len(chosen), steps + 1), -np.inf)
         value[:, 0] = 0
-        back = np.zeros((len(chosen), steps + 1), int)
+        back = np.zeros((len(chosen), steps + 1), np.int8)
         for t in range(1, steps + 1):
             best = value[:, t - 1].copy()  # a single other token scores 0
             for s in range(1, min(t, MOST_TOKENS) + 1):
@@ -371,14 +397,17 @@ def scan_batch(texts: list[str | None], weights: np.ndarray, wanted: np.ndarray)
         for a, b in zones(text):
             pieces.append(text[a:b])
             place.append((i, a))
-    tokens = Tokens.of(pieces)
-    start, size, features = segments(tokens)
-    if len(start):
-        for z, first, last, kind in decode(tokens, start, size, features @ weights.T):
-            i, ahead = place[z]
+    ahead_of = np.cumsum([0, *map(len, pieces)])
+    at = 0
+    while at < len(pieces):
+        end = max(at + 1, int(np.searchsorted(ahead_of, ahead_of[at] + ZONE_CHARS, "right")) - 1)
+        tokens = Tokens.of(pieces[at:end])
+        for z, first, last, kind in decode(tokens, *scored(tokens, weights)):
+            i, ahead = place[at + z]
             a, b = int(ahead + tokens.start[first]), int(ahead + tokens.end[last])
             if all(b <= x or a >= y for x, _, y, own in found.get(i, ()) if own):
                 found.setdefault(i, []).append((a, kind, b, False))
+        at = end
     return {i: sorted(x) for i, x in found.items()}
 
 
