@@ -23,8 +23,8 @@ from tracewright.llm.common import id_field, ids_and_texts, map_texts, table
 from tracewright.llm.token_counts import MODEL, sentencepiece_model
 
 MARK = "▁"
-#: Distinct words that a worker keeps from batch to batch; the table is emptied beyond that.
-TABLE_WORDS = 200_000
+#: Distinct words, and their characters, that a worker keeps from batch to batch; the table is emptied beyond either.
+TABLE_WORDS, TABLE_CHARS = 200_000, 4_000_000
 _RUNS = re.compile(" +[^ ]*")
 
 
@@ -39,12 +39,15 @@ class ChunkTable:
     def __init__(self, path: str):
         self.model = sentencepiece_model(path)
         self.known: dict[str, tuple[bytes, str]] = {}
+        self.chars = 0
         self.lone_mark = self.model.piece_to_id(MARK)
 
     def rows(self, words: list[str]) -> list[tuple[bytes, str]]:
-        if len(self.known) > TABLE_WORDS:
+        if len(self.known) > TABLE_WORDS or self.chars > TABLE_CHARS:
             self.known.clear()
+            self.chars = 0
         new = [w for w in words if w not in self.known]
+        self.chars += sum(map(len, new))
         for start in range(0, len(new), 20_000):
             part = new[start : start + 20_000]
             ids = [x if w else [self.lone_mark] for w, x in zip(part, self.model.encode(part, num_threads=1), strict=True)]
