@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.llm.common import id_field, ids_and_texts, is_held_out, map_texts, remainder, table
+from tracewright.llm.common import by_bytes, id_field, ids_and_texts, is_held_out, map_texts, remainder, table
 from tracewright.llm.words import Words
 
 #: Most documents of each language that are learned from, in how many parts, and buckets of each n-gram order.
@@ -166,12 +166,12 @@ def train(docs: DataFrame, docs_each: int = DOCS_EACH, id_col: str = "doc_id", t
 
     def count(batches):
         grams, scripts = np.zeros((len(names), size)), np.zeros((len(names), n_scripts))
-        for batch in batches:
-            words = Words.of(batch.column("text"))
+        for part in (p for batch in batches for p in by_bytes(batch)):
+            words = Words.of(part.column("text"))
             data, offsets = words.lowered()
             if not len(data):
                 continue
-            lang = np.array([number[x] for x in batch.column("lang").to_pylist()])
+            lang = np.array([number[x] for x in part.column("lang").to_pylist()])
             of_word = lang[np.searchsorted(words.bounds, np.arange(len(words.code)), "right") - 1]
             seen = np.bincount(of_word * len(words.distinct) + words.code, minlength=len(names) * len(words.distinct)).reshape(len(names), -1)
             owner, gram = ngrams(data, offsets)
