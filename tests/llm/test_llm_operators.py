@@ -280,6 +280,30 @@ def test_lm_learns(docs, odd, empty):
     assert lm_score.score(empty, lm_score.train(empty)).count() == 0
 
 
+def test_lm_counts_words_themselves(spark, docs):
+    from collections import Counter
+
+    texts = docs.select("text")
+    want = Counter(w.lower() for r in texts.collect() for w in re.split(r"[ \t-\r]+", r["text"] or "") if w)
+    got = lm_score.corpus_counts(texts).toArrow()
+    assert got.num_rows == len(want) and sorted(got.column("n").to_pylist()) == sorted(want.values())
+    # more distinct words than there used to be buckets
+    many = spark.range(60).select(F.concat_ws(" ", F.transform(F.sequence(F.col("id") * 5000, F.col("id") * 5000 + 4999), lambda k: F.concat(F.lit("w"), k))).alias("text"))
+    assert lm_score.corpus_counts(many).where("n = 1").count() == 300_000
+
+
+def test_lm_words_that_no_task_knows(docs, odd, monkeypatch):
+    get = lambda d, m: {r["doc_id"]: r for r in lm_score.score(d, m).collect()}
+    model = lm_score.train(docs)
+    want, other = get(docs, model), get(odd, model)
+    assert model.vocabulary.others.count() == 0
+    monkeypatch.setattr(lm_score, "KNOWN", 100)
+    small = lm_score.WindowModel(lm_score.gathered(docs), model.flat)
+    assert 0 < len(small.vocabulary.known.hashes) <= 100 < small.vocabulary.others.count()
+    assert get(docs, small) == {k: pytest.approx(r, rel=1e-9) for k, r in want.items()}
+    assert all(r["n_words"] == other[k]["n_words"] and r["pll"] == pytest.approx(other[k]["pll"], rel=1e-9) for k, r in get(odd, small).items())
+
+
 # --- near duplicates and benchmark passages
 
 

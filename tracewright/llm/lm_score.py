@@ -2,13 +2,15 @@
 
 Every word of a text is predicted from the two words on either side, and the log-probabilities are summed. The
 vocabulary is factored: P(word | both sides) = P(class | both sides) * P(word | class). Classes are the most frequent
-words one by one and bands of equal mass for the rest; the second factor comes from counts over all documents, by
-hashed word. The network (class embeddings by position, one tanh layer, softmax over classes) is trained in numpy.
-
-Three kinds of passes, all over every document: word counts (partial sums per partition, then one aggregation whose
-result has a fixed number of buckets); training rounds, in which each partition descends from the same parameters on
-the windows of all its texts and the results are averaged by an aggregation over parameters; and scoring. Rounds take
-turns, so each word of each text is a target once. What is gathered grows with the documents; what comes to the driver does not.
+words one by one and bands of about equal mass for the rest, by count; the second factor comes from the count of the
+word itself over all documents. The network (class embeddings by position, one tanh layer, softmax over classes) is
+trained in numpy; its size is fixed, and words of one band are the same to it.
+
+Passes, all over every document: word counts by 64-bit hash, a table in the shared folder that grows with the
+vocabulary; coding, which turns each text into the classes of its words, a byte each (the most frequent words are known
+to every task, the others are joined with the table, each once for a slice of texts); training rounds, in which each
+partition descends from the same parameters on the windows of all its texts and the results are averaged by an
+aggregation over parameters; and scoring. Rounds take turns, so each word of each text is a target once.
 """
 
 from __future__ import annotations
@@ -17,11 +19,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.llm.common import by_bytes, id_field, ids_and_texts, map_texts, table
+from tracewright.llm.common import by_bytes, cut, id_field, ids_and_texts, table
 from tracewright.llm.words import Words
 
 WORD_BITS, CLASSES, OWN_CLASSES = 18, 64, 32
@@ -30,25 +33,35 @@ SIDE, EMBED, HIDDEN = 2, 16, 32
 ROUNDS, STEP_WINDOWS, RATE = 2, 1024, 0.01
 #: Words that are scored at once.
 AT_ONCE = 1 << 16
+#: Most words that every task knows; distinct words that a task counts before it passes them on; words of a slice of coded texts.
+KNOWN, COUNTED, CODED = 1 << 19, 1 << 19, 1 << 19
+#: Stands in coded texts for a word that no task knows.
+RARE = 255
 
 
-def word_buckets(words: Words) -> np.ndarray:
-    """The hashed bucket of each word occurrence: lower-cased, without the white space after it."""
+def word_hashes(words: Words) -> np.ndarray:
+    """64 bits of each distinct word: lower-cased, without the white space after it."""
     data, offsets = words.lowered()
     if not len(data):
         return np.zeros(0, np.int64)
-    n = np.diff(offsets)
-    place = (np.arange(len(data)) - np.repeat(offsets[:-1], n)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-    blank = (data == 32) | ((data >= 9) & (data <= 13))
-    spread = np.where(blank, np.uint64(0), (data.astype(np.uint64) + np.uint64(1)) * (place * np.uint64(0x9E3779B97F4A7C15) ^ (place << np.uint64(29))))
-    whole = np.add.reduceat(spread, offsets[:-1])
-    hashed = ((whole ^ whole >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - WORD_BITS)
-    return hashed.astype(np.int64)[words.code]
+    place = (np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))).astype(np.uint64)
+    each = (place << np.uint64(8)) + data + np.uint64(1)
+    each *= np.uint64(0x9E3779B97F4A7C15)
+    each = (each ^ each >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    each = (each ^ each >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    each ^= each >> np.uint64(31)
+    each[(data == 32) | ((data >= 9) & (data <= 13))] = 0
+    return np.add.reduceat(each, offsets[:-1]).view(np.int64)
+
+
+def word_buckets(words: Words) -> np.ndarray:
+    """The bucket of each word occurrence, for a Vocabulary."""
+    return (word_hashes(words).view(np.uint64) >> np.uint64(64 - WORD_BITS)).astype(np.int64)[words.code]
 
 
 @dataclass
 class Vocabulary:
-    """The class of each bucket and its log-share of the class."""
+    """The class of each bucket and its log-share of the class. Small, for texts outside Spark; words share buckets."""
 
     cls: np.ndarray
     log_share: np.ndarray
@@ -67,6 +80,75 @@ class Vocabulary:
         return cls(number, np.log(mass / total[number]).astype(np.float32))
 
 
+@dataclass
+class Known:
+    """What tasks know of the words: the most frequent ones, and the class and its mass for any count.
+
+    hashes (sorted), n and cls of the known words; steps are the counts (ascending) that words have in the corpus, band
+    is their class unless a word has one of its own; total is the mass of each class.
+    """
+
+    hashes: np.ndarray
+    n: np.ndarray
+    cls: np.ndarray
+    steps: np.ndarray
+    band: np.ndarray
+    total: np.ndarray
+
+    @classmethod
+    def of(cls, hashes: np.ndarray, n: np.ndarray, steps: np.ndarray, words: np.ndarray) -> Known:
+        """words: how many there are of each count."""
+        own = np.lexsort([hashes, -n])[:OWN_CLASSES]
+        rest = words - np.bincount(np.searchsorted(steps, n[own]), minlength=len(steps)).astype(np.int64)
+        mass = (steps + 0.5) * rest
+        before = mass[::-1].cumsum()[::-1] - mass / 2  # of more frequent words and half of these
+        bands = CLASSES - OWN_CLASSES
+        band = OWN_CLASSES + np.minimum(before / max(mass.sum(), 1) * bands, bands - 1).astype(int)
+        total = np.bincount(band, mass, minlength=CLASSES)
+        total[: len(own)] = n[own] + 0.5
+        total[CLASSES - 1] += 0.5  # words that are not in the corpus
+        order = np.argsort(hashes)
+        at = band[np.searchsorted(steps, n)] if len(n) else np.zeros(0, int)
+        at[own] = np.arange(len(own))
+        return cls(hashes[order], n[order], at[order].astype(np.uint8), steps, band, total)
+
+    def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Class (RARE for unknown words) and log-share of it (0 for them)."""
+        if not len(self.hashes):
+            return np.full(len(hashes), RARE, np.uint8), np.zeros(len(hashes))
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        there = self.hashes[at] == hashes
+        cls = np.where(there, self.cls[at], np.uint8(RARE))
+        return cls, np.where(there, np.log((self.n[at] + 0.5) / self.total[self.cls[at]]), 0)
+
+    def by_count(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Class and log-share of words that are not known but occur n times (maybe 0) in the corpus."""
+        cls = np.full(len(n), CLASSES - 1, np.uint8)
+        seen = n > 0
+        cls[seen] = self.band[np.searchsorted(self.steps, n[seen])]
+        return cls, np.log((n + 0.5) / self.total[cls])
+
+
+@dataclass
+class CorpusVocabulary:
+    """Known words, and the count of every other word as a table (hash, n)."""
+
+    known: Known
+    others: DataFrame
+
+    @classmethod
+    def from_counts(cls, counts: DataFrame) -> CorpusVocabulary:
+        found = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).toArrow()
+        steps, words = (found.column(c).to_numpy() for c in ("n", "words"))
+        order = np.argsort(steps)
+        steps, words = steps[order], words[order]
+        most = words[::-1].cumsum()[::-1]  # words that occur as often or more
+        least = int(steps[most <= KNOWN][0]) if (most <= KNOWN).any() else 1 << 62
+        known = counts.where(F.col("n") >= least).toArrow()
+        hashes, n = (known.column(c).to_numpy() for c in ("hash", "n"))
+        return cls(Known.of(hashes, n, steps, words), counts.where(F.col("n") < least))
+
+
 def windows(cls: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Classes with SIDE pads (class CLASSES) between texts, and the place of each word among them."""
     text = np.searchsorted(bounds, np.arange(len(cls)), "right") - 1
@@ -152,11 +234,11 @@ class Descent:
 
 @dataclass
 class WindowModel:
-    vocabulary: Vocabulary
+    vocabulary: Vocabulary | CorpusVocabulary
     flat: np.ndarray
 
     def scores(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Words and summed conditional log-probability of each text."""
+        """Words and summed conditional log-probability of each text, by a Vocabulary (score() takes the other kind)."""
         words = Words.of(texts)
         bucket = word_buckets(words)
         padded, place = windows(self.vocabulary.cls[bucket], words.bounds)
@@ -165,51 +247,147 @@ class WindowModel:
         return np.diff(words.bounds), np.bincount(text, each, minlength=len(texts))
 
 
-def corpus_counts(texts: DataFrame) -> np.ndarray:
-    """How often each bucket's words occur in all texts."""
+def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    hashes, at = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
+    return hashes, np.bincount(at, np.concatenate([n for _, n in parts]), minlength=len(hashes)).astype(np.int64)
+
+
+def corpus_counts(texts: DataFrame) -> DataFrame:
+    """(hash, n): how often each word occurs in all texts."""
 
     def count(batches):
-        seen = np.zeros(1 << WORD_BITS, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        rows = lambda part: pa.RecordBatch.from_arrays([pa.array(x) for x in part], ["hash", "n"])
         for batch in batches:
             for part in by_bytes(batch):
-                seen += np.bincount(word_buckets(Words.of(part.column("text"))), minlength=len(seen))
-        used = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(seen[used])], ["bucket", "n"])
-
-    found = texts.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(1 << WORD_BITS)
-    counts[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
-    return counts
-
-
-def training_round(texts: DataFrame, vocabulary: Vocabulary, flat: np.ndarray, shift: int, stride: int) -> np.ndarray:
-    """Parameters after each partition has learned from the same start, averaged by the windows it had."""
+                words = Words.of(part.column("text"))
+                held.append((word_hashes(words), np.bincount(words.code, minlength=len(words.distinct))))
+                if sum(len(h) for h, _ in held) > 2 * COUNTED:
+                    held = [summed(held)]
+                    if len(held[0][0]) > COUNTED:
+                        yield rows(held.pop())
+        if held:
+            yield rows(summed(held))
+
+    return texts.select("text").mapInArrow(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+
+
+def coded(texts: DataFrame, vocabulary: CorpusVocabulary) -> DataFrame:
+    """(id, cls, share) from (id, text): the classes of a text's words, a byte each, and the sum of their log-shares."""
+    known = texts.sparkSession.sparkContext.broadcast(vocabulary.known)
+    of_id = T.StructField("id", texts.schema["id"].dataType)
+    cls_share = [T.StructField("cls", T.BinaryType()), T.StructField("share", T.DoubleType())]
+    names = ["slice", "id", "cls", "share", "rare", "words"]
+
+    def binary(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+        ends = (bounds * values.itemsize).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
+
+    def code(batches):
+        """Rows of a slice: rare has places in the slice's words that are not known; its first row with any has those words."""
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for part in by_bytes(batch):
+                words = Words.of(part.column("text"))
+                hashes = word_hashes(words)
+                cls, share = known.value.look_up(hashes)
+                unknown = cls == RARE
+                rare, at = np.unique(hashes[unknown], return_inverse=True)
+                place = np.full(len(hashes), -1, np.int32)
+                place[unknown] = at
+                text = np.repeat(np.arange(part.num_rows), np.diff(words.bounds))
+                total = np.bincount(text, share[words.code], minlength=part.num_rows)
+                places = place[words.code]
+                before = np.concatenate([[0], np.cumsum(places >= 0)])[words.bounds]
+                lists = [None] * part.num_rows
+                if len(rare):
+                    lists[int(np.flatnonzero(np.diff(before))[0])] = rare.tobytes()
+                slices = pa.array(np.full(part.num_rows, number))
+                yield pa.RecordBatch.from_arrays([slices, part.column("id"), binary(cls[words.code], words.bounds), pa.array(total.astype(np.float64)), binary(places[places >= 0], before), pa.array(lists, pa.binary())], names)
+                number += 1
+
+    def wanted(batches):
+        for batch in batches:
+            for number, words in zip(batch.column("slice").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                hashes = np.frombuffer(words, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), number)), pa.array(np.arange(len(hashes), dtype=np.int32)), pa.array(hashes)], ["slice", "place", "hash"])
+
+    def filled(rows: pa.Table, counts: pa.Table) -> pa.Table:
+        n = np.zeros(max(len(x) for x in rows.column("words").to_pylist() if x) // 8, np.int64)
+        n[counts.column("place").to_numpy()] = counts.column("n").to_numpy()
+        of_word, share_of_word = known.value.by_count(n)
+        out, total = [], rows.column("share").to_numpy().copy()
+        for k, (own, rare) in enumerate(zip(rows.column("cls").to_pylist(), rows.column("rare").to_pylist(), strict=True)):
+            cls, at = np.frombuffer(own, np.uint8).copy(), np.frombuffer(rare, np.int32)
+            cls[cls == RARE] = of_word[at]
+            total[k] += share_of_word[at].sum()
+            out.append(cls.tobytes())
+        return pa.table([rows.column("id"), pa.array(out, pa.binary()), pa.array(total)], ["id", "cls", "share"])
+
+    types = [T.LongType(), of_id.dataType, T.BinaryType(), T.DoubleType(), T.BinaryType(), T.BinaryType()]
+    slices = cut(texts.mapInArrow(code, T.StructType([T.StructField(n, t) for n, t in zip(names, types, strict=True)])))
+    ready, rest = slices.where("length(rare) = 0").select("id", "cls", "share"), slices.where("length(rare) > 0")
+    asked = rest.where("words is not null").select("slice", "words").mapInArrow(wanted, "slice long, place int, hash long")
+    counts = asked.join(vocabulary.others, "hash").select("slice", "place", "n")
+    return cut(ready.union(rest.groupBy("slice").cogroup(counts.groupBy("slice")).applyInArrow(filled, T.StructType([of_id, *cls_share]))))
+
+
+def classes(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of coded texts, one after another, and the bounds of the texts."""
+    own = part.column("cls").to_pylist()
+    return np.frombuffer(b"".join(own), np.uint8), np.cumsum([0, *map(len, own)])
+
+
+def training_round(texts: DataFrame, flat: np.ndarray, shift: int, stride: int) -> np.ndarray:
+    """Parameters after each partition of coded texts has learned from the same start, averaged by the windows it had."""
 
     def descend(batches):
         own = Descent(flat)
         for batch in batches:
-            for part in by_bytes(batch):
-                words = Words.of(part.column("text"))
-                padded, place = windows(vocabulary.cls[word_buckets(words)], words.bounds)
+            for part in by_bytes(batch, CODED, "cls"):
+                padded, place = windows(*classes(part))
                 at = place[shift::stride]
                 own.learn(np.stack([padded[at + k] for k in SHIFTS], axis=1), padded[at])
         if own.seen:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(SIZE)), pa.array(own.flat.astype(np.float64) * own.seen), pa.array(np.full(SIZE, own.seen))], ["slot", "value", "weight"])
 
-    parts = texts.select("text").mapInArrow(descend, "slot long, value double, weight long")
+    parts = texts.select("cls").mapInArrow(descend, "slot long, value double, weight long")
     means = parts.groupBy("slot").agg((F.sum("value") / F.sum("weight")).alias("mean")).toArrow()
     out = flat.copy()
     out[means.column("slot").to_numpy()] = means.column("mean").to_numpy()
     return out
 
 
+def fitted(texts: DataFrame, rounds: int) -> np.ndarray:
+    flat = initial()
+    for k in range(rounds):
+        flat = training_round(texts, flat, shift=k, stride=rounds)
+    return flat
+
+
+def gathered(texts: DataFrame) -> CorpusVocabulary:
+    return CorpusVocabulary.from_counts(cut(corpus_counts(texts)))
+
+
 def train(docs: DataFrame, rounds: int = ROUNDS, text_col: str = "text") -> WindowModel:
     """Counts over all documents, then rounds of training, whose windows together are those of every word."""
-    texts = docs.select(docs[text_col].cast("string").alias("text"))
-    vocabulary, flat = Vocabulary.from_counts(corpus_counts(texts)), initial()
-    for k in range(rounds):
-        flat = training_round(texts, vocabulary, flat, shift=k, stride=rounds)
-    return WindowModel(vocabulary, flat)
+    texts = docs.select(F.lit(0).alias("id"), docs[text_col].cast("string").alias("text"))
+    vocabulary = gathered(texts)
+    return WindowModel(vocabulary, fitted(coded(texts, vocabulary), rounds))
+
+
+def scored(texts: DataFrame, flat: np.ndarray, id_field: T.StructField) -> DataFrame:
+    def work(batches):
+        for batch in batches:
+            for part in by_bytes(batch, CODED, "cls"):
+                cls, bounds = classes(part)
+                each = class_log_probs(flat, *windows(cls, bounds))
+                text = np.repeat(np.arange(part.num_rows), np.diff(bounds))
+                total = np.bincount(text, each, minlength=part.num_rows) + part.column("share").to_numpy()
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(bounds).astype(np.int64)), pa.array(total.astype(np.float64))], ["doc_id", "n_words", "pll"])
+
+    schema = T.StructType([id_field, T.StructField("n_words", T.LongType()), T.StructField("pll", T.DoubleType())])
+    return texts.mapInArrow(work, schema).withColumn("pll_per_word", F.when(F.col("n_words") > 0, F.col("pll") / F.col("n_words")))
 
 
 def score(docs: DataFrame, model: WindowModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -218,16 +396,11 @@ def score(docs: DataFrame, model: WindowModel, id_col: str = "doc_id", text_col:
     A null, empty or blank text has no words: pll 0, pll_per_word null. Repeated rows repeat; an empty table gives an
     empty one (and an untrained model); further columns are ignored.
     """
-    schema = T.StructType([id_field(docs, id_col, "doc_id"), T.StructField("n_words", T.LongType()), T.StructField("pll", T.DoubleType())])
-
-    def work(part: pa.RecordBatch) -> pa.RecordBatch:
-        n, total = model.scores(part.column("text"))
-        return pa.RecordBatch.from_arrays([part.column("id"), pa.array(n.astype(np.int64)), pa.array(total.astype(np.float64))], ["doc_id", "n_words", "pll"])
-
-    scored = map_texts(ids_and_texts(docs, id_col, text_col), work, schema)
-    return scored.withColumn("pll_per_word", F.when(F.col("n_words") > 0, F.col("pll") / F.col("n_words")))
+    return scored(coded(ids_and_texts(docs, id_col, text_col), model.vocabulary), model.flat, id_field(docs, id_col, "doc_id"))
 
 
 def op3_lm_score(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return score(docs, train(docs))
+    texts = ids_and_texts(docs, "doc_id", "text")
+    own = coded(texts, gathered(texts))
+    return scored(own, fitted(own, ROUNDS), id_field(docs, "doc_id", "doc_id"))
