@@ -396,6 +396,20 @@ def test_vectors_against_brute_force(spark):
     assert vector_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_vector_links_with_a_common_direction(spark):
+    rng = np.random.default_rng(3)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    x = unit(np.sqrt(0.8) * unit(rng.normal(size=64)) + np.sqrt(0.2) * unit(rng.normal(size=(3000, 64))))
+    away = rng.normal(size=x.shape)
+    away = unit(away - np.einsum("ij,ij->i", away, x)[:, None] * x)
+    both = np.concatenate([x, 0.951 * x + np.sqrt(1 - 0.951**2) * away])
+    near = both @ both.T >= 0.95
+    np.fill_diagonal(near, False)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(both)], "vec_id long, embedding array<double>")
+    found = vector_dedup.near_vectors(frame).agg(F.sum("n_links")).first()[0]
+    assert 0.99 * near.sum() <= found <= near.sum()
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 

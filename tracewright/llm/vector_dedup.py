@@ -4,8 +4,9 @@ A rotation for balanced binary codes is learned (PCA, then iterative quantisatio
 for each of a few starting points; every vector is indexed. Its codes are cut into substrings, each of which is the key
 of a table; vectors that share a key are candidates, and all candidates are reranked with the original vectors: links
 are cosines in double precision at or above the threshold. The substring length follows the logarithm of the number of
-vectors and the number of tables follows from it and the wanted recall, so buckets stay small at any size; the
-number of rotations is what the tables need.
+vectors. Pairs at the threshold are planted around the sampled vectors and coded like all others, and tables are added
+until enough of these pairs meet; where that takes too many tables, substrings become shorter. The number of rotations
+is what the tables need.
 
 Equal vectors are one node. Buckets of any size are worked on in blocks; a pair counts in the first table that it
 meets in, so numpy can sum up links where it finds them, and no pair is ever a row.
@@ -29,6 +30,8 @@ THRESHOLD = 0.95
 #: Most vectors that rotations are learned from, ITQ steps, and the chance that a link at the threshold is missed.
 SAMPLE, STEPS, MISS = 10_000, 30, 0.003
 LEAST_KEY_BITS, CODE_BITS = 12, 64
+#: Planted pairs of each kind that recall is measured on; beyond so many tables keys get shorter; rows made at once.
+PLANTED, MOST_TABLES, KEYED = 10_000, 128, 100_000
 #: Up to this size, units of work are looked at pair by pair together; larger ones each by a matrix product.
 SMALL_UNIT = 48
 
@@ -53,17 +56,60 @@ def untrained(dim: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return np.zeros(dim), q[:, : min(CODE_BITS, dim)]
 
 
+def planted(sample: np.ndarray, threshold: float, seed: int = 11) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of unit vectors at the threshold: away from sampled ones in any direction, and in those in which they differ."""
+    rng = np.random.default_rng(seed)
+    x = sample[rng.integers(0, len(sample), PLANTED)]
+    out = []
+    for away in (rng.normal(size=x.shape), sample[rng.integers(0, len(sample), PLANTED)] - sample[rng.integers(0, len(sample), PLANTED)]):
+        away = away - np.einsum("ij,ij->i", away, x)[:, None] * x
+        size = np.linalg.norm(away, axis=1)
+        there = size > 1e-9
+        if there.any():
+            own = x[there]
+            out.append((own, threshold * own + math.sqrt(max(0.0, 1 - threshold**2)) * away[there] / size[there, None]))
+    return out
+
+
 class Plan:
-    """Key length, number of tables and rotations for a number of vectors."""
+    """Key length, number of tables and their projections for a number of vectors, whose sample has unit vectors."""
 
-    def __init__(self, n: int, dim: int, threshold: float):
-        differ = math.acos(min(1.0, threshold)) / math.pi
+    def __init__(self, n: int, dim: int, threshold: float, sample: np.ndarray):
+        differ = math.acos(max(-1.0, min(1.0, threshold))) / math.pi
         bits = min(CODE_BITS, max(1, dim))
-        self.key_bits = min(bits, max(LEAST_KEY_BITS, math.ceil(math.log2(max(2, n))) - 4))
-        same = (1 - differ) ** self.key_bits
-        self.tables = max(1, math.ceil(math.log(MISS) / math.log(1 - same))) if same < 1 else 1
-        self.each = max(1, bits // self.key_bits)  # substrings of a code
+        learned = len(sample) >= 2 * dim
+        if not learned:
+            sample = np.random.default_rng(dim).normal(size=(PLANTED, dim))
+            sample /= np.linalg.norm(sample, axis=1, keepdims=True)
+        pairs = planted(sample, threshold)
+        self.projections: list[tuple[np.ndarray, np.ndarray]] = []
+        apart: list[list[np.ndarray]] = []  # by rotation and kind of pairs: the bits that differ
+
+        def rotation(k: int) -> list[np.ndarray]:
+            while len(apart) <= k:
+                mean, p = itq(sample, len(apart)) if learned else untrained(dim, len(apart))
+                self.projections.append((mean, p))
+                apart.append([((x - mean) @ p >= 0) != ((y - mean) @ p >= 0) for x, y in pairs])
+            return apart[k]
+
+        for self.key_bits in range(min(bits, max(LEAST_KEY_BITS, math.ceil(math.log2(max(2, n))) - 4)), 0, -1):
+            self.each = bits // self.key_bits  # substrings of a code
+            same = (1 - differ) ** self.key_bits
+            least = max(1, math.ceil(math.log(MISS) / math.log(1 - same))) if 0 < same < 1 else 1
+            met, self.tables = [np.zeros(len(x), bool) for x, _ in pairs], 0
+            while self.tables < least or (self.tables < MOST_TABLES and not all(m.mean() >= 1 - MISS for m in met)):
+                at = self.tables % self.each * self.key_bits
+                for m, d in zip(met, rotation(self.tables // self.each), strict=True):
+                    m |= ~d[:, at : at + self.key_bits].any(axis=1)
+                self.tables += 1
+            self.recall = min([float(m.mean()) for m in met], default=1.0)
+            if self.recall >= 1 - MISS:
+                break
+        else:
+            self.key_bits, self.each, self.tables, self.recall = 0, bits, 1, 1.0  # every pair
         self.rotations = math.ceil(self.tables / self.each)
+        rotation(self.rotations - 1)
+        del self.projections[self.rotations :]
 
     def keys(self, codes: np.ndarray) -> np.ndarray:
         """Substrings by vector and table. codes: by vector and rotation."""
@@ -85,20 +131,19 @@ def encoded(vectors: DataFrame, id_col: str, vec_col: str, threshold: float) ->
     kind = "<f4" if isinstance(vectors.schema[vec_col].dataType.elementType, T.FloatType) else "<f8"
     own = vectors.select(vectors[id_col].alias("id"), vectors[vec_col].alias("vec"))
     sizes = {r["d"]: r["n"] for r in own.where("size(vec) > 0").groupBy(F.size("vec").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    plans = {d: Plan(n, d, threshold) for d, n in sizes.items()}
     there = sum(sizes.values())
     sample = own.where("size(vec) > 0").where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE / max(1, there)))).select("vec").limit(2 * SAMPLE).toArrow().column("vec").combine_chunks()
     by_dim: dict[int, list[np.ndarray]] = {}
     for _, v in usable(sample, "<f8"):
         by_dim.setdefault(len(v), []).append(v / np.abs(v).max())
-    projections = {}
-    for d, plan in plans.items():
-        x = np.array(by_dim.get(d, []))
-        learned = len(x) >= 2 * d
-        if learned:
+    plans, projections = {}, {}
+    for d, n in sizes.items():
+        x = np.array(by_dim.get(d, [])).reshape(-1, d)
+        if len(x):
             x = x[np.lexsort(x.T)]  # the same whatever the order of arrival
             x /= np.linalg.norm(x, axis=1, keepdims=True)
-        projections[d] = [itq(x, k) if learned else untrained(d, k) for k in range(plan.rotations)]
+        plans[d] = Plan(n, d, threshold, x)
+        projections[d] = plans[d].__dict__.pop("projections")  # plans go to tasks that need no projections
 
     def code(batches):
         for batch in batches:
@@ -127,7 +172,8 @@ def linked(nodes: DataFrame, plans: dict[int, Plan], kind: str, threshold: float
     node_type = dict(nodes.dtypes)["node"]
 
     def tables(batches):
-        for batch in batches:
+        most = max(1, KEYED // max((plan.tables for plan in plans.values()), default=1))
+        for batch in (whole.slice(start, most) for whole in batches for start in range(0, whole.num_rows, most)):
             key, at = [], []
             for d, plan in plans.items():
                 own = np.flatnonzero(batch.column("dim").to_numpy() == d)
