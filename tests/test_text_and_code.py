@@ -147,3 +147,14 @@ def test_patch_verdicts(spark):
     existing = spark.createDataFrame([("pkg/tests/test_x.py",), ("pkg/test_x.py",)], "file_path string")
     src = spark.createDataFrame([("pkg/x.py",), ("pkg/y.py",)], "file_path string")
     assert dict(patches.test_files(src, existing).collect()) == {"pkg/x.py": "pkg/tests/test_x.py", "pkg/y.py": None}
+
+
+def test_fusion_keeps_documents_without_a_vector(spark):
+    from tracewright.operators import retrieval
+
+    scores = lambda rows: spark.createDataFrame(rows, "query long, doc long, score double")
+    lexical, dense = scores([(1, 1, 2.0), (1, 9, 4.0), (2, 9, 1.0)]), scores([(1, 1, 0.5), (1, 2, 1.0)])
+    got = {(r["query"], r["doc"]): r["score"] for r in retrieval.fuse(lexical, dense).collect()}
+    assert got == {(1, 1): 1.0, (1, 2): 1.0, (1, 9): 1.0, (2, 9): 0.0}
+    best = retrieval.retrieve(lexical, dense, scores([(1, 2, -1.0), (1, 9, 3.0)])).collect()
+    assert [r["doc"] for r in sorted(best, key=lambda r: (r["query"], r["rank"]))] == [9, 1, 2, 9]

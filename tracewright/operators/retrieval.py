@@ -71,11 +71,11 @@ def min_max(score: Column, query: str = "query") -> Column:
 
 
 def fuse(lexical: DataFrame, dense: DataFrame, boosted: DataFrame | None = None) -> DataFrame:
-    """(query, doc, score): both scores normalised per query and added; documents without lexical score have 0 there.
+    """(query, doc, score): both scores normalised per query and added; a score that a document lacks is 0 before that.
 
-    dense has every document of a query. boosted (query, doc) get the path boost.
+    Documents of either side are candidates. boosted (query, doc) get the path boost.
     """
-    both = dense.withColumnRenamed("score", "dense").join(lexical.withColumnRenamed("score", "lexical"), ["query", "doc"], "left").withColumn("lexical", F.coalesce("lexical", F.lit(0.0)))
+    both = dense.withColumnRenamed("score", "dense").join(lexical.withColumnRenamed("score", "lexical"), ["query", "doc"], "full").fillna(0.0, ["dense", "lexical"])
     out = both.select("query", "doc", (min_max(F.col("dense")) + min_max(F.col("lexical"))).alias("score"))
     if boosted is None:
         return out
@@ -94,6 +94,6 @@ def top_k(scores: DataFrame, k: int, places: int = 6) -> DataFrame:
 
 
 def retrieve(lexical: DataFrame, dense: DataFrame, rerank: DataFrame, boosted: DataFrame | None = None, pool: int = POOL, k: int = FINAL) -> DataFrame:
-    """Pool by fused score, then the k best by a rerank score (query, doc, score) that a model supplies."""
+    """Pool by fused score, then the k best by a rerank score (query, doc, score) that a model supplies; 0 where it has none."""
     pooled = top_k(fuse(lexical, dense, boosted), pool).select("query", "doc")
-    return top_k(pooled.join(rerank, ["query", "doc"]), k)
+    return top_k(pooled.join(rerank, ["query", "doc"], "left").fillna(0.0, ["score"]), k)

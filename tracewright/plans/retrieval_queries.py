@@ -62,11 +62,16 @@ fused AS (SELECT query, doc, CASE WHEN d1 - d0 < 1e-9 THEN 0 ELSE (d - d0) / (d1
 
 
 def fused(spark, sf_dir):
-    """Document and vector ids are aligned; documents with ids divisible by ten stand for those whose path was named."""
+    """Document and vector ids are aligned; documents with ids divisible by ten stand for those whose path was named.
+
+    Like the SQL, which starts from cosines, only documents with a vector and items that are asked as vectors take part.
+    """
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"))
     vectors = dense(spark, sf_dir).join(items, "query", "left_semi")
     boosted = vectors.where(F.col("doc") % 10 == 0).select("query", "doc")
-    return vectors, boosted, lexical(spark, sf_dir)
+    ids = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc"))
+    asked = ids.where(F.col("doc") % 50 == 0).withColumnRenamed("doc", "query")
+    return vectors, boosted, lexical(spark, sf_dir).join(ids, "doc", "left_semi").join(asked, "query", "left_semi")
 
 
 @query("hybrid_topk", f"WITH {_FUSED} {_top('fused', 20, 5)}")
