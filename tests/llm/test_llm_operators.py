@@ -304,6 +304,15 @@ def test_lm_words_that_no_task_knows(docs, odd, monkeypatch):
     assert all(r["n_words"] == other[k]["n_words"] and r["pll"] == pytest.approx(other[k]["pll"], rel=1e-9) for k, r in get(odd, small).items())
 
 
+def test_pii_zones_of_all_sampled_texts():
+    first = (" word" * 60).join(f"call {k}0000{k}" for k in range(200, 400))
+    texts = [first, *(f"id {k} mail a{k}@b.org" for k in range(80))]
+    got = pii_crf.chosen_zones(texts)
+    assert len(got) == 83 and all(any(f"a{k}@b.org" in z for z in got) for k in range(80))
+    assert pii_crf.chosen_zones(texts[::-1]) == got and (pii_crf.fit(texts[::-1]) == pii_crf.fit(texts)).all()
+    assert len(pii_crf.chosen_zones([f"mail a{k}@b.org" for k in range(900)])) == pii_crf.TRAIN_ZONES
+
+
 # --- near duplicates and benchmark passages
 
 

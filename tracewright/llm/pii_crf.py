@@ -13,6 +13,7 @@ in the same surroundings. Scanning is one Arrow pass without a shuffle.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from dataclasses import dataclass
 from functools import lru_cache
@@ -29,6 +30,8 @@ from tracewright.llm.common import id_field, ids_and_texts, map_texts, table, ut
 KINDS = ["email", "ip", "card", "phone"]
 #: Tokens of an entity; characters around an anchor; documents of the sample, zones trained on, steps of training.
 MOST_TOKENS, AROUND, SAMPLE, TRAIN_ZONES, STEPS = 18, 48, 300, 300, 80
+#: Zones of one document that are trained on, at most.
+ZONES_OF_TEXT = 3
 #: Tokens whose candidates are scored at once, and characters of zones that are segmented together (a longer one alone).
 SCORE_TOKENS, ZONE_CHARS = 8_000, 250_000
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -327,19 +330,25 @@ def rewritten(text: str, gold: list[tuple[int, int, int]], rng: np.random.Genera
     return "".join(out), spans
 
 
+def chosen_zones(texts: list[str]) -> list[str]:
+    """At most TRAIN_ZONES zones, of all texts and a few of each, that a hash chooses; the same for any order of texts."""
+    order = lambda piece: hashlib.blake2b(piece.encode("utf-8", "replace")).digest()
+    found = []
+    for text in texts:
+        found += sorted((text[a : min(b, a + 600)] for a, b in zones(text)), key=order)[:ZONES_OF_TEXT]
+    return sorted(found, key=order)[:TRAIN_ZONES]
+
+
 def fit(texts: list[str], seed: int = 3) -> np.ndarray:
     """Weights (kinds x features) from zones of texts; zeros but for a bias against entities where there are none."""
     weights = np.zeros((len(KINDS), FEATURES))
     weights[:, 0] = -4.0
     rng, pieces, golds = np.random.default_rng(seed), [], []
-    for text in texts:
-        for a, b in zones(text):
-            piece = text[a : min(b, a + 600)]
-            gold = base_spans(piece)
-            for new, spans in ((piece, gold), rewritten(piece, gold, rng)):
-                if len(pieces) < TRAIN_ZONES:
-                    pieces.append(new)
-                    golds.append(spans)
+    for piece in chosen_zones(texts):
+        gold = base_spans(piece)
+        for new, spans in ((piece, gold), rewritten(piece, gold, rng)):
+            pieces.append(new)
+            golds.append(spans)
     tokens = Tokens.of(pieces)
     start, size, features = segments(tokens)
     if not len(start):
@@ -377,7 +386,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np
     own = ids_and_texts(docs, id_col, text_col)
     share = min(1.0, 10 * SAMPLE / max(1, own.count()))
     chosen = own.where(F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1_000_000_000)) < int(share * 1_000_000_000))
-    rows = chosen.where(F.col("text").rlike(r"@|[0-9]{3}")).select("text").limit(SAMPLE).collect()
+    rows = chosen.where(F.col("text").rlike(r"@|[0-9]{3}")).orderBy(F.xxhash64(F.lit("sample"), "id"), "text").select("text").limit(SAMPLE).collect()
     return fit([r["text"] for r in rows])
 
 
