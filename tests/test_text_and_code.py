@@ -1,4 +1,5 @@
 import pytest
+import pytest
 from pyspark.sql import functions as F
 
 from tracewright.functions import pyast
@@ -158,3 +159,13 @@ def test_fusion_keeps_documents_without_a_vector(spark):
     assert got == {(1, 1): 1.0, (1, 2): 1.0, (1, 9): 1.0, (2, 9): 0.0}
     best = retrieval.retrieve(lexical, dense, scores([(1, 2, -1.0), (1, 9, 3.0)])).collect()
     assert [r["doc"] for r in sorted(best, key=lambda r: (r["query"], r["rank"]))] == [9, 1, 2, 9]
+
+
+def test_chunk_errors_have_type_and_place(spark):
+    files = spark.createDataFrame([("bad.py", "x = 1\ndef f(:"), ("good.py", "x = 1"), ("null.py", "a\0")], "file_path string, source string")
+    got = {r["file_path"]: r for r in patches.chunk_files(files)[1].collect()}
+    assert set(got) == {"bad.py", "null.py"}
+    bad = got["bad.py"]
+    assert (bad["error_type"], bad["lineno"], bad["offset"]) == ("SyntaxError", 2, 7) and bad["error"].startswith("SyntaxError: ") and bad["traceback"].startswith("Traceback")
+    with pytest.raises(Exception, match="bad.py"):
+        patches.chunk_files(files.where("file_path = 'bad.py'"), strict=True)[0].collect()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import traceback
 import builtins
 from collections.abc import Iterator
 
@@ -27,6 +28,15 @@ def dotted(node: ast.AST) -> str | None:
     return ".".join([node.id, *names]) if isinstance(node, ast.Name) else None
 
 
+def parse_error(source: str | None) -> dict | None:
+    """Type, message, traceback, and for a SyntaxError its place, of what keeps a source from being parsed."""
+    try:
+        ast.parse(source or "")
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
+        place = {k: getattr(e, k, None) for k in ("lineno", "offset")}
+        return {"error": f"{type(e).__name__}: {e}", "error_type": type(e).__name__, "traceback": traceback.format_exc(), **place}
+
+
 # --- chunks ---------------------------------------------------------------------------------------------------------
 
 

@@ -22,19 +22,24 @@ def _fold(frame: DataFrame, bad: Column, label: Column) -> DataFrame:
     return frame.groupBy("patch_id").agg((F.size(labels) == 0).alias("passed"), F.array_join(labels, "; ").alias("detail"))
 
 
-def chunk_files(files: DataFrame, path: str = "file_path", source: str = "source") -> tuple[DataFrame, DataFrame]:
-    """(chunks, errors): a row for every function, class and method; and the files that don't parse."""
+def chunk_files(files: DataFrame, path: str = "file_path", source: str = "source", strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(chunks, errors): a row for every function, class and method; and the files that don't parse.
+
+    strict: a file that doesn't parse fails the job that reads it.
+    """
     ship(files.sparkSession)
     fields = "chunk_id string, type string, name string, class_name string, file_path string, start_line int, end_line int, source string, class_context string, signature string, docstring string, decorators array<string>, bases array<string>, class_attributes array<string>, imports array<string>"
 
     def split(p, s):
         rows, error = pyast.chunks(p, s)
-        return {"rows": rows, "error": error}
+        if error is not None and strict:
+            raise ValueError(f"{p}: {error}")
+        return {"rows": rows, "error": None if error is None else pyast.parse_error(s)}
 
     row = "struct<" + ", ".join(f.replace(" ", ":", 1) for f in fields.split(", ")) + ">"
-    udf = F.udf(split, f"rows array<{row}>, error string", useArrow=True)
+    udf = F.udf(split, f"rows array<{row}>, error struct<error:string,error_type:string,traceback:string,lineno:int,offset:int>", useArrow=True)
     kept = files.select(F.col(path).alias("__path"), udf(F.col(path), F.coalesce(F.col(source), F.lit(""))).alias("__c"))
-    return kept.select(F.explode("__c.rows").alias("c")).select("c.*"), kept.where("__c.error is not null").select(F.col("__path").alias("file_path"), F.col("__c.error").alias("error"))
+    return kept.select(F.explode("__c.rows").alias("c")).select("c.*"), kept.where("__c.error is not null").select(F.col("__path").alias("file_path"), "__c.error.*")
 
 
 def signatures(source: Column) -> Column:
