@@ -1,4 +1,8 @@
-"""A corpus preparation pipeline: each stage works on all documents that the stage before it kept."""
+"""A corpus preparation pipeline: each stage works on all documents that the stage before it kept.
+
+Every stage takes null ids, null, empty and very long texts, repeated rows, empty tables and further columns of any
+name; all but the last return the columns that they are given.
+"""
 
 from __future__ import annotations
 
@@ -7,27 +11,33 @@ from tracewright.llm.common import table
 
 
 def toxicity_stage(spark, docs, sf_dir):
-    """Documents that the classifier rejects go; it learns from the labels and the documents at hand."""
+    """Documents that the classifier rejects go; it learns from the labels and the documents at hand.
+
+    Null and empty texts have no features and stay or go as the bias says; without toxic labels all documents stay.
+    """
     return toxicity.drop_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicate_stage(spark, docs, sf_dir):
-    """Of each group of near duplicates the document with the smallest id stays."""
+    """Of each group of near duplicates the document with the smallest id stays.
+
+    Null, empty and blank texts are one group. Of rows with the same id one stays; rows with a null id all stay.
+    """
     return simhash_dedup.keep_one(docs)
 
 
 def benchmark_stage(spark, docs, sf_dir):
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go; null and empty texts hold none. Repeated rows go alike."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_stage(spark, docs, sf_dir):
-    """Secrets in texts give way to a placeholder; all documents stay."""
-    return secret_scan.redact_secrets(docs)
+    """Secrets in texts give way to a placeholder, and n_chars follows; all documents stay, null texts as they are."""
+    return secret_scan.redact_secrets(docs, length_col="n_chars" if "n_chars" in docs.columns else None)
 
 
 def codec_stage(spark, docs, sf_dir):
-    """Token ids (with begin and end ids) and the text they decode to."""
+    """Token ids (with begin and end ids) and the text they decode to; a null text is as an empty one."""
     return piece_codec.encode_decode(docs)
 
 
