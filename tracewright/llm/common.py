@@ -19,11 +19,16 @@ BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of a data folder; the executors get this package along with it."""
-    ship(spark)
+    """A table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship_with(frame: DataFrame) -> DataFrame:
+    """The frame, whose Python functions may import this package on the executors from now on."""
+    ship(frame.sparkSession)
+    return frame
+
+
 def remainder(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 4; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
@@ -64,7 +69,15 @@ def map_texts(frame: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch],
             for part in by_bytes(batch, most):
                 yield fn(part)
 
-    return frame.mapInArrow(run, schema)
+    return ship_with(frame).mapInArrow(run, schema)
+
+
+def free_name(taken: list[str], name: str) -> str:
+    """A column name like `name` that is none of those taken, whatever their case."""
+    held = {t.lower() for t in taken}
+    while name.lower() in held:
+        name += "_"
+    return name
 
 
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -78,11 +91,13 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is set."""
+    """Use the shared folder that spark.checkpoint.dir names; where none is, a temporary one on a local master only."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     named = context.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
+    if not named and not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tracewright-checkpoint-"))
 
 
@@ -90,3 +105,12 @@ def cut(frame: DataFrame) -> DataFrame:
     """Materialize a frame in the shared checkpoint folder; it survives the loss of any executor."""
     ensure_checkpoint_dir(frame.sparkSession)
     return frame.checkpoint(eager=True)
+
+
+def discard(frame: DataFrame) -> None:
+    """Delete the files of a frame that cut() gave and that no plan still to run reads."""
+    held = frame._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if held.isDefined():
+        context = frame.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(held.get())
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

@@ -15,16 +15,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import cut
+from tracewright.llm.common import cut, discard, ship_with
 
 #: Rows of a block, and pairs that numpy looks at in one go.
-BLOCK_ROWS, PAIRS_AT_ONCE = 512, 1 << 20
+BLOCK_ROWS, PAIRS_AT_ONCE = 8192, 1 << 20
 
 
-def in_blocks(rows: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
+def in_blocks(rows: DataFrame, block: int = BLOCK_ROWS, payload: DataFrame | None = None) -> DataFrame:
     """Rows (key, node, ...) dealt out and sorted by unit of work (key, a, b): blocks a <= b of the key's bucket.
 
-    Rows that are alone in their bucket go. `own` is the block that a row itself is in.
+    Rows that are alone in their bucket go. `own` is the block that a row itself is in. A bucket of n rows sends
+    n / block copies of each. payload (node, ...), if any, is joined when only rows with company are left.
     """
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
     blocks = F.ceil(F.col("rows") / block).cast("int")
@@ -32,6 +33,8 @@ def in_blocks(rows: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumns({"a": F.least("own", "other"), "b": F.greatest("own", "other")}).drop("blocks", "other")
+    if payload is not None:
+        dealt = dealt.join(payload, "node")
     return dealt.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
 
 
@@ -82,26 +85,34 @@ def pairs(rows: pa.Table, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.
         start = end
 
 
-def forest(nodes: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (node, smallest node of its component) of the graph with links i-j, for nodes other than the smallest."""
-    used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
-    u, v = at[: len(i)], at[len(i) :]
-    order = np.argsort(nodes[used], kind="stable")
-    rank = np.empty_like(order)
-    rank[order] = np.arange(len(order))
-    label = rank.copy()
-    while True:
-        least = np.minimum(label[u], label[v])
-        new = label.copy()
-        np.minimum.at(new, u, least)
-        np.minimum.at(new, v, least)
-        new = np.minimum(new, new[order[new]])
-        if np.array_equal(new, label):
-            break
-        label = new
-    root = nodes[used][order[label]]
-    own = nodes[used]
-    return own[own != root], root[own != root]
+class Joined:
+    """Which of n things are connected, while links come in; links between connected ones cost a look-up only."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        a, b = self.label[i], self.label[j]
+        apart = a != b
+        if not apart.any():
+            return
+        a, b = a[apart], b[apart]
+        label = np.arange(len(self.label))
+        while True:
+            least = np.minimum(label[a], label[b])
+            new = label.copy()
+            np.minimum.at(new, a, least)
+            np.minimum.at(new, b, least)
+            new = new[new]
+            if np.array_equal(new, label):
+                break
+            label = new
+        self.label = label[self.label]
+
+    def edges(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A link for each thing but one of each connected group."""
+        other = np.flatnonzero(self.label != np.arange(len(self.label)))
+        return nodes[other], nodes[self.label[other]]
 
 
 def links_of(units_frame: DataFrame, linked: Callable[[pa.Table, np.ndarray, np.ndarray], np.ndarray], node_type: str) -> DataFrame:
@@ -109,25 +120,24 @@ def links_of(units_frame: DataFrame, linked: Callable[[pa.Table, np.ndarray, np.
 
     def run(batches):
         for rows, offsets in units(batches):
-            nodes, left, right = rows.column("node").to_numpy(), [], []
+            joined = Joined(rows.num_rows)
             for i, j in pairs(rows, offsets):
                 if len(i):
                     kept = linked(rows, i, j)
-                    left.append(i[kept])
-                    right.append(j[kept])
-            if left and sum(map(len, left)):
-                u, v = forest(nodes, np.concatenate(left), np.concatenate(right))
+                    joined.add(i[kept], j[kept])
+            u, v = joined.edges(rows.column("node").to_numpy())
+            if len(u):
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-    return units_frame.mapInArrow(run, f"u {node_type}, v {node_type}")
+    return ship_with(units_frame).mapInArrow(run, f"u {node_type}, v {node_type}")
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node with a link: the smallest node that links lead to.
 
     Alternating large-star and small-star steps (a logarithmic number of rounds). Each is two aggregations and two
-    joins over edges, with the state in the shared checkpoint folder from round to round; nothing is collected but
-    a count and a checksum.
+    joins over edges, with the state in the shared checkpoint folder from round to round (the files of the round
+    before go); nothing is collected but a count and a checksum.
     """
     edges = cut(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = _state(edges)
@@ -140,7 +150,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         root = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(root, "u")
         moved = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(moved.unionByName(root.select("u", F.col("m").alias("v"))).distinct())
+        before, edges = edges, cut(moved.unionByName(root.select("u", F.col("m").alias("v"))).distinct())
+        discard(before)
         now = _state(edges)
         if now == seen:
             break

@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewright.llm import links
-from tracewright.llm.common import cut, id_field, ids_and_texts, map_texts, table
+from tracewright.llm.common import cut, free_name, id_field, ids_and_texts, map_texts, table
 
 BITS, RADIUS, SHINGLE_WORDS, SEED = 64, 3, 3, 42
+#: Ids (some 50 bytes each) that are sent to the texts; with more of them both sides are shuffled.
+DROPPED_IDS = 1_000_000
 
 
 def covering_masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
@@ -93,16 +95,27 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The document with the smallest id of each component, with all columns; one row of it where rows repeat.
+    """The document with the smallest id of each component, with all columns; one row of it where rows share an id.
 
-    Rows with a null id cannot be told apart and all stay.
+    Of rows that share an id the one with the smallest hash of its text stays (any of equal ones). Rows with a null id
+    cannot be told apart and all stay. Null and empty texts are near duplicates of one another. An empty table gives
+    an empty one; further columns may have any name.
+
+    Ids of documents that go are sent to the texts while they are few (DROPPED_IDS); the texts are not shuffled then.
     """
     found = simhash_components(docs, radius, id_col, text_col).where("doc_id is not null")
-    ids = cut(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max(F.col("doc_id") == F.col("component_id")).alias("first")).where("first"))
-    kept = docs.join(ids.select(F.col("doc_id").alias("__kept")), docs[id_col] == F.col("__kept"), "left_semi")
-    if not ids.where("rows > 1").isEmpty():
-        kept = kept.dropDuplicates([id_col])
-    return kept.unionByName(docs.where(docs[id_col].isNull()))
+    ids = cut(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max(F.col("doc_id") == F.col("component_id")).alias("first")))
+    dropped, repeated = ids.agg(F.count_if(~F.col("first")), F.count_if(F.col("first") & (F.col("rows") > 1))).first()
+    gone = free_name(docs.columns, "gone")
+    out = ids.where(~F.col("first")).select(F.col("doc_id").alias(gone))
+    kept = docs.join(F.broadcast(out) if dropped <= DROPPED_IDS else out, docs[id_col] == F.col(gone), "left_anti")
+    if repeated:
+        again = ids.where(F.col("first") & (F.col("rows") > 1)).select(F.col("doc_id").alias(gone))
+        own = kept.join(F.broadcast(again) if repeated <= DROPPED_IDS else again, kept[id_col] == F.col(gone), "left_semi")
+        one = F.min_by(F.struct(*(own[c].alias(f"c{k}") for k, c in enumerate(docs.columns))), F.xxhash64(own[text_col].cast("string")))
+        own = own.groupBy(own[id_col].alias("id")).agg(one.alias("row")).select(*(F.col("row")[f"c{k}"].alias(c) for k, c in enumerate(docs.columns)))
+        kept = kept.join(F.broadcast(again) if repeated <= DROPPED_IDS else again, kept[id_col] == F.col(gone), "left_anti").unionByName(own)
+    return kept
 
 
 def op9_simhash_dedup(spark, sf_dir):

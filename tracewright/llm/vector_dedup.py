@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewright.llm import links
-from tracewright.llm.common import cut, table
+from tracewright.llm.common import cut, ship_with, table
 
 THRESHOLD = 0.95
 #: Most vectors that rotations are learned from, ITQ steps, and the chance that a link at the threshold is missed.
@@ -32,8 +32,10 @@ SAMPLE, STEPS, MISS = 10_000, 30, 0.003
 LEAST_KEY_BITS, CODE_BITS = 12, 64
 #: Planted pairs of each kind that recall is measured on; beyond so many tables keys get shorter; rows made at once.
 PLANTED, MOST_TABLES, KEYED = 10_000, 128, 100_000
-#: Up to this size, units of work are looked at pair by pair together; larger ones each by a matrix product.
-SMALL_UNIT = 48
+#: Up to this size, units of work are looked at pair by pair together; larger ones each by matrix products of so many rows.
+SMALL_UNIT, PRODUCT_ROWS = 48, 512
+#: Bytes of the vectors of a block; cosines that are nearer to the threshold are summed up again, in one order.
+BLOCK_BYTES, NEAR = 2 << 20, 1e-9
 
 
 def itq(sample: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,10 +113,13 @@ class Plan:
         rotation(self.rotations - 1)
         del self.projections[self.rotations :]
 
+    def key(self, codes: np.ndarray, t: int) -> np.ndarray:
+        """Substrings by vector for a table. codes: by vector and rotation."""
+        return codes[:, t // self.each] >> np.uint64(t % self.each * self.key_bits) & np.uint64((1 << self.key_bits) - 1)
+
     def keys(self, codes: np.ndarray) -> np.ndarray:
-        """Substrings by vector and table. codes: by vector and rotation."""
-        mask = np.uint64((1 << self.key_bits) - 1)
-        return np.stack([codes[:, t // self.each] >> np.uint64(t % self.each * self.key_bits) & mask for t in range(self.tables)], axis=1)
+        """Substrings by vector and table."""
+        return np.stack([self.key(codes, t) for t in range(self.tables)], axis=1)
 
 
 def usable(values: pa.Array, kind: str) -> Iterator[tuple[int, np.ndarray]]:
@@ -164,7 +169,27 @@ def encoded(vectors: DataFrame, id_col: str, vec_col: str, threshold: float) ->
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(dims, pa.int32()), pa.array(codes, pa.binary()), pa.array(kept, pa.binary())], ["id", "dim", "codes", "vec"])
 
     schema = T.StructType([T.StructField("id", vectors.schema[id_col].dataType), T.StructField("dim", T.IntegerType()), T.StructField("codes", T.BinaryType()), T.StructField("vec", T.BinaryType())])
-    return own.mapInArrow(code, schema), plans, kind
+    return ship_with(own).mapInArrow(code, schema), plans, kind
+
+
+def close(x: np.ndarray, y: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of x and y whose cosine is at or above the threshold, some rows of x at once; the same in any block."""
+    most = max(1, links.PAIRS_AT_ONCE // max(1, len(y)))
+    for start in range(0, len(x) if len(y) else 0, most):
+        cosine = x[start : start + most] @ y.T
+        i, j = np.nonzero(cosine >= threshold - NEAR)
+        kept = cosine[i, j] >= threshold + NEAR
+        unsure = np.flatnonzero(~kept)
+        kept[unsure] = together(x[start + i[unsure]], y[j[unsure]]) >= threshold
+        yield start + i[kept], j[kept]
+
+
+def together(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner products row by row, in an order that does not depend on how many rows there are."""
+    total = np.zeros(len(x))
+    for a, b in zip(x.T, y.T, strict=True):
+        total += a * b
+    return total
 
 
 def linked(nodes: DataFrame, plans: dict[int, Plan], kind: str, threshold: float) -> DataFrame:
@@ -174,17 +199,14 @@ def linked(nodes: DataFrame, plans: dict[int, Plan], kind: str, threshold: float
     def tables(batches):
         most = max(1, KEYED // max((plan.tables for plan in plans.values()), default=1))
         for batch in (whole.slice(start, most) for whole in batches for start in range(0, whole.num_rows, most)):
-            key, at = [], []
             for d, plan in plans.items():
                 own = np.flatnonzero(batch.column("dim").to_numpy() == d)
                 if len(own):
                     codes = np.frombuffer(b"".join(batch.column("codes").take(pa.array(own)).to_pylist()), "<u8").reshape(len(own), -1)
                     number = np.arange(plan.tables, dtype=np.uint64)[None, :] + np.uint64(1_000 * d)
-                    key.append((plan.keys(codes) << np.uint64(32) ^ number).view(np.int64).ravel())
-                    at.append(np.repeat(own, plan.tables))
-            if at:
-                rows = batch.take(pa.array(np.concatenate(at)))
-                yield rows.append_column("key", pa.array(np.concatenate(key)))
+                    key = (plan.keys(codes) << np.uint64(32) ^ number).view(np.int64).ravel()
+                    node = batch.column("node").take(pa.array(np.repeat(own, plan.tables)))
+                    yield pa.RecordBatch.from_arrays([node, pa.array(key)], ["node", "key"])
 
     def work(batches):
         for rows, offsets in links.units(batches):
@@ -199,50 +221,78 @@ def linked(nodes: DataFrame, plans: dict[int, Plan], kind: str, threshold: float
     def found(rows, offsets, whole):
         node, copies, dim = (rows.column(c).to_numpy() for c in ("node", "copies", "dim"))
         number = rows.column("key").to_numpy().view(np.uint64) & np.uint64(0xFFFFFFFF)
-        left, right = [], []
+        total, joined = np.zeros(len(node), np.int64), links.Joined(len(node))
         for d, plan in plans.items():
             own = np.flatnonzero(dim == d)
             if not len(own):
                 continue
-            place = np.full(len(dim), -1)
-            place[own] = np.arange(len(own))
+            codes = np.frombuffer(b"".join(rows.column("codes").take(pa.array(own)).to_pylist()), "<u8").reshape(len(own), -1)
+            t = (number[own] - np.uint64(1_000 * d)).astype(int)
+            before = [plan.key(codes, k) for k in range(int(t.max()))]
+            if whole and any((key == key[0]).all() for key in before):
+                continue  # all of these pairs met in an earlier table
             x = np.frombuffer(b"".join(rows.column("vec").take(pa.array(own)).to_pylist()), kind).reshape(len(own), d).astype(np.float64)
             x = x / np.abs(x).max(axis=1, keepdims=True)
             x /= np.linalg.norm(x, axis=1, keepdims=True)
-            keys = plan.keys(np.frombuffer(b"".join(rows.column("codes").take(pa.array(own)).to_pylist()), "<u8").reshape(len(own), -1))
-            t = (number[own] - np.uint64(1_000 * d)).astype(int)
             if whole:
-                a, b, side = rows.column("a")[0].as_py(), rows.column("b")[0].as_py(), rows.column("own").to_numpy()
-                if a == b:
-                    i, j = np.nonzero(np.triu(x @ x.T >= threshold, 1))
-                else:
-                    one, two = np.flatnonzero(side == a), np.flatnonzero(side == b)
-                    i, j = np.nonzero(x[one] @ x[two].T >= threshold)
-                    i, j = one[i], two[j]
-                candidates = [(i, j)]
+                side = rows.column("own").to_numpy()[own]
+                candidates = within(x, before) if rows.column("a")[0] == rows.column("b")[0] else across(x, side == side.min())
             else:
-                candidates = []
-                for i, j in links.pairs(rows, offsets):
-                    kept = (dim[i] == d) & (dim[j] == d)
-                    i, j = place[i[kept]], place[j[kept]]
-                    kept = np.einsum("ij,ij->i", x[i], x[j]) >= threshold
-                    candidates.append((i[kept], j[kept]))
+                place = np.full(len(dim), -1)
+                place[own] = np.arange(len(own))
+                candidates = one_by_one(x, place, links.pairs(rows, offsets))
             for i, j in candidates:
-                first = np.argmax(keys[i] == keys[j], axis=1) == t[i]  # pairs count in the first table they meet in
-                left.append(own[i[first]])
-                right.append(own[j[first]])
-        i, j = (np.concatenate(x) if x else np.zeros(0, int) for x in (left, right))
-        if len(i):
-            total = np.bincount(i, copies[j], minlength=len(node)) + np.bincount(j, copies[i], minlength=len(node))
-            has = np.flatnonzero(total)
-            u, v = links.forest(node, i, j)
+                for k, key in enumerate(before):  # pairs count in the first table they meet in
+                    first = (key[i] != key[j]) | (k >= t[i])
+                    if not first.all():
+                        i, j = i[first], j[first]
+                i, j = own[i], own[j]
+                total += np.bincount(i, copies[j], minlength=len(node)).astype(np.int64) + np.bincount(j, copies[i], minlength=len(node)).astype(np.int64)
+                joined.add(i, j)
+        has = np.flatnonzero(total)
+        if len(has):
+            u, v = joined.edges(node)
             ends = pa.array(v)
             ends = pa.concat_arrays([pa.nulls(len(has), ends.type), ends])
-            sums = np.concatenate([total[has].astype(np.int64), np.zeros(len(u), np.int64)])
+            sums = np.concatenate([total[has], np.zeros(len(u), np.int64)])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([node[has], u])), ends, pa.array(sums)], ["u", "v", "links"])
 
-    keyed = nodes.mapInArrow(tables, T.StructType([*nodes.schema.fields, T.StructField("key", T.LongType())]))
-    return links.in_blocks(keyed).mapInArrow(work, f"u {node_type}, v {node_type}, links long")
+    def one_by_one(x, place, pairs):
+        for i, j in pairs:
+            i, j = place[i], place[j]
+            there = (i >= 0) & (j >= 0)
+            i, j = i[there], j[there]
+            kept = together(x[i], x[j]) >= threshold
+            yield i[kept], j[kept]
+
+    def across(x, left):
+        one, two = np.flatnonzero(left), np.flatnonzero(~left)
+        for i, j in close(x[one], x[two], threshold):
+            yield one[i], two[j]
+
+    def within(x, before):
+        """Links inside one block, without the products of rows that share the key of the first table."""
+        if not before:
+            for i, j in close(x, x, threshold):
+                yield i[i < j], j[i < j]
+            return
+        order = np.argsort(before[0], kind="stable")
+        cuts = [0, *(np.flatnonzero(np.diff(before[0][order])) + 1).tolist(), len(order)]
+        start = 0
+        for k, end in enumerate(cuts[1:], 1):
+            if end - start >= PRODUCT_ROWS or end == len(order):  # small keys go together
+                own, rest = order[start:end], order[end:]
+                for i, j in close(x[own], x[rest], threshold):
+                    yield own[i], rest[j]
+                if cuts[k - 1] != start:  # several keys: among one another too
+                    for i, j in close(x[own], x[own], threshold):
+                        yield own[i[i < j]], own[j[i < j]]
+                start = end
+
+    ship_with(nodes)
+    block = max(SMALL_UNIT, min(links.BLOCK_ROWS, BLOCK_BYTES // (int(kind[-1]) * max(plans, default=1))))
+    keyed = nodes.select("node", "dim", "codes").mapInArrow(tables, f"node {node_type}, key long")
+    return links.in_blocks(keyed, block, nodes).mapInArrow(work, f"u {node_type}, v {node_type}, links long")
 
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
