@@ -7,7 +7,10 @@ window must begin inside the text) and length (it must end there) and verified o
 
 Built-in functions only. Positions are exploded, looked up and verified inside one generated-code stage, so the words
 of a document are never copied per position nor shuffled; what leaves the stage are occurrences. The windows' side is
-broadcast in groups of a bounded number of rows: larger benchmarks take more passes, not larger broadcasts.
+broadcast while it has a bounded number of rows. A larger benchmark takes as many passes over the corpus, not more: each
+position is first held against a broadcast table of at most FILTER_ROWS hash places of the shingles, and what is left
+meets the windows in a shuffled join, with the words around it. Shingles that are frequent in the corpus are dealt out
+over several keys there.
 """
 
 from __future__ import annotations
@@ -18,11 +21,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import cut, table
+from tracewright.llm.common import cut, free_name, table
 
 WINDOW_WORDS, SHINGLE_WORDS = 10, 2
 #: Rows of windows (some 200 bytes each at most) or of document ids that one broadcast may have.
 BROADCAST_ROWS = 100_000
+#: Hash places that stand for more shingles than that, and places of a shingle in the corpus that one key takes at least.
+FILTER_ROWS, KEY_ROWS = 1 << 20, 100_000
 #: What parts words in a text whose A-Z are not lower-cased yet.
 _APART = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -63,24 +68,48 @@ def occurrences(docs: DataFrame, windows: DataFrame) -> DataFrame:
         # the outer form, as the inner one would add a filter that splits every text a second time
         places = docs.select("id", "hash", "words", F.posexplode_outer("words").alias("at", "word")).withColumn("shingle", shingle_at(F.col("words"), F.col("at"), size))
         own = parts.where(F.col("size") == size)
-        wanted = own.select("shingle").distinct()
-        common = [places.select("shingle").join(F.broadcast(g), "shingle").groupBy("shingle").agg(F.count(F.lit(1)).alias("seen")) for g in _groups(wanted, shingles, F.col("shingle"))]
-        seen = reduce(DataFrame.unionByName, common)
+        if shingles <= BROADCAST_ROWS:
+            likely = places.select("shingle").join(F.broadcast(own.select("shingle").distinct()), "shingle")
+            seen = likely.groupBy("shingle").agg(F.count(F.lit(1)).alias("seen"))
+        else:
+            seen = _likely(places, own).groupBy("shingle").agg(F.count(F.lit(1)).alias("seen"))
         # a window with a shingle that no document has cannot occur
         rated = own.join(seen, "shingle", "left")
-        rarest = cut(rated.groupBy("window", "n").agg(F.min(F.coalesce("seen", F.lit(0))).alias("seen"), F.min_by(F.struct("shingle", "offset"), F.struct("seen", "offset")).alias("prefix")).where("seen > 0").select("window", "n", "prefix.shingle", "prefix.offset"))
-        for group in _groups(rarest, rows, F.col("window")):
-            hit = places.join(F.broadcast(group), "shingle").withColumn("start", F.col("at") - F.col("offset"))
+        rarest = cut(rated.groupBy("window", "n").agg(F.min(F.coalesce("seen", F.lit(0))).alias("seen"), F.min_by(F.struct("shingle", "offset"), F.struct("seen", "offset")).alias("prefix")).where("seen > 0").select("window", "n", "prefix.shingle", "prefix.offset", "seen"))
+        if rows <= BROADCAST_ROWS:
+            hit = places.join(F.broadcast(rarest.drop("seen")), "shingle").withColumn("start", F.col("at") - F.col("offset"))
             bounded = (F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.size("words"))
             exact = lower_az(F.array_join(F.slice("words", F.col("start") + 1, F.col("n")), " ")) == F.col("window")
             found.append(hit.where(F.when(bounded, exact).otherwise(False)).select("id", "hash", "start", "n", "window"))
+        else:
+            found.append(_met(places, rarest))
     return reduce(DataFrame.unionByName, found) if found else None
 
 
-def _groups(frame: DataFrame, rows: int, by: Column) -> list[DataFrame]:
-    """The frame in parts of about BROADCAST_ROWS rows at most."""
-    n = -(-rows // BROADCAST_ROWS)
-    return [frame] if n <= 1 else [frame.where(F.pmod(F.xxhash64(by), F.lit(n)) == k) for k in range(n)]
+def _place(shingle: Column) -> Column:
+    return F.pmod(F.xxhash64(shingle), F.lit(FILTER_ROWS)).cast("int")
+
+
+def _likely(places: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Positions whose shingle has the hash place of a wanted one: all of these, and others while places are many."""
+    held = wanted.select(_place(F.col("shingle")).alias("place")).distinct()
+    return places.withColumn("place", _place(F.col("shingle"))).join(F.broadcast(held), "place").drop("place")
+
+
+def _met(places: DataFrame, rarest: DataFrame) -> DataFrame:
+    """(id, hash, start, n, window) by a shuffled join of likely positions, which carry the words around them."""
+    reach = WINDOW_WORDS - 1
+    first = F.greatest(F.col("at") - reach, F.lit(0))
+    around = F.slice("words", first + 1, F.col("at") - first + WINDOW_WORDS)
+    likely = _likely(places, rarest).select("id", "hash", "at", "shingle", (F.col("at") - first).alias("ahead"), around.alias("around"))
+    # shingles are dealt out over as many keys as their places fill; those with more than one key are few
+    hot = rarest.groupBy("shingle").agg(F.max("seen").alias("seen")).where(F.col("seen") > KEY_ROWS).select("shingle", F.ceil(F.col("seen") / KEY_ROWS).cast("int").alias("keys"))
+    likely = likely.join(hot, "shingle", "left").withColumn("key", F.when(F.col("keys").isNull(), 0).otherwise(F.pmod(F.xxhash64("id", "hash", "at"), F.col("keys")).cast("int"))).drop("keys")
+    windows = rarest.withColumn("key", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("seen") / KEY_ROWS).cast("int"), F.lit(1)) - 1))).drop("seen")
+    hit = likely.join(windows, ["shingle", "key"])
+    bounded = (F.col("ahead") >= F.col("offset")) & (F.col("ahead") - F.col("offset") + F.col("n") <= F.size("around"))
+    exact = lower_az(F.array_join(F.slice("around", F.col("ahead") - F.col("offset") + 1, F.col("n")), " ")) == F.col("window")
+    return hit.where(F.when(bounded, exact).otherwise(False)).select("id", "hash", (F.col("at") - F.col("offset")).alias("start"), "n", "window")
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -111,20 +140,22 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The documents that hold no window of any item, with all columns.
+    """The documents that hold no window of any item, with all columns, whatever their names.
 
-    Only (id, hash) pairs of the others are joined; up to BROADCAST_ROWS of them go to the texts, beyond that both
-    sides are shuffled.
+    Null and empty texts hold none and stay; repeated rows stay or go alike; ids need not be unique or non-null. An
+    empty table gives an empty one; without items all rows stay. Only (id, hash) pairs of the others are joined; up to
+    BROADCAST_ROWS of them go to the texts, beyond that both sides are shuffled.
     """
-    text = F.col(text_col).cast("string")
+    text = docs[text_col].cast("string")
     whole = docs.select(docs[id_col].alias("id"), F.xxhash64(text).alias("hash"), words_of(docs[text_col]).alias("words"))
     hits = occurrences(whole, windows_of(items, item_col, item_text_col).select("window", "n").distinct())
     if hits is None:
         return docs
-    bad = cut(hits.select(F.col("id").alias("__id"), F.col("hash").alias("__hash")).distinct())
+    of_id, of_text = free_name(docs.columns, "bad_id"), free_name(docs.columns, "bad_text")
+    bad = cut(hits.select(F.col("id").alias(of_id), F.col("hash").alias(of_text)).distinct())
     if bad.count() <= BROADCAST_ROWS:
         bad = F.broadcast(bad)
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("__hash")), "left_anti")
+    return docs.join(bad, docs[id_col].eqNullSafe(F.col(of_id)) & (F.xxhash64(text) == F.col(of_text)), "left_anti")
 
 
 def op8_decontaminate(spark, sf_dir):
