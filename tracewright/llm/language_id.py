@@ -3,8 +3,8 @@
 Words are scored by hashed letter n-grams (orders 1 to 4, with word ends) whose frequencies in each language are learned
 from the labelled text. Script ranges narrow the candidates of a word first: a language is one only if it uses every
 script the word has letters of. Viterbi over the word scores, with a penalty for switching, labels spans; all texts
-of a slice take their steps together in numpy, and each distinct word is scored once. The language of a text is the one
-whose spans hold most of its letters, the score their share.
+of a slice take their steps together in numpy, long texts in stretches, and each distinct word is scored once. The
+language of a text is the one whose spans hold most of its letters, the score their share.
 
 Learning reads a sample of at most DOCS_EACH documents of a language (by hash of the id); count vectors of bounded size
 come back to the driver. Labelling is one Arrow pass without a shuffle.
@@ -21,14 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.llm.common import by_bytes, id_field, ids_and_texts, is_held_out, map_texts, remainder, table
+from tracewright.llm.common import by_bytes, id_field, ids_and_texts, is_held_out, map_texts, remainder, ship_with, table, utf8
 from tracewright.llm.words import Words
 
 #: Most documents of each language that are learned from, in how many parts, and buckets of each n-gram order.
 DOCS_EACH, PARTS, BUCKET_BITS = 3_000, 8, 14
 ORDERS = (1, 2, 3, 4)
-#: Log-probability that a change of language must gain; what a language without a word's script loses.
-SWITCH, FOREIGN = 8.0, 60.0
+#: Log-probability that a change of language must gain.
+SWITCH = 8.0
+#: Words of a stretch of a long text, and stretches that are looked at side by side.
+STRETCH, STRETCHES = 4096, 64
 UNDETERMINED = "und"
 # Starts of script ranges by code point, fixed values: Latin, Greek, Cyrillic, Armenian, Hebrew, Arabic, Indic,
 # Thai and Lao, Tibetan and Burmese, Georgian, Hangul, Ethiopic, Khmer and Mongolian, Latin, Greek, other signs, kana,
@@ -99,7 +101,10 @@ class Languages:
         return cls(names, np.ascontiguousarray(logs - logs.mean(axis=1, keepdims=True), np.float32) / np.float32(len(ORDERS) / 2), (used * (1 << np.arange(scripts.shape[1]))).sum(axis=1).astype(np.uint32))
 
     def word_scores(self, words: Words) -> np.ndarray:
-        """Scores of the distinct words by language; zeros for those without letters."""
+        """Scores of the distinct words by language; zeros for those without letters.
+
+        A language that lacks a script of the word is none, unless all do.
+        """
         data, offsets = words.lowered()
         out = np.zeros((len(words.distinct), len(self.names)), np.float32)
         if len(data):
@@ -108,37 +113,49 @@ class Languages:
                 out[:, k] = np.bincount(owner, self.weight[gram, k], minlength=len(out))
             has = script_bits(data, offsets)
             foreign = (has[:, None] & ~self.scripts[None, :]) != 0
-            out -= np.where(foreign & ~foreign.all(axis=1, keepdims=True), np.float32(FOREIGN), 0)
+            out[foreign & ~foreign.all(axis=1, keepdims=True)] = -np.inf
         return out
 
 
 def viterbi(scores: np.ndarray, code: np.ndarray, bounds: np.ndarray, switch: float = SWITCH) -> np.ndarray:
-    """The best language of each word occurrence: texts side by side, longest first, one word a step."""
-    n, size = np.diff(bounds), scores.shape[1]
+    """The best language of each word occurrence: texts side by side, one word a step, long ones in stretches."""
+    n = np.diff(bounds)
     label = np.zeros(len(code), np.int16)
+    usual = np.flatnonzero((n > 0) & (n <= STRETCH))
+    side_by_side(scores, code, bounds[:-1][usual], n[usual], switch, label)
+    for k in np.flatnonzero(n > STRETCH).tolist():
+        label[bounds[k] : bounds[k + 1]] = long_path(scores, code[bounds[k] : bounds[k + 1]], switch)
+    return label
+
+
+def side_by_side(scores, code, begin, n, switch, label, first=None, last=None) -> np.ndarray:
+    """Fills in the label of the words begin to begin + n of each text; first and last: languages that they must have.
+
+    Returns, by text, the value of the best path that ends in each language.
+    """
+    ended = np.zeros((len(n), scores.shape[1]))
+    if not len(n):
+        return ended
     order = np.argsort(-n, kind="stable")
-    n, begin = n[order], bounds[:-1][order]
-    if not len(n) or not n[0]:
-        return label
+    n, begin = n[order], begin[order]
     active = np.searchsorted(-n, -np.arange(1, n[0] + 1), "right")  # texts that have a word at each step
-    value = scores[code[begin[: active[0]]]].astype(np.float64)
+    value = scores[code[begin]].astype(np.float64)
+    if first is not None:
+        value = np.where(np.arange(scores.shape[1]) == first[order][:, None], value, -np.inf)
     stay: list[np.ndarray] = []  # which states were reached without a switch
     best: list[np.ndarray] = []  # the state that a switch came from
-    ends = np.zeros(len(n), np.int64)
     for t in range(1, n[0]):
         k = active[t]
-        if k < len(value):
-            ends[k : len(value)] = value[k:].argmax(axis=1)
-            value = value[:k]
+        ended[k : len(value)] = value[k:]
+        value = value[:k]
         top = value.argmax(axis=1)
         high = value[np.arange(k), top][:, None] - switch
         kept = value >= high
         stay.append(kept)
         best.append(top.astype(np.int16))
         value = np.where(kept, value, high) + scores[code[begin[:k] + t]]
-        if t % 512 == 0:
-            value -= value.max(axis=1, keepdims=True)
-    ends[: len(value)] = value.argmax(axis=1)
+    ended[: len(value)] = value
+    ends = ended.argmax(axis=1) if last is None else last[order]
     state = np.zeros(len(n), np.int64)
     for t in range(n[0] - 1, -1, -1):
         k = active[t]
@@ -148,7 +165,54 @@ def viterbi(scores: np.ndarray, code: np.ndarray, bounds: np.ndarray, switch: fl
         if t:
             own = state[:k]
             state[:k] = np.where(stay[t - 1][np.arange(k), own], own, best[t - 1])
-    return label
+    back = np.empty_like(ended)
+    back[order] = ended
+    return back
+
+
+def long_path(scores: np.ndarray, code: np.ndarray, switch: float) -> np.ndarray:
+    """The best languages of one text's words, in memory for STRETCHES stretches of STRETCH words and a byte a word.
+
+    A stretch is first run from every language that its first word may have; what it is worth from each language to each
+    tells the best ones at all ends of stretches. Then each is run again between these.
+    """
+    size = scores.shape[1]
+    begin = np.arange(0, len(code), STRETCH)
+    n = np.minimum(STRETCH, len(code) - begin)
+    worth = np.empty((len(begin), size, size))
+    blocks = [slice(a, a + max(1, STRETCHES // size)) for a in range(0, len(begin), max(1, STRETCHES // size))]
+    spare = np.zeros(len(code), np.int16)
+    for own in blocks:
+        every = np.tile(np.arange(size), len(n[own]))
+        worth[own] = side_by_side(scores, code, np.repeat(begin[own], size), np.repeat(n[own], size), switch, spare, first=every).reshape(-1, size, size)
+    value, came = worth[0].max(axis=0), [worth[0].argmax(axis=0)]  # by last language; the first one of the stretch
+    before = []
+    for k in range(1, len(begin)):
+        entry = np.maximum(value, value.max() - switch)
+        before.append(np.where(value >= value.max() - switch, np.arange(size), value.argmax()))
+        paths = entry[:, None] + worth[k]
+        came.append(paths.argmax(axis=0))
+        value = paths.max(axis=0)
+        value = value - value.max()
+    first, last = np.empty(len(begin), np.int64), np.empty(len(begin), np.int64)
+    state = int(value.argmax())
+    for k in range(len(begin) - 1, -1, -1):
+        last[k], first[k] = state, came[k][state]
+        state = int(before[k - 1][first[k]]) if k else 0
+    for own in blocks:
+        side_by_side(scores, code, begin[own], n[own], switch, spare, first=first[own], last=last[own])
+    return spare
+
+
+def letters_of(words: Words) -> np.ndarray:
+    """Letters of each distinct word, of any script."""
+    data, offsets = utf8(words.distinct.cast(pa.large_string()))
+    ascii_letter = ((data >= 65) & (data < 91)) | ((data >= 97) & (data < 123))
+    n = np.diff(np.concatenate([[0], np.cumsum(ascii_letter)])[offsets])
+    other = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(data >= 0x80)])[offsets]))
+    if len(other):
+        n[other] = [sum(map(str.isalpha, w)) for w in words.distinct.cast(pa.large_string()).take(pa.array(other)).to_pylist()]
+    return n
 
 
 def train(docs: DataFrame, docs_each: int = DOCS_EACH, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Languages | None:
@@ -181,7 +245,7 @@ def train(docs: DataFrame, docs_each: int = DOCS_EACH, id_col: str = "doc_id", t
                 scripts[k] += [(seen[k] * (has >> s & 1)).sum() for s in range(n_scripts)]
         yield pa.RecordBatch.from_arrays([pa.array([grams.tobytes()]), pa.array([scripts.tobytes()])], ["grams", "scripts"])
 
-    parts = chosen.select("text", "lang").repartition(PARTS).mapInArrow(count, "grams binary, scripts binary").collect()
+    parts = ship_with(chosen).select("text", "lang").repartition(PARTS).mapInArrow(count, "grams binary, scripts binary").collect()
     add = lambda k, shape: sum(np.frombuffer(r[k]).reshape(shape) for r in parts)
     return Languages.from_counts(names, add("grams", (len(names), size)), add("scripts", (len(names), n_scripts)))
 
@@ -198,24 +262,20 @@ def identify(docs: DataFrame, model: Languages | None, switch: float = SWITCH, i
     arrow_spans = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
-        texts = part.column("text").to_pylist()
+        texts = part.column("text")
         pred, score, spans = [UNDETERMINED] * len(texts), [0.0] * len(texts), [[]] * len(texts)
         if model is not None:
             words = Words.of(part.column("text"))
             label = viterbi(model.word_scores(words), words.code, words.bounds, switch)
-            # letters of each word occurrence, by language
-            data = words.data
-            letter = ((data >= 65) & (data < 91)) | ((data >= 97) & (data < 123)) | (data >= 0xC0)
-            ahead = np.concatenate([[0], np.cumsum(letter)])
-            points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-            n_letters = ahead[np.append(words.starts[1:], len(data))] - ahead[words.starts]
-            for i, text in enumerate(texts):
+            points = np.concatenate([[0], np.cumsum((words.data & 0xC0) != 0x80)])
+            n_letters = letters_of(words)[words.code]  # of each word occurrence
+            for i in range(len(texts)):
                 a, b = words.bounds[i], words.bounds[i + 1]
-                if a == b or not any(map(str.isalpha, text)):
-                    continue
                 held = np.bincount(label[a:b], n_letters[a:b], minlength=len(model.names))
+                if not held.sum():
+                    continue
                 best = int(held.argmax())
-                pred[i], score[i] = model.names[best], float(held[best] / held.sum()) if held.sum() else 0.0
+                pred[i], score[i] = model.names[best], float(held[best] / held.sum())
                 new = np.flatnonzero(np.diff(label[a:b], prepend=-1))
                 at = points[np.append(words.starts[a + new], words.offsets[i + 1])] - points[words.offsets[i]]
                 spans[i] = [{"lang": model.names[label[a + k]], "start": int(s), "end": int(e)} for k, s, e in zip(new, at[:-1], at[1:], strict=True)]
