@@ -1,20 +1,28 @@
 """Masked pseudo-likelihood scores from a bidirectional window network.
 
-Every word of a text is predicted from the two words on either side, and the log-probabilities are summed. The
-vocabulary is factored: P(word | both sides) = P(class | both sides) * P(word | class). Classes are the most frequent
-words one by one and bands of about equal mass for the rest, by count; the second factor comes from the count of the
-word itself over all documents. The network (class embeddings by position, one tanh layer, softmax over classes) is
-trained in numpy; its size is fixed, and words of one band are the same to it.
+Every word of a text is predicted from the two words on either side, and the log-probabilities are summed. The softmax
+has two levels: P(word | both sides) = P(cluster | both sides) * P(word | cluster, both sides) for the most frequent
+words, which have embeddings of their own, in clusters of equal size that are learned from the words beside them over
+all documents. The words beyond these are in bands of about equal mass by count: a band takes the place of a cluster
+and of an embedding, and P(word | band) follows from the count of the word itself over all documents. The network
+(word embeddings by position, one tanh layer, two softmaxes) is trained in numpy.
 
 Passes, all over every document: word counts by 64-bit hash, a table in the shared folder that grows with the
-vocabulary; coding, which turns each text into the classes of its words, a byte each (the most frequent words are known
-to every task, the others are joined with the table, each once for a slice of texts); training rounds, in which each
-partition descends from the same parameters on the windows of all its texts and the results are averaged by an
-aggregation over parameters; and scoring. Rounds take turns, so each word of each text is a target once.
+vocabulary; coding, which turns each text into the numbers of its words, two bytes each (the most frequent words are
+known to every task, the others are joined with the table, each once for a slice of texts); neighbour counts for the
+clusters; training rounds; and scoring.
+
+Nothing depends on how rows are partitioned. Training deals texts out to slices by a hash of id and words, about
+SLICE_WORDS words each; a slice is learned in the order of that hash, in steps of a fixed number of windows, and the
+parameters of all slices are averaged as whole numbers, whose sums have no order. Rounds take turns, so each word of
+each text is a target once. Scoring rounds hidden values and weights to fixed steps, so that the products are exact in
+any order and a text's score depends on the text alone.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,19 +32,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.llm.common import by_bytes, cut, id_field, ids_and_texts, table
+from tracewright.llm.common import by_bytes, cut, id_field, ids_and_texts, ship_with, table
 from tracewright.llm.words import Words
 
-WORD_BITS, CLASSES, OWN_CLASSES = 18, 64, 32
+#: Clusters, words of each, and bands for the words beyond; codes of words, bands and the pad between texts.
+CLUSTERS, MEMBERS, BANDS = 64, 128, 32
+MODELLED = CLUSTERS * MEMBERS
+CODES, PAD, RARE = MODELLED + BANDS, MODELLED + BANDS, 65_535  # RARE stands for a word that no task knows
 SIDE, EMBED, HIDDEN = 2, 16, 32
-#: Rounds (each trains on every ROUNDS-th word, together on all); windows of a step; Adam's rate.
-ROUNDS, STEP_WINDOWS, RATE = 2, 1024, 0.01
-#: Words that are scored at once.
-AT_ONCE = 1 << 16
-#: Most words that every task knows; distinct words that a task counts before it passes them on; words of a slice of coded texts.
-KNOWN, COUNTED, CODED = 1 << 19, 1 << 19, 1 << 19
-#: Stands in coded texts for a word that no task knows.
-RARE = 255
+SHIFTS = [k for k in range(-SIDE, SIDE + 1) if k]
+#: Rounds (each trains on every ROUNDS-th word, together on all); words of a slice; windows of a step; Adagrad's rate.
+ROUNDS, SLICE_WORDS, STEP_WINDOWS, RATE = 2, 1 << 21, 4096, 0.1
+#: The most frequent words whose places beside a word tell its cluster.
+BESIDE = 64
+#: Most words that every task knows; distinct words that a task counts before it passes them on; bytes of a slice of coded texts.
+KNOWN, COUNTED, CODED = 1 << 19, 1 << 19, 1 << 20
+#: Words scored at once; a logit is cut off beyond this.
+AT_ONCE, MOST = 8192, 60.0
+#: Lanes of the steps in which arrays are added up.
+LANES = (512, 16, 1)
+#: Whole numbers in 1 that hidden values, weights and averaged parameters are rounded to, and the largest weight.
+HIDDEN_STEPS, WEIGHT_STEPS, MEAN_STEPS, MOST_WEIGHT = 128, 64, 1 << 20, 15.0
 
 
 def word_hashes(words: Words) -> np.ndarray:
@@ -54,43 +70,20 @@ def word_hashes(words: Words) -> np.ndarray:
     return np.add.reduceat(each, offsets[:-1]).view(np.int64)
 
 
-def word_buckets(words: Words) -> np.ndarray:
-    """The bucket of each word occurrence, for a Vocabulary."""
-    return (word_hashes(words).view(np.uint64) >> np.uint64(64 - WORD_BITS)).astype(np.int64)[words.code]
-
-
-@dataclass
-class Vocabulary:
-    """The class of each bucket and its log-share of the class. Small, for texts outside Spark; words share buckets."""
-
-    cls: np.ndarray
-    log_share: np.ndarray
-
-    @classmethod
-    def from_counts(cls, counts: np.ndarray) -> Vocabulary:
-        mass = counts + 0.5
-        order = np.argsort(-mass, kind="stable")
-        number = np.empty(len(counts), np.int16)
-        number[order[:OWN_CLASSES]] = np.arange(OWN_CLASSES)
-        rest = mass[order[OWN_CLASSES:]]
-        bands = CLASSES - OWN_CLASSES
-        band = np.minimum(((np.cumsum(rest) - rest / 2) / rest.sum() * bands).astype(int), bands - 1)
-        number[order[OWN_CLASSES:]] = OWN_CLASSES + band
-        total = np.bincount(number, mass, minlength=CLASSES)
-        return cls(number, np.log(mass / total[number]).astype(np.float32))
+# --- what is known of words
 
 
 @dataclass
 class Known:
-    """What tasks know of the words: the most frequent ones, and the class and its mass for any count.
+    """What tasks know of the words: the most frequent ones, and the code and its mass for any count.
 
-    hashes (sorted), n and cls of the known words; steps are the counts (ascending) that words have in the corpus, band
-    is their class unless a word has one of its own; total is the mass of each class.
+    hashes (sorted), n and code of the known words; steps are the counts (ascending) that words have in the corpus, band
+    is their code unless a word has one of its own; total is the mass of each code.
     """
 
     hashes: np.ndarray
     n: np.ndarray
-    cls: np.ndarray
+    code: np.ndarray
     steps: np.ndarray
     band: np.ndarray
     total: np.ndarray
@@ -98,43 +91,43 @@ class Known:
     @classmethod
     def of(cls, hashes: np.ndarray, n: np.ndarray, steps: np.ndarray, words: np.ndarray) -> Known:
         """words: how many there are of each count."""
-        own = np.lexsort([hashes, -n])[:OWN_CLASSES]
+        own = np.lexsort([hashes, -n])[:MODELLED]
         rest = words - np.bincount(np.searchsorted(steps, n[own]), minlength=len(steps)).astype(np.int64)
         mass = (steps + 0.5) * rest
         before = mass[::-1].cumsum()[::-1] - mass / 2  # of more frequent words and half of these
-        bands = CLASSES - OWN_CLASSES
-        band = OWN_CLASSES + np.minimum(before / max(mass.sum(), 1) * bands, bands - 1).astype(int)
-        total = np.bincount(band, mass, minlength=CLASSES)
+        band = MODELLED + np.minimum(before / max(mass.sum(), 1) * BANDS, BANDS - 1).astype(int)
+        total = np.bincount(band, mass, minlength=CODES)
         total[: len(own)] = n[own] + 0.5
-        total[CLASSES - 1] += 0.5  # words that are not in the corpus
+        total[CODES - 1] += 0.5  # words that are not in the corpus
         order = np.argsort(hashes)
         at = band[np.searchsorted(steps, n)] if len(n) else np.zeros(0, int)
         at[own] = np.arange(len(own))
-        return cls(hashes[order], n[order], at[order].astype(np.uint8), steps, band, total)
+        return cls(hashes[order], n[order], at[order].astype(np.uint16), steps, band, total)
 
     def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Class (RARE for unknown words) and log-share of it (0 for them)."""
+        """Code (RARE for unknown words) and log-share of it (0 for them)."""
         if not len(self.hashes):
-            return np.full(len(hashes), RARE, np.uint8), np.zeros(len(hashes))
+            return np.full(len(hashes), RARE, np.uint16), np.zeros(len(hashes))
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         there = self.hashes[at] == hashes
-        cls = np.where(there, self.cls[at], np.uint8(RARE))
-        return cls, np.where(there, np.log((self.n[at] + 0.5) / self.total[self.cls[at]]), 0)
+        code = np.where(there, self.code[at], np.uint16(RARE))
+        return code, np.where(there, np.log((self.n[at] + 0.5) / self.total[self.code[at]]), 0)
 
     def by_count(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Class and log-share of words that are not known but occur n times (maybe 0) in the corpus."""
-        cls = np.full(len(n), CLASSES - 1, np.uint8)
+        """Code and log-share of words that are not known but occur n times (maybe 0) in the corpus."""
+        code = np.full(len(n), CODES - 1, np.uint16)
         seen = n > 0
-        cls[seen] = self.band[np.searchsorted(self.steps, n[seen])]
-        return cls, np.log((n + 0.5) / self.total[cls])
+        code[seen] = self.band[np.searchsorted(self.steps, n[seen])]
+        return code, np.log((n + 0.5) / self.total[code])
 
 
 @dataclass
 class CorpusVocabulary:
-    """Known words, and the count of every other word as a table (hash, n)."""
+    """Known words, the count of every other word as a table (hash, n), and the word occurrences in all."""
 
     known: Known
     others: DataFrame
+    occurrences: int
 
     @classmethod
     def from_counts(cls, counts: DataFrame) -> CorpusVocabulary:
@@ -146,105 +139,7 @@ class CorpusVocabulary:
         least = int(steps[most <= KNOWN][0]) if (most <= KNOWN).any() else 1 << 62
         known = counts.where(F.col("n") >= least).toArrow()
         hashes, n = (known.column(c).to_numpy() for c in ("hash", "n"))
-        return cls(Known.of(hashes, n, steps, words), counts.where(F.col("n") < least))
-
-
-def windows(cls: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Classes with SIDE pads (class CLASSES) between texts, and the place of each word among them."""
-    text = np.searchsorted(bounds, np.arange(len(cls)), "right") - 1
-    place = np.arange(len(cls)) + SIDE * (text + 1)
-    padded = np.full(len(cls) + SIDE * (len(bounds) + 1), CLASSES, np.int16)
-    padded[place] = cls
-    return padded, place
-
-
-SHIFTS = [k for k in range(-SIDE, SIDE + 1) if k]
-SHAPES = {"embed": (CLASSES + 1, EMBED), "inner": (len(SHIFTS) * EMBED, HIDDEN), "inner_bias": (HIDDEN,), "outer": (HIDDEN, CLASSES), "outer_bias": (CLASSES,)}
-SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
-
-
-def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
-    out, at = {}, 0
-    for name, shape in SHAPES.items():
-        n = int(np.prod(shape))
-        out[name] = flat[at : at + n].reshape(shape)
-        at += n
-    return out
-
-
-def initial(seed: int = 7) -> np.ndarray:
-    rng, flat = np.random.default_rng(seed), np.zeros(SIZE)
-    for name, part in unpack(flat).items():
-        if "bias" not in name:
-            part[:] = rng.normal(0, 1 / np.sqrt(part.shape[0] if name != "embed" else EMBED), part.shape)
-    return flat
-
-
-def class_log_probs(flat: np.ndarray, padded: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Log-probability of the class at each place, given the classes on both sides."""
-    p = {k: v.astype(np.float32) for k, v in unpack(flat).items()}
-    tables = [p["embed"] @ p["inner"][i * EMBED : (i + 1) * EMBED] for i in range(len(SHIFTS))]
-    out = np.zeros(len(place), np.float32)
-    for start in range(0, len(place), AT_ONCE):
-        at = place[start : start + AT_ONCE]
-        hidden = np.tanh(sum(t[padded[at + k]] for t, k in zip(tables, SHIFTS, strict=True)) + p["inner_bias"])
-        logits = hidden @ p["outer"] + p["outer_bias"]
-        logits -= logits.max(axis=1, keepdims=True)
-        out[start : start + AT_ONCE] = logits[np.arange(len(at)), padded[at]] - np.log(np.exp(logits).sum(axis=1))
-    return out
-
-
-def gradient(flat: np.ndarray, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Of the mean negative log-probability of the targets. context: classes by window and shift."""
-    p, grad = unpack(flat), np.zeros(SIZE, np.float32)
-    g = unpack(grad)
-    x = p["embed"][context].reshape(len(target), -1)
-    hidden = np.tanh(x @ p["inner"] + p["inner_bias"])
-    logits = hidden @ p["outer"] + p["outer_bias"]
-    logits = np.exp(logits - logits.max(axis=1, keepdims=True))
-    d = logits / logits.sum(axis=1, keepdims=True)
-    d[np.arange(len(target)), target] -= 1
-    d /= len(target)
-    g["outer"][:], g["outer_bias"][:] = hidden.T @ d, d.sum(axis=0)
-    d = d @ p["outer"].T * (1 - hidden**2)
-    g["inner"][:], g["inner_bias"][:] = x.T @ d, d.sum(axis=0)
-    d = (d @ p["inner"].T).reshape(-1, EMBED)
-    flat_context = context.ravel()
-    one_hot = np.zeros((len(flat_context), CLASSES + 1), np.float32)
-    one_hot[np.arange(len(flat_context)), flat_context] = 1
-    g["embed"][:] = one_hot.T @ d
-    return grad
-
-
-class Descent:
-    """Adam over windows as they come, a fixed number a step."""
-
-    def __init__(self, flat: np.ndarray):
-        self.flat, self.m, self.v, self.steps, self.seen = flat.astype(np.float32), np.zeros(SIZE, np.float32), np.zeros(SIZE, np.float32), 0, 0
-
-    def learn(self, context: np.ndarray, target: np.ndarray) -> None:
-        for start in range(0, len(target), STEP_WINDOWS):
-            own = slice(start, start + STEP_WINDOWS)
-            g = gradient(self.flat, context[own], target[own])
-            self.steps += 1
-            self.m, self.v = 0.9 * self.m + 0.1 * g, 0.99 * self.v + 0.01 * g * g
-            self.flat -= RATE * (self.m / (1 - 0.9**self.steps)) / (np.sqrt(self.v / (1 - 0.99**self.steps)) + 1e-8)
-        self.seen += len(target)
-
-
-@dataclass
-class WindowModel:
-    vocabulary: Vocabulary | CorpusVocabulary
-    flat: np.ndarray
-
-    def scores(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Words and summed conditional log-probability of each text, by a Vocabulary (score() takes the other kind)."""
-        words = Words.of(texts)
-        bucket = word_buckets(words)
-        padded, place = windows(self.vocabulary.cls[bucket], words.bounds)
-        each = class_log_probs(self.flat, padded, place) + self.vocabulary.log_share[bucket]
-        text = np.searchsorted(words.bounds, np.arange(len(each)), "right") - 1
-        return np.diff(words.bounds), np.bincount(text, each, minlength=len(texts))
+        return cls(Known.of(hashes, n, steps, words), counts.where(F.col("n") < least), int((steps * words).sum()))
 
 
 def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -254,6 +149,7 @@ def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 def corpus_counts(texts: DataFrame) -> DataFrame:
     """(hash, n): how often each word occurs in all texts."""
+    ship_with(texts)
 
     def count(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -272,12 +168,20 @@ def corpus_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
 
 
+def gathered(texts: DataFrame) -> CorpusVocabulary:
+    return CorpusVocabulary.from_counts(cut(corpus_counts(texts)))
+
+
+# --- texts as codes
+
+
 def coded(texts: DataFrame, vocabulary: CorpusVocabulary) -> DataFrame:
-    """(id, cls, share) from (id, text): the classes of a text's words, a byte each, and the sum of their log-shares."""
+    """(id, codes, share) from (id, text): a text's words as 16-bit codes, and the sum of their log-shares of the codes."""
+    ship_with(texts)
     known = texts.sparkSession.sparkContext.broadcast(vocabulary.known)
     of_id = T.StructField("id", texts.schema["id"].dataType)
-    cls_share = [T.StructField("cls", T.BinaryType()), T.StructField("share", T.DoubleType())]
-    names = ["slice", "id", "cls", "share", "rare", "words"]
+    codes_share = [T.StructField("codes", T.BinaryType()), T.StructField("share", T.DoubleType())]
+    names = ["slice", "id", "codes", "share", "rare", "words"]
 
     def binary(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
         ends = (bounds * values.itemsize).astype(np.int32)
@@ -290,8 +194,8 @@ def coded(texts: DataFrame, vocabulary: CorpusVocabulary) -> DataFrame:
             for part in by_bytes(batch):
                 words = Words.of(part.column("text"))
                 hashes = word_hashes(words)
-                cls, share = known.value.look_up(hashes)
-                unknown = cls == RARE
+                own, share = known.value.look_up(hashes)
+                unknown = own == RARE
                 rare, at = np.unique(hashes[unknown], return_inverse=True)
                 place = np.full(len(hashes), -1, np.int32)
                 place[unknown] = at
@@ -303,7 +207,7 @@ def coded(texts: DataFrame, vocabulary: CorpusVocabulary) -> DataFrame:
                 if len(rare):
                     lists[int(np.flatnonzero(np.diff(before))[0])] = rare.tobytes()
                 slices = pa.array(np.full(part.num_rows, number))
-                yield pa.RecordBatch.from_arrays([slices, part.column("id"), binary(cls[words.code], words.bounds), pa.array(total.astype(np.float64)), binary(places[places >= 0], before), pa.array(lists, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([slices, part.column("id"), binary(own[words.code], words.bounds), pa.array(total.astype(np.float64)), binary(places[places >= 0], before), pa.array(lists, pa.binary())], names)
                 number += 1
 
     def wanted(batches):
@@ -317,90 +221,382 @@ def coded(texts: DataFrame, vocabulary: CorpusVocabulary) -> DataFrame:
         n[counts.column("place").to_numpy()] = counts.column("n").to_numpy()
         of_word, share_of_word = known.value.by_count(n)
         out, total = [], rows.column("share").to_numpy().copy()
-        for k, (own, rare) in enumerate(zip(rows.column("cls").to_pylist(), rows.column("rare").to_pylist(), strict=True)):
-            cls, at = np.frombuffer(own, np.uint8).copy(), np.frombuffer(rare, np.int32)
-            cls[cls == RARE] = of_word[at]
+        for k, (codes, rare) in enumerate(zip(rows.column("codes").to_pylist(), rows.column("rare").to_pylist(), strict=True)):
+            own, at = np.frombuffer(codes, np.uint16).copy(), np.frombuffer(rare, np.int32)
+            own[own == RARE] = of_word[at]
             total[k] += share_of_word[at].sum()
-            out.append(cls.tobytes())
-        return pa.table([rows.column("id"), pa.array(out, pa.binary()), pa.array(total)], ["id", "cls", "share"])
+            out.append(own.tobytes())
+        return pa.table([rows.column("id"), pa.array(out, pa.binary()), pa.array(total)], ["id", "codes", "share"])
 
     types = [T.LongType(), of_id.dataType, T.BinaryType(), T.DoubleType(), T.BinaryType(), T.BinaryType()]
     slices = cut(texts.mapInArrow(code, T.StructType([T.StructField(n, t) for n, t in zip(names, types, strict=True)])))
-    ready, rest = slices.where("length(rare) = 0").select("id", "cls", "share"), slices.where("length(rare) > 0")
+    ready, rest = slices.where("length(rare) = 0").select("id", "codes", "share"), slices.where("length(rare) > 0")
     asked = rest.where("words is not null").select("slice", "words").mapInArrow(wanted, "slice long, place int, hash long")
     counts = asked.join(vocabulary.others, "hash").select("slice", "place", "n")
-    return cut(ready.union(rest.groupBy("slice").cogroup(counts.groupBy("slice")).applyInArrow(filled, T.StructType([of_id, *cls_share]))))
+    return ready.union(rest.groupBy("slice").cogroup(counts.groupBy("slice")).applyInArrow(filled, T.StructType([of_id, *codes_share])))
 
 
-def classes(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of coded texts, one after another, and the bounds of the texts."""
-    own = part.column("cls").to_pylist()
-    return np.frombuffer(b"".join(own), np.uint8), np.cumsum([0, *map(len, own)])
+def dealt(texts: DataFrame, occurrences: int) -> DataFrame:
+    """Coded texts (id, codes, share) with the slice that they are learned in, each slice whole and in order in one task.
 
+    Rows with the same id and words are in one slice, in any order, as they are the same.
+    """
+    slices = max(1, -(-occurrences // SLICE_WORDS))
+    marked = texts.withColumn("order", F.xxhash64(F.col("id").cast("string"), "codes")).withColumn("slice", F.pmod(F.col("order"), F.lit(slices)).cast("int"))
+    return cut(marked.repartitionById(slices, F.col("slice")).sortWithinPartitions("slice", "order", F.col("id").cast("string"), "codes"))
 
-def training_round(texts: DataFrame, flat: np.ndarray, shift: int, stride: int) -> np.ndarray:
-    """Parameters after each partition of coded texts has learned from the same start, averaged by the windows it had."""
 
-    def descend(batches):
-        own = Descent(flat)
+def words_of(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of coded texts, one after another, and the bounds of the texts."""
+    own = part.column("codes").to_pylist()
+    return np.frombuffer(b"".join(own), np.uint16), np.cumsum([0, *(len(x) // 2 for x in own)])
+
+
+def windows(codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes with SIDE pads (PAD) between texts, and the place of each word among them."""
+    place = np.arange(len(codes)) + SIDE * (np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)) + 1)
+    padded = np.full(len(codes) + SIDE * (len(bounds) + 1), PAD, np.uint16)
+    padded[place] = codes
+    return padded, place
+
+
+# --- whole numbers summed over tasks
+
+
+def total_of(frame: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], part: int = 1 << 16) -> np.ndarray | None:
+    """The sum of the arrays of whole numbers that work gives for each task, exact in any order; None without any.
+
+    Arrays travel in compressed parts, which are added up lane by lane in a tree, so no task reads a part of every task.
+    """
+    ship_with(frame)
+
+    def packed(batches):
+        for own in work(batches):
+            for k, start in enumerate(range(0, len(own), part)):
+                data = zlib.compress(own[start : start + part].astype(np.int64).tobytes(), 1)
+                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([k], pa.int32()), pa.array([data], pa.binary())], ["lane", "part", "data"])
+
+    def added(rows: pa.Table) -> pa.Table:
+        total = 0
+        for data in rows.column("data"):
+            total = total + np.frombuffer(zlib.decompress(data.as_py()), np.int64)
+        return pa.table([rows.column("lane").slice(0, 1), rows.column("part").slice(0, 1), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["lane", "part", "data"])
+
+    schema = "lane int, part int, data binary"
+    rows = frame.mapInArrow(packed, schema)
+    for lanes in LANES:
+        rows = rows.withColumn("lane", F.col("lane") % lanes).groupBy("lane", "part").applyInArrow(added, schema)
+    found = rows.collect()
+    if not found:
+        return None
+    return np.concatenate([np.frombuffer(zlib.decompress(r["data"]), np.int64) for r in sorted(found, key=lambda r: r["part"])])
+
+
+# --- clusters of words
+
+
+def beside(texts: DataFrame) -> np.ndarray:
+    """How often each of the BESIDE most frequent words stands before and after each modelled word."""
+
+    def count(batches):
+        total = np.zeros(2 * MODELLED * BESIDE, np.int64)
         for batch in batches:
-            for part in by_bytes(batch, CODED, "cls"):
-                padded, place = windows(*classes(part))
-                at = place[shift::stride]
-                own.learn(np.stack([padded[at + k] for k in SHIFTS], axis=1), padded[at])
-        if own.seen:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(SIZE)), pa.array(own.flat.astype(np.float64) * own.seen), pa.array(np.full(SIZE, own.seen))], ["slot", "value", "weight"])
-
-    parts = texts.select("cls").mapInArrow(descend, "slot long, value double, weight long")
-    means = parts.groupBy("slot").agg((F.sum("value") / F.sum("weight")).alias("mean")).toArrow()
-    out = flat.copy()
-    out[means.column("slot").to_numpy()] = means.column("mean").to_numpy()
+            for part in by_bytes(batch, CODED, "codes"):
+                padded, place = windows(*words_of(part))
+                own = padded[place].astype(np.int64)
+                for side, shift in enumerate((-1, 1)):
+                    next_to = padded[place + shift]
+                    kept = (own < MODELLED) & (next_to < BESIDE)
+                    slot, n = np.unique((own[kept] * 2 + side) * BESIDE + next_to[kept], return_counts=True)
+                    total[slot] += n
+        yield total
+
+    found = total_of(texts.select("codes"), count)
+    return (np.zeros(2 * MODELLED * BESIDE, np.int64) if found is None else found).reshape(MODELLED, 2 * BESIDE)
+
+
+def clusters_of(counts: np.ndarray, clusters: int = CLUSTERS) -> tuple[np.ndarray, np.ndarray]:
+    """Cluster of each word and its place there, by halving words along the main direction of their neighbour shares."""
+    x = counts + 0.01
+    x = np.sqrt(x / x.sum(axis=1, keepdims=True))
+    groups = [np.arange(len(x))]
+    while len(groups) < clusters:
+        halves = []
+        for g in groups:
+            y = x[g] - x[g].mean(axis=0)
+            axis = np.linalg.eigh(y.T @ y)[1][:, -1]
+            axis = axis * np.sign(axis[np.abs(axis).argmax()])
+            ordered = g[np.argsort(np.round(y @ axis, 9), kind="stable")]
+            halves += [np.sort(ordered[: len(g) // 2]), np.sort(ordered[len(g) // 2 :])]
+        groups = halves
+    cluster, member = np.empty(len(x), np.int64), np.empty(len(x), np.int64)
+    for k, g in enumerate(groups):
+        cluster[g], member[g] = k, np.arange(len(g))
+    return cluster, member
+
+
+# --- the network
+
+OUTER = CLUSTERS + BANDS
+SHAPES = {"embed": (CODES + 1, EMBED), "inner": (len(SHIFTS) * EMBED, HIDDEN), "inner_bias": (HIDDEN,), "outer": (OUTER, HIDDEN), "outer_bias": (OUTER,), "own": (CLUSTERS, MEMBERS, HIDDEN), "own_bias": (CLUSTERS, MEMBERS)}
+SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
+
+
+def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
+    out, at = {}, 0
+    for name, shape in SHAPES.items():
+        n = int(np.prod(shape))
+        out[name] = flat[at : at + n].reshape(shape)
+        at += n
     return out
 
 
-def fitted(texts: DataFrame, rounds: int) -> np.ndarray:
-    flat = initial()
+@dataclass
+class Network:
+    """Parameters, and where the words are: cluster and member by code (a band's cluster lies behind the clusters)."""
+
+    flat: np.ndarray
+    cluster: np.ndarray
+    member: np.ndarray
+
+    @classmethod
+    def initial(cls, cluster: np.ndarray, member: np.ndarray, mass: np.ndarray, seed: int = 7) -> Network:
+        """Random first layers; the biases say how often each code (mass) occurs, so it starts as the unigram model."""
+        rng, flat = np.random.default_rng(seed), np.zeros(SIZE, np.float32)
+        p = unpack(flat)
+        p["embed"][:] = rng.normal(0, 0.25, p["embed"].shape)
+        p["inner"][:] = rng.normal(0, 1.5 / np.sqrt(p["inner"].shape[0]), p["inner"].shape)
+        cluster = np.append(cluster, CLUSTERS + np.arange(BANDS))
+        mass = np.maximum(mass, 1e-9)
+        of_cluster = np.bincount(cluster, mass, minlength=OUTER)
+        p["outer_bias"][:] = np.maximum(np.log(of_cluster / of_cluster.sum()), -30)
+        p["own_bias"][cluster[:MODELLED], member] = np.maximum(np.log(mass[:MODELLED] / of_cluster[cluster[:MODELLED]]), -30)
+        return cls(flat, cluster, member)
+
+    def gradient(self, context: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, float]:
+        """Of the mean negative log-probability of the targets; and the sum. context: codes by window and shift."""
+        p, flat = unpack(self.flat), np.zeros(SIZE, self.flat.dtype)
+        g, n = unpack(flat), len(target)
+        at, target = np.arange(n), target.astype(np.int64)
+        x = p["embed"][context].reshape(n, -1)
+        hidden = np.tanh(x @ p["inner"] + p["inner_bias"])
+        # clusters and bands
+        cluster = self.cluster[target]
+        z = p["outer"] @ hidden.T
+        z += p["outer_bias"][:, None]
+        np.clip(z, -MOST, MOST, out=z)
+        loss = -z[cluster, at]
+        np.exp(z, out=z)
+        total = z.sum(axis=0)
+        loss += np.log(total)
+        z /= total * n
+        z[cluster, at] -= 1 / n
+        g["outer"][:], g["outer_bias"][:] = z @ hidden, z.sum(axis=1)
+        back = z.T @ p["outer"]
+        # words of their clusters
+        own = np.flatnonzero(target < MODELLED)
+        own = own[np.argsort(cluster[own].astype(np.uint8), kind="stable")]
+        its, member, there = cluster[own], self.member[target[own]], hidden[own]
+        cuts = np.searchsorted(its, np.arange(CLUSTERS + 1)).tolist()
+        used = [(k, slice(a, b)) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
+        z, at, more = np.empty((len(own), MEMBERS), flat.dtype), np.arange(len(own)), np.empty_like(there)
+        for k, part in used:
+            np.matmul(there[part], p["own"][k].T, out=z[part])
+        z += p["own_bias"][its]
+        np.clip(z, -MOST, MOST, out=z)
+        loss[own] -= z[at, member]
+        np.exp(z, out=z)
+        total = z.sum(axis=1)
+        loss[own] += np.log(total)
+        z /= (total * n)[:, None]
+        z[at, member] -= 1 / n
+        for k, part in used:
+            np.matmul(z[part].T, there[part], out=g["own"][k])
+            g["own_bias"][k] = z[part].sum(axis=0)
+            np.matmul(z[part], p["own"][k], out=more[part])
+        back[own] += more
+        # below
+        back *= 1 - hidden * hidden
+        g["inner"][:], g["inner_bias"][:] = x.T @ back, back.sum(axis=0)
+        back = (back @ p["inner"].T).reshape(-1, EMBED)
+        codes = context.ravel()
+        order = np.argsort(codes, kind="stable")
+        codes = codes[order]
+        first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+        g["embed"][codes[first]] = np.add.reduceat(back[order], first)
+        return flat, float(loss.sum())
+
+    def scorer(self) -> Scorer:
+        return Scorer(self)
+
+
+class Scorer:
+    """Log-probabilities from rounded parameters; products are sums of few whole numbers, exact in single precision."""
+
+    def __init__(self, network: Network):
+        p = {k: v.astype(np.float64) for k, v in unpack(network.flat).items()}
+        whole = lambda x, steps: np.rint(x * steps).astype(np.float32)
+        weight = lambda x: whole(np.clip(x, -MOST_WEIGHT, MOST_WEIGHT), WEIGHT_STEPS)
+        bias = lambda x: whole(np.clip(x, -MOST, MOST), WEIGHT_STEPS * HIDDEN_STEPS)
+        self.tables = [np.rint((p["embed"] @ p["inner"][i * EMBED : (i + 1) * EMBED]) * 4096).astype(np.float32) / 4096 for i in range(len(SHIFTS))]
+        self.inner_bias = p["inner_bias"].astype(np.float32)
+        self.outer, self.outer_bias = weight(p["outer"]), bias(p["outer_bias"])[:, None]
+        self.own, self.own_bias = weight(p["own"]), bias(p["own_bias"])[:, :, None]
+        self.cluster, self.member = network.cluster, network.member
+
+    @staticmethod
+    def _log_softmax(z: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Of one row for each column of logits in whole steps; columns are summed row by row, whatever their number."""
+        z /= np.float32(WEIGHT_STEPS * HIDDEN_STEPS)
+        np.clip(z, -MOST, MOST, out=z)
+        picked = z[row, np.arange(z.shape[1])]
+        np.exp(z, out=z)
+        total = z[0].copy()
+        for more in z[1:]:
+            total += more
+        return picked - np.log(total)
+
+    def log_probs(self, padded: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Log-probability of the code at each place, given the codes on both sides."""
+        out = np.zeros(len(place), np.float32)
+        for start in range(0, len(place), AT_ONCE):
+            at = place[start : start + AT_ONCE]
+            target = padded[at].astype(np.int64)
+            inner = self.tables[0][padded[at + SHIFTS[0]]]
+            for table_of, shift in zip(self.tables[1:], SHIFTS[1:], strict=True):
+                inner += table_of[padded[at + shift]]
+            inner += self.inner_bias
+            hidden = np.rint(np.tanh(inner) * np.float32(HIDDEN_STEPS))
+            cluster = self.cluster[target]
+            z = self.outer @ hidden.T
+            z += self.outer_bias
+            own = self._log_softmax(z, cluster)
+            words = np.flatnonzero(target < MODELLED)
+            words = words[np.argsort(cluster[words].astype(np.uint8), kind="stable")]
+            its = cluster[words]
+            cuts = np.searchsorted(its, np.arange(CLUSTERS + 1)).tolist()
+            z = np.empty((MEMBERS, len(words)), np.float32)
+            for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                if a < b:
+                    z[:, a:b] = self.own[k] @ hidden[words[a:b]].T
+                    z[:, a:b] += self.own_bias[k]
+            own[words] += self._log_softmax(z, self.member[target[words]])
+            out[start : start + AT_ONCE] = own
+        return out
+
+
+class Descent:
+    """Adagrad over the windows of a slice as they come, a fixed number a step."""
+
+    def __init__(self, start: Network):
+        self.network = Network(start.flat.copy(), start.cluster, start.member)
+        self.squares, self.seen = np.full(SIZE, 1e-8, np.float32), 0
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def learn(self, context: np.ndarray, target: np.ndarray) -> None:
+        self.held.append((context, target))
+        if sum(len(t) for _, t in self.held) >= STEP_WINDOWS:
+            self._steps(whole=True)
+
+    def _steps(self, whole: bool) -> None:
+        context, target = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        end = len(target) // STEP_WINDOWS * STEP_WINDOWS if whole else len(target)
+        for start in range(0, end, STEP_WINDOWS):
+            own = slice(start, min(start + STEP_WINDOWS, end))
+            g, _ = self.network.gradient(context[own], target[own])
+            self.squares += g * g
+            g /= np.sqrt(self.squares)
+            g *= RATE
+            self.network.flat -= g
+        self.held = [(context[end:], target[end:])] if end < len(target) else []
+        self.seen += end
+
+    def finished(self) -> np.ndarray:
+        """Parameters in whole steps times the windows that they come from, and the number of these."""
+        if self.held:
+            self._steps(whole=False)
+        return np.append(np.rint(self.network.flat.astype(np.float64) * MEAN_STEPS).astype(np.int64) * self.seen, self.seen)
+
+
+def training_round(texts: DataFrame, start: Network, shift: int, stride: int) -> Network:
+    """Parameters after each slice of dealt texts has been learned from the same start, averaged by its windows."""
+    held = texts.sparkSession.sparkContext.broadcast(start)
+
+    def descend(batches):
+        total, own, number = np.zeros(SIZE + 1, np.int64), None, None
+        for batch in batches:
+            for part in by_bytes(batch, CODED, "codes"):
+                of_row = part.column("slice").to_numpy()
+                cuts = [0, *(np.flatnonzero(of_row[1:] != of_row[:-1]) + 1).tolist(), len(of_row)]
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    if own is None or of_row[a] != number:
+                        total += own.finished() if own is not None else 0
+                        own, number = Descent(held.value), of_row[a]
+                    codes, bounds = words_of(part.slice(a, b - a))
+                    padded, place = windows(codes, bounds)
+                    at = place[(np.arange(len(codes)) - np.repeat(bounds[:-1], np.diff(bounds))) % stride == shift]
+                    if len(at):
+                        own.learn(np.stack([padded[at + k] for k in SHIFTS], axis=1), padded[at])
+        if own is not None:
+            yield total + own.finished()
+
+    total = total_of(texts.select("slice", "codes"), descend)
+    if total is None or not total[-1]:
+        return start
+    return Network((total[:-1] / total[-1] / MEAN_STEPS).astype(np.float32), start.cluster, start.member)
+
+
+def fitted(texts: DataFrame, vocabulary: CorpusVocabulary, rounds: int) -> Network:
+    """A network learned from dealt texts; after no round the unigram model."""
+    network = Network.initial(*clusters_of(beside(texts)), vocabulary.known.total)
     for k in range(rounds):
-        flat = training_round(texts, flat, shift=k, stride=rounds)
-    return flat
+        network = training_round(texts, network, shift=k, stride=rounds)
+    return network
 
 
-def gathered(texts: DataFrame) -> CorpusVocabulary:
-    return CorpusVocabulary.from_counts(cut(corpus_counts(texts)))
+@dataclass
+class WindowModel:
+    vocabulary: CorpusVocabulary
+    network: Network
 
 
-def train(docs: DataFrame, rounds: int = ROUNDS, text_col: str = "text") -> WindowModel:
+def train(docs: DataFrame, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> WindowModel:
     """Counts over all documents, then rounds of training, whose windows together are those of every word."""
-    texts = docs.select(F.lit(0).alias("id"), docs[text_col].cast("string").alias("text"))
+    texts = ids_and_texts(docs, id_col, text_col)
     vocabulary = gathered(texts)
-    return WindowModel(vocabulary, fitted(coded(texts, vocabulary), rounds))
+    return WindowModel(vocabulary, fitted(dealt(coded(texts, vocabulary), vocabulary.occurrences), vocabulary, rounds))
 
 
-def scored(texts: DataFrame, flat: np.ndarray, id_field: T.StructField) -> DataFrame:
+def scored(texts: DataFrame, network: Network, id_field: T.StructField) -> DataFrame:
+    held = texts.sparkSession.sparkContext.broadcast(network)
+
     def work(batches):
+        scorer = None
         for batch in batches:
-            for part in by_bytes(batch, CODED, "cls"):
-                cls, bounds = classes(part)
-                each = class_log_probs(flat, *windows(cls, bounds))
+            scorer = scorer or held.value.scorer()
+            for part in by_bytes(batch, CODED, "codes"):
+                codes, bounds = words_of(part)
+                each = scorer.log_probs(*windows(codes, bounds))
                 text = np.repeat(np.arange(part.num_rows), np.diff(bounds))
                 total = np.bincount(text, each, minlength=part.num_rows) + part.column("share").to_numpy()
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(bounds).astype(np.int64)), pa.array(total.astype(np.float64))], ["doc_id", "n_words", "pll"])
 
     schema = T.StructType([id_field, T.StructField("n_words", T.LongType()), T.StructField("pll", T.DoubleType())])
-    return texts.mapInArrow(work, schema).withColumn("pll_per_word", F.when(F.col("n_words") > 0, F.col("pll") / F.col("n_words")))
+    return texts.select("id", "codes", "share").mapInArrow(work, schema).withColumn("pll_per_word", F.when(F.col("n_words") > 0, F.col("pll") / F.col("n_words")))
 
 
 def score(docs: DataFrame, model: WindowModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_words, pll (the sum of log-probabilities) and pll_per_word.
 
-    A null, empty or blank text has no words: pll 0, pll_per_word null. Repeated rows repeat; an empty table gives an
-    empty one (and an untrained model); further columns are ignored.
+    A null, empty or blank text has no words: pll 0, pll_per_word null. Equal texts have equal scores. Repeated rows
+    repeat; an empty table gives an empty one (and an untrained model); further columns are ignored.
     """
-    return scored(coded(ids_and_texts(docs, id_col, text_col), model.vocabulary), model.flat, id_field(docs, id_col, "doc_id"))
+    return scored(coded(ids_and_texts(docs, id_col, text_col), model.vocabulary), model.network, id_field(docs, id_col, "doc_id"))
 
 
 def op3_lm_score(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     texts = ids_and_texts(docs, "doc_id", "text")
-    own = coded(texts, gathered(texts))
-    return scored(own, fitted(own, ROUNDS), id_field(docs, "doc_id", "doc_id"))
+    vocabulary = gathered(texts)
+    own = dealt(coded(texts, vocabulary), vocabulary.occurrences)
+    return scored(own, fitted(own, vocabulary, ROUNDS), id_field(docs, "doc_id", "doc_id"))
