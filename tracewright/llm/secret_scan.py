@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewright.llm import spans as sp
-from tracewright.llm.common import by_bytes, id_field, ids_and_texts, map_texts, table, utf8
+from tracewright.llm.common import by_bytes, id_field, ids_and_texts, map_texts, ship_with, table, utf8
 
 #: Strings that a finite part of a regex may stand for before its query is cut there.
 MOST_STRINGS = 64
@@ -214,11 +214,11 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
     return map_texts(ids_and_texts(docs, id_col, text_col), scan, schema)
 
 
-def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, placeholder: str = "[SECRET]", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, placeholder: str = "[SECRET]", text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """All rows and columns, with each secret in the text replaced (overlapping ones by one placeholder).
 
-    Of an assignment the value goes and the name stays. A null text stays null. The length column, where there is
-    one, follows the new text.
+    Of an assignment the value goes and the name stays. Null and empty texts stay as they are; repeated rows repeat; an
+    empty table gives an empty one. The length column, where one is named, follows the new text; all others stay.
     """
     schema, held = docs.schema, []
     position = docs.columns.index(text_col)
@@ -249,8 +249,8 @@ def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, placeholder
             for part in by_bytes(batch, column=text_col):
                 yield redact(part)
 
-    out = docs.mapInArrow(run, schema)
-    if length_col in out.columns:
+    out = ship_with(docs).mapInArrow(run, schema)
+    if length_col is not None:
         out = out.withColumn(length_col, F.length(text_col).cast(schema[length_col].dataType))
     return out
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.llm.common import by_bytes, id_field, ids_and_texts, is_held_out, map_texts, remainder, table
+from tracewright.llm.common import by_bytes, id_field, ids_and_texts, is_held_out, map_texts, remainder, ship_with, table
 from tracewright.llm.simhash_dedup import shingle_hashes
 from tracewright.llm.words import Words, first_bytes, letter_runs, low_bytes
 
@@ -133,6 +133,19 @@ def select(pos: np.ndarray, unl: np.ndarray, n_pos: int, n_unl: int, most: int =
     return np.sort(best[score[best] >= SIGMAS])
 
 
+def nnpu_risk(f: np.ndarray, is_pos: np.ndarray, prior: float) -> tuple[float, np.ndarray, bool]:
+    """The corrected risk for the outputs f of the rows, its gradient by output, and whether the unlabelled part is
+    below zero: the gradient is then that of climbing back, the negative of the part's own."""
+    s, negative = 1 / (1 + np.exp(-np.clip(f, -40, 40))), np.logaddexp(0, f)  # negative: the loss of calling a row that
+    n_pos, n_unl = is_pos.sum(), (~is_pos).sum()
+    rest = negative[~is_pos].mean() - prior * negative[is_pos].mean()
+    g = np.where(is_pos, -prior * s / n_pos, s / n_unl)
+    if rest < 0:
+        return prior * float((negative - f)[is_pos].mean()), -g, True
+    g[is_pos] += prior * (s[is_pos] - 1) / n_pos
+    return prior * float((negative - f)[is_pos].mean()) + float(rest), g, False
+
+
 def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], size: int, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias of the linear classifier with the least non-negative positive-unlabelled risk (Adam)."""
     rows = [*pos, *unl]
@@ -141,16 +154,7 @@ def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], size: int, prior: flo
     w, b = np.zeros(size), float(np.log(max(prior, 1e-3) / (1 - min(prior, 0.999))))
     m, v = np.zeros(size + 1), np.zeros(size + 1)
     for step in range(1, steps + 1):
-        f = b + np.bincount(owner, w[at], minlength=len(rows))
-        s = 1 / (1 + np.exp(-np.clip(f, -40, 40)))
-        loss = np.logaddexp(0, f)  # of calling a row negative
-        rest = loss[~is_pos].mean() - prior * loss[is_pos].mean()
-        g = np.where(is_pos, 0.0, s / len(unl))
-        g[is_pos] = -prior * s[is_pos] / len(pos)
-        if rest < 0:
-            g = -g  # the corrected risk went below zero: climb back
-        else:
-            g[is_pos] += prior * (s[is_pos] - 1) / len(pos)
+        _, g, _ = nnpu_risk(b + np.bincount(owner, w[at], minlength=len(rows)), is_pos, prior)
         grad = np.append(np.bincount(at, g[owner], minlength=size) + decay * w, g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -183,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     pos = texts.join(F.broadcast(chosen), "id").select("text", F.lit(1).alias("y"))
     unl = texts.where(_share(F.col("id"), unlabelled, texts.count())).select("text", F.lit(0).alias("y"))
     # of copies and near copies one: else whatever words they share looks toxic
-    sample = pos.unionByName(unl).mapInArrow(_sketch, "text string, y int, key long").groupBy("y", "key").agg(F.min("text").alias("text")).select("text", "y").repartition(PARTS).persist()
+    sample = ship_with(pos.unionByName(unl)).mapInArrow(_sketch, "text string, y int, key long").groupBy("y", "key").agg(F.min("text").alias("text")).select("text", "y").repartition(PARTS).persist()
     try:
         counts = {0: (0, 0), 1: (0, 0)}
         for r in sample.mapInArrow(_frequencies, "y int, n long, seen binary").collect():
@@ -251,7 +255,11 @@ def score(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col:
 
 
 def drop_toxic(docs: DataFrame, model: Classifier, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The documents that score below the threshold, with all columns, in one pass; nothing is joined."""
+    """The documents that score below the threshold, with all columns, in one pass; nothing is joined.
+
+    Null and empty texts have the score of the bias; repeated rows stay or go alike; an empty table gives an empty one;
+    columns other than the text may have any name.
+    """
     used = np.flatnonzero(model.weights)
     small, bias, size = model.weights[used].copy(), model.bias, len(model.weights)
     held: list[Classifier] = []
@@ -265,7 +273,7 @@ def drop_toxic(docs: DataFrame, model: Classifier, threshold: float = THRESHOLD,
             for part in by_bytes(batch, column=text_col):
                 yield part.filter(pa.array(held[0].scores(part.column(text_col)) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return ship_with(docs).mapInArrow(run, docs.schema)
 
 
 def op6_toxicity(spark, sf_dir):
