@@ -368,7 +368,7 @@ def test_lm_tells_context_from_shuffled_words(docs):
     """Words exchanged within their cluster, which a model of clusters alone could not tell apart."""
     model, rng = lm_score.train(docs), np.random.default_rng(0)
     texts = lm_score.ids_and_texts(docs, "doc_id", "text")
-    frame = lm_score.coded(texts, model.vocabulary).toArrow()
+    frame = lm_score.coded(texts, model.vocabulary, 2).toArrow()
     codes, bounds = lm_score.words_of(frame.combine_chunks().to_batches()[0])
     changed = codes.copy()
     for k in range(lm_score.CLUSTERS):

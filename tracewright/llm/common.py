@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +83,20 @@ def free_name(taken: list[str], name: str) -> str:
     return name
 
 
+@lru_cache(maxsize=1)
+def one_blas_thread() -> None:
+    """Matrix products of this process in one thread, where numpy's own library is OpenBLAS.
+
+    Each core of an executor has a task of its own; further threads would only wait for one another and burn its time.
+    """
+    for path in (Path(np.__file__).parents[1] / "numpy.libs").glob("*openblas*"):
+        library = ctypes.CDLL(str(path))
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+                break
+
+
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string array one after another, and the n + 1 offsets of its texts; null counts as empty."""
     texts = pc.fill_null(texts, "").cast(pa.large_string())

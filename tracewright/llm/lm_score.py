@@ -9,8 +9,8 @@ and of an embedding, and P(word | band) follows from the count of the word itsel
 
 Passes, all over every document: word counts by 64-bit hash, a table in the shared folder that grows with the
 vocabulary; coding, which turns each text into the numbers of its words, two bytes each (the most frequent words are
-known to every task, the others are joined with the table, each once for a slice of texts); neighbour counts for the
-clusters; training rounds; and scoring.
+known to every task, the others are joined with the table, each once for a slice of texts), and deals texts out to
+slices; neighbour counts for the clusters; training rounds; and scoring.
 
 Nothing depends on how rows are partitioned. Training deals texts out to slices by a hash of id and words, about
 SLICE_WORDS words each; a slice is learned in the order of that hash, in steps of a fixed number of windows, and the
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.llm.common import by_bytes, cut, id_field, ids_and_texts, ship_with, table
+from tracewright.llm.common import by_bytes, cut, discard, id_field, ids_and_texts, one_blas_thread, ship_with, table
 from tracewright.llm.words import Words
 
 #: Clusters, words of each, and bands for the words beyond; codes of words, bands and the pad between texts.
@@ -129,6 +129,10 @@ class CorpusVocabulary:
     others: DataFrame
     occurrences: int
 
+    @property
+    def slices(self) -> int:
+        return max(1, -(-self.occurrences // SLICE_WORDS))
+
     @classmethod
     def from_counts(cls, counts: DataFrame) -> CorpusVocabulary:
         found = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).toArrow()
@@ -175,75 +179,92 @@ def gathered(texts: DataFrame) -> CorpusVocabulary:
 # --- texts as codes
 
 
-def coded(texts: DataFrame, vocabulary: CorpusVocabulary) -> DataFrame:
-    """(id, codes, share) from (id, text): a text's words as 16-bit codes, and the sum of their log-shares of the codes."""
+def coded(texts: DataFrame, vocabulary: CorpusVocabulary, slices: int) -> DataFrame:
+    """(id, slice, codes, share) from (id, text): a text's words as 16-bit codes, and the sum of their log-shares of these.
+
+    Texts are dealt out to slices by a hash of id and words; each slice is whole and in the order of that hash in one task.
+    Rows with the same id and words are in one slice, in any order, as they are the same. Counts of the words that no task
+    knows come along with the texts of their slice, so texts are shuffled once, as codes.
+    """
     ship_with(texts)
     known = texts.sparkSession.sparkContext.broadcast(vocabulary.known)
     of_id = T.StructField("id", texts.schema["id"].dataType)
-    codes_share = [T.StructField("codes", T.BinaryType()), T.StructField("share", T.DoubleType())]
-    names = ["slice", "id", "codes", "share", "rare", "words"]
+    schema = T.StructType([of_id, T.StructField("codes", T.BinaryType()), T.StructField("share", T.DoubleType()), T.StructField("rare", T.BinaryType())])
 
     def binary(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
         ends = (bounds * values.itemsize).astype(np.int32)
         return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
 
     def code(batches):
-        """Rows of a slice: rare has places in the slice's words that are not known; its first row with any has those words."""
-        number = TaskContext.get().partitionId() << 32
+        """rare has the hashes of the words that are not known, in the order of the text."""
         for batch in batches:
             for part in by_bytes(batch):
                 words = Words.of(part.column("text"))
                 hashes = word_hashes(words)
                 own, share = known.value.look_up(hashes)
-                unknown = own == RARE
-                rare, at = np.unique(hashes[unknown], return_inverse=True)
-                place = np.full(len(hashes), -1, np.int32)
-                place[unknown] = at
+                unknown = (own == RARE)[words.code]
                 text = np.repeat(np.arange(part.num_rows), np.diff(words.bounds))
                 total = np.bincount(text, share[words.code], minlength=part.num_rows)
-                places = place[words.code]
-                before = np.concatenate([[0], np.cumsum(places >= 0)])[words.bounds]
-                lists = [None] * part.num_rows
-                if len(rare):
-                    lists[int(np.flatnonzero(np.diff(before))[0])] = rare.tobytes()
-                slices = pa.array(np.full(part.num_rows, number))
-                yield pa.RecordBatch.from_arrays([slices, part.column("id"), binary(own[words.code], words.bounds), pa.array(total.astype(np.float64)), binary(places[places >= 0], before), pa.array(lists, pa.binary())], names)
-                number += 1
+                before = np.concatenate([[0], np.cumsum(unknown)])[words.bounds]
+                yield pa.RecordBatch.from_arrays([part.column("id"), binary(own[words.code], words.bounds), pa.array(total.astype(np.float64)), binary(hashes[words.code[unknown]], before)], schema.fieldNames())
 
     def wanted(batches):
+        """(slice, hash), each once for a slice and a batch."""
         for batch in batches:
-            for number, words in zip(batch.column("slice").to_pylist(), batch.column("words").to_pylist(), strict=True):
-                hashes = np.frombuffer(words, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), number)), pa.array(np.arange(len(hashes), dtype=np.int32)), pa.array(hashes)], ["slice", "place", "hash"])
-
-    def filled(rows: pa.Table, counts: pa.Table) -> pa.Table:
-        n = np.zeros(max(len(x) for x in rows.column("words").to_pylist() if x) // 8, np.int64)
-        n[counts.column("place").to_numpy()] = counts.column("n").to_numpy()
-        of_word, share_of_word = known.value.by_count(n)
-        out, total = [], rows.column("share").to_numpy().copy()
-        for k, (codes, rare) in enumerate(zip(rows.column("codes").to_pylist(), rows.column("rare").to_pylist(), strict=True)):
-            own, at = np.frombuffer(codes, np.uint16).copy(), np.frombuffer(rare, np.int32)
-            own[own == RARE] = of_word[at]
-            total[k] += share_of_word[at].sum()
-            out.append(own.tobytes())
-        return pa.table([rows.column("id"), pa.array(out, pa.binary()), pa.array(total)], ["id", "codes", "share"])
-
-    types = [T.LongType(), of_id.dataType, T.BinaryType(), T.DoubleType(), T.BinaryType(), T.BinaryType()]
-    slices = cut(texts.mapInArrow(code, T.StructType([T.StructField(n, t) for n, t in zip(names, types, strict=True)])))
-    ready, rest = slices.where("length(rare) = 0").select("id", "codes", "share"), slices.where("length(rare) > 0")
-    asked = rest.where("words is not null").select("slice", "words").mapInArrow(wanted, "slice long, place int, hash long")
-    counts = asked.join(vocabulary.others, "hash").select("slice", "place", "n")
-    return ready.union(rest.groupBy("slice").cogroup(counts.groupBy("slice")).applyInArrow(filled, T.StructType([of_id, *codes_share])))
-
-
-def dealt(texts: DataFrame, occurrences: int) -> DataFrame:
-    """Coded texts (id, codes, share) with the slice that they are learned in, each slice whole and in order in one task.
-
-    Rows with the same id and words are in one slice, in any order, as they are the same.
-    """
-    slices = max(1, -(-occurrences // SLICE_WORDS))
-    marked = texts.withColumn("order", F.xxhash64(F.col("id").cast("string"), "codes")).withColumn("slice", F.pmod(F.col("order"), F.lit(slices)).cast("int"))
-    return cut(marked.repartitionById(slices, F.col("slice")).sortWithinPartitions("slice", "order", F.col("id").cast("string"), "codes"))
+            lists = batch.column("rare").to_pylist()
+            hashes = np.frombuffer(b"".join(lists), np.int64)
+            of_slice = np.repeat(batch.column("slice").to_numpy(), [len(x) // 8 for x in lists])
+            order = np.lexsort([hashes, of_slice])
+            hashes, of_slice = hashes[order], of_slice[order]
+            new = np.append(True, (hashes[1:] != hashes[:-1]) | (of_slice[1:] != of_slice[:-1]))[: len(hashes)]
+            yield pa.RecordBatch.from_arrays([pa.array(of_slice[new]), pa.array(hashes[new])], ["slice", "hash"])
+
+    def filled(batches):
+        """Texts of a slice come after the counts of its rare words."""
+        number, parts, table_of = None, [], None
+        for batch in batches:
+            for part in by_bytes(batch, CODED, "codes"):
+                of_row, is_text = part.column("slice").to_numpy(), part.column("order").is_valid().to_numpy(zero_copy_only=False)
+                cuts = np.flatnonzero((of_row[1:] != of_row[:-1]) | (is_text[1:] != is_text[:-1])) + 1
+                for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), part.num_rows], strict=True):
+                    if a == b:
+                        continue
+                    if of_row[a] != number:
+                        number, parts, table_of = of_row[a], [], None
+                    own = part.slice(a, b - a)
+                    if not is_text[a]:
+                        parts.append((own.column("hash").to_numpy(), own.column("n").to_numpy()))
+                        continue
+                    if table_of is None:
+                        hashes = np.concatenate([h for h, _ in parts]) if parts else np.zeros(0, np.int64)
+                        order = np.argsort(hashes)
+                        table_of = hashes[order], np.concatenate([n for _, n in parts])[order] if parts else np.zeros(0, np.int64)
+                    codes, bounds = words_of(own)
+                    lists = own.column("rare").to_pylist()
+                    share = own.column("share").to_numpy().copy()
+                    asked = np.frombuffer(b"".join(lists), np.int64)
+                    if len(asked):
+                        at = np.minimum(np.searchsorted(table_of[0], asked), max(len(table_of[0]) - 1, 0))
+                        n = np.where(table_of[0][at] == asked, table_of[1][at], 0) if len(table_of[0]) else np.zeros(len(asked), np.int64)
+                        of_word, share_of_word = known.value.by_count(n)
+                        codes = codes.copy()
+                        codes[codes == RARE] = of_word
+                        share += np.bincount(np.repeat(np.arange(len(lists)), [len(x) // 8 for x in lists]), share_of_word, minlength=len(lists))
+                    yield pa.RecordBatch.from_arrays([own.column("id"), own.column("slice"), binary(codes, bounds), pa.array(share)], ["id", "slice", "codes", "share"])
+
+    own = texts.mapInArrow(code, schema).withColumn("order", F.xxhash64(F.col("id").cast("string"), "codes", "rare"))
+    own = cut(own.withColumn("slice", F.pmod("order", F.lit(slices)).cast("int")))
+    counts = own.where("length(rare) > 0").select("slice", "rare").mapInArrow(wanted, "slice int, hash long").distinct().join(vocabulary.others, "hash")
+    both = own.unionByName(counts.select("slice", "hash", "n"), allowMissingColumns=True)
+    both = both.repartitionById(slices, F.col("slice")).sortWithinPartitions("slice", "order", F.col("id").cast("string"), "codes", "rare")
+    out = cut(both.mapInArrow(filled, T.StructType([of_id, T.StructField("slice", T.IntegerType()), *schema.fields[1:3]])))
+    discard(own)
+    return out
+
+
+def slices_of(texts: DataFrame) -> int:
+    """Slices of texts whose words are not counted yet, by their bytes."""
+    return max(1, -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (SLICE_WORDS * 6)))
 
 
 def words_of(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -519,10 +540,11 @@ class Descent:
 
 
 def training_round(texts: DataFrame, start: Network, shift: int, stride: int) -> Network:
-    """Parameters after each slice of dealt texts has been learned from the same start, averaged by its windows."""
+    """Parameters after each slice of coded texts has been learned from the same start, averaged by its windows."""
     held = texts.sparkSession.sparkContext.broadcast(start)
 
     def descend(batches):
+        one_blas_thread()
         total, own, number = np.zeros(SIZE + 1, np.int64), None, None
         for batch in batches:
             for part in by_bytes(batch, CODED, "codes"):
@@ -547,7 +569,7 @@ def training_round(texts: DataFrame, start: Network, shift: int, stride: int) ->
 
 
 def fitted(texts: DataFrame, vocabulary: CorpusVocabulary, rounds: int) -> Network:
-    """A network learned from dealt texts; after no round the unigram model."""
+    """A network learned from coded texts; after no round the unigram model."""
     network = Network.initial(*clusters_of(beside(texts)), vocabulary.known.total)
     for k in range(rounds):
         network = training_round(texts, network, shift=k, stride=rounds)
@@ -564,13 +586,14 @@ def train(docs: DataFrame, rounds: int = ROUNDS, id_col: str = "doc_id", text_co
     """Counts over all documents, then rounds of training, whose windows together are those of every word."""
     texts = ids_and_texts(docs, id_col, text_col)
     vocabulary = gathered(texts)
-    return WindowModel(vocabulary, fitted(dealt(coded(texts, vocabulary), vocabulary.occurrences), vocabulary, rounds))
+    return WindowModel(vocabulary, fitted(coded(texts, vocabulary, vocabulary.slices), vocabulary, rounds))
 
 
 def scored(texts: DataFrame, network: Network, id_field: T.StructField) -> DataFrame:
     held = texts.sparkSession.sparkContext.broadcast(network)
 
     def work(batches):
+        one_blas_thread()
         scorer = None
         for batch in batches:
             scorer = scorer or held.value.scorer()
@@ -591,12 +614,13 @@ def score(docs: DataFrame, model: WindowModel, id_col: str = "doc_id", text_col:
     A null, empty or blank text has no words: pll 0, pll_per_word null. Equal texts have equal scores. Repeated rows
     repeat; an empty table gives an empty one (and an untrained model); further columns are ignored.
     """
-    return scored(coded(ids_and_texts(docs, id_col, text_col), model.vocabulary), model.network, id_field(docs, id_col, "doc_id"))
+    texts = ids_and_texts(docs, id_col, text_col)
+    return scored(coded(texts, model.vocabulary, slices_of(texts)), model.network, id_field(docs, id_col, "doc_id"))
 
 
 def op3_lm_score(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     texts = ids_and_texts(docs, "doc_id", "text")
     vocabulary = gathered(texts)
-    own = dealt(coded(texts, vocabulary), vocabulary.occurrences)
+    own = coded(texts, vocabulary, vocabulary.slices)
     return scored(own, fitted(own, vocabulary, ROUNDS), id_field(docs, "doc_id", "doc_id"))

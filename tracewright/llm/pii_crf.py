@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewright.llm import spans as sp
-from tracewright.llm.common import id_field, ids_and_texts, map_texts, table, utf8
+from tracewright.llm.common import id_field, ids_and_texts, map_texts, one_blas_thread, table, utf8
 
 KINDS = ["email", "ip", "card", "phone"]
 #: Tokens of an entity; characters around an anchor; documents of the sample, zones trained on, steps of training.
@@ -540,6 +540,7 @@ def find_personal_data(docs: DataFrame, field: Field, id_col: str = "doc_id", te
     anchor[48:58] = anchor[64] = True
 
     def scan(part: pa.RecordBatch) -> pa.RecordBatch:
+        one_blas_thread()
         data, offsets = utf8(part.column("text"))
         texts = part.column("text").to_pylist()
         wanted = np.zeros(len(texts), bool)

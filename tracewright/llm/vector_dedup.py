@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewright.llm import links
-from tracewright.llm.common import cut, ship_with, table
+from tracewright.llm.common import cut, one_blas_thread, ship_with, table
 
 THRESHOLD = 0.95
 #: Most vectors that rotations are learned from, ITQ steps, and the chance that a link at the threshold is missed.
@@ -209,6 +209,7 @@ def linked(nodes: DataFrame, plans: dict[int, Plan], kind: str, threshold: float
                     yield pa.RecordBatch.from_arrays([node, pa.array(key)], ["node", "key"])
 
     def work(batches):
+        one_blas_thread()
         for rows, offsets in links.units(batches):
             n = np.diff(offsets)
             small = np.repeat(n <= SMALL_UNIT, n)
