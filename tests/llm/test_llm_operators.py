@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import string
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -249,10 +250,15 @@ def test_nnpu_gradient_descends():
     assert b + w[0] > 0 > b + w[1]
 
 
-def test_viterbi_is_the_best_path():
+@pytest.mark.parametrize(("stretch", "room"), [(10_000, 1 << 20), (4, 1 << 20), (7, 200)])
+def test_viterbi_is_the_best_path(monkeypatch, stretch, room):
+    monkeypatch.setattr(language_id, "STRETCH", stretch)
+    monkeypatch.setattr(language_id, "STRETCH_BYTES", room)
     rng = np.random.default_rng(1)
-    scores, bounds = rng.normal(size=(50, 4)).astype(np.float32) * 3, np.array([0, 5, 5, 30, 31, 37])
-    code = rng.integers(0, 50, 37)
+    scores, bounds = rng.normal(size=(50, 4)).astype(np.float32) * 3, np.array([0, 5, 5, 30, 31, 37, 98, 160])
+    scores[rng.random(scores.shape) < 0.1] = -np.inf  # languages that lack a word's script
+    scores[np.isinf(scores).all(axis=1)] = 0
+    code = rng.integers(0, 50, 160)
     label = language_id.viterbi(scores, code, bounds, 2.0)
     for a, b in zip(bounds, bounds[1:], strict=False):
         value = np.zeros(4)
@@ -262,6 +268,46 @@ def test_viterbi_is_the_best_path():
         assert sum(scores[w, s] for w, s in zip(code[a:b], path, strict=True)) - 2.0 * (np.diff(path) != 0).sum() == pytest.approx(value.max() if b > a else 0, abs=1e-3)
 
 
+def test_language_of_a_very_long_text(docs, spark):
+    learned = language_id.train(docs)
+    half = 500_000
+    code = np.concatenate([np.zeros(half, int), np.ones(half, int)])
+    scores = np.zeros((2, len(learned.names)), np.float32)
+    scores[0, 0], scores[1, 1] = 1, 1
+    start = time.time()
+    label = language_id.viterbi(scores, code, np.array([0, 2 * half]))
+    assert (label[:half] == 0).all() and (label[half:] == 1).all() and time.time() - start < 20
+
+
+def test_word_scores_are_sums_of_their_ngrams():
+    """Against n-grams cut by hand from the words."""
+    rng = np.random.default_rng(0)
+    size = len(language_id.ORDERS) << language_id.BUCKET_BITS
+    model = language_id.Languages.from_counts(["a", "b"], rng.random((2, size)), np.ones((2, len(language_id._SCRIPTS))))
+    words = language_id.Words.of(pa.array(["Ab été x9y 12 STRASSE", "слово"]))
+    got = model.word_scores(words)
+    for k, word in enumerate(words.distinct.to_pylist()):
+        signs = bytes(c if 97 <= c < 123 or c >= 128 else 32 for c in word.decode().lower().encode())
+        text, want = b" " + signs + b" ", np.zeros(2)
+        for order in language_id.ORDERS:
+            for i in range(len(text) - order + 1):
+                part = text[i : i + order]
+                if part.strip() and (order > 1 or part != b" "):
+                    mixed = ((sum(c * 257 ** (order - 1 - j) for j, c in enumerate(part)) + order) * 0x9E3779B97F4A7C15) % 2**64
+                    want += model.weight[(mixed >> (64 - language_id.BUCKET_BITS)) + ((order - 1) << language_id.BUCKET_BITS)]
+        assert got[k] == pytest.approx(want, abs=1e-4)
+
+
+def test_scripts_rule_languages_out_and_signs_are_no_letters(spark):
+    rows = [(1, "слово за словом идет речь", "ru"), (3, "word after word the talk goes on", "en"), (4, "слово и дело", "ru"), (5, "a talk of words", "en")] * 8
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    found = {r["doc_id"]: r for r in language_id.identify(spark.createDataFrame([(1, "словоwordwordwordwordword"), (2, "wordwordwordword" * 500 + "ж"), (3, "— … 😀 “”"), (4, "the — — — — talk")], "doc_id int, text string"), model).collect()}
+    assert found[3]["lang_pred"] == "und" and found[4]["lang_pred"] == "en" and found[4]["score"] == 1.0
+    scores = model.word_scores(language_id.Words.of(pa.array(["ж" + "word" * 1000])))
+    assert np.isinf(scores).all() or not np.isinf(scores).any() or np.isfinite(scores[0, model.names.index("ru")])
+    assert language_id.letters_of(language_id.Words.of(pa.array(["a1— été 😀 слово"]))).tolist() == [1, 3, 0, 5]
+
+
 def test_language_on_held_out_documents(docs, odd, empty, spark):
     learned = language_id.train(docs)
     truth = {r["doc_id"]: r["lang"] for r in docs.collect()}

@@ -29,8 +29,8 @@ DOCS_EACH, PARTS, BUCKET_BITS = 3_000, 8, 14
 ORDERS = (1, 2, 3, 4)
 #: Log-probability that a change of language must gain.
 SWITCH = 8.0
-#: Words of a stretch of a long text, and stretches that are looked at side by side.
-STRETCH, STRETCHES = 4096, 64
+#: Words of a stretch of a long text, and bytes for the stretches that are looked at side by side.
+STRETCH, STRETCH_BYTES = 1024, 32 << 20
 UNDETERMINED = "und"
 # Starts of script ranges by code point, fixed values: Latin, Greek, Cyrillic, Armenian, Hebrew, Arabic, Indic,
 # Thai and Lao, Tibetan and Burmese, Georgian, Hangul, Ethiopic, Khmer and Mongolian, Latin, Greek, other signs, kana,
@@ -123,8 +123,9 @@ def viterbi(scores: np.ndarray, code: np.ndarray, bounds: np.ndarray, switch: fl
     label = np.zeros(len(code), np.int16)
     usual = np.flatnonzero((n > 0) & (n <= STRETCH))
     side_by_side(scores, code, bounds[:-1][usual], n[usual], switch, label)
-    for k in np.flatnonzero(n > STRETCH).tolist():
-        label[bounds[k] : bounds[k + 1]] = long_path(scores, code[bounds[k] : bounds[k + 1]], switch)
+    long = np.flatnonzero(n > STRETCH)
+    if len(long):
+        in_stretches(scores, code, bounds[:-1][long], n[long], switch, label)
     return label
 
 
@@ -170,38 +171,41 @@ def side_by_side(scores, code, begin, n, switch, label, first=None, last=None) -
     return back
 
 
-def long_path(scores: np.ndarray, code: np.ndarray, switch: float) -> np.ndarray:
-    """The best languages of one text's words, in memory for STRETCHES stretches of STRETCH words and a byte a word.
+def in_stretches(scores, code, begin, n, switch, label) -> None:
+    """As side_by_side, for long texts, cut into stretches of STRETCH words, of which STRETCH_BYTES hold as many as fit.
 
     A stretch is first run from every language that its first word may have; what it is worth from each language to each
     tells the best ones at all ends of stretches. Then each is run again between these.
     """
-    size = scores.shape[1]
-    begin = np.arange(0, len(code), STRETCH)
-    n = np.minimum(STRETCH, len(code) - begin)
+    size, each = scores.shape[1], -(-n // STRETCH)
+    text = np.repeat(np.arange(len(n)), each)
+    place = (np.arange(len(text)) - np.repeat(np.cumsum(each) - each, each)) * STRETCH
+    begin, n = begin[text] + place, np.minimum(STRETCH, n[text] - place)
+    most = max(1, STRETCH_BYTES // (STRETCH * size * (size + 2)))
+    blocks = [slice(a, a + most) for a in range(0, len(begin), most)]
     worth = np.empty((len(begin), size, size))
-    blocks = [slice(a, a + max(1, STRETCHES // size)) for a in range(0, len(begin), max(1, STRETCHES // size))]
-    spare = np.zeros(len(code), np.int16)
     for own in blocks:
         every = np.tile(np.arange(size), len(n[own]))
-        worth[own] = side_by_side(scores, code, np.repeat(begin[own], size), np.repeat(n[own], size), switch, spare, first=every).reshape(-1, size, size)
-    value, came = worth[0].max(axis=0), [worth[0].argmax(axis=0)]  # by last language; the first one of the stretch
-    before = []
-    for k in range(1, len(begin)):
-        entry = np.maximum(value, value.max() - switch)
-        before.append(np.where(value >= value.max() - switch, np.arange(size), value.argmax()))
-        paths = entry[:, None] + worth[k]
-        came.append(paths.argmax(axis=0))
-        value = paths.max(axis=0)
-        value = value - value.max()
+        worth[own] = side_by_side(scores, code, np.repeat(begin[own], size), np.repeat(n[own], size), switch, label, first=every).reshape(-1, size, size)
+    came, before = np.empty((len(begin), size), np.int64), np.empty((len(begin), size), np.int64)
     first, last = np.empty(len(begin), np.int64), np.empty(len(begin), np.int64)
-    state = int(value.argmax())
+    for k in range(len(begin)):  # value: of the best path to each last language; came: the first one of the stretch
+        if place[k] == 0:
+            came[k], value = worth[k].argmax(axis=0), worth[k].max(axis=0)
+            continue
+        high = value.max() - switch
+        before[k] = np.where(value >= high, np.arange(size), value.argmax())
+        paths = np.maximum(value, high)[:, None] + worth[k]
+        came[k], value = paths.argmax(axis=0), paths.max(axis=0)
+        value = value - value.max()
+        if k + 1 == len(begin) or place[k + 1] == 0:
+            last[k] = value.argmax()
     for k in range(len(begin) - 1, -1, -1):
-        last[k], first[k] = state, came[k][state]
-        state = int(before[k - 1][first[k]]) if k else 0
+        if k + 1 < len(begin) and place[k + 1]:
+            last[k] = before[k + 1][first[k + 1]]
+        first[k] = came[k][last[k]]
     for own in blocks:
-        side_by_side(scores, code, begin[own], n[own], switch, spare, first=first[own], last=last[own])
-    return spare
+        side_by_side(scores, code, begin[own], n[own], switch, label, first=first[own], last=last[own])
 
 
 def letters_of(words: Words) -> np.ndarray:
