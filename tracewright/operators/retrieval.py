@@ -1,4 +1,4 @@
-"""Hybrid retrieval: lexical scores over postings, exact cosine, equal-weight fusion, pool and final top-k."""
+"""Hybrid retrieval from scores: cosine of a row, equal-weight fusion, pool and final top-k."""
 
 from __future__ import annotations
 
@@ -6,77 +6,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tracewright.functions.text import tokenize
-
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Query terms that may be broadcast (some 30 bytes each).
-BROADCAST_TERMS = 200_000
 POOL, FINAL, PATH_BOOST, EMBED_CHARS = 20, 5, 0.25, 6000
 
 
-def idf_table(docs: DataFrame, text: Column, corpus: DataFrame) -> DataFrame:
-    """(term, idf): negative values are replaced by EPSILON times the mean over the vocabulary (of raw values).
-
-    Each document counts a term once before the shuffle, so tasks send partial sums by term.
-    """
-    df = docs.select(F.explode(F.array_distinct(tokenize(text))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.crossJoin(corpus.select("n_docs")).select("term", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.crossJoin(mean).select("term", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-
-
-def bm25(docs: DataFrame, queries: DataFrame, doc: str, text: Column) -> DataFrame:
-    """(query, doc, score) of documents that share a term with a query. queries: query, term, one row per occurrence.
-
-    Tokens are cut down to query terms before any shuffle, where there are few enough terms to broadcast; lengths and
-    frequencies cover all documents. One-row sides (corpus size, means) are cross joined, which broadcasts a row.
-    """
-    corpus = docs.select(F.size(tokenize(text)).alias("n")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n").alias("mean_terms"))
-    terms = queries.groupBy("query", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    asked = terms.select("term").distinct()
-    if asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-        asked = F.broadcast(asked)
-    tokens = docs.select(F.col(doc).alias("doc"), tokenize(text).alias("tokens"))
-    each = tokens.select("doc", F.size("tokens").alias("n_terms"), F.explode("tokens").alias("term")).join(asked, "term")
-    post = each.groupBy("doc", "n_terms", "term").agg(F.count(F.lit(1)).alias("tf"))
-    hit = terms.join(idf_table(docs, text, corpus), "term").join(post, "term").crossJoin(corpus.select("mean_terms"))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_terms") / F.col("mean_terms")))
-    return hit.groupBy("query", "doc").agg(F.sum(part).alias("score"))
-
-
 def norm(vector: Column) -> Column:
     return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """In double precision; 0 where a side is zero."""
+    """Of two vectors in a row, in double precision; 0 where a side is zero."""
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     size = norm(a) * norm(b)
     return F.when(size > 0, dot / size).otherwise(0.0)
 
 
-def cosine_scores(vectors: DataFrame, queries: DataFrame, doc: str, vector: str) -> DataFrame:
-    """(query, doc, score) of every vector against a stated set of query vectors (query, q).
+def min_max(scores: DataFrame, *columns: str) -> DataFrame:
+    """Each column per query to 0..1; 0 where all scores of a query are about equal.
 
-    The query set is dealt out by its size: small sets are broadcast by the optimizer, larger ones are not hinted.
+    Least and greatest values are aggregated, a row for each query, and joined back: no query is gathered in one task.
     """
-    return vectors.crossJoin(queries).select("query", F.col(doc).alias("doc"), cosine(F.col(vector), F.col("q")).alias("score"))
-
-
-def min_max(score: Column, query: str = "query") -> Column:
-    """Per query to 0..1; 0 where all scores are about equal."""
-    w = Window.partitionBy(query)
-    low, high = F.min(score).over(w), F.max(score).over(w)
-    return F.when(high - low < 1e-9, 0.0).otherwise((score - low) / (high - low))
+    limits = scores.groupBy("query").agg(*(f(c).alias(f"__{n}_{c}") for c in columns for n, f in (("low", F.min), ("high", F.max))))
+    low, high = (lambda c: F.col(f"__low_{c}")), (lambda c: F.col(f"__high_{c}"))
+    out = scores.join(limits, "query")
+    unit = {c: F.when(high(c) - low(c) < 1e-9, 0.0).otherwise((F.col(c) - low(c)) / (high(c) - low(c))) for c in columns}
+    return out.withColumns(unit).select(*scores.columns)
 
 
 def fuse(lexical: DataFrame, dense: DataFrame, boosted: DataFrame | None = None) -> DataFrame:
     """(query, doc, score): both scores normalised per query and added; a score that a document lacks is 0 before that.
 
-    Documents of either side are candidates. boosted (query, doc) get the path boost.
+    Documents of either side are candidates. boosted (query, doc) get the path boost. For scores that exist already; over
+    whole tables search.hybrid_top does the same without a row for each query and document.
     """
     both = dense.withColumnRenamed("score", "dense").join(lexical.withColumnRenamed("score", "lexical"), ["query", "doc"], "full").fillna(0.0, ["dense", "lexical"])
-    out = both.select("query", "doc", (min_max(F.col("dense")) + min_max(F.col("lexical"))).alias("score"))
+    out = min_max(both, "dense", "lexical").select("query", "doc", (F.col("dense") + F.col("lexical")).alias("score"))
     if boosted is None:
         return out
     marked = out.join(boosted.select("query", "doc").distinct().withColumn("__boost", F.lit(PATH_BOOST)), ["query", "doc"], "left")

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracewright.functions.text import tokenize
-from tracewright.operators import retrieval
+from tracewright.operators import retrieval, search
 from tracewright.plans import query
 from tracewright.plans.trace_queries import table
 
@@ -28,59 +27,44 @@ def _top(source, k, places):
     return f"SELECT query, doc, score, rank::INT AS rank FROM (SELECT query, doc, round(score, {places}) AS score, row_number() OVER (PARTITION BY query ORDER BY round(score, {places}) DESC, doc) AS rank FROM {source}) WHERE rank <= {k}"
 
 
-def item_terms(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.explode(tokenize(F.col("text"))).alias("term"))
-
-
-def lexical(spark, sf_dir):
-    return retrieval.bm25(table(spark, sf_dir, "documents"), item_terms(spark, sf_dir), "doc_id", F.col("text"))
-
-
-def dense(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    asked = e.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
-    return retrieval.cosine_scores(e, asked, "vec_id", "embedding")
-
-
 @query("bm25_topk", f"WITH {_BM25} {_top('score', 20, 6)}")
 def bm25_topk(spark, sf_dir):
-    return retrieval.top_k(lexical(spark, sf_dir), 20)
+    return search.lexical_top(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text", 20)
 
 
 @query("cosine_topk", f"WITH {_COS} {_top('cosines', 20, 5)}")
 def cosine_topk(spark, sf_dir):
-    return retrieval.top_k(dense(spark, sf_dir), 20, places=5)
+    e = table(spark, sf_dir, "embeddings")
+    return search.dense_top(e, "vec_id", "embedding", e.where(F.col("vec_id") % 50 == 0), "vec_id", "embedding", 20, places=5)
 
 
 _FUSED = f"""
 {_BM25}, {_COS},
-lex AS (SELECT * FROM score WHERE query % 50 = 0),
-both2 AS (SELECT c.query, c.doc, c.score AS d, coalesce(l.score, 0) AS l FROM cosines c LEFT JOIN lex l USING (query, doc) WHERE c.query IN (SELECT item_id FROM benchmark)),
+asked AS (SELECT item_id AS query FROM benchmark WHERE item_id % 50 = 0 AND item_id IN (SELECT vec_id FROM embeddings)),
+every AS (SELECT doc_id AS doc FROM documents UNION SELECT vec_id FROM embeddings),
+both2 AS (SELECT query, doc, coalesce(c.score, 0) AS d, coalesce(l.score, 0) AS l FROM (SELECT * FROM asked, every) x LEFT JOIN cosines c USING (query, doc) LEFT JOIN score l USING (query, doc)),
 mm AS (SELECT *, min(d) OVER w AS d0, max(d) OVER w AS d1, min(l) OVER w AS l0, max(l) OVER w AS l1 FROM both2 WINDOW w AS (PARTITION BY query)),
 fused AS (SELECT query, doc, CASE WHEN d1 - d0 < 1e-9 THEN 0 ELSE (d - d0) / (d1 - d0) END + CASE WHEN l1 - l0 < 1e-9 THEN 0 ELSE (l - l0) / (l1 - l0) END + CASE WHEN doc % 10 = 0 THEN 0.25 ELSE 0 END AS score FROM mm)
 """
 
 
-def fused(spark, sf_dir):
-    """Document and vector ids are aligned; documents with ids divisible by ten stand for those whose path was named.
-
-    Like the SQL, which starts from cosines, only documents with a vector and items that are asked as vectors take part.
-    """
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"))
-    vectors = dense(spark, sf_dir).join(items, "query", "left_semi")
-    boosted = vectors.where(F.col("doc") % 10 == 0).select("query", "doc")
-    ids = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc"))
-    asked = ids.where(F.col("doc") % 50 == 0).withColumnRenamed("doc", "query")
-    return vectors, boosted, lexical(spark, sf_dir).join(ids, "doc", "left_semi").join(asked, "query", "left_semi")
+def fused(spark, sf_dir, k, places):
+    """Items with a vector ask. Documents with ids divisible by ten stand for those whose path was named; documents
+    without a vector take part with their text."""
+    e = table(spark, sf_dir, "embeddings")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text", F.when(F.col("doc_id") % 10 == 0, "named.py").alias("path"))
+    vectors = e.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("vector"))
+    asked = vectors.where(F.col("doc") % 50 == 0).withColumnRenamed("doc", "query")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text", F.array(F.lit("named.py")).alias("paths"))
+    return search.hybrid_top(docs, vectors, items.join(asked, "query"), k, places)
 
 
 @query("hybrid_topk", f"WITH {_FUSED} {_top('fused', 20, 5)}")
 def hybrid_topk(spark, sf_dir):
-    vectors, boosted, lex = fused(spark, sf_dir)
-    return retrieval.top_k(retrieval.fuse(lex, vectors, boosted), 20, places=5)
+    return fused(spark, sf_dir, 20, 5).select("query", "doc", "score", "rank")
 
 
 @query("retrieve_rerank", f"WITH {_FUSED}, pool AS ({_top('fused', 20, 6)}), again AS (SELECT query, doc, d AS score FROM both2 JOIN pool USING (query, doc)) {_top('again', 5, 6)}")
 def retrieve_rerank(spark, sf_dir):
-    vectors, boosted, lex = fused(spark, sf_dir)
-    return retrieval.retrieve(lex, vectors, vectors, boosted)
+    pool = fused(spark, sf_dir, retrieval.POOL, 6)
+    return retrieval.top_k(pool.select("query", "doc", F.col("dense").alias("score")), retrieval.FINAL)
