@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -31,18 +33,40 @@ def strict_inner(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
     return marked.where(checked).drop("__there")
 
 
-def asof_backward(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, values: Sequence[str], tie: str | None = None) -> DataFrame:
+def _place(at: Column, kind: T.DataType, width: float) -> Column:
+    """The stretch of `width` that a number, date (days) or time (seconds) lies in."""
+    if isinstance(kind, T.DateType):
+        at = F.unix_date(at)
+    elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        at = F.unix_micros(at.cast("timestamp")) / 1e6
+    return F.floor(at / F.lit(width))
+
+
+def asof_backward(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, values: Sequence[str], tie: str | None = None, width: float | None = None) -> DataFrame:
     """Each left row with the values of the latest right row of its key at or before its time (null where none).
 
     Both sides are one stream ordered by time, so a key is shuffled and sorted once and there is no range join. Right
-    rows at the same time rank by `tie`, the largest last.
+    rows at the same time rank by `tie`, the largest last. A null key or time finds nothing. A value whose name is a left
+    column's gets the ending `_right`.
+
+    width: a key with many rows is cut into stretches of this length (numbers, days or seconds), each sorted on its own;
+    what holds at the beginning of a stretch comes from one row for each stretch before it.
     """
     rank = F.col(tie).cast("string") if tie else F.lit(None).cast("string")
-    events = right.select(F.col(key), F.col(right_time).alias("__time"), F.lit(0).alias("__side"), rank.alias("__tie"), F.struct(*values).alias("__value"), F.lit(None).cast(left.schema.simpleString()).alias("__row"))
-    asks = left.select(F.col(key), F.col(left_time).alias("__time"), F.lit(1).alias("__side"), F.lit(None).cast("string").alias("__tie"), F.lit(None).cast(events.schema["__value"].dataType).alias("__value"), F.struct(*left.columns).alias("__row"))
-    upto = Window.partitionBy(key).orderBy("__time", "__side", "__tie").rowsBetween(Window.unboundedPreceding, 0)
-    found = events.unionByName(asks).withColumn("__last", F.last("__value", ignorenulls=True).over(upto)).where("__side = 1")
-    return found.select("__row.*", *(F.col("__last")[v].alias(v) for v in values))
+    kind = left.schema[left_time].dataType
+    place = lambda c: _place(F.col(c), kind, width) if width else F.lit(0).cast("long")
+    events = right.where(F.col(key).isNotNull() & F.col(right_time).isNotNull()).select(F.col(key).alias("__key"), place(right_time).alias("__place"), F.col(right_time).alias("__time"), F.lit(0).alias("__side"), rank.alias("__tie"), F.struct(*values).alias("__value"), F.lit(None).cast(left.schema.simpleString()).alias("__row"))
+    asks = left.select(F.col(key).alias("__key"), place(left_time).alias("__place"), F.col(left_time).alias("__time"), F.lit(1).alias("__side"), F.lit(None).cast("string").alias("__tie"), F.lit(None).cast(events.schema["__value"].dataType).alias("__value"), F.struct(*left.columns).alias("__row"))
+    stream = events.unionByName(asks)
+    upto = Window.partitionBy("__key", "__place").orderBy("__time", "__side", "__tie").rowsBetween(Window.unboundedPreceding, 0)
+    found = stream.withColumn("__last", F.last("__value", ignorenulls=True).over(upto)).where("__side = 1")
+    if width:
+        of_event = F.when(F.col("__side") == 0, F.struct("__time", "__tie"))
+        ends = stream.where("__key is not null and __place is not null").groupBy("__key", "__place").agg(F.max_by("__value", of_event).alias("__end"))
+        before = Window.partitionBy("__key").orderBy("__place").rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.withColumn("__before", F.last("__end", ignorenulls=True).over(before)).drop("__end")
+        found = found.join(carried, ["__key", "__place"], "left").withColumn("__last", F.coalesce("__last", "__before"))
+    return found.select("__row.*", *(F.col("__last")[v].alias(v if v not in left.columns else f"{v}_right") for v in values))
 
 
 def band_join(left: DataFrame, right: DataFrame, on: str, left_at: str, right_at: str, window: int) -> DataFrame:
@@ -57,20 +81,31 @@ def band_join(left: DataFrame, right: DataFrame, on: str, left_at: str, right_at
     return a.join(b, [on, "__bucket"]).where(F.col(right_at).between(F.col(left_at), F.col(left_at) + window)).drop("__bucket")
 
 
-def overlap_join(left: DataFrame, right: DataFrame, on: str, left_span: tuple[str, str], right_span: tuple[str, str], bucket: int) -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, on: str, left_span: tuple[str, str], right_span: tuple[str, str], bucket: int, factor: int = 16, levels: int = 8) -> DataFrame:
     """Pairs of one key whose closed intervals overlap; empty intervals (start > end) overlap nothing.
 
-    Each interval is in every bucket it touches; a pair counts in the bucket where its common part begins.
+    Buckets have levels: those of a level are `factor` times as long as of the one before. An interval belongs to the
+    level whose buckets are as long as it, so it touches two at most there and on every higher level (of the highest
+    one it may touch more). It is looked up on its own level and on those that the other side's intervals belong to; a pair
+    counts on the higher level of both, in the bucket where its common part begins.
     """
+    sizes = [bucket * factor**k for k in range(levels)]
+    size = F.element_at(F.array(*(F.lit(x).cast("long") for x in sizes)), F.col("__level") + 1)
 
-    def spread(frame, span):
-        ends = frame.where(F.col(span[0]) <= F.col(span[1]))
-        return ends.withColumn("__bucket", F.explode(F.sequence(F.floor(F.col(span[0]) / bucket), F.floor(F.col(span[1]) / bucket))))
+    def of_level(frame, span, own):
+        length = F.col(span[1]) - F.col(span[0])
+        return frame.where(F.col(span[0]) <= F.col(span[1])).withColumn(own, sum((F.when(length >= x, 1).otherwise(0) for x in sizes[:-1]), F.lit(0)))
 
-    a, b = spread(left, left_span), spread(right, right_span)
+    def spread(frame, span, own, others, its):
+        there = others.agg(F.collect_set(its).alias("__there"))
+        looked = frame.crossJoin(F.broadcast(there)).withColumn("__level", F.explode(F.filter(F.sequence(own, F.lit(levels - 1)), lambda k: (k == F.col(own)) | F.array_contains("__there", k)))).drop("__there")
+        return looked.withColumn("__bucket", F.explode(F.sequence(F.floor(F.col(span[0]) / size), F.floor(F.col(span[1]) / size))))
+
+    a, b = of_level(left, left_span, "__a"), of_level(right, right_span, "__b")
     meets = (F.col(left_span[0]) <= F.col(right_span[1])) & (F.col(right_span[0]) <= F.col(left_span[1]))
-    first = F.floor(F.greatest(left_span[0], right_span[0]) / bucket) == F.col("__bucket")
-    return a.join(b, [on, "__bucket"]).where(meets & first).drop("__bucket")
+    first = F.floor(F.greatest(left_span[0], right_span[0]) / size) == F.col("__bucket")
+    pairs = spread(a, left_span, "__a", b, "__b").join(spread(b, right_span, "__b", a, "__a"), [on, "__level", "__bucket"])
+    return pairs.where(meets & first & (F.col("__level") == F.greatest("__a", "__b"))).drop("__level", "__bucket", "__a", "__b")
 
 
 def in_ranges(value: Column, ranges: Column, start: str = "start", end: str = "end") -> Column:
@@ -106,12 +141,26 @@ def any_suffix_match(candidates: DataFrame, files: DataFrame, candidate: str, pa
     return hits.groupBy(candidate).agg(F.min(path).alias(path))
 
 
-def positional_full(left: DataFrame, right: DataFrame, on: Sequence[str], order: str) -> DataFrame:
-    """Rows of both sides paired by their number within a key; leftovers of either side stay."""
+def positional_full(left: DataFrame, right: DataFrame, on: Sequence[str], order: str, width: float | None = None) -> DataFrame:
+    """Rows of both sides paired by their number within a key; leftovers of either side stay. Equal orders have any order.
+
+    width: a key with many rows is cut into stretches of the order of this length (numbers, days or seconds), numbered
+    each on its own; the rows of the stretches before are added.
+    """
 
     def numbered(frame, side):
-        n = F.row_number().over(Window.partitionBy(*on).orderBy(order))
-        return frame.select(*on, n.alias("pos"), F.struct(*(c for c in frame.columns if c not in on)).alias(side))
+        own = frame.select(*on, F.struct(*(c for c in frame.columns if c not in on)).alias(side), F.col(order).alias("__order"))
+        own = own.withColumn("__place", _place(F.col("__order"), frame.schema[order].dataType, width) if width else F.lit(0).cast("long"))
+        own = own.withColumn("pos", F.row_number().over(Window.partitionBy(*on, "__place").orderBy("__order")))
+        if width:
+            sizes = own.groupBy(*on, "__place").agg(F.count(F.lit(1)).alias("__rows"))
+            before = Window.partitionBy(*on).orderBy("__place").rowsBetween(Window.unboundedPreceding, -1)
+            ahead = F.coalesce(F.sum("__rows").over(before), F.lit(0)).cast("int").alias("__ahead")
+            keys = [*on, "__place"]
+            sizes = sizes.select(*(F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)), ahead)
+            same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"__key{i}")) for i, k in enumerate(keys)))
+            own = own.join(sizes, same).withColumn("pos", F.col("pos") + F.col("__ahead"))
+        return own.select(*on, "pos", side)
 
     return numbered(left, "left").join(numbered(right, "right"), [*on, "pos"], "full")
 

@@ -89,7 +89,7 @@ def asof_commit(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     views = e.where("event_type = 'view'").select("user_id", F.col("ts").alias("view_ts"), F.col("event_id").alias("view_id"))
     buys = e.where("event_type = 'purchase'").select("user_id", "ts", "event_id")
-    return joins.asof_backward(buys, views, "user_id", "ts", "view_ts", ["view_id"], tie="view_id").select("event_id", "view_id")
+    return joins.asof_backward(buys, views, "user_id", "ts", "view_ts", ["view_id"], tie="view_id", width=86_400.0).select("event_id", "view_id")
 
 
 @query(
@@ -163,7 +163,7 @@ def suffix_any_match(spark, sf_dir):
 def positional_full_join(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
     left, right = c.where("role = 'user'").select("conv_id", "turn"), c.where("role <> 'user'").select("conv_id", "turn")
-    return joins.positional_full(left, right, ["conv_id"], "turn").select("conv_id", "pos", F.col("left.turn").alias("left_turn"), F.col("right.turn").alias("right_turn"))
+    return joins.positional_full(left, right, ["conv_id"], "turn", width=1_000).select("conv_id", "pos", F.col("left.turn").alias("left_turn"), F.col("right.turn").alias("right_turn"))
 
 
 @query(
