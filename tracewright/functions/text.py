@@ -142,9 +142,12 @@ def tail(text: Column, n: int) -> Column:
 
 
 def is_test_file(path: Column, rule: str = "name") -> Column:
-    """rule `name`: test_*.py or *_test.py, or a tests or test folder; `folder`: a tests folder or test_*.py."""
+    """rule `name`: test_* or *_test.py, or a tests or test folder; `file`: its first part alone; `folder`: a tests folder or
+    test_*.py."""
     parts = F.split(path, "/")
     name = F.element_at(parts, -1)
+    if rule == "file":
+        return name.startswith("test_") | name.endswith("_test.py")
     if rule == "folder":
         return F.array_contains(parts, "tests") | (name.startswith("test_") & name.endswith(".py"))
     return name.startswith("test_") | name.endswith("_test.py") | F.arrays_overlap(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.array(F.lit("tests"), F.lit("test")))

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from tracewright.functions.text import without_fence
 from tracewright.operators.retrieval import EMBED_CHARS
+from tracewright.session import ship
 
 RESPONSE = "edits array<struct<chunk_id:string,file_path:string,old_source:string,new_source:string,reasoning:string>>, summary string, insufficient_context boolean, follow_up_query string"
 
@@ -33,7 +34,27 @@ def with_model(frame: DataFrame, factory: Callable[[], Callable[[str], str]], co
                     rows.append({"ok": False, "value": None, "error": f"{type(e).__name__}: {e}"})
             yield batch.append_column(out, pa.array(rows, kind))
 
-    return frame.mapInArrow(run, schema)
+    return ship_with(frame).mapInArrow(run, schema)
+
+
+def embedded(frame: DataFrame, factory: Callable[[], Callable[[list[str]], list[list[float]]]], column: str, out: str, at_once: int = 8) -> DataFrame:
+    """Adds `out`: the vectors that a model gives for a text column, `at_once` texts a call. The factory runs once in a task."""
+    schema = T.StructType([*frame.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
+
+    def run(batches):
+        model = None
+        for batch in batches:
+            model = model or factory()
+            texts = [x or "" for x in batch.column(column).to_pylist()]
+            vectors = [list(map(float, v)) for k in range(0, len(texts), at_once) for v in model(texts[k : k + at_once])]
+            yield batch.append_column(out, pa.array(vectors, pa.list_(pa.float64())))
+
+    return ship_with(frame).mapInArrow(run, schema)
+
+
+def ship_with(frame: DataFrame) -> DataFrame:
+    ship(frame.sparkSession)
+    return frame
 
 
 def embedding_text(source: Column) -> Column:

@@ -74,3 +74,26 @@ def enforce_contract(responses: DataFrame) -> DataFrame:
         "follow_up_query": F.when(F.trim("follow_up_query") != "", F.col("follow_up_query")),
         "edits": F.when(insufficient | unknown, nothing).otherwise(edits),
     })
+
+
+def run_outcomes(runs: DataFrame, attempts: DataFrame, fallbacks: DataFrame) -> DataFrame:
+    """Per run: outcome (not_actionable, applied, escalated, open), attempts_used, fallback_triggered and escalation.
+
+    runs: run_id, is_actionable. attempts: run_id, attempt (0 is the first pass), applied, failure_reason. fallbacks: run_id,
+    applied, failure_reason. The first attempt that is applied, or that is not tried again, settles a run; failures of the
+    provider and of all tries go to the fallback, others to escalation. Rows behind that one do not count; a run without it
+    is open, as is one whose fallback has no row.
+    """
+    route = F.when(F.col("applied"), "applied").otherwise(retry_route(F.col("failure_reason"), F.col("attempt") + 1))
+    steps = attempts.select("run_id", "attempt", "failure_reason", route.alias("route")).where(~F.col("route").startswith("attempt"))
+    first = steps.groupBy("run_id").agg(F.min_by(F.struct("route", "failure_reason", "attempt"), "attempt").alias("s"))
+    out = runs.join(first, "run_id", "left").join(fallbacks.select("run_id", F.col("applied").alias("__fixed"), F.col("failure_reason").alias("__why")), "run_id", "left")
+    runs_on, settled = F.coalesce("is_actionable", F.lit(False)), F.col("s.route")
+    falls = F.coalesce(settled.isin("provider_error", "retry_exhausted"), F.lit(False))
+    outcome = (
+        F.when(~runs_on, "not_actionable").when(settled == "applied", "applied").when(settled == "not_retryable", "escalated")
+        .when(falls & F.col("__fixed"), "applied").when(falls & ~F.col("__fixed"), "escalated").otherwise("open")
+    )
+    escalation = F.when(falls, escalation_category(F.col("__why"), F.lit("fallback_failed"))).otherwise(escalation_category(F.col("s.failure_reason"), settled))
+    out = out.withColumn("outcome", outcome)
+    return out.select("run_id", "outcome", F.when(runs_on & (settled == "applied"), F.col("s.attempt").cast("int")).alias("attempts_used"), (runs_on & falls).alias("fallback_triggered"), F.when(F.col("outcome") == "escalated", escalation).alias("escalation"))

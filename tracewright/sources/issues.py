@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.functions import text as tx
+from tracewright.operators.joins import any_suffix_match
+
 
 def linked_fix(timeline: Column) -> Column:
     """(number) of the first merged pull request that a timeline cross-references; null where there is none.
@@ -37,3 +40,23 @@ def not_collected(raw: DataFrame, done: DataFrame, limit: int | None = None) ->
     """Issues that are no pull requests and whose number is not in the checkpoint; most recently updated first if limited."""
     new = raw.where(F.col("pull_request").isNull()).join(done, raw["number"].cast("string") == done["source_id"], "left_anti")
     return new if limit is None else new.orderBy(F.col("updated_at").desc(), "number").limit(limit)
+
+
+def build_query(records: DataFrame, chunks: DataFrame) -> DataFrame:
+    """What retrieval asks for each issue: semantic text, identifiers, file_paths, exception_types, and lexical, all of the
+    last three one after another (words in several of them count again).
+
+    records: source_id, title, body. chunks: name, file_path. Of the names in backticks those stay that a chunk has, of the
+    paths those that a chunk's path ends in or that end in it; the chunk's path is given, the least of several.
+    """
+    text = F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("body", F.lit("")))
+    own = records.select("source_id", tx.semantic_text(F.col("title"), F.col("body")).alias("semantic"), tx.exception_types(text).alias("exception_types"))
+    named = records.select("source_id", F.explode(tx.identifiers(text)).alias("name")).join(chunks.select("name").distinct(), "name", "left_semi")
+    paths = records.select("source_id", F.explode(tx.python_paths(text)).alias("candidate"))
+    known = any_suffix_match(paths.select("candidate").distinct(), chunks.select("file_path").distinct(), "candidate", "file_path")
+    by_name = named.groupBy("source_id").agg(F.array_sort(F.collect_set("name")).alias("identifiers"))
+    by_path = paths.join(known, "candidate").groupBy("source_id").agg(F.array_sort(F.collect_set("file_path")).alias("file_paths"))
+    out = own.join(by_name, "source_id", "left").join(by_path, "source_id", "left")
+    none = F.array().cast("array<string>")
+    out = out.withColumns({c: F.coalesce(c, none) for c in ("identifiers", "file_paths")})
+    return out.withColumn("lexical", F.lower(F.array_join(F.concat("identifiers", "file_paths", "exception_types"), " ")))

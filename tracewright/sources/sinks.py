@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from tracewright.functions.text import head
 
@@ -54,9 +53,29 @@ def dead_letters(rows: DataFrame, error: str = "error") -> tuple[DataFrame, Data
     return rows.where(F.col(error).isNull()).drop(error), rows.where(F.col(error).isNotNull())
 
 
+def _versions(spark: SparkSession, path: str) -> tuple[object, list[str]]:
+    """The file system, and the folders of complete versions below a path, oldest first."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(conf)
+    if not fs.exists(root):
+        return fs, []
+    found = [f.getPath() for f in fs.listStatus(root) if f.isDirectory() and f.getPath().getName().startswith("version-")]
+    return fs, sorted(p.toString() for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
 def write_checkpoint(done: DataFrame, path: str, key: str = "source_id") -> None:
-    """The set of finished ids, rewritten whole to a new place by the caller's naming; ids are distinct and sorted."""
-    done.select(key).distinct().sortWithinPartitions(key).write.mode("overwrite").parquet(path)
+    """The set of finished ids as a new version below path; ids are distinct and sorted.
+
+    A version counts once it is complete, and only then do those before the last one go: a run that is cut off leaves the
+    set as it was.
+    """
+    spark = done.sparkSession
+    fs, there = _versions(spark, path)
+    number = int(there[-1].rsplit("-", 1)[1]) + 1 if there else 1
+    done.select(key).distinct().sortWithinPartitions(key).write.mode("overwrite").parquet(f"{path.rstrip('/')}/version-{number:012d}")
+    for old in there[:-1]:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(old), True)
 
 
 def keyed_upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -64,9 +83,7 @@ def keyed_upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def read_checkpoint(spark, path: str, key: str = "source_id") -> DataFrame:
-    """Finished ids; none where there is no checkpoint or it can't be read."""
-    try:
-        return spark.read.parquet(path).select(key)
-    except AnalysisException:
-        return spark.createDataFrame([], f"{key} string")
+def read_checkpoint(spark: SparkSession, path: str, key: str = "source_id") -> DataFrame:
+    """Finished ids of the last complete version; none where there is none. What can't be read is an error."""
+    _, there = _versions(spark, path)
+    return spark.read.parquet(there[-1]).select(key) if there else spark.createDataFrame([], f"{key} string")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from tracewright.session import ship
+
 PIPELINE_LOG = "timestamp string, node_name string, source_id string, run_id string, outcome string, failure_reason string, duration_ms double, attempt int"
 LLM_USAGE = "node_name string, provider string, model string, source_id string, run_id string, timestamp double, prompt_tokens long, completion_tokens long, total_tokens long"
 GOLDEN_SET = "source_id string, passes_golden_filter boolean, reasoning string"
@@ -16,22 +20,40 @@ PATCH_ID = "patch_id"
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str, strict: bool = False) -> DataFrame:
-    """Rows of one or more JSON-lines files with `file` and `seq`, the row's line in its file.
+    """Rows of one or more JSON-lines files with `file` and `seq`, which grows with the row's line in its file.
 
-    Each file is one task, since only a whole file knows its order: logs are meant to be many files. Blank lines are
-    skipped (a malformed row has all nulls, or is an error if strict). A missing path gives an empty table.
+    Files of any size are read in blocks by many tasks: seq is the block's first byte and the line's number in the block,
+    which is less than the next block's first byte, as a line has a byte at least. Blank lines are skipped (a malformed
+    row has all nulls, or is an error if strict). A missing path gives an empty table.
     """
+    ship(spark)
     try:
-        files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value"))
+        lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("seq"), F.col("value").alias("line"))
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return spark.createDataFrame([], f"{schema}, file string, seq long")
-    rows = files.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("seq", "line")).where(F.trim("line") != "")
-    parsed = rows.select(F.from_json("line", schema, {"mode": "FAILFAST" if strict else "PERMISSIVE", "allowUnquotedControlChars": "true"}).alias("r"), "file", F.col("seq").cast("long").alias("seq"))
+    rows = lines.mapInArrow(_numbered, "file string, seq long, line string").where(F.trim("line") != "")
+    parsed = rows.select(F.from_json("line", schema, {"mode": "FAILFAST" if strict else "PERMISSIVE", "allowUnquotedControlChars": "true"}).alias("r"), "file", "seq")
     return parsed.select("r.*", "file", "seq")
 
 
+def _numbered(batches):
+    """Adds to the block's first byte the number of the line in its block; a task's blocks come one after another."""
+    block, number = None, 0
+    for batch in batches:
+        names, starts = batch.column("file").dictionary_encode(), batch.column("seq").to_numpy()
+        codes = names.indices.to_numpy()
+        cuts = [0, *(np.flatnonzero((codes[1:] != codes[:-1]) | (starts[1:] != starts[:-1])) + 1).tolist(), batch.num_rows]
+        seq = np.empty(batch.num_rows, np.int64)
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            own = (names.dictionary[int(codes[a])].as_py(), int(starts[a])) if b > a else block
+            number = number if own == block else 0
+            seq[a:b] = starts[a] + number + np.arange(b - a) if b > a else 0
+            block, number = own, number + b - a
+        yield pa.RecordBatch.from_arrays([batch.column("file"), pa.array(seq), batch.column("line")], ["file", "seq", "line"])
+
+
 def rows_of_run(log: DataFrame, run_id: str) -> DataFrame:
     """One run's rows in order; the filter is pushed to columnar copies of the log."""
     return log.where(F.col("run_id") == run_id).orderBy("seq")
