@@ -1,14 +1,16 @@
-"""Text functions, guardrail rules, edits and diffs. The tables hold no code, so literal snippets are mixed in."""
+"""Text functions, guardrail rules, edits and diffs over whole texts; literal snippets are mixed in where texts have none."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tracewright.functions import pyast
 from tracewright.functions import text as tx
 from tracewright.operators import edits, guardrail, patches, routing
 from tracewright.plans import query
+from tracewright.plans.sources_of_text import ASCII_SQL, Module, ascii_text, pick, pick_sql, sql_list
 from tracewright.plans.trace_queries import table
-from tracewright.sources import sinks
+from tracewright.sources import issues, sinks
 
 SNIPPETS = (
     "x = 1",
@@ -44,19 +46,6 @@ DIFFS = (
 )
 
 
-def _sql_list(values):
-    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
-
-
-def pick(values):
-    return F.element_at(F.array(*map(F.lit, values)), (F.col("doc_id") % len(values) + 1).cast("int"))
-
-
-def picked(name, values):
-    """SQL for a CTE with the literal of each document; chr(10) keeps line breaks whatever the client does to strings."""
-    return f"{name} AS (SELECT doc_id, {_sql_list(v.replace(chr(10), '~~') for v in values)}[doc_id % {len(values)} + 1] AS raw0 FROM documents), {name}_t AS (SELECT doc_id, replace(raw0, '~~', chr(10)) AS t FROM {name})"
-
-
 @query("tokenize_df", "WITH t AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[A-Za-z_][A-Za-z0-9_]*'))) AS term FROM documents) SELECT term, count(*) AS df FROM t GROUP BY term")
 def tokenize_df(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -79,71 +68,148 @@ def line_cooccurrence(spark, sf_dir):
     return docs.select("doc_id", pair.alias("p")).where("p is not null").select("doc_id", F.col("p.a").alias("a"), F.col("p.b").alias("b"))
 
 
-_RULES = [(k, p) for k in guardrail.PRIORITY for p in guardrail.PATTERNS[k]]
+_PATTERN_SQL = lambda p: "regexp_matches(t, '" + p.replace("'", "''") + "')"
 
 
-def _guardrail_sql():
-    text = picked("s", SNIPPETS)
-    hit = lambda k: "(" + " OR ".join("regexp_matches(t, '" + p.replace("'", "''") + "')" for c, p in _RULES if c == k) + ")"
-    near = []
-    for k, (a, b, w) in guardrail.NEIGHBOURS.items():
-        near.append(f"n_{k[:4]} AS (SELECT DISTINCT x.doc_id FROM l x JOIN l y ON x.doc_id = y.doc_id AND y.i BETWEEN x.i AND x.i + {w} WHERE regexp_matches(x.line, '{a}') AND regexp_matches(y.line, '{b}'))")
+def _guardrail_sql(source: str, tree: str = "SELECT doc_id, NULL AS code_execution FROM s"):
+    """Findings of the text layer over s (doc_id, t), and of the tree layer where it has any."""
+    first = lambda k: "CASE " + " ".join(f"WHEN {_PATTERN_SQL(p)} THEN 'pattern " + p.replace("'", "''") + "'" for p in guardrail.PATTERNS[k]) + " END"
+    ctes, found = [], {}
+    for k in guardrail.PRIORITY:
+        found[k] = first(k)
+        if k in guardrail.NEIGHBOURS:
+            a, b, w = guardrail.NEIGHBOURS[k]
+            name = f"n_{k[:4]}"
+            ctes.append(f"{name}_p AS (SELECT x.doc_id, x.i AS a, min(y.i) AS b FROM l x JOIN l y ON x.doc_id = y.doc_id AND y.i BETWEEN x.i AND x.i + {w} WHERE regexp_matches(x.line, '{a}') AND regexp_matches(y.line, '{b}') GROUP BY ALL)")
+            ctes.append(f"{name} AS (SELECT doc_id, 'lines ' || min(a) || ' and ' || arg_min(b, a) AS d FROM {name}_p GROUP BY doc_id)")
+            found[k] = f"coalesce({found[k]}, (SELECT d FROM {name} WHERE {name}.doc_id = s.doc_id))"
     c, e, d = guardrail.PRIORITY
     return f"""
-    WITH {text}, l AS (SELECT doc_id, i, string_split(t, chr(10))[i] AS line FROM (SELECT doc_id, t, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS i FROM s_t)), {", ".join(near)},
-    h AS (SELECT doc_id, {hit(c)} OR doc_id IN (SELECT doc_id FROM n_{c[:4]}) AS c, {hit(e)} OR doc_id IN (SELECT doc_id FROM n_{e[:4]}) AS e, {hit(d)} AS d FROM s_t)
-    SELECT doc_id, c OR e OR d AS tripped, CASE WHEN c THEN '{c}' WHEN e THEN '{e}' WHEN d THEN '{d}' END AS category FROM h
+    WITH {source}, l AS (SELECT doc_id, i, x[i] AS line FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, string_split(t, chr(10)) AS x FROM s))), {", ".join(ctes)},
+    tree AS ({tree}),
+    h AS (SELECT doc_id, {found[c]} AS c, coalesce({found[e]}, tree.code_execution) AS e, {found[d]} AS d FROM s LEFT JOIN tree USING (doc_id))
+    SELECT doc_id, c IS NOT NULL OR e IS NOT NULL OR d IS NOT NULL AS tripped, CASE WHEN c IS NOT NULL THEN '{c}' WHEN e IS NOT NULL THEN '{e}' WHEN d IS NOT NULL THEN '{d}' END AS category, coalesce(c, e, d) AS detail
     """
 
 
-@query("guardrail_regex", _guardrail_sql())
+@query("guardrail_regex", _guardrail_sql(f"s AS (SELECT doc_id, {ASCII_SQL} || chr(10) || {pick_sql(SNIPPETS)} AS t FROM documents)") + " FROM h")
 def guardrail_regex(spark, sf_dir):
-    source = table(spark, sf_dir, "documents").select("doc_id", pick(SNIPPETS).alias("source"))
-    return guardrail.scan_text(source).select("doc_id", "tripped", "category")
+    """Each whole text with a snippet behind it."""
+    source = table(spark, sf_dir, "documents").select("doc_id", F.concat(ascii_text(F.col("text")), F.lit("\n"), pick(SNIPPETS)).alias("source"))
+    return guardrail.scan_text(source).select("doc_id", "tripped", "category", "detail")
+
 
+PLAIN = Module("", ("s{i} = '{w}'", "def f{i}_{w}(a):\n    return a"))
+_BROKEN = [k for k, s in enumerate(SNIPPETS) if pyast.parse(s)[0] is None]
+_SHELL_SQL = """SELECT doc_id, CASE WHEN regexp_matches(t, '(?s)^subprocess\\.run\\([^)]*shell=True') THEN 'call of subprocess.run with shell=True at line 1'
+                                    WHEN regexp_matches(t, '(?m)^model\\.eval\\(') THEN NULL END AS code_execution FROM s"""
 
-@query("guardrail_full")
+
+@query(
+    "guardrail_full",
+    _guardrail_sql(
+        f"""{PLAIN.pieces_sql()}, m AS (SELECT doc_id, coalesce(string_agg(CASE k WHEN 0 THEN {PLAIN.template_sql(0)} ELSE {PLAIN.template_sql(1)} END, chr(10) ORDER BY i), '') AS body FROM documents LEFT JOIN p USING (doc_id) GROUP BY doc_id),
+        s AS (SELECT doc_id, {pick_sql(SNIPPETS)} || chr(10) || body AS t FROM m)""",
+        _SHELL_SQL,
+    )
+    + f", doc_id % {len(SNIPPETS)} NOT IN ({', '.join(map(str, _BROKEN))}) AS ast_parse_ok FROM h",
+)
 def guardrail_full(spark, sf_dir):
-    """Text and tree layers; the tree has no SQL twin, so unit tests hold it against cases by hand."""
-    source = table(spark, sf_dir, "documents").select("doc_id", pick(SNIPPETS).alias("source"))
+    """Text and tree layers over a snippet with a module made of the text behind it."""
+    source = table(spark, sf_dir, "documents").select("doc_id", F.concat(pick(SNIPPETS), F.lit("\n"), PLAIN.source(F.col("text"))).alias("source"))
     return guardrail.scan(source).select("doc_id", "tripped", "category", "detail", "ast_parse_ok")
 
 
+def issue_text(text):
+    """A text with an issue before it; its capitalised words are exceptions, its long ones paths, names of eight letters code."""
+    t = F.regexp_replace(ascii_text(text), "([A-Z][a-z]+) ", "$1Error: ")
+    t = F.regexp_replace(t, " ([a-z]{9,}) ", " `lib/$1.py` ")
+    return F.concat(pick(ISSUES), F.lit("\n"), F.regexp_replace(t, " ([a-z]{8}) ", " `mod.$1` "))
+
+
+ISSUE_SQL = f"{pick_sql(ISSUES)} || chr(10) || regexp_replace(regexp_replace(regexp_replace({ASCII_SQL}, '([A-Z][a-z]+) ', '\\1Error: ', 'g'), ' ([a-z]{{9,}}) ', ' `lib/\\1.py` ', 'g'), ' ([a-z]{{8}}) ', ' `mod.\\1` ', 'g')"
+_COMMON_SQL = sql_list(tx.COMMON_NAMES)
+_ENTITIES = f"""
+i_t AS (SELECT doc_id, {ISSUE_SQL} AS t FROM documents),
+e AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(t, '\\b([A-Z][a-zA-Z0-9]*(?:Error|Exception|Warning))\\b\\s*:', 1))) AS exceptions,
+           list_sort(list_distinct(regexp_extract_all(t, '`?([\\w\\-/]+\\.py)`?', 1))) AS paths,
+           list_sort(list_filter(list_distinct(list_transform(regexp_extract_all(t, '`([\\w.]+)`', 1), lambda x: string_split(x, '.')[-1])), lambda x: NOT list_contains({_COMMON_SQL}, x))) AS names,
+           list_sort(list_distinct(list_concat(regexp_extract_all(t, 'File "([^"]+\\.py)"', 1), regexp_extract_all(t, '`{{1,3}}([^`\\s]+\\.py)`{{1,3}}', 1)))) AS referenced
+    FROM i_t)
+"""
+
+
+@query("extract_entities", f"WITH {_ENTITIES} SELECT doc_id, array_to_string(exceptions, '|') AS exceptions, array_to_string(paths, '|') AS paths, array_to_string(names, '|') AS names, array_to_string(referenced, '|') AS referenced FROM e")
+def extract_entities(spark, sf_dir):
+    t = F.col("t")
+    return table(spark, sf_dir, "documents").select("doc_id", issue_text(F.col("text")).alias("t")).select("doc_id", *(F.array_join(f(t), "|").alias(n) for n, f in (("exceptions", tx.exception_types), ("paths", tx.python_paths), ("names", tx.identifiers), ("referenced", tx.referenced_paths))))
+
+
 @query(
-    "extract_entities",
+    "build_query",
     f"""
-    WITH {picked("i", ISSUES)}
-    SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(t, '\\b([A-Z][a-zA-Z0-9]*(?:Error|Exception|Warning))\\b\\s*:', 1))), '|') AS exceptions,
-           array_to_string(list_sort(list_distinct(regexp_extract_all(t, '`?([\\w\\-/]+\\.py)`?', 1))), '|') AS paths,
-           array_to_string(list_sort(list_filter(list_distinct(list_transform(regexp_extract_all(t, '`([\\w.]+)`', 1), lambda x: string_split(x, '.')[-1])), lambda x: x <> 'print')), '|') AS names,
-           array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(t, 'File "([^"]+\\.py)"', 1), regexp_extract_all(t, '`{{1,3}}([^`\\s]+\\.py)`{{1,3}}', 1)))), '|') AS referenced
-    FROM i_t
+    WITH {_ENTITIES}, k AS (SELECT list(DISTINCT 'lib/' || w || '.py') AS known, list(DISTINCT left(w, 8)) AS called FROM (SELECT unnest(regexp_extract_all(text, '[a-z]{{9,}}')) AS w FROM benchmark)),
+    f AS (SELECT doc_id, list_filter(names, lambda x: list_contains(called, x)) AS identifiers, list_filter(paths, lambda x: list_contains(known, x)) AS file_paths, exceptions FROM e, k)
+    SELECT doc_id, array_to_string(identifiers, '|') AS identifiers, array_to_string(file_paths, '|') AS file_paths, array_to_string(exceptions, '|') AS exception_types,
+           lower(array_to_string(list_concat(list_concat(identifiers, file_paths), exceptions), ' ')) AS lexical FROM f
     """,
 )
-def extract_entities(spark, sf_dir):
-    t = F.col("t")
-    return table(spark, sf_dir, "documents").select("doc_id", pick(ISSUES).alias("t")).select("doc_id", *(F.array_join(f(t), "|").alias(n) for n, f in (("exceptions", tx.exception_types), ("paths", tx.python_paths), ("names", tx.identifiers), ("referenced", tx.referenced_paths))))
+def build_query(spark, sf_dir):
+    """Retrieval queries of issues: of the names and paths in the text, those that the code has."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), F.lit(None).cast("string").alias("title"), issue_text(F.col("text")).alias("body"))
+    long = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]{9,}"), F.lit(0))).alias("w"))
+    chunks = long.select(F.left("w", F.lit(8)).alias("name"), F.concat(F.lit("lib/"), "w", F.lit(".py")).alias("file_path"))
+    built = issues.build_query(docs, chunks)
+    return built.select(F.col("source_id").alias("doc_id"), *(F.array_join(c, "|").alias(c) for c in ("identifiers", "file_paths", "exception_types")), "lexical")
+
 
+_BODY_SQL = f"translate({ASCII_SQL}, '#`', '  ')"
+_STRIP_SQL = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 
-CLEANED = ("intro", "foo", "Only", "a  b", "", ISSUES[5], ISSUES[6], ISSUES[7])
 
+def issue_body(text):
+    """By remainder: a header behind the text, the text as first section, a header only, a fence in the text, a header in a fence."""
+    t, kind = F.translate(ascii_text(text), "#`", "  "), F.col("doc_id") % 5
+    return (
+        F.when(kind == 0, F.concat(t, F.lit("\n# H\nrest")))
+        .when(kind == 1, F.concat(F.lit("### Bug\n"), t, F.lit("\n### Version\n1")))
+        .when(kind == 2, F.concat(F.lit("### "), F.translate(t, "\n", " ")))
+        .when(kind == 3, F.concat(t, F.lit(" ```x = 1"), t, F.lit("``` b")))
+        .otherwise(F.concat(F.lit("a\n```\nx\n# y\n```\n"), t))
+    )
 
-@query("clean_description", f"WITH {picked('c', CLEANED)} SELECT doc_id, t AS cleaned, CASE WHEN t = '' THEN 'T' || doc_id ELSE 'T' || doc_id || chr(10) || chr(10) || t END AS semantic FROM c_t")
+
+@query(
+    "clean_description",
+    f"""
+    WITH b AS (SELECT doc_id, {_BODY_SQL} AS t FROM documents),
+    c AS (SELECT doc_id, {_STRIP_SQL("CASE doc_id % 5 WHEN 0 THEN t WHEN 1 THEN t WHEN 2 THEN replace(t, chr(10), ' ') WHEN 3 THEN t || '  b' ELSE 'a' || chr(10) || '```' || chr(10) || 'x' || chr(10) END")} AS cleaned FROM b)
+    SELECT doc_id, cleaned, CASE WHEN cleaned = '' THEN 'T' || doc_id ELSE 'T' || doc_id || chr(10) || chr(10) || cleaned END AS semantic FROM c
+    """,
+)
 def clean_description(spark, sf_dir):
-    title = F.concat(F.lit("T"), F.col("doc_id").cast("string"))
-    return table(spark, sf_dir, "documents").select("doc_id", tx.clean_description(pick(ISSUES)).alias("cleaned"), tx.semantic_text(title, pick(ISSUES)).alias("semantic"))
+    title, body = F.concat(F.lit("T"), F.col("doc_id").cast("string")), issue_body(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.clean_description(body).alias("cleaned"), tx.semantic_text(title, body).alias("semantic"))
+
+
+def diff_text(text):
+    """The whole text as added lines between two headers."""
+    return F.concat(pick(DIFFS), F.lit("\n+"), F.replace(ascii_text(text), F.lit("\n"), F.lit("\n+")), F.lit("\n@@ -3,4 +"), F.length("text").cast("string"), F.lit(",5 @@ x\n"), pick(DIFFS[1:]))
+
+
+DIFF_SQL = f"{pick_sql(DIFFS)} || chr(10) || '+' || replace({ASCII_SQL}, chr(10), chr(10) || '+') || chr(10) || '@@ -3,4 +' || length(text) || ',5 @@ x' || chr(10) || {pick_sql(DIFFS[1:])}"
 
 
 @query(
     "diff_ranges",
     f"""
-    WITH {picked("d", DIFFS)}, h AS (SELECT doc_id, unnest(regexp_extract_all(t, '@@ [^+]*\\+([0-9]+(?:,[0-9]+)?) @@', 1)) AS x FROM d_t),
+    WITH d AS (SELECT doc_id, {DIFF_SQL} AS t FROM documents), h AS (SELECT doc_id, unnest(regexp_extract_all(t, '(?m)^@@[^+\n]*\\+([0-9]+(?:,[0-9]+)?)\\s*@@', 1)) AS x FROM d),
     r AS (SELECT doc_id, string_split(x, ',')[1]::INT AS s, coalesce(string_split(x, ',')[2]::INT, 1) AS n FROM h)
     SELECT doc_id, s AS "start", s + n - 1 AS "end", n > 0 AS kept FROM r
     """,
 )
 def diff_ranges(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", pick(DIFFS).alias("d"))
+    d = table(spark, sf_dir, "documents").select("doc_id", diff_text(F.col("text")).alias("d"))
     kept = tx.added_ranges(F.col("d"))
     return d.select("doc_id", F.explode(tx.added_ranges(F.col("d"), drop_empty=False)).alias("r"), kept.alias("k")).select("doc_id", "r.start", "r.end", F.array_contains("k", F.col("r")).alias("kept"))
 
@@ -151,33 +217,44 @@ def diff_ranges(spark, sf_dir):
 @query(
     "diff_class",
     f"""
-    WITH {picked("d", DIFFS)}, p AS (SELECT doc_id, regexp_extract_all(t, 'diff --git a/(\\S+) b/\\S+', 1) AS p FROM d_t),
+    WITH d AS (SELECT doc_id, {DIFF_SQL} AS t FROM documents), p AS (SELECT doc_id, regexp_extract_all(t, '(?m)^diff --git a/(\\S+) b/\\S+', 1) AS p FROM d),
     c AS (SELECT doc_id, p, len(list_filter(p, lambda x: starts_with(x, 'llama-index-core/'))) > 0 AS a, len(list_filter(p, lambda x: starts_with(x, 'llama-index-integrations/'))) > 0 AS b FROM p)
     SELECT doc_id, CASE WHEN len(p) = 0 THEN 'unknown' WHEN a AND b THEN 'mixed' WHEN a THEN 'core' WHEN b THEN 'integration' ELSE 'other' END AS class FROM c
     """,
 )
 def diff_class(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", tx.diff_class(pick(DIFFS)).alias("class"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.diff_class(diff_text(F.col("text"))).alias("class"))
+
+
+def looked_for(source):
+    """What an edit looks for, by remainder: words of the text as they are, with a comment, with other blanks, with both, other words, one sign."""
+    part, kind = F.substring(source, 5, 30), F.col("doc_id") % 6
+    wide = F.replace(part, F.lit(" "), F.lit("  "))
+    return (
+        F.when(kind == 0, part).when(kind == 1, F.concat(part, F.lit("  # bug"))).when(kind == 2, F.concat(wide, F.lit("  # bug")))
+        .when(kind == 3, wide).when(kind == 4, F.concat(F.lit("zz"), part)).otherwise(F.substring(source, 3, 1))
+    )
 
 
-OLD = ("a = f(x)", "a = f(x)  # bug", "a = f( x)  # bug", "a = f( x)", "b = g(y)", "a")
-SRC = ("a = f(x)", "a = f(\n    x)")
+LOOKED_SQL = """CASE doc_id % 6 WHEN 0 THEN substr(src, 5, 30) WHEN 1 THEN substr(src, 5, 30) || '  # bug' WHEN 2 THEN replace(substr(src, 5, 30), ' ', '  ') || '  # bug'
+                WHEN 3 THEN replace(substr(src, 5, 30), ' ', '  ') WHEN 4 THEN 'zz' || substr(src, 5, 30) ELSE substr(src, 3, 1) END"""
+GROUNDING_SQL = """CASE WHEN contains(src, old) THEN 'grounded' WHEN bare <> old AND contains(src, bare) THEN 'repaired' WHEN bare <> old AND contains(plain, trim(regexp_replace(bare, '\\s+', ' ', 'g'))) THEN 'comment'
+                        WHEN contains(plain, trim(regexp_replace(old, '\\s+', ' ', 'g'))) THEN 'whitespace' ELSE 'hallucinated' END"""
 
 
 @query(
     "edit_checks",
     f"""
-    WITH o AS (SELECT doc_id, {_sql_list(OLD)}[doc_id % 6 + 1] AS old, replace({_sql_list(s.replace(chr(10), "~~") for s in SRC)}[doc_id // 6 % 2 + 1], '~~', chr(10)) AS src FROM documents),
+    WITH s AS (SELECT doc_id, {ASCII_SQL} AS src FROM documents), o AS (SELECT doc_id, src, {LOOKED_SQL} AS old FROM s),
     b AS (SELECT *, regexp_replace(old, '[ \\t]+#[^\\n]*', '', 'g') AS bare, trim(regexp_replace(src, '\\s+', ' ', 'g')) AS plain FROM o),
-    n AS (SELECT *, (length(src) - length(replace(src, old, ''))) // length(old) AS n FROM b)
-    SELECT doc_id, CASE WHEN contains(src, old) THEN 'grounded' WHEN bare <> old AND contains(src, bare) THEN 'repaired' WHEN bare <> old AND contains(plain, trim(regexp_replace(bare, '\\s+', ' ', 'g'))) THEN 'comment'
-                        WHEN contains(plain, trim(regexp_replace(old, '\\s+', ' ', 'g'))) THEN 'whitespace' ELSE 'hallucinated' END AS grounding,
-           CASE WHEN n = 0 THEN 'missing' WHEN n > 1 THEN 'ambiguous' ELSE 'apply' END AS staleness, n::INT AS n FROM n
+    n AS (SELECT *, CASE WHEN old = '' THEN 0 ELSE (length(src) - length(replace(src, old, ''))) // length(old) END AS n FROM b)
+    SELECT doc_id, {GROUNDING_SQL} AS grounding, CASE WHEN old = '' THEN 'empty' WHEN n = 0 THEN 'missing' WHEN n > 1 THEN 'ambiguous' ELSE 'apply' END AS staleness, n::INT AS n FROM n
     """,
 )
 def edit_checks(spark, sf_dir):
-    o = table(spark, sf_dir, "documents").select("doc_id", pick(OLD).alias("old"), F.element_at(F.array(*map(F.lit, SRC)), (F.floor(F.col("doc_id") / 6) % 2 + 1).cast("int")).alias("src"))
-    return o.select("doc_id", edits.grounding(F.col("old"), F.col("src")).alias("grounding"), edits.staleness(F.col("old"), F.col("src")).alias("staleness"), tx.occurrences(F.col("src"), F.col("old")).alias("n"))
+    """An edit of each whole text."""
+    s = table(spark, sf_dir, "documents").select("doc_id", ascii_text(F.col("text")).alias("src")).withColumn("old", looked_for(F.col("src")))
+    return s.select("doc_id", edits.grounding(F.col("old"), F.col("src")).alias("grounding"), edits.staleness(F.col("old"), F.col("src")).alias("staleness"), tx.occurrences(F.col("src"), F.col("old")).alias("n"))
 
 
 @query(
@@ -204,26 +281,36 @@ def apply_edits(spark, sf_dir):
 
 @query(
     "edit_shape",
-    "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'new_source' WHEN 2 THEN 'chunk_id, old_source' ELSE 'chunk_id, file_path, new_source, old_source' END AS missing FROM documents",
+    """
+    WITH k AS (SELECT doc_id, list_concat(list_concat(CASE WHEN contains(text, 'q') THEN ['chunk_id'] ELSE [] END, CASE WHEN contains(text, 'z') THEN ['file_path'] ELSE [] END),
+                              list_concat(CASE WHEN length(text) > 500 THEN ['old_source', 'reasoning'] ELSE ['reasoning'] END, CASE WHEN contains(text, 'k') THEN ['new_source'] ELSE [] END)) AS keys FROM documents)
+    SELECT doc_id, array_to_string(list_sort(list_filter(['chunk_id', 'file_path', 'old_source', 'new_source'], lambda x: NOT list_contains(keys, x))), ', ') AS missing FROM k
+    """,
 )
 def edit_shape(spark, sf_dir):
-    sets = [("chunk_id", "file_path", "old_source", "new_source"), ("chunk_id", "file_path", "old_source"), ("new_source", "file_path", "reasoning"), ("reasoning",)]
-    keys = F.element_at(F.array(*(F.array(*map(F.lit, s)) for s in sets)), (F.col("doc_id") % 4 + 1).cast("int"))
+    """Signs of the text say which keys an edit has."""
+    t, none = F.col("text"), F.array().cast("array<string>")
+    has = lambda cond, *names: F.when(cond, F.array(*map(F.lit, names))).otherwise(none)
+    keys = F.concat(has(F.contains(t, F.lit("q")), "chunk_id"), has(F.contains(t, F.lit("z")), "file_path"), has(F.length(t) > 500, "old_source"), F.array(F.lit("reasoning")), has(F.contains(t, F.lit("k")), "new_source"))
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(routing.missing_edit_keys(keys), ", ").alias("missing"))
 
 
 @query(
     "response_contract",
-    """
-    SELECT doc_id, CASE WHEN doc_id % 5 = 2 THEN 'malformed_edit' END AS failure_reason, doc_id % 5 <> 0 AS insufficient_context,
-           CASE WHEN doc_id % 3 = 0 THEN 'more' END AS follow_up_query, CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END::INT AS n_edits FROM documents
+    f"""
+    WITH w AS (SELECT doc_id, list_slice(regexp_extract_all({ASCII_SQL}, '[A-Za-z]+'), 1, 2) AS w, contains(text, 'zz') AS insufficient, length(text) % 3 AS m, left(text, 1) AS c FROM documents),
+    r AS (SELECT *, len(list_filter(w, lambda x: length(x) > 9)) > 0 AS unknown FROM w)
+    SELECT doc_id, CASE WHEN unknown AND NOT insufficient THEN 'malformed_edit' END AS failure_reason, insufficient OR len(w) = 0 OR unknown AS insufficient_context,
+           CASE WHEN m = 0 AND c <> ' ' THEN c END AS follow_up_query, CASE WHEN insufficient OR unknown THEN 0 ELSE len(w) END::INT AS n_edits FROM r
     """,
 )
 def response_contract(spark, sf_dir):
-    """By remainder: 0 fine, 1 no edits, 2 an unknown chunk, 3 and 4 insufficient with edits."""
-    kind = F.col("doc_id") % 5
-    edit = F.struct(F.when(kind == 2, "c9").otherwise("c1").alias("chunk_id"), F.lit("x").alias("new_source"))
-    r = table(spark, sf_dir, "documents").select("doc_id", F.when(kind != 1, F.array(edit)).alias("edits"), (kind >= 3).alias("insufficient_context"), F.when(F.col("doc_id") % 3 == 0, "more").otherwise(" ").alias("follow_up_query"), F.array(F.lit("c1"), F.lit("c2")).alias("chunk_ids"))
+    """The first words of a text are edits of the chunk that has their length; chunks up to length 9 exist."""
+    t = F.col("text")
+    first = F.slice(F.regexp_extract_all(ascii_text(t), F.lit("[A-Za-z]+"), F.lit(0)), 1, 2)
+    made = F.transform(first, lambda w: F.struct(F.concat(F.lit("c"), F.length(w).cast("string")).alias("chunk_id"), w.alias("new_source")))
+    follow = F.when(F.length(t) % 3 == 0, F.left(t, F.lit(1))).otherwise(" ")
+    r = table(spark, sf_dir, "documents").select("doc_id", made.alias("edits"), F.contains(t, F.lit("zz")).alias("insufficient_context"), follow.alias("follow_up_query"), F.array(*(F.lit(f"c{k}") for k in range(10))).alias("chunk_ids"))
     return routing.enforce_contract(r).select("doc_id", "failure_reason", "insufficient_context", "follow_up_query", F.size("edits").alias("n_edits"))
 
 
@@ -247,94 +334,206 @@ def json_roundtrip(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", again["k"].alias("k"), again["missing"].alias("missing"))
 
 
-PATHS = ("setup.py", "pkg/setup.py", "pyproject.toml", "requirements.txt", "src/a.py")
-
-
 @query(
     "dependency_changed",
-    f"""
-    WITH f AS (SELECT doc_id % 40 AS patch_id, {_sql_list(PATHS)}[doc_id % 7 % 5 + 1] AS p FROM documents)
+    """
+    WITH f AS (SELECT page_id % 40 AS patch_id, CASE WHEN length(url) % 3 = 0 THEN 'setup.py' WHEN length(html) % 5 = 0 THEN 'pkg/setup.py' WHEN length(html) % 7 = 0 THEN 'pyproject.toml' WHEN contains(html, '<table') THEN 'requirements.txt' ELSE url END AS p FROM pages)
     SELECT patch_id, count(*) FILTER (WHERE p IN ('requirements.txt', 'pyproject.toml', 'setup.py', 'setup.cfg')) = 0 AS passed,
            array_to_string(list_filter(['requirements.txt', 'pyproject.toml', 'setup.py', 'setup.cfg'], lambda x: list_contains(list(p), x)), ', ') AS detail FROM f GROUP BY patch_id
     """,
 )
 def dependency_changed(spark, sf_dir):
-    path = F.element_at(F.array(*map(F.lit, PATHS)), (F.col("doc_id") % 7 % 5 + 1).cast("int"))
-    return patches.dependency_changed(table(spark, sf_dir, "documents").select((F.col("doc_id") % 40).alias("patch_id"), path.alias("file_path")))
+    """Pages are changed files; some of them stand for dependency files."""
+    size = F.length("html")
+    path = F.when(F.length("url") % 3 == 0, "setup.py").when(size % 5 == 0, "pkg/setup.py").when(size % 7 == 0, "pyproject.toml").when(F.contains("html", F.lit("<table")), "requirements.txt").otherwise(F.col("url"))
+    return patches.dependency_changed(table(spark, sf_dir, "pages").select((F.col("page_id") % 40).alias("patch_id"), path.alias("file_path")))
 
 
 @query(
     "unused_code",
-    """
-    WITH f AS (SELECT doc_id AS patch_id, doc_id % 9 + 1 AS n, CASE doc_id % 3 WHEN 0 THEN 'x imported but unused' WHEN 1 THEN 'local y is assigned to but never used' ELSE 'redefinition' END AS m FROM documents)
-    SELECT patch_id, NOT (n BETWEEN 2 AND 6 AND m <> 'redefinition') AS passed, CASE WHEN n BETWEEN 2 AND 6 AND m <> 'redefinition' THEN 'a.py:' || n || ':' || m ELSE '' END AS detail FROM f
+    f"""
+    WITH l AS (SELECT doc_id AS patch_id, x[i] AS line, i FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, string_split({ASCII_SQL}, chr(10)) AS x FROM documents))),
+    m AS (SELECT patch_id, i, line || CASE length(line) % 3 WHEN 0 THEN ' imported but unused' WHEN 1 THEN ' assigned to but never used' ELSE ' redefined' END AS m FROM l WHERE i BETWEEN 2 AND 2 + patch_id % 10 - 1),
+    u AS (SELECT patch_id, list_sort(list('a.py:' || i || ':' || m)) AS d FROM m WHERE contains(m, 'imported but unused') OR contains(m, 'assigned to but never used') GROUP BY patch_id)
+    SELECT doc_id AS patch_id, d IS NULL AS passed, coalesce(array_to_string(d, '; '), '') AS detail FROM documents LEFT JOIN u ON u.patch_id = doc_id
     """,
 )
 def unused_code(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("patch_id"))
-    files = d.select("patch_id", F.lit("a.py").alias("file_path"), F.lit("@@ -1 +2,5 @@\n").alias("diff_text"))
-    message = F.element_at(F.array(F.lit("x imported but unused"), F.lit("local y is assigned to but never used"), F.lit("redefinition")), (F.col("patch_id") % 3 + 1).cast("int"))
-    lint = d.select("patch_id", F.concat(F.lit("a.py:"), (F.col("patch_id") % 9 + 1).cast("string"), F.lit(":1: "), message).alias("line"))
+    """Every line of a text is a message of a linter about the line of its number."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("patch_id"), "text")
+    files = d.select("patch_id", F.lit("a.py").alias("file_path"), F.concat(F.lit("@@ -1 +2,"), (F.col("patch_id") % 10).cast("string"), F.lit(" @@\n")).alias("diff_text"))
+    said = d.select("patch_id", F.posexplode(F.split(ascii_text(F.col("text")), "\n")).alias("i", "line"))
+    kind = F.length("line") % 3
+    lint = said.select("patch_id", F.concat(F.lit("a.py:"), (F.col("i") + 1).cast("string"), F.lit(":1: "), "line", F.when(kind == 0, " imported but unused").when(kind == 1, " assigned to but never used").otherwise(" redefined")).alias("line"))
     return patches.no_unused_code(files, lint)
 
 
+SAID = ('File "/srv/app/pkg/core/{s}.py", line 3', "see `pkg/core/{s}.py`", "see `same.py` in `/usr/lib/os.py`", "nothing", "`pkg/a/same.py` and ```lib/pkg/core/{s}.py```")
+
+
 @query(
     "scope_check",
-    """
-    WITH i AS (SELECT doc_id AS p, doc_id % 4 AS k FROM documents)
-    SELECT p AS patch_id, CASE k WHEN 0 THEN true WHEN 1 THEN false END AS passed, CASE k WHEN 0 THEN '' WHEN 1 THEN 'pkg/core/z.py' ELSE 'no file can be told from the issue' END AS detail FROM i
+    f"""
+    WITH d AS (SELECT doc_id AS p, source, replace({sql_list(SAID)}[doc_id % 5 + 1], '{{s}}', source) || chr(10) || {ASCII_SQL} AS t FROM documents),
+    repo AS (SELECT DISTINCT 'pkg/core/' || source || '.py' AS f FROM documents UNION SELECT unnest(['pkg/a/same.py', 'pkg/b/same.py'])),
+    raw AS (SELECT p, trim(unnest(list_distinct(list_concat(regexp_extract_all(t, 'File "([^"]+\\.py)"', 1), regexp_extract_all(t, '`{{1,3}}([^`\\s]+\\.py)`{{1,3}}', 1))))) AS r FROM d),
+    named AS (SELECT DISTINCT p, CASE WHEN NOT contains(r, '/') THEN r WHEN regexp_matches(r, '(^|/)pkg/') THEN regexp_extract(r, '^(?:.*/)?(pkg/.*)$', 1) END AS n FROM raw),
+    hits AS (SELECT p, n, min(f) AS f FROM named JOIN repo ON f = n OR ends_with(f, '/' || n) GROUP BY p, n HAVING count(*) = 1),
+    files AS (SELECT p, 'pkg/core/' || source || '.py' AS f FROM d UNION SELECT p, 'pkg/a/same.py' FROM d WHERE p % 3 = 0),
+    outside AS (SELECT p, array_to_string(list_sort(list(f)), ', ') AS o FROM files ANTI JOIN hits USING (p, f) GROUP BY p),
+    judged AS (SELECT DISTINCT p FROM hits)
+    SELECT d.p AS patch_id, CASE WHEN j.p IS NOT NULL THEN o IS NULL END AS passed, CASE WHEN j.p IS NULL THEN 'no file can be told from the issue' ELSE coalesce(o, '') END AS detail
+    FROM d LEFT JOIN judged j ON j.p = d.p LEFT JOIN outside ON outside.p = d.p
     """,
 )
 def scope_check(spark, sf_dir):
-    """By remainder: 0 all files named, 1 one not named, 2 an ambiguous name, 3 nothing named."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("patch_id"))
-    said = ('File "/srv/app/pkg/core/x.py", line 3', "see `pkg/core/x.py`", "see `same.py` in `/usr/lib/os.py`", "nothing")
-    text = F.element_at(F.array(*map(F.lit, said)), (F.col("patch_id") % 4 + 1).cast("int"))
-    files = d.select("patch_id", F.explode(F.when(F.col("patch_id") % 4 == 1, F.array(F.lit("pkg/core/x.py"), F.lit("pkg/core/z.py"))).otherwise(F.array(F.lit("pkg/core/x.py")))).alias("file_path"))
-    repo = spark.createDataFrame([(p,) for p in ("pkg/core/x.py", "pkg/core/z.py", "pkg/a/same.py", "pkg/b/same.py")], "file_path string")
+    """A sentence with paths before the whole text is the issue; sources are the files of the repository."""
+    d = table(spark, sf_dir, "documents").withColumn("patch_id", F.col("doc_id"))
+    own = F.concat(F.lit("pkg/core/"), "source", F.lit(".py"))
+    said = F.element_at(F.array(*map(F.lit, SAID)), (F.col("doc_id") % 5 + 1).cast("int"))
+    text = F.concat(F.replace(said, F.lit("{s}"), F.col("source")), F.lit("\n"), ascii_text(F.col("text")))
+    same = d.where(F.col("patch_id") % 3 == 0).select("patch_id", F.lit("pkg/a/same.py").alias("file_path"))
+    files = d.select("patch_id", own.alias("file_path")).unionByName(same)
+    repo = d.select(own.alias("file_path")).distinct().unionByName(spark.createDataFrame([("pkg/a/same.py",), ("pkg/b/same.py",)], "file_path string"))
     return patches.scope_check(files, d.select("patch_id", text.alias("issue_text")), repo, "pkg")
 
 
-CODE = (
-    "import os\n\n\ndef f(a, b=1):\n    try:\n        return g(a)\n    except ValueError:\n        logger.error('x')\n        raise\n",
-    "import os\n\n\ndef f(a, b=1):\n    try:\n        return g(a)\n    except Exception:\n        logger.info('x')\n",
-    "class A:\n    x = 1\n\n    def __init__(self, y):\n        self.y = y\n\n    def m(self) -> int:\n        return 1\n",
-    "def f(:\n",
+# Modules made of the words of whole texts. A quarter of them ends with a line that does not parse.
+CODE = Module(
+    "import os as o\nfrom . import base\n\n",
+    (
+        "s{i} = '{w}'",
+        "def f{i}_{w}(a, b={d}):\n    '{w}'\n    return a",
+        "class C{i}_{w}(Base):\n    kind = {n}\n\n    def __init__(self, x):\n        self.x = x\n\n    async def m_{w}(self, *, y: int = {n}) -> int:\n        return y",
+        "@deco\ndef g{i}_{w}(a):\n    return a",
+    ),
 )
-DIFF = "@@ -1,9 +1,9 @@\n"
+OLD, NEW = {"d": "{n}"}, {"d": "{i}"}
+BROKEN = "\ndef f(:"
 
 
 def code_files(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("patch_id"), F.concat(F.lit("src/m"), F.col("doc_id").cast("string"), F.lit(".py")).alias("file_path"), pick(CODE[:1] + CODE[2:3]).alias("old_source"), pick(CODE).alias("new_source"), F.lit(DIFF).alias("diff_text"))
+    """Files of patches; new functions have another default than old ones."""
+    d, t = table(spark, sf_dir, "documents"), F.col("text")
+    end = F.when(F.col("doc_id") % 4 == 3, BROKEN).otherwise("")
+    old = F.when(F.col("doc_id") % 5 != 0, CODE.source(t, **OLD))
+    return d.select(F.col("doc_id").alias("patch_id"), F.concat(F.lit("src/m"), F.col("doc_id").cast("string"), F.lit(".py")).alias("file_path"), old.alias("old_source"), F.concat(CODE.source(t, **NEW), end).alias("new_source"))
+
+
+_INIT = "'    def __init__(self, x):' || chr(10) || '        self.x = x'"
+_CHUNK = lambda **c: ", ".join(f"{c.get(k, 'NULL')} AS {k}" for k in ("chunk_id", "type", "name", "class_name", "file_path", "start_line", "end_line", "source", "class_context", "signature", "docstring", "decorators", "bases", "class_attributes", "imports"))
+_FILE, _IMPORTS = "'src/m' || doc_id || '.py'", "'import os as o|from . import base'"
+
 
+def _chunks_sql():
+    f, g, c, m = "'f' || i || '_' || w", "'g' || i || '_' || w", "'C' || i || '_' || w", "'m_' || w"
+    base = {"file_path": _FILE, "imports": _IMPORTS, "decorators": "''"}
+    head = lambda name: f"'    async def ' || {name} || '(self, *, y: int = ' || n || ') -> int:' || chr(10) || '        return y'"
+    rows = [
+        (1, _CHUNK(**base, chunk_id=f"{_FILE} || ' :: ' || {f}", type="'function'", name=f, start_line="line", end_line="line + 2", source=CODE.template_sql(1, **NEW), signature=f"'def ' || {f} || '(a, b=' || i || ') :'", docstring="w")),
+        (2, _CHUNK(**base, chunk_id=f"{_FILE} || '::' || {c}", type="'class'", name=c, start_line="line", end_line="line + 7", source=CODE.template_sql(2, **NEW), class_context=_INIT, bases="'Base'", class_attributes="'    kind = ' || n")),
+        (2, _CHUNK(**base, chunk_id=f"{_FILE} || ' ::' || {c} || '.__init__'", type="'method'", name="'__init__'", class_name=c, start_line="line + 3", end_line="line + 4", source=_INIT, class_context=_INIT, signature="'def __init__(self, x) :'")),
+        (2, _CHUNK(**base, chunk_id=f"{_FILE} || ' ::' || {c} || '.' || {m}", type="'method'", name=m, class_name=c, start_line="line + 6", end_line="line + 7", source=head(m), class_context=_INIT, signature=f"'async def ' || {m} || '(self, *, y: int=' || n || ') -> int:'")),
+        (3, _CHUNK(**(base | {"decorators": "'@deco'"}), chunk_id=f"{_FILE} || ' :: ' || {g}", type="'function'", name=g, start_line="line + 1", end_line="line + 2", source=CODE.template_sql(3, **NEW), signature=f"'def ' || {g} || '(a) :'")),
+    ]
+    return f"WITH {CODE.pieces_sql(**NEW)} " + " UNION ALL ".join(f"SELECT {row} FROM p WHERE k = {k} AND doc_id % 4 <> 3" for k, row in rows)
 
-@query("chunk_source")
+
+@query("chunk_source", _chunks_sql())
 def chunk_source(spark, sf_dir):
+    """Functions, classes and methods of modules; lists are joined to strings."""
     chunks, _ = patches.chunk_files(code_files(spark, sf_dir), source="new_source")
-    return chunks
+    lists = ("decorators", "bases", "class_attributes", "imports")
+    return chunks.withColumns({c: F.when(F.col(c).isNotNull(), F.array_join(c, "|")) for c in lists})
+
 
+_ERRORS = f"WITH {CODE.pieces_sql(**NEW)}, e AS ({CODE.lines_sql(**NEW)})"
+_ERROR = "'SyntaxError: invalid syntax (<unknown>, line ' || (n_lines + 1) || ')'"
 
-@query("chunk_errors")
+
+@query("chunk_errors", f"{_ERRORS} SELECT {_FILE} AS file_path, {_ERROR} AS error, 'SyntaxError' AS error_type, (n_lines + 1)::INT AS lineno, 7::INT AS \"offset\" FROM e WHERE doc_id % 4 = 3")
 def chunk_errors(spark, sf_dir):
-    return patches.chunk_files(code_files(spark, sf_dir), source="new_source")[1]
+    return patches.chunk_files(code_files(spark, sf_dir), source="new_source")[1].select("file_path", "error", "error_type", "lineno", "offset")
+
+
+@query("syntax_valid", f"{_ERRORS} SELECT doc_id AS patch_id, doc_id % 4 <> 3 AS passed, CASE WHEN doc_id % 4 = 3 THEN {_FILE} || ': ' || {_ERROR} ELSE '' END AS detail FROM e")
+def syntax_valid(spark, sf_dir):
+    return patches.syntax_valid(code_files(spark, sf_dir))
 
 
-@query("signature_unchanged")
+@query(
+    "signature_unchanged",
+    f"""
+    WITH {CODE.pieces_sql(**NEW)},
+    c AS (SELECT doc_id, array_to_string(list_sort(list('f' || i || '_' || w)), ', ') AS names FROM p WHERE k = 1 AND i <> n AND doc_id % 4 <> 3 AND doc_id % 5 <> 0 GROUP BY doc_id)
+    SELECT d.doc_id AS patch_id, names IS NULL AS passed, coalesce('src/m' || d.doc_id || '.py: ' || names, '') AS detail FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id
+    """,
+)
 def signature_unchanged(spark, sf_dir):
     return patches.signature_unchanged(code_files(spark, sf_dir))
 
 
-@query("syntax_valid", "SELECT doc_id AS patch_id, doc_id % 4 <> 3 AS passed FROM documents")
-def syntax_valid(spark, sf_dir):
-    return patches.syntax_valid(code_files(spark, sf_dir)).select("patch_id", "passed")
+_TRY = "def h{i}_{w}(a):\n    try:\n        return g(a)\n    except ValueError:\n        logger.error('{w}')\n        raise"
+BEFORE = Module("", ("s{i} = '{w}'", _TRY, _TRY, _TRY, _TRY, _TRY, _TRY, _TRY.replace("logger.error('{w}')\n        raise", "pass\n    except KeyError:\n        pass"), "t{i} = '{w}'", _TRY.replace("return g(a)", "raise KeyError('{w}')")))
+AFTER = Module(
+    "",
+    (
+        "s{i} = '{w}'", _TRY, _TRY.replace("ValueError", "Exception"), _TRY.replace("raise", "pass"), _TRY.replace("error", "info"), _TRY.replace("logger.error('{w}')\n        ", ""), "def h{i}_{w}(a):\n    return g(a)",
+        _TRY.replace("logger.error('{w}')\n        raise", "pass"), "def h{i}_{w}(u):\n    return requests.get(u)", _TRY.replace("return g(a)", "go()"),
+    ),
+)
+#: By template: what is found, the line after the piece's first one (of the old piece where so), and the detail.
+_FOUND = (
+    (2, "broadened_except", "new_line + 3", "from [ValueError] to [Exception]"),
+    (3, "removed_raise", "new_line + 3", "[ValueError] was raised again and is swallowed"),
+    (4, "error_logging_downgraded", "new_line + 3", "from error to info"),
+    (5, "error_logging_removed", "new_line + 3", "error was logged, nothing is"),
+    (6, "removed_try_block", "old_line + 1", "the block''s body runs unguarded"),
+    (7, "removed_except_clause", "old_line + 5", "no handler in the place of [KeyError]"),
+    (8, "missing_error_handling_new_code", "new_line", "calls get without any try"),
+    (9, "removed_raise", "new_line + 1", "the guarded body raised and no longer does"),
+)
 
 
 @query(
     "error_handling_findings",
-    "SELECT doc_id AS patch_id, kind, 'f:L7' AS location FROM documents, (VALUES ('removed_raise'), ('error_logging_downgraded'), ('broadened_except')) v(kind) WHERE doc_id % 4 IN (0, 1)",
+    f"""
+    WITH {BEFORE.pieces_sql("o")}, {AFTER.pieces_sql("a")}, b AS (SELECT a.doc_id, a.i, a.w, a.k, a.line AS new_line, o.line AS old_line FROM a JOIN o ON o.doc_id = a.doc_id AND o.i = a.i),
+    f AS ({" UNION ALL ".join(f"SELECT doc_id, '{kind}' AS kind, 'h' || i || '_' || w || ':L' || ({line}) AS location, '{detail}' AS detail FROM b WHERE k = {k}" for k, kind, line, detail in _FOUND)})
+    SELECT doc_id AS patch_id, 'src/m' || doc_id || '.py' AS file_path, true AS signal, kind, location, detail FROM f
+    """,
 )
 def error_handling_findings(spark, sf_dir):
-    files = code_files(spark, sf_dir).withColumn("old_source", F.lit(CODE[0])).withColumn("new_source", F.when(F.col("patch_id") % 4 == 0, CODE[1]).otherwise(F.col("new_source")))
+    """Every long word of a text is a function whose error handling changes in one of nine ways, or not."""
+    d, t = table(spark, sf_dir, "documents"), F.col("text")
+    files = d.select(F.col("doc_id").alias("patch_id"), F.concat(F.lit("src/m"), F.col("doc_id").cast("string"), F.lit(".py")).alias("file_path"), BEFORE.source(t).alias("old_source"), AFTER.source(t).alias("new_source"), F.lit("@@ -1,9 +1,99999999 @@\n").alias("diff_text"))
     found = patches.error_handling(files)
-    return found.select("patch_id", F.explode("findings").alias("f")).select("patch_id", "f.kind", "f.location")
+    return found.select("patch_id", "file_path", "signal", F.explode("findings").alias("f")).select("patch_id", "file_path", "signal", "f.kind", "f.location", "f.detail")
+
+
+@query(
+    "patch_evaluate",
+    f"""
+    WITH s AS (SELECT doc_id, {ASCII_SQL} AS src, text FROM documents), o AS (SELECT doc_id, src, text, {LOOKED_SQL} AS old FROM s),
+    b AS (SELECT *, regexp_replace(old, '[ \\t]+#[^\\n]*', '', 'g') AS bare, trim(regexp_replace(src, '\\s+', ' ', 'g')) AS plain FROM o),
+    g AS (SELECT *, {GROUNDING_SQL} AS ground FROM b), w AS (SELECT *, CASE ground WHEN 'repaired' THEN bare ELSE old END AS wanted FROM g),
+    n AS (SELECT *, CASE WHEN wanted = '' THEN 'empty' WHEN NOT contains(src, wanted) THEN 'missing' WHEN (length(src) - length(replace(src, wanted, ''))) // length(wanted) > 1 THEN 'ambiguous' ELSE 'apply' END AS stale FROM w),
+    f AS (SELECT *, CASE WHEN doc_id % 11 = 0 THEN 'insufficient_context' WHEN doc_id % 13 = 0 OR ground NOT IN ('grounded', 'repaired') THEN 'malformed_edit' WHEN doc_id % 3 = 0 THEN 'unsafe_pattern_detected'
+                            WHEN doc_id % 7 = 0 THEN 'dirty_worktree' WHEN stale <> 'apply' THEN 'stale_chunks' END AS failure_reason FROM n)
+    SELECT doc_id AS patch_id, failure_reason IS NULL AS applied, failure_reason,
+           CASE failure_reason WHEN 'malformed_edit' THEN CASE WHEN doc_id % 13 = 0 THEN 'missing new_source' ELSE ground END WHEN 'unsafe_pattern_detected' THEN 'arbitrary_code_execution: pattern \\beval\\s*\\(' WHEN 'stale_chunks' THEN stale ELSE '' END AS detail,
+           CASE WHEN ground = 'repaired' THEN 'c' ELSE '' END AS auto_repaired FROM f
+    """,
+)
+def patch_evaluate(spark, sf_dir):
+    """An edit of each text, which is chunk and file alike; by remainders it lacks a key, context, a clean worktree, or is unsafe."""
+    d = table(spark, sf_dir, "documents").select("doc_id", ascii_text(F.col("text")).alias("src")).withColumn("old_source", looked_for(F.col("src")))
+    n, keys = F.col("doc_id"), ("chunk_id", "file_path", "old_source", "new_source")
+    unsafe = F.when(n % 3 == 0, "eval('x')").otherwise("x = 1")
+    proposed = d.select(
+        n.alias("patch_id"), n.alias("source_id"), F.lit(0).alias("pos"), F.lit("c").alias("chunk_id"), F.lit("f.py").alias("file_path"), "old_source", unsafe.alias("new_source"),
+        F.when(n % 13 == 0, F.array(*map(F.lit, keys[:3]))).otherwise(F.array(*map(F.lit, keys))).alias("keys"), (n % 11 == 0).alias("insufficient_context"), (n % 7 != 0).alias("clean"),
+    )
+    chunks = d.select(n.alias("source_id"), F.lit("c").alias("chunk_id"), F.lit(0).alias("pos"), F.col("src").alias("source"))
+    files = d.select(n.alias("patch_id"), F.lit("f.py").alias("file_path"), F.col("src").alias("text"))
+    return edits.evaluate(proposed, chunks, files).withColumn("auto_repaired", F.array_join("auto_repaired", ", "))
