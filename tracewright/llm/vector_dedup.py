@@ -4,9 +4,9 @@ A rotation for balanced binary codes is learned (PCA, then iterative quantisatio
 for each of a few starting points; every vector is indexed. Its codes are cut into substrings, each of which is the key
 of a table; vectors that share a key are candidates, and all candidates are reranked with the original vectors: links
 are cosines in double precision at or above the threshold. The substring length follows the logarithm of the number of
-vectors. Pairs at the threshold are planted around the sampled vectors and coded like all others, and tables are added
-until enough of these pairs meet; where that takes too many tables, substrings become shorter. The number of rotations
-is what the tables need.
+vectors. Pairs at the threshold are planted around the sampled vectors, pairs a little above it are taken from the sample,
+and tables are added until enough of each kind meet; where that takes too many tables, substrings become shorter. The
+number of rotations is what the tables need. Where most of any two vectors would meet, all pairs are compared.
 
 Equal vectors are one node. Buckets of any size are worked on in blocks; a pair counts in the first table that it
 meets in, so numpy can sum up links where it finds them, and no pair is ever a row.
@@ -32,6 +32,8 @@ SAMPLE, STEPS, MISS = 10_000, 30, 0.003
 LEAST_KEY_BITS, CODE_BITS = 12, 64
 #: Planted pairs of each kind that recall is measured on; beyond so many tables keys get shorter; rows made at once.
 PLANTED, MOST_TABLES, KEYED = 10_000, 128, 100_000
+#: Sampled vectors whose neighbours in the sample are looked for; where so many of any two vectors meet, all are compared.
+ASKED, CROWDED = 2_000, 0.5
 #: Up to this size, units of work are looked at pair by pair together; larger ones each by matrix products of so many rows.
 SMALL_UNIT, PRODUCT_ROWS = 48, 512
 #: Bytes of the vectors of a block; cosines that are nearer to the threshold are summed up again, in one order.
@@ -73,6 +75,21 @@ def planted(sample: np.ndarray, threshold: float, seed: int = 11) -> list[tuple[
     return out
 
 
+def near_pairs(sample: np.ndarray, threshold: float, seed: int = 13) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of sampled unit vectors that are little above the threshold, where the sample has some."""
+    rng = np.random.default_rng(seed)
+    asked, left, right = rng.permutation(len(sample))[:ASKED], [], []
+    for start in range(0, len(asked), 200):
+        own = asked[start : start + 200]
+        cosine = sample[own] @ sample.T
+        i, j = np.nonzero((cosine >= threshold) & (cosine < threshold + 0.4 * (1 - threshold)))
+        some = rng.permutation(len(i))[: PLANTED // 10]
+        left.append(own[i[some]])
+        right.append(j[some])
+    left, right = np.concatenate([*left, asked[:0]]), np.concatenate([*right, asked[:0]])
+    return [(sample[left], sample[right])] if len(left) >= 100 else []
+
+
 class Plan:
     """Key length, number of tables and their projections for a number of vectors, whose sample has unit vectors."""
 
@@ -83,7 +100,9 @@ class Plan:
         if not learned:
             sample = np.random.default_rng(dim).normal(size=(PLANTED, dim))
             sample /= np.linalg.norm(sample, axis=1, keepdims=True)
-        pairs = planted(sample, threshold)
+        pairs = planted(sample, threshold) + near_pairs(sample, threshold)
+        rng = np.random.default_rng(dim)
+        any_two = tuple(sample[rng.integers(0, len(sample), PLANTED)] for _ in range(2))
         self.projections: list[tuple[np.ndarray, np.ndarray]] = []
         apart: list[list[np.ndarray]] = []  # by rotation and kind of pairs: the bits that differ
 
@@ -91,23 +110,24 @@ class Plan:
             while len(apart) <= k:
                 mean, p = itq(sample, len(apart)) if learned else untrained(dim, len(apart))
                 self.projections.append((mean, p))
-                apart.append([((x - mean) @ p >= 0) != ((y - mean) @ p >= 0) for x, y in pairs])
+                apart.append([((x - mean) @ p >= 0) != ((y - mean) @ p >= 0) for x, y in [*pairs, any_two]])
             return apart[k]
 
         for self.key_bits in range(min(bits, max(LEAST_KEY_BITS, math.ceil(math.log2(max(2, n))) - 4)), 0, -1):
             self.each = bits // self.key_bits  # substrings of a code
             same = (1 - differ) ** self.key_bits
             least = max(1, math.ceil(math.log(MISS) / math.log(1 - same))) if 0 < same < 1 else 1
-            met, self.tables = [np.zeros(len(x), bool) for x, _ in pairs], 0
-            while self.tables < least or (self.tables < MOST_TABLES and not all(m.mean() >= 1 - MISS for m in met)):
+            met, self.tables = [np.zeros(len(x), bool) for x, _ in [*pairs, any_two]], 0
+            while self.tables < least or (self.tables < MOST_TABLES and not all(m.mean() >= 1 - MISS for m in met[:-1])):
                 at = self.tables % self.each * self.key_bits
                 for m, d in zip(met, rotation(self.tables // self.each), strict=True):
                     m |= ~d[:, at : at + self.key_bits].any(axis=1)
                 self.tables += 1
-            self.recall = min([float(m.mean()) for m in met], default=1.0)
-            if self.recall >= 1 - MISS:
+            self.recall = min([float(m.mean()) for m in met[:-1]], default=1.0)
+            crowded = met[-1].mean() >= CROWDED
+            if self.recall >= 1 - MISS or crowded:
                 break
-        else:
+        if self.recall < 1 - MISS or crowded:
             self.key_bits, self.each, self.tables, self.recall = 0, bits, 1, 1.0  # every pair
         self.rotations = math.ceil(self.tables / self.each)
         rotation(self.rotations - 1)
