@@ -282,3 +282,72 @@ def test_model_errors_belong_to_rows(spark):
     frame = spark.createDataFrame([("1",), ("x",), (None,)], "t string")
     got = models.with_model(frame, lambda: lambda t: str(int(t) + 1), "t", "out").collect()
     assert [r["out"]["value"] for r in got] == ["2", None, None] and [r["out"]["ok"] for r in got] == [True, False, False]
+
+
+def test_files_of_patches_out_of_git(spark, tmp_path):
+    import subprocess
+
+    from tracewright.operators import patches
+    from tracewright.sources import git_files
+
+    tree = tmp_path / "tree"
+    tree.mkdir()
+    run = lambda *a: subprocess.run(["git", "-C", str(tree), "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True)
+    run("init", "-q")
+    (tree / "a.py").write_text("def f(x):\n    return x\n")
+    (tree / "é b.py").write_text("x = 1\n")
+    (tree / "gone.py").write_text("y = 1\n")
+    run("add", "-A")
+    run("commit", "-qm", "one")
+    (tree / "a.py").write_text("def f(x, y):\n    return x\n")
+    (tree / "é b.py").write_text("x = 2\n")
+    (tree / "gone.py").unlink()
+    (tree / "new.py").write_text("z = 1\n")
+    (tree / "note.txt").write_text("no code\n")
+    run("add", "-A")
+    run("commit", "-qm", "two")
+    asked = spark.createDataFrame([("p", str(tree), "HEAD~1", "HEAD"), ("same", str(tree), "HEAD", "HEAD"), ("bad", str(tree), "nope", "HEAD"), ("none", str(tmp_path / "no"), "a", "b")], "patch_id string, worktree string, base_ref string, head_ref string")
+    got = git_files.file_versions(asked).collect()
+    own = {r["file_path"]: r for r in got if r["patch_id"] == "p"}
+    assert set(own) == {"a.py", "é b.py", "gone.py", "new.py"} and "@@ -1 +1 @@" in own["a.py"]["diff_text"]
+    assert (own["new.py"]["old_source"], own["gone.py"]["new_source"], own["é b.py"]["new_source"]) == (None, None, "x = 2\n")
+    assert {r["patch_id"] for r in got if r["error"]} == {"bad", "none"} and not [r for r in got if r["patch_id"] == "same"]
+    assert patches.signature_unchanged(git_files.file_versions(asked.where("patch_id = 'p'"))).first()["passed"] is False
+    (tree / "dirty.txt").write_text("x")
+    clean = {r["patch_id"]: r["clean"] for r in git_files.clean_trees(asked).collect()}
+    assert clean == {"p": False, "same": False, "bad": False, "none": None}
+
+
+def test_collection_goes_on_where_it_ended(spark, tmp_path):
+    from tracewright.plans.source_queries import raw_issues
+    from tracewright.sources import config
+
+    raw = raw_issues(spark, DATA)
+    raw = raw.unionByName(raw.limit(1).withColumn("number", F.lit(None).cast("long")))
+    seen, path = [], str(tmp_path / "done")
+    for _ in range(3):
+        records, skipped = issues.collect_new(raw, "github", "o/r", path, 40)
+        ids = [r["source_id"] for r in records.collect()]
+        assert {(r["source_id"] is None, r["error"]) for r in skipped.collect()} >= {(True, "no number")}
+        seen += ids + [r["source_id"] for r in skipped.where("source_id is not null").collect()]
+    assert len(seen) == len(set(seen)) == 120 and sinks.read_checkpoint(spark, path).count() == 120
+    first, second = ([r["number"] for r in issues.page(raw.where("number is not null"), k, 10).collect()] for k in (0, 1))
+    assert len(set(first + second)) == 20
+    with pytest.raises(ValueError, match="repository"):
+        config.collection(spark)
+    spark.conf.set(config.PREFIX + "repository", "o/r")
+    assert config.collection(spark) == config.Collection("o/r", None, "collected", "issues", 50)
+    spark.conf.unset(config.PREFIX + "repository")
+
+
+def test_formats_and_unit_vectors(spark, tmp_path):
+    frame = spark.createDataFrame([(12.25,), (12.35,), (0.1234565,), (None,)], "x double")
+    assert [r[0] for r in frame.where("x is not null").select(tx.fixed(F.col("x"), 1)).collect()] == ["12.2", "12.4", "0.1"]
+    at = spark.sql("SELECT timestamp'2024-01-02 03:04:05.5' AS t")
+    assert tuple(at.select(tx.utc_iso(F.col("t")), tx.epoch_seconds(F.col("t"))).first()) == ("2024-01-02T03:04:05Z", 1704164645.5)
+    vectors = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<double>")
+    assert [r[0] for r in vectors.select(retrieval.unit(F.col("v"))).collect()] == [[0.6, 0.8], [0.0, 0.0]]
+    for n in (1, 2):
+        sinks.replace_json(spark.range(n), str(tmp_path / "out"))
+        assert spark.read.json(str(tmp_path / "out")).count() == n
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["out"]

@@ -10,6 +10,12 @@ COMMON_NAMES = (
     "print", "len", "str", "int", "dict", "list", "range", "type", "isinstance", "super", "getattr", "setattr", "format", "open", "sorted", "enumerate", "zip", "map", "filter", "input", "float",
     "bool", "set", "tuple", "sum", "min", "max", "abs", "round", "repr", "hash", "id", "next", "iter", "vars", "dir", "help",
 )
+# Patterns of issue texts. Fixed values.
+IDENTIFIER = r"`([\w.]+)`"
+PYTHON_PATH = r"`?([\w\-/]+\.py)`?"
+EXCEPTION = r"\b([A-Z][a-zA-Z0-9]*(?:Error|Exception|Warning))\b\s*:"
+TRACEBACK_PATH = r'File "([^"]+\.py)"'
+QUOTED_PATH = r"`{1,3}([^`\s]+\.py)`{1,3}"
 DEPENDENCY_FILES = ("requirements.txt", "pyproject.toml", "setup.py", "setup.cfg")
 CORE_PREFIX, INTEGRATION_PREFIX = "llama-index-core/", "llama-index-integrations/"
 
@@ -41,16 +47,16 @@ def strip(text: Column) -> Column:
 
 def identifiers(text: Column) -> Column:
     """Distinct last segments of names in backticks, sorted, without the most common names."""
-    last = F.transform(_all(text, r"(?U)`([\w.]+)`", 1), lambda s: F.element_at(F.split(s, r"\."), -1))
+    last = F.transform(_all(text, "(?U)" + IDENTIFIER, 1), lambda s: F.element_at(F.split(s, r"\."), -1))
     return F.array_sort(F.filter(F.array_distinct(last), lambda s: ~s.isin(*COMMON_NAMES)))
 
 
 def python_paths(text: Column) -> Column:
-    return F.array_sort(F.array_distinct(_all(text, r"(?U)`?([\w\-/]+\.py)`?", 1)))
+    return F.array_sort(F.array_distinct(_all(text, "(?U)" + PYTHON_PATH, 1)))
 
 
 def exception_types(text: Column) -> Column:
-    return F.array_sort(F.array_distinct(_all(text, r"(?U)\b([A-Z][a-zA-Z0-9]*(?:Error|Exception|Warning))\b\s*:", 1)))
+    return F.array_sort(F.array_distinct(_all(text, "(?U)" + EXCEPTION, 1)))
 
 
 def semantic_text(title: Column, body: Column) -> Column:
@@ -59,7 +65,7 @@ def semantic_text(title: Column, body: Column) -> Column:
 
 def referenced_paths(text: Column) -> Column:
     """Paths in traceback frames and in backticks, distinct and sorted."""
-    return F.array_sort(F.array_distinct(F.concat(_all(text, r'File "([^"]+\.py)"', 1), _all(text, r"(?U)`{1,3}([^`\s]+\.py)`{1,3}", 1))))
+    return F.array_sort(F.array_distinct(F.concat(_all(text, TRACEBACK_PATH, 1), _all(text, "(?U)" + QUOTED_PATH, 1))))
 
 
 def canonical_path(path: Column, root: str) -> Column:
@@ -156,3 +162,17 @@ def is_test_file(path: Column, rule: str = "name") -> Column:
 def prompt(title: Column, semantic: Column, sources: Column, retry_note: Column) -> Column:
     """Prompt sections that are there, one after another."""
     return F.concat_ws("\n\n", F.concat(F.lit("Issue: "), title), semantic, F.when(F.size(sources) > 0, F.array_join(sources, "\n---\n")), retry_note)
+
+
+def fixed(value: Column, places: int) -> Column:
+    """A number with so many places, as text; halves go to the even digit."""
+    return F.format_string(f"%.{places}f", F.bround(value.cast("double"), places))
+
+
+def utc_iso(at: Column) -> Column:
+    """A time as ISO text in UTC."""
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def epoch_seconds(at: Column) -> Column:
+    return F.unix_micros(at) / 1e6

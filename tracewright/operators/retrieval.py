@@ -14,6 +14,12 @@ def norm(vector: Column) -> Column:
     return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
 
 
+def unit(vector: Column) -> Column:
+    """A vector of length 1 in the same direction; a zero vector stays."""
+    length = norm(vector)
+    return F.transform(vector, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(F.lit(0.0)))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Of two vectors in a row, in double precision; 0 where a side is zero."""
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)

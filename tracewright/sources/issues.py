@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import text as tx
 from tracewright.operators.joins import any_suffix_match
+from tracewright.sources.sinks import read_checkpoint, write_checkpoint
 
 
 def linked_fix(timeline: Column) -> Column:
@@ -42,6 +43,28 @@ def not_collected(raw: DataFrame, done: DataFrame, limit: int | None = None) ->
     return new if limit is None else new.orderBy(F.col("updated_at").desc(), "number").limit(limit)
 
 
+def page(raw: DataFrame, number: int, rows: int = 50) -> DataFrame:
+    """A page of raw issues, 0 the first, the most recently updated first."""
+    return raw.orderBy(F.col("updated_at").desc(), "number").offset(number * rows).limit(rows)
+
+
+def collect_new(raw: DataFrame, source: str, repository: str, checkpoint: str, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(records, skipped) of issues that are not in the checkpoint, which has them from then on.
+
+    The checkpoint is written before records are given out, so an issue is given out once at most. Skipped rows
+    (source_id, error) have no number or no merged fix; the latter are not looked at again either.
+    """
+    spark = raw.sparkSession
+    done = read_checkpoint(spark, checkpoint)
+    new = not_collected(raw.where("number is not null"), done, limit).select(F.col("number").cast("string").alias("source_id"))
+    write_checkpoint(done.unionByName(new), checkpoint)
+    taken = read_checkpoint(spark, checkpoint).join(done, "source_id", "left_anti")
+    own = raw.join(taken, raw["number"].cast("string") == taken["source_id"], "left_semi")
+    skipped = own.where(linked_fix(F.col("timeline")).isNull()).select(F.col("number").cast("string").alias("source_id"), F.lit("no merged fix").alias("error"))
+    unnumbered = raw.where("number is null").select(F.lit(None).cast("string").alias("source_id"), F.lit("no number").alias("error"))
+    return normalize(own, source, repository), skipped.unionByName(unnumbered)
+
+
 def build_query(records: DataFrame, chunks: DataFrame) -> DataFrame:
     """What retrieval asks for each issue: semantic text, identifiers, file_paths, exception_types, and lexical, all of the
     last three one after another (words in several of them count again).

@@ -17,6 +17,21 @@ def append_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
+def replace_json(rows: DataFrame, path: str) -> None:
+    """JSON lines in place of what is at a path: written beside it, then moved there, so a run that is cut off changes nothing."""
+    spark = rows.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    fs = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    new, old = (place(f"{path.rstrip('/')}.{ending}") for ending in ("new", "old"))
+    fs.delete(old, True)
+    rows.write.mode("overwrite").json(new.toString())
+    if fs.exists(place(path)) and not fs.rename(place(path), old):
+        raise OSError(f"{path} can't be moved")
+    if not fs.rename(new, place(path)):
+        raise OSError(f"{new.toString()} can't be moved to {path}")
+    fs.delete(old, True)
+
+
 def append_usage(rows: DataFrame, path: str) -> None:
     append_log(with_total(rows), path)
 
