@@ -560,4 +560,4 @@ def op4_pii_crf(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     found = find_personal_data(docs, train(docs))
     base = F.filter("spans", lambda s: s["base"])
-    return found.select("doc_id", *(sp.count_of(base, k).alias(f"n_{k}") for k in KINDS), F.sha2(sp.joined(base), 256).alias("base_sha256"), sp.joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *(sp.count_of(base, k).alias(f"n_{k}") for k in KINDS), F.sha2(sp.joined(base), 256).alias("base_sha256"), sp.joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))

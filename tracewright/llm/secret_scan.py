@@ -263,4 +263,5 @@ def op2_secret_scan(spark, sf_dir):
         *(sp.count_of(spans, k).alias(f"n_{k}") for k in BASE_KINDS),
         F.sha2(sp.joined(spans, BASE_KINDS), 256).alias("base_sha256"),
         sp.joined(spans).alias("spans"),
+        F.size(spans).cast("long").alias("n_spans"),
     )
