@@ -7,6 +7,7 @@ import string
 import subprocess
 import sys
 import zlib
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -105,8 +106,11 @@ def test_op2_finds_each_kind_of_secret():
 def test_op3(spark, texts):
     got = by_id(rows(spark, "op3_lm_score"))
     assert set(got) == set(texts)
+    split = lambda text: [w for w in re.split("[ \t-\r]+", text) if w]
+    seen = Counter(w.lower() for text in texts.values() for w in split(text))
     for i, text in texts.items():
-        words = [w for w in re.split("[ \t-\r]+", text) if w]
+        words = split(text)
+        assert got[i]["n_once"] == sum(seen[w.lower()] == 1 for w in words)
         assert got[i]["n_words"] == len(words) and (got[i]["pll"] < 0 if words else got[i]["pll"] == 0)
         assert got[i]["pll_per_word"] == (pytest.approx(got[i]["pll"] / len(words)) if words else None)
     first = {}

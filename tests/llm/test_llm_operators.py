@@ -342,12 +342,12 @@ def small_network(seed=0):
 def plain_log_prob(network, flat, context, target):
     """Of one word, by the formula."""
     p = lm_score.unpack(flat.astype(np.float64))
-    hidden = np.tanh(p["embed"][context].ravel() @ p["inner"] + p["inner_bias"])
+    hidden = np.append(np.tanh(p["embed"][context].ravel() @ p["inner"] + p["inner_bias"]), 1)
     softmax = lambda z: z - np.log(np.exp(z).sum())
     cluster = network.cluster[target]
-    out = softmax(p["outer"] @ hidden + p["outer_bias"])[cluster]
+    out = softmax(p["outer"] @ hidden)[cluster]
     if target < lm_score.MODELLED:
-        out += softmax(p["own"][cluster] @ hidden + p["own_bias"][cluster])[network.member[target]]
+        out += softmax(p["own"][cluster] @ hidden)[network.member[target]]
     return out
 
 

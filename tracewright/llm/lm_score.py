@@ -39,10 +39,10 @@ from tracewright.llm.words import Words
 CLUSTERS, MEMBERS, BANDS = 64, 128, 32
 MODELLED = CLUSTERS * MEMBERS
 CODES, PAD, RARE = MODELLED + BANDS, MODELLED + BANDS, 65_535  # RARE stands for a word that no task knows
-SIDE, EMBED, HIDDEN = 2, 16, 32
+SIDE, EMBED, HIDDEN = 2, 16, 24
 SHIFTS = [k for k in range(-SIDE, SIDE + 1) if k]
 #: Rounds (each trains on every ROUNDS-th word, together on all); words of a slice; windows of a step; Adagrad's rate.
-ROUNDS, SLICE_WORDS, STEP_WINDOWS, RATE = 2, 1 << 21, 4096, 0.1
+ROUNDS, SLICE_WORDS, STEP_WINDOWS, RATE = 2, 1 << 21, 8192, 0.1
 #: The most frequent words whose places beside a word tell its cluster.
 BESIDE = 64
 #: Most words that every task knows; distinct words that a task counts before it passes them on; bytes of a slice of coded texts.
@@ -104,14 +104,14 @@ class Known:
         at[own] = np.arange(len(own))
         return cls(hashes[order], n[order], at[order].astype(np.uint16), steps, band, total)
 
-    def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Code (RARE for unknown words) and log-share of it (0 for them)."""
+    def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Code (RARE for unknown words), log-share of it (0 for them), and whether the corpus has the word once."""
         if not len(self.hashes):
-            return np.full(len(hashes), RARE, np.uint16), np.zeros(len(hashes))
+            return np.full(len(hashes), RARE, np.uint16), np.zeros(len(hashes)), np.zeros(len(hashes), bool)
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         there = self.hashes[at] == hashes
         code = np.where(there, self.code[at], np.uint16(RARE))
-        return code, np.where(there, np.log((self.n[at] + 0.5) / self.total[self.code[at]]), 0)
+        return code, np.where(there, np.log((self.n[at] + 0.5) / self.total[self.code[at]]), 0), there & (self.n[at] == 1)
 
     def by_count(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Code and log-share of words that are not known but occur n times (maybe 0) in the corpus."""
@@ -180,7 +180,8 @@ def gathered(texts: DataFrame) -> CorpusVocabulary:
 
 
 def coded(texts: DataFrame, vocabulary: CorpusVocabulary, slices: int) -> DataFrame:
-    """(id, slice, codes, share) from (id, text): a text's words as 16-bit codes, and the sum of their log-shares of these.
+    """(id, slice, codes, share, once) from (id, text): a text's words as 16-bit codes, the sum of their log-shares of these,
+    and how many of its words the corpus has once at most.
 
     Texts are dealt out to slices by a hash of id and words; each slice is whole and in the order of that hash in one task.
     Rows with the same id and words are in one slice, in any order, as they are the same. Counts of the words that no task
@@ -189,7 +190,7 @@ def coded(texts: DataFrame, vocabulary: CorpusVocabulary, slices: int) -> DataFr
     ship_with(texts)
     known = texts.sparkSession.sparkContext.broadcast(vocabulary.known)
     of_id = T.StructField("id", texts.schema["id"].dataType)
-    schema = T.StructType([of_id, T.StructField("codes", T.BinaryType()), T.StructField("share", T.DoubleType()), T.StructField("rare", T.BinaryType())])
+    schema = T.StructType([of_id, T.StructField("codes", T.BinaryType()), T.StructField("share", T.DoubleType()), T.StructField("once", T.LongType()), T.StructField("rare", T.BinaryType())])
 
     def binary(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
         ends = (bounds * values.itemsize).astype(np.int32)
@@ -201,12 +202,13 @@ def coded(texts: DataFrame, vocabulary: CorpusVocabulary, slices: int) -> DataFr
             for part in by_bytes(batch):
                 words = Words.of(part.column("text"))
                 hashes = word_hashes(words)
-                own, share = known.value.look_up(hashes)
+                own, share, once = known.value.look_up(hashes)
                 unknown = (own == RARE)[words.code]
                 text = np.repeat(np.arange(part.num_rows), np.diff(words.bounds))
                 total = np.bincount(text, share[words.code], minlength=part.num_rows)
+                single = np.bincount(text, once[words.code], minlength=part.num_rows).astype(np.int64)
                 before = np.concatenate([[0], np.cumsum(unknown)])[words.bounds]
-                yield pa.RecordBatch.from_arrays([part.column("id"), binary(own[words.code], words.bounds), pa.array(total.astype(np.float64)), binary(hashes[words.code[unknown]], before)], schema.fieldNames())
+                yield pa.RecordBatch.from_arrays([part.column("id"), binary(own[words.code], words.bounds), pa.array(total.astype(np.float64)), pa.array(single), binary(hashes[words.code[unknown]], before)], schema.fieldNames())
 
     def wanted(batches):
         """(slice, hash), each once for a slice and a batch."""
@@ -241,7 +243,7 @@ def coded(texts: DataFrame, vocabulary: CorpusVocabulary, slices: int) -> DataFr
                         table_of = hashes[order], np.concatenate([n for _, n in parts])[order] if parts else np.zeros(0, np.int64)
                     codes, bounds = words_of(own)
                     lists = own.column("rare").to_pylist()
-                    share = own.column("share").to_numpy().copy()
+                    share, single = own.column("share").to_numpy().copy(), own.column("once").to_numpy().copy()
                     asked = np.frombuffer(b"".join(lists), np.int64)
                     if len(asked):
                         at = np.minimum(np.searchsorted(table_of[0], asked), max(len(table_of[0]) - 1, 0))
@@ -249,15 +251,17 @@ def coded(texts: DataFrame, vocabulary: CorpusVocabulary, slices: int) -> DataFr
                         of_word, share_of_word = known.value.by_count(n)
                         codes = codes.copy()
                         codes[codes == RARE] = of_word
-                        share += np.bincount(np.repeat(np.arange(len(lists)), [len(x) // 8 for x in lists]), share_of_word, minlength=len(lists))
-                    yield pa.RecordBatch.from_arrays([own.column("id"), own.column("slice"), binary(codes, bounds), pa.array(share)], ["id", "slice", "codes", "share"])
+                        text = np.repeat(np.arange(len(lists)), [len(x) // 8 for x in lists])
+                        share += np.bincount(text, share_of_word, minlength=len(lists))
+                        single += np.bincount(text, n <= 1, minlength=len(lists)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([own.column("id"), own.column("slice"), binary(codes, bounds), pa.array(share), pa.array(single)], ["id", "slice", "codes", "share", "once"])
 
     own = texts.mapInArrow(code, schema).withColumn("order", F.xxhash64(F.col("id").cast("string"), "codes", "rare"))
     own = cut(own.withColumn("slice", F.pmod("order", F.lit(slices)).cast("int")))
     counts = own.where("length(rare) > 0").select("slice", "rare").mapInArrow(wanted, "slice int, hash long").distinct().join(vocabulary.others, "hash")
     both = own.unionByName(counts.select("slice", "hash", "n"), allowMissingColumns=True)
     both = both.repartitionById(slices, F.col("slice")).sortWithinPartitions("slice", "order", F.col("id").cast("string"), "codes", "rare")
-    out = cut(both.mapInArrow(filled, T.StructType([of_id, T.StructField("slice", T.IntegerType()), *schema.fields[1:3]])))
+    out = cut(both.mapInArrow(filled, T.StructType([of_id, T.StructField("slice", T.IntegerType()), *schema.fields[1:4]])))
     discard(own)
     return out
 
@@ -359,7 +363,8 @@ def clusters_of(counts: np.ndarray, clusters: int = CLUSTERS) -> tuple[np.ndarra
 # --- the network
 
 OUTER = CLUSTERS + BANDS
-SHAPES = {"embed": (CODES + 1, EMBED), "inner": (len(SHIFTS) * EMBED, HIDDEN), "inner_bias": (HIDDEN,), "outer": (OUTER, HIDDEN), "outer_bias": (OUTER,), "own": (CLUSTERS, MEMBERS, HIDDEN), "own_bias": (CLUSTERS, MEMBERS)}
+#: The last column of outer and own is the bias.
+SHAPES = {"embed": (CODES + 1, EMBED), "inner": (len(SHIFTS) * EMBED, HIDDEN), "inner_bias": (HIDDEN,), "outer": (OUTER, HIDDEN + 1), "own": (CLUSTERS, MEMBERS, HIDDEN + 1)}
 SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
 
 
@@ -390,8 +395,8 @@ class Network:
         cluster = np.append(cluster, CLUSTERS + np.arange(BANDS))
         mass = np.maximum(mass, 1e-9)
         of_cluster = np.bincount(cluster, mass, minlength=OUTER)
-        p["outer_bias"][:] = np.maximum(np.log(of_cluster / of_cluster.sum()), -30)
-        p["own_bias"][cluster[:MODELLED], member] = np.maximum(np.log(mass[:MODELLED] / of_cluster[cluster[:MODELLED]]), -30)
+        p["outer"][:, -1] = np.maximum(np.log(of_cluster / of_cluster.sum()), -30)
+        p["own"][cluster[:MODELLED], member, -1] = np.maximum(np.log(mass[:MODELLED] / of_cluster[cluster[:MODELLED]]), -30)
         return cls(flat, cluster, member)
 
     def gradient(self, context: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, float]:
@@ -400,11 +405,11 @@ class Network:
         g, n = unpack(flat), len(target)
         at, target = np.arange(n), target.astype(np.int64)
         x = p["embed"][context].reshape(n, -1)
-        hidden = np.tanh(x @ p["inner"] + p["inner_bias"])
+        hidden = np.ones((n, HIDDEN + 1), flat.dtype)
+        hidden[:, :-1] = np.tanh(x @ p["inner"] + p["inner_bias"])
         # clusters and bands
         cluster = self.cluster[target]
         z = p["outer"] @ hidden.T
-        z += p["outer_bias"][:, None]
         np.clip(z, -MOST, MOST, out=z)
         loss = -z[cluster, at]
         np.exp(z, out=z)
@@ -412,7 +417,7 @@ class Network:
         loss += np.log(total)
         z /= total * n
         z[cluster, at] -= 1 / n
-        g["outer"][:], g["outer_bias"][:] = z @ hidden, z.sum(axis=1)
+        np.matmul(z, hidden, out=g["outer"])
         back = z.T @ p["outer"]
         # words of their clusters
         own = np.flatnonzero(target < MODELLED)
@@ -423,7 +428,6 @@ class Network:
         z, at, more = np.empty((len(own), MEMBERS), flat.dtype), np.arange(len(own)), np.empty_like(there)
         for k, part in used:
             np.matmul(there[part], p["own"][k].T, out=z[part])
-        z += p["own_bias"][its]
         np.clip(z, -MOST, MOST, out=z)
         loss[own] -= z[at, member]
         np.exp(z, out=z)
@@ -433,11 +437,10 @@ class Network:
         z[at, member] -= 1 / n
         for k, part in used:
             np.matmul(z[part].T, there[part], out=g["own"][k])
-            g["own_bias"][k] = z[part].sum(axis=0)
             np.matmul(z[part], p["own"][k], out=more[part])
         back[own] += more
         # below
-        back *= 1 - hidden * hidden
+        back = back[:, :-1] * (1 - hidden[:, :-1] ** 2)
         g["inner"][:], g["inner_bias"][:] = x.T @ back, back.sum(axis=0)
         back = (back @ p["inner"].T).reshape(-1, EMBED)
         codes = context.ravel()
@@ -456,26 +459,21 @@ class Scorer:
 
     def __init__(self, network: Network):
         p = {k: v.astype(np.float64) for k, v in unpack(network.flat).items()}
-        whole = lambda x, steps: np.rint(x * steps).astype(np.float32)
-        weight = lambda x: whole(np.clip(x, -MOST_WEIGHT, MOST_WEIGHT), WEIGHT_STEPS)
-        bias = lambda x: whole(np.clip(x, -MOST, MOST), WEIGHT_STEPS * HIDDEN_STEPS)
         self.tables = [np.rint((p["embed"] @ p["inner"][i * EMBED : (i + 1) * EMBED]) * 4096).astype(np.float32) / 4096 for i in range(len(SHIFTS))]
         self.inner_bias = p["inner_bias"].astype(np.float32)
-        self.outer, self.outer_bias = weight(p["outer"]), bias(p["outer_bias"])[:, None]
-        self.own, self.own_bias = weight(p["own"]), bias(p["own_bias"])[:, :, None]
+        self.outer, self.own = self._whole(p["outer"]), np.ascontiguousarray(self._whole(p["own"]).transpose(0, 2, 1))
         self.cluster, self.member = network.cluster, network.member
 
     @staticmethod
-    def _log_softmax(z: np.ndarray, row: np.ndarray) -> np.ndarray:
-        """Of one row for each column of logits in whole steps; columns are summed row by row, whatever their number."""
+    def _whole(weights: np.ndarray) -> np.ndarray:
+        out = np.rint(np.clip(weights, -MOST_WEIGHT, MOST_WEIGHT) * WEIGHT_STEPS)
+        out[..., -1] = np.rint(np.clip(weights[..., -1], -MOST, MOST) * (WEIGHT_STEPS * HIDDEN_STEPS))
+        return out.astype(np.float32)
+
+    @staticmethod
+    def _logits(z: np.ndarray) -> None:
         z /= np.float32(WEIGHT_STEPS * HIDDEN_STEPS)
         np.clip(z, -MOST, MOST, out=z)
-        picked = z[row, np.arange(z.shape[1])]
-        np.exp(z, out=z)
-        total = z[0].copy()
-        for more in z[1:]:
-            total += more
-        return picked - np.log(total)
 
     def log_probs(self, padded: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Log-probability of the code at each place, given the codes on both sides."""
@@ -487,21 +485,31 @@ class Scorer:
             for table_of, shift in zip(self.tables[1:], SHIFTS[1:], strict=True):
                 inner += table_of[padded[at + shift]]
             inner += self.inner_bias
-            hidden = np.rint(np.tanh(inner) * np.float32(HIDDEN_STEPS))
+            hidden = np.ones((len(at), HIDDEN + 1), np.float32)
+            hidden[:, :-1] = np.rint(np.tanh(inner) * np.float32(HIDDEN_STEPS))
+            # clusters by row, added up one after another
             cluster = self.cluster[target]
             z = self.outer @ hidden.T
-            z += self.outer_bias
-            own = self._log_softmax(z, cluster)
+            self._logits(z)
+            own = z[cluster, np.arange(len(at))]
+            np.exp(z, out=z)
+            total = z[0].copy()
+            for more in z[1:]:
+                total += more
+            own -= np.log(total)
+            # words of a cluster by column, each row added up by itself
             words = np.flatnonzero(target < MODELLED)
             words = words[np.argsort(cluster[words].astype(np.uint8), kind="stable")]
-            its = cluster[words]
-            cuts = np.searchsorted(its, np.arange(CLUSTERS + 1)).tolist()
-            z = np.empty((MEMBERS, len(words)), np.float32)
+            there = hidden[words]
+            cuts = np.searchsorted(cluster[words], np.arange(CLUSTERS + 1)).tolist()
+            z = np.empty((len(words), MEMBERS), np.float32)
             for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                 if a < b:
-                    z[:, a:b] = self.own[k] @ hidden[words[a:b]].T
-                    z[:, a:b] += self.own_bias[k]
-            own[words] += self._log_softmax(z, self.member[target[words]])
+                    np.matmul(there[a:b], self.own[k], out=z[a:b])
+            self._logits(z)
+            of_word = z[np.arange(len(words)), self.member[target[words]]]
+            np.exp(z, out=z)
+            own[words] += of_word - np.log(z.sum(axis=1))
             out[start : start + AT_ONCE] = own
         return out
 
@@ -602,14 +610,15 @@ def scored(texts: DataFrame, network: Network, id_field: T.StructField) -> DataF
                 each = scorer.log_probs(*windows(codes, bounds))
                 text = np.repeat(np.arange(part.num_rows), np.diff(bounds))
                 total = np.bincount(text, each, minlength=part.num_rows) + part.column("share").to_numpy()
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(bounds).astype(np.int64)), pa.array(total.astype(np.float64))], ["doc_id", "n_words", "pll"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(bounds).astype(np.int64)), pa.array(total.astype(np.float64)), part.column("once")], ["doc_id", "n_words", "pll", "n_once"])
 
-    schema = T.StructType([id_field, T.StructField("n_words", T.LongType()), T.StructField("pll", T.DoubleType())])
-    return texts.select("id", "codes", "share").mapInArrow(work, schema).withColumn("pll_per_word", F.when(F.col("n_words") > 0, F.col("pll") / F.col("n_words")))
+    schema = T.StructType([id_field, T.StructField("n_words", T.LongType()), T.StructField("pll", T.DoubleType()), T.StructField("n_once", T.LongType())])
+    return texts.select("id", "codes", "share", "once").mapInArrow(work, schema).withColumn("pll_per_word", F.when(F.col("n_words") > 0, F.col("pll") / F.col("n_words")))
 
 
 def score(docs: DataFrame, model: WindowModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_words, pll (the sum of log-probabilities) and pll_per_word.
+    """Per row: doc_id, n_words, pll (the sum of log-probabilities), n_once (words that the corpus has once at most) and
+    pll_per_word.
 
     A null, empty or blank text has no words: pll 0, pll_per_word null. Equal texts have equal scores. Repeated rows
     repeat; an empty table gives an empty one (and an untrained model); further columns are ignored.
