@@ -31,8 +31,8 @@ POSITIVES, UNLABELLED = 4_000, 12_000
 #: Parts that a sample is read in, hashed features, and how many of them are selected.
 PARTS, HASH_BITS, SELECTED = 8, 20, 4_096
 PREFIX_BYTES = (4, 5, 6, 7)
-#: Bytes of text at once where all features are looked at, not only selected ones.
-TRAIN_BYTES = 1 << 20
+#: Bytes of text at once; each takes some 50 bytes of memory for its features.
+SLICE_BYTES = 1 << 20
 #: Standard deviations by which a selected feature's frequency in toxic documents exceeds the expected one.
 SIGMAS = 5.0
 THRESHOLD = 0.3
@@ -202,7 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
             number[chosen_features] = np.arange(len(chosen_features))
             base = base_of(number)
             for batch in batches:
-                for part in by_bytes(batch, TRAIN_BYTES):
+                for part in by_bytes(batch, SLICE_BYTES):
                     text, feature = present(part.column("text"), number, base)
                     cut = np.searchsorted(text, np.arange(part.num_rows + 1)).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([part.column("y"), pa.ListArray.from_arrays(pa.array(cut), pa.array(feature.astype(np.int32)))], ["y", "x"])
@@ -223,7 +223,7 @@ def _frequencies(batches):
     """Documents and document frequencies of the features (compressed) by class, one row of each for a sample part."""
     counts = {y: [0, np.zeros(1 << HASH_BITS, np.int32)] for y in (0, 1)}
     for batch in batches:
-        for part in by_bytes(batch, TRAIN_BYTES):
+        for part in by_bytes(batch, SLICE_BYTES):
             y = part.column("y").to_numpy()
             text, feature = present(part.column("text"))
             for k, own in counts.items():
@@ -250,7 +250,7 @@ def score(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col:
             held.append(Classifier(weights, bias))
         return pa.RecordBatch.from_arrays([part.column("id"), pa.array(held[0].scores(part.column("text")))], ["doc_id", "score"])
 
-    scored = map_texts(ids_and_texts(docs, id_col, text_col), work, schema)
+    scored = map_texts(ids_and_texts(docs, id_col, text_col), work, schema, SLICE_BYTES)
     return scored.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -270,7 +270,7 @@ def drop_toxic(docs: DataFrame, model: Classifier, threshold: float = THRESHOLD,
             weights[used] = small
             held.append(Classifier(weights, bias))
         for batch in batches:
-            for part in by_bytes(batch, column=text_col):
+            for part in by_bytes(batch, SLICE_BYTES, text_col):
                 yield part.filter(pa.array(held[0].scores(part.column(text_col)) < threshold))
 
     return ship_with(docs).mapInArrow(run, docs.schema)
