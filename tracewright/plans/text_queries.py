@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import pyast
 from tracewright.functions import text as tx
-from tracewright.operators import edits, guardrail, patches, routing
+from tracewright.operators import edits, guardrail, models, patches, routing
 from tracewright.plans import query
 from tracewright.plans.sources_of_text import ASCII_SQL, Module, ascii_text, pick, pick_sql, sql_list
 from tracewright.plans.trace_queries import table
@@ -537,3 +537,42 @@ def patch_evaluate(spark, sf_dir):
     chunks = d.select(n.alias("source_id"), F.lit("c").alias("chunk_id"), F.lit(0).alias("pos"), F.col("src").alias("source"))
     files = d.select(n.alias("patch_id"), F.lit("f.py").alias("file_path"), F.col("src").alias("text"))
     return edits.evaluate(proposed, chunks, files).withColumn("auto_repaired", F.array_join("auto_repaired", ", "))
+
+
+_RULE_PATH = "CASE page_id % 5 WHEN 0 THEN 'tests/' || length(url) || '.py' WHEN 1 THEN 'pkg/test_' || length(url) || '.py' WHEN 2 THEN length(html) || '_test.py' WHEN 3 THEN 'test/' || url ELSE url END"
+
+
+@query(
+    "test_file_rules",
+    f"""
+    WITH p AS (SELECT page_id, {_RULE_PATH} AS path FROM pages), s AS (SELECT page_id, path, string_split(path, '/') AS c FROM p), n AS (SELECT *, c[-1] AS name, c[1:len(c) - 1] AS d FROM s)
+    SELECT page_id, starts_with(name, 'test_') OR ends_with(name, '_test.py') AS by_file, starts_with(name, 'test_') OR ends_with(name, '_test.py') OR list_contains(d, 'tests') OR list_contains(d, 'test') AS by_name,
+           list_contains(c, 'tests') OR (starts_with(name, 'test_') AND ends_with(name, '.py')) AS by_folder FROM n
+    """,
+)
+def test_file_rules(spark, sf_dir):
+    """The three rules that tell test files, over paths made of urls."""
+    n, long, whole = F.col("page_id") % 5, F.length("url").cast("string"), F.length("html").cast("string")
+    path = F.when(n == 0, F.concat(F.lit("tests/"), long, F.lit(".py"))).when(n == 1, F.concat(F.lit("pkg/test_"), long, F.lit(".py"))).when(n == 2, F.concat(whole, F.lit("_test.py"))).when(n == 3, F.concat(F.lit("test/"), "url")).otherwise(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", *(tx.is_test_file(path, rule).alias(f"by_{rule}") for rule in ("file", "name", "folder")))
+
+
+_PLAIN_SQL = f"replace(translate({ASCII_SQL}, chr(34) || chr(92) || '`', '   '), chr(10), ' ')"
+
+
+@query(
+    "response_parse",
+    f"""
+    WITH j AS (SELECT doc_id, ('{{"summary": "' || {_PLAIN_SQL} || '", "insufficient_context": ' || CASE WHEN doc_id % 3 = 0 THEN 'true' ELSE 'false' END || '}}')::JSON AS j FROM documents)
+    SELECT doc_id, CASE WHEN doc_id % 5 < 4 THEN j->>'summary' END AS summary, CASE WHEN doc_id % 5 < 4 THEN (j->>'insufficient_context')::BOOLEAN END AS insufficient FROM j
+    """,
+)
+def response_parse(spark, sf_dir):
+    """Model responses with a whole text in them: with a fence, plain, in a fence that does not end, or no JSON at all."""
+    n = F.col("doc_id")
+    plain = F.translate(F.translate(ascii_text(F.col("text")), "\"\\`", "   "), "\n", " ")
+    body = F.concat(F.lit('{"summary": "'), plain, F.lit('", "insufficient_context": '), F.when(n % 3 == 0, "true").otherwise("false"), F.lit("}"))
+    fence = F.lit("```")
+    said = F.when(n % 5 == 0, F.concat(fence, F.lit("json\n"), body, F.lit("\n"), fence)).when(n % 5 == 1, body).when(n % 5 == 2, F.concat(F.lit(" \n"), fence, F.lit("\n"), body)).when(n % 5 == 3, F.concat(fence, body, fence)).otherwise(F.concat(F.lit("no "), plain))
+    parsed = models.parse_response(said)
+    return table(spark, sf_dir, "documents").select("doc_id", parsed["summary"].alias("summary"), parsed["insufficient_context"].alias("insufficient"))
