@@ -404,7 +404,8 @@ def test_lm_learns(docs, odd, empty):
 
 
 def test_lm_scores_do_not_depend_on_partitions(docs, monkeypatch):
-    monkeypatch.setattr(lm_score, "SLICE_WORDS", 20_000)  # several slices
+    monkeypatch.setattr(lm_score, "SLICE_WORDS", 20_000)  # several slices, some in one task
+    monkeypatch.setattr(lm_score, "TASKS", 3)
     get = lambda d: {r["doc_id"]: r["pll"] for r in lm_score.score(d, lm_score.train(d)).collect()}
     want = get(docs.repartition(1))
     assert get(docs.repartition(4)) == want and get(docs.repartition(8, "text")) == want

@@ -43,6 +43,8 @@ SIDE, EMBED, HIDDEN = 2, 16, 24
 SHIFTS = [k for k in range(-SIDE, SIDE + 1) if k]
 #: Rounds (each trains on every ROUNDS-th word, together on all); words of a slice; windows of a step; Adagrad's rate.
 ROUNDS, SLICE_WORDS, STEP_WINDOWS, RATE = 2, 1 << 21, 8192, 0.1
+#: Tasks that slices are dealt out to at most; each learns its slices one after another.
+TASKS = 20_000
 #: The most frequent words whose places beside a word tell its cluster.
 BESIDE = 64
 #: Most words that every task knows; distinct words that a task counts before it passes them on; bytes of a slice of coded texts.
@@ -77,6 +79,9 @@ def word_hashes(words: Words) -> np.ndarray:
 class Known:
     """What tasks know of the words: the most frequent ones, and the code and its mass for any count.
 
+    Every task gets it: KNOWN words at most, and a step for each count that some word has (d different counts need a corpus
+    of d * d / 2 words, so 10^13 words give 5 million at most).
+
     hashes (sorted), n and code of the known words; steps are the counts (ascending) that words have in the corpus, band
     is their code unless a word has one of its own; total is the mass of each code.
     """
@@ -260,7 +265,8 @@ def coded(texts: DataFrame, vocabulary: CorpusVocabulary, slices: int) -> DataFr
     own = cut(own.withColumn("slice", F.pmod("order", F.lit(slices)).cast("int")))
     counts = own.where("length(rare) > 0").select("slice", "rare").mapInArrow(wanted, "slice int, hash long").distinct().join(vocabulary.others, "hash")
     both = own.unionByName(counts.select("slice", "hash", "n"), allowMissingColumns=True)
-    both = both.repartitionById(slices, F.col("slice")).sortWithinPartitions("slice", "order", F.col("id").cast("string"), "codes", "rare")
+    tasks = min(slices, TASKS)
+    both = both.repartitionById(tasks, F.col("slice") % tasks).sortWithinPartitions("slice", "order", F.col("id").cast("string"), "codes", "rare")
     out = cut(both.mapInArrow(filled, T.StructType([of_id, T.StructField("slice", T.IntegerType()), *schema.fields[1:4]])))
     discard(own)
     return out
