@@ -36,10 +36,10 @@ from tracewright.llm.common import by_bytes, cut, discard, id_field, ids_and_tex
 from tracewright.llm.words import Words
 
 #: Clusters, words of each, and bands for the words beyond; codes of words, bands and the pad between texts.
-CLUSTERS, MEMBERS, BANDS = 64, 128, 32
+CLUSTERS, MEMBERS, BANDS = 64, 128, 16
 MODELLED = CLUSTERS * MEMBERS
 CODES, PAD, RARE = MODELLED + BANDS, MODELLED + BANDS, 65_535  # RARE stands for a word that no task knows
-SIDE, EMBED, HIDDEN = 2, 16, 24
+SIDE, EMBED, HIDDEN = 2, 12, 24
 SHIFTS = [k for k in range(-SIDE, SIDE + 1) if k]
 #: Rounds (each trains on every ROUNDS-th word, together on all); words of a slice; windows of a step; Adagrad's rate.
 ROUNDS, SLICE_WORDS, STEP_WINDOWS, RATE = 2, 1 << 21, 8192, 0.1
@@ -263,7 +263,7 @@ def coded(texts: DataFrame, vocabulary: CorpusVocabulary, slices: int) -> DataFr
 
     own = texts.mapInArrow(code, schema).withColumn("order", F.xxhash64(F.col("id").cast("string"), "codes", "rare"))
     own = cut(own.withColumn("slice", F.pmod("order", F.lit(slices)).cast("int")))
-    counts = own.where("length(rare) > 0").select("slice", "rare").mapInArrow(wanted, "slice int, hash long").distinct().join(vocabulary.others, "hash")
+    counts = own.where("length(rare) > 0").select("slice", "rare").mapInArrow(wanted, "slice int, hash long").repartition("hash").distinct().join(vocabulary.others, "hash")
     both = own.unionByName(counts.select("slice", "hash", "n"), allowMissingColumns=True)
     tasks = min(slices, TASKS)
     both = both.repartitionById(tasks, F.col("slice") % tasks).sortWithinPartitions("slice", "order", F.col("id").cast("string"), "codes", "rare")
