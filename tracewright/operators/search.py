@@ -9,6 +9,7 @@ go to the smaller id, in blocks and over all of them alike.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ from tracewright.functions.tokens import identifier_hashes
 from tracewright.operators.retrieval import B, EPSILON, K1, PATH_BOOST
 from tracewright.session import ship
 
+#: Blocks of queries (some 10 KB a query at most) that are broadcast at once; with more of them there are more passes.
+AT_ONCE = 32
 #: Queries and documents of a block; bytes of text tokenized at once; distinct terms that a task counts before it passes them on.
 QUERIES, ROWS, TEXT_BYTES, COUNTED = 128, 1024, 4 << 20, 1 << 19
 
@@ -109,9 +112,13 @@ def _blocks_of(frame: DataFrame, blocks: int, name: str) -> DataFrame:
     return frame.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")).groupBy("block").applyInArrow(pack, f"block int, {name} binary")
 
 
-def query_blocks(count: int, **frames: DataFrame) -> DataFrame:
-    """(block, one value by frame) from frames with a column query; about QUERIES of `count` queries in a block."""
-    blocks, out = max(1, -(-count // QUERIES)), None
+def blocks_for(count: int) -> int:
+    return max(1, -(-count // QUERIES))
+
+
+def query_blocks(blocks: int, **frames: DataFrame) -> DataFrame:
+    """(block, one value by frame) from frames with a column query."""
+    out = None
     for name, frame in frames.items():
         own = _blocks_of(frame, blocks, name)
         out = own if out is None else out.join(own, "block", "full")
@@ -196,7 +203,9 @@ def best(scores: np.ndarray, there: np.ndarray, docs: np.ndarray, k: int) -> tup
     return i[rank < k], j[rank < k]
 
 
-def _scored(blocks: DataFrame, queries: DataFrame, work, schema: str) -> DataFrame:
+def _scored(rows: DataFrame, queries: DataFrame, blocks: int, work, schema: str) -> DataFrame:
+    """What work gives for every block of rows with every block of queries; the queries are broadcast, AT_ONCE blocks a pass."""
+
     def run(batches):
         for batch in batches:
             values = {name: batch.column(name).to_pylist() for name in batch.schema.names}
@@ -204,7 +213,8 @@ def _scored(blocks: DataFrame, queries: DataFrame, work, schema: str) -> DataFra
                 own = {name: _unpacked(value[k]) for name, value in values.items()}
                 yield from work(own.pop("rows"), own)
 
-    return blocks.crossJoin(queries.drop("block")).mapInArrow(run, schema)
+    parts = [queries if blocks <= AT_ONCE else queries.where(F.col("block").between(k, k + AT_ONCE - 1)) for k in range(0, blocks, AT_ONCE)]
+    return reduce(DataFrame.unionByName, (rows.crossJoin(F.broadcast(part.drop("block"))).mapInArrow(run, schema) for part in parts))
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -223,8 +233,9 @@ def lexical_top(docs: DataFrame, doc: str, text: str, queries: DataFrame, query:
         i, j = best(score, shared, docs_of, k)
         yield pa.RecordBatch.from_arrays([pa.array(ids[j]), pa.array(docs_of[i]), pa.array(score[i, j])], ["query", "doc", "score"])
 
-    asked = query_blocks(queries.count(), terms=weighted_terms(queries, query, query_text, term_counts(docs, text)))
-    return _ranked(_scored(row_blocks(text_blocks(docs, doc, text)), asked, work, "query long, doc long, score double"), k)
+    blocks = blocks_for(queries.count())
+    asked = query_blocks(blocks, terms=weighted_terms(queries, query, query_text, term_counts(docs, text)))
+    return _ranked(_scored(row_blocks(text_blocks(docs, doc, text)), asked, blocks, work, "query long, doc long, score double"), k)
 
 
 def dense_top(vectors: DataFrame, doc: str, vector: str, queries: DataFrame, query: str, query_vector: str, k: int, places: int = 6) -> DataFrame:
@@ -240,9 +251,10 @@ def dense_top(vectors: DataFrame, doc: str, vector: str, queries: DataFrame, que
         i, j = best(score, there[:, None] & asked[None, :], docs_of, k)
         yield pa.RecordBatch.from_arrays([pa.array(ids[j]), pa.array(docs_of[i]), pa.array(score[i, j])], ["query", "doc", "score"])
 
-    asked = query_blocks(queries.count(), vectors=queries.select(F.col(query).cast("long").alias("query"), F.col(query_vector).alias("vector")))
+    blocks = blocks_for(queries.count())
+    asked = query_blocks(blocks, vectors=queries.select(F.col(query).cast("long").alias("query"), F.col(query_vector).alias("vector")))
     own = vectors.select(F.col(doc).cast("long").alias("doc"), F.col(vector).alias("vector"))
-    return _ranked(_scored(row_blocks(own), asked, work, "query long, doc long, score double"), k)
+    return _ranked(_scored(row_blocks(own), asked, blocks, work, "query long, doc long, score double"), k)
 
 
 RANGES = ("dense_low", "dense_high", "lexical_low", "lexical_high")
@@ -286,16 +298,16 @@ def hybrid_top(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int,
         i, j = best(score, np.ones(score.shape, bool), docs_of, k)
         yield pa.RecordBatch.from_arrays([pa.array(ids[j]), pa.array(docs_of[i]), pa.array(score[i, j]), pa.array(dense[i, j]), pa.array(lexical[i, j])], ["query", "doc", "score", "dense", "lexical"])
 
-    count, long = queries.count(), F.col("query").cast("long").alias("query")
+    blocks, long = blocks_for(queries.count()), F.col("query").cast("long").alias("query")
     asked = query_blocks(
-        count,
+        blocks,
         terms=weighted_terms(queries, "query", "text", term_counts(docs, "text")),
         vectors=queries.where("vector is not null").select(long, "vector"),
         paths=queries.select(long, F.explode("paths").alias("path")),
     )
     texts = text_blocks(docs, "doc", "text").join(docs.select(F.col("doc").cast("long").alias("doc"), "path").where("path is not null"), "doc", "left")
     rows = row_blocks(texts.join(vectors.select(F.col("doc").cast("long").alias("doc"), "vector"), "doc", "full"))
-    limits = _scored(rows, asked, ranges, "query long, " + ", ".join(f"{c} double" for c in RANGES))
+    limits = _scored(rows, asked, blocks, ranges, "query long, " + ", ".join(f"{c} double" for c in RANGES))
     limits = limits.groupBy("query").agg(*((F.min if c.endswith("low") else F.max)(c).alias(c) for c in RANGES))
-    asked = asked.join(_blocks_of(limits, max(1, -(-count // QUERIES)), "ranges"), "block", "left")
-    return _ranked(_scored(rows, asked, work, "query long, doc long, score double, dense double, lexical double"), k)
+    asked = asked.join(_blocks_of(limits, blocks, "ranges"), "block", "left")
+    return _ranked(_scored(rows, asked, blocks, work, "query long, doc long, score double, dense double, lexical double"), k)
