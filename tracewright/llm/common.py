@@ -68,6 +68,7 @@ def map_texts(frame: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch],
     """mapInArrow over slices bounded by bytes of text; fn may be a factory's product holding a model."""
 
     def run(batches):
+        give_back_memory()
         for batch in batches:
             for part in by_bytes(batch, most):
                 yield fn(part)
@@ -75,6 +76,14 @@ def map_texts(frame: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch],
     return ship_with(frame).mapInArrow(run, schema)
 
 
+def give_back_memory() -> None:
+    """What earlier tasks of this worker have freed goes back to the system, where the C library can do so."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def free_name(taken: list[str], name: str) -> str:
     """A column name like `name` that is none of those taken, whatever their case."""
     held = {t.lower() for t in taken}

@@ -24,7 +24,9 @@ from tracewright.llm.token_counts import MODEL, sentencepiece_model
 
 MARK = "▁"
 #: Distinct words, and their characters, that a worker keeps from batch to batch; the table is emptied beyond either.
-TABLE_WORDS, TABLE_CHARS = 200_000, 4_000_000
+TABLE_WORDS, TABLE_CHARS = 100_000, 2_000_000
+#: Bytes of text at once; ids and decoded words of them take some 50 times as much memory.
+SLICE_BYTES = 2 << 20
 _RUNS = re.compile(" +[^ ]*")
 
 
@@ -120,7 +122,7 @@ def _coded(docs: DataFrame, model_path: str | None, id_col: str, text_col: str,
             columns = [pa.array([np.concatenate([begin, ids[a:b], end]).astype(np.int32) for a, b in spans], pa.list_(pa.int32())), decoded]
         return pa.RecordBatch.from_arrays([part.column("id"), *columns], schema=pa.schema([pa.field("doc_id", part.column("id").type), *(pa.field(f.name, c.type) for f, c in zip(fields, columns, strict=True))]))
 
-    return map_texts(ids_and_texts(docs, id_col, text_col), code, schema)
+    return map_texts(ids_and_texts(docs, id_col, text_col), code, schema, SLICE_BYTES)
 
 
 def _sha(*arrays: np.ndarray) -> str:
