@@ -1,7 +1,7 @@
 """Inputs for text and code queries that are built from whole document texts, as Spark columns and as DuckDB SQL.
 
 Regular expressions of different engines agree on ASCII, so texts are taken with everything else as a space. The tables hold
-no code: a module is built from the words of a text by templates, one statement for each word.
+no code: a module is built from the words of a text by templates, a line or a definition for each word.
 """
 
 from __future__ import annotations
@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words of so many letters become definitions, shorter ones assignments.
-LONG_WORD = 9
+#: Words of so many letters become definitions, shorter ones comments.
+LONG_WORD = 12
 #: Stands for a line break in literals, whatever a client does to strings.
 BREAK = "~~"
 

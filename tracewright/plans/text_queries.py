@@ -99,7 +99,12 @@ def guardrail_regex(spark, sf_dir):
     return guardrail.scan_text(source).select("doc_id", "tripped", "category", "detail")
 
 
-PLAIN = Module("", ("s{i} = '{w}'", "def f{i}_{w}(a):\n    return a"))
+def quoted(text):
+    """A whole text as a Python string over several lines."""
+    return F.concat(F.lit("\'\'\'"), F.translate(ascii_text(text), "\"'\\", "   "), F.lit("\'\'\'"))
+
+
+QUOTED_SQL = f"repeat(chr(39), 3) || translate({ASCII_SQL}, chr(34) || chr(39) || chr(92), '   ') || repeat(chr(39), 3)"
 _BROKEN = [k for k, s in enumerate(SNIPPETS) if pyast.parse(s)[0] is None]
 _SHELL_SQL = """SELECT doc_id, CASE WHEN regexp_matches(t, '(?s)^subprocess\\.run\\([^)]*shell=True') THEN 'call of subprocess.run with shell=True at line 1'
                                     WHEN regexp_matches(t, '(?m)^model\\.eval\\(') THEN NULL END AS code_execution FROM s"""
@@ -107,16 +112,12 @@ _SHELL_SQL = """SELECT doc_id, CASE WHEN regexp_matches(t, '(?s)^subprocess\\.ru
 
 @query(
     "guardrail_full",
-    _guardrail_sql(
-        f"""{PLAIN.pieces_sql()}, m AS (SELECT doc_id, coalesce(string_agg(CASE k WHEN 0 THEN {PLAIN.template_sql(0)} ELSE {PLAIN.template_sql(1)} END, chr(10) ORDER BY i), '') AS body FROM documents LEFT JOIN p USING (doc_id) GROUP BY doc_id),
-        s AS (SELECT doc_id, {pick_sql(SNIPPETS)} || chr(10) || body AS t FROM m)""",
-        _SHELL_SQL,
-    )
+    _guardrail_sql(f"s AS (SELECT doc_id, {pick_sql(SNIPPETS)} || chr(10) || {QUOTED_SQL} AS t FROM documents)", _SHELL_SQL)
     + f", doc_id % {len(SNIPPETS)} NOT IN ({', '.join(map(str, _BROKEN))}) AS ast_parse_ok FROM h",
 )
 def guardrail_full(spark, sf_dir):
-    """Text and tree layers over a snippet with a module made of the text behind it."""
-    source = table(spark, sf_dir, "documents").select("doc_id", F.concat(pick(SNIPPETS), F.lit("\n"), PLAIN.source(F.col("text"))).alias("source"))
+    """Text and tree layers over a snippet with the whole text as a string behind it."""
+    source = table(spark, sf_dir, "documents").select("doc_id", F.concat(pick(SNIPPETS), F.lit("\n"), quoted(F.col("text"))).alias("source"))
     return guardrail.scan(source).select("doc_id", "tripped", "category", "detail", "ast_parse_ok")
 
 
@@ -402,7 +403,7 @@ def scope_check(spark, sf_dir):
 CODE = Module(
     "import os as o\nfrom . import base\n\n",
     (
-        "s{i} = '{w}'",
+        "# {w}",
         "def f{i}_{w}(a, b={d}):\n    '{w}'\n    return a",
         "class C{i}_{w}(Base):\n    kind = {n}\n\n    def __init__(self, x):\n        self.x = x\n\n    async def m_{w}(self, *, y: int = {n}) -> int:\n        return y",
         "@deco\ndef g{i}_{w}(a):\n    return a",
@@ -474,11 +475,11 @@ def signature_unchanged(spark, sf_dir):
 
 
 _TRY = "def h{i}_{w}(a):\n    try:\n        return g(a)\n    except ValueError:\n        logger.error('{w}')\n        raise"
-BEFORE = Module("", ("s{i} = '{w}'", _TRY, _TRY, _TRY, _TRY, _TRY, _TRY, _TRY.replace("logger.error('{w}')\n        raise", "pass\n    except KeyError:\n        pass"), "t{i} = '{w}'", _TRY.replace("return g(a)", "raise KeyError('{w}')")))
+BEFORE = Module("", ("# {w}", _TRY, _TRY, _TRY, _TRY, _TRY, _TRY, _TRY.replace("logger.error('{w}')\n        raise", "pass\n    except KeyError:\n        pass"), "t{i} = '{w}'", _TRY.replace("return g(a)", "raise KeyError('{w}')")))
 AFTER = Module(
     "",
     (
-        "s{i} = '{w}'", _TRY, _TRY.replace("ValueError", "Exception"), _TRY.replace("raise", "pass"), _TRY.replace("error", "info"), _TRY.replace("logger.error('{w}')\n        ", ""), "def h{i}_{w}(a):\n    return g(a)",
+        "# {w}", _TRY, _TRY.replace("ValueError", "Exception"), _TRY.replace("raise", "pass"), _TRY.replace("error", "info"), _TRY.replace("logger.error('{w}')\n        ", ""), "def h{i}_{w}(a):\n    return g(a)",
         _TRY.replace("logger.error('{w}')\n        raise", "pass"), "def h{i}_{w}(u):\n    return requests.get(u)", _TRY.replace("return g(a)", "go()"),
     ),
 )
