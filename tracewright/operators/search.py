@@ -13,6 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,9 +41,8 @@ def _unpacked(data: bytes | None) -> pa.Table | None:
 
 def _slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with at most `most` bytes of text each; a longer text is one of its own."""
-    size = np.array([len(x) * 2 if x else 0 for x in batch.column(column).to_pylist()], np.int64)
     start, held = 0, 0
-    for k, n in enumerate(size.tolist()):
+    for k, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
         if held and held + n > most:
             yield batch.slice(start, k - start)
             start, held = k, 0
