@@ -1,6 +1,6 @@
 """Queries of this subpackage by name, with DuckDB SQL where it can express them."""
 
-from tracewright.llm import decontaminate, language_id, lm_score, pii_crf, piece_codec, secret_scan, simhash_dedup, token_counts, toxicity, vector_dedup
+from tracewright.llm import conversation_trie, decontaminate, language_id, lm_score, pii_crf, piece_codec, secret_scan, simhash_dedup, token_counts, toxicity, vector_dedup
 
 QUERIES = {
     "op1_vector_dedup": vector_dedup.op1_vector_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_simhash_dedup": simhash_dedup.op9_simhash_dedup,
     "op10_language_id": language_id.op10_language_id,
+    "op11_prefix_trie": conversation_trie.op11_prefix_trie,
 }
 
 OP1_SQL = """
