@@ -1,6 +1,6 @@
 """Queries of this subpackage by name, with DuckDB SQL where it can express them."""
 
-from tracewright.llm import conversation_trie, decontaminate, language_id, lm_score, pii_crf, piece_codec, secret_scan, simhash_dedup, token_counts, toxicity, vector_dedup
+from tracewright.llm import conversation_trie, decontaminate, hard_negatives, language_id, lm_score, pii_crf, piece_codec, secret_scan, simhash_dedup, token_counts, toxicity, vector_dedup
 
 QUERIES = {
     "op1_vector_dedup": vector_dedup.op1_vector_dedup,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_simhash_dedup": simhash_dedup.op9_simhash_dedup,
     "op10_language_id": language_id.op10_language_id,
     "op11_prefix_trie": conversation_trie.op11_prefix_trie,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
 }
 
 OP1_SQL = """
@@ -28,4 +29,4 @@ SELECT v.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id::BIGINT AS comp
 FROM v LEFT JOIN deg ON deg.u = v.vec_id JOIN comp ON comp.id = v.vec_id
 """
 
-ORACLES = {"op1_vector_dedup": OP1_SQL, "op8_decontaminate": decontaminate.OP8_SQL}
+ORACLES = {"op1_vector_dedup": OP1_SQL, "op8_decontaminate": decontaminate.OP8_SQL, "op12_hard_negatives": hard_negatives.OP12_SQL}
