@@ -1,6 +1,6 @@
 """Queries of this subpackage by name, with DuckDB SQL where it can express them."""
 
-from tracewright.llm import conversation_trie, decontaminate, hard_negatives, language_id, lm_score, pii_crf, piece_codec, secret_scan, simhash_dedup, token_counts, toxicity, vector_dedup
+from tracewright.llm import conversation_trie, decontaminate, hard_negatives, language_id, lm_score, packing, pii_crf, piece_codec, secret_scan, simhash_dedup, token_counts, toxicity, vector_dedup
 
 QUERIES = {
     "op1_vector_dedup": vector_dedup.op1_vector_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_language_id": language_id.op10_language_id,
     "op11_prefix_trie": conversation_trie.op11_prefix_trie,
     "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_best_fit_packing": packing.op13_best_fit_packing,
 }
 
 OP1_SQL = """
