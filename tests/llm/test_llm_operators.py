@@ -553,6 +553,35 @@ def test_vectors_against_brute_force(spark):
     assert vector_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_vectors_with_repeated_and_null_ids(spark):
+    """Each row has the links of its own vector, wherever its id turns up again; null ids link like others."""
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(60, 24))
+    near = lambda k, much=0.01: (base[k] + rng.normal(size=24) * much).tolist()
+    rows = [(i, base[i].tolist()) for i in range(60)]
+    rows += [(1000, near(0)), (1000, near(0)), (1001, near(0)), (None, near(3)), (2000, near(3)), (None, near(50)), (None, rng.normal(size=24).tolist())]  # repeated, near one another
+    rows += [(1002, near(1)), (1002, near(9)), (1002, None)]  # one id, far vectors and none
+    rows += [(1003, base[2].tolist()), (1003, base[2].tolist()), (None, base[2].tolist()), (1004, [0.0] * 24), (1004, near(5)), (None, None), (1005, None), (1005, [float("nan")] * 24)]
+    usable = [k for k, (_, v) in enumerate(rows) if v is not None and np.isfinite(v).all() and np.any(v)]
+    unit = {k: np.array(rows[k][1], np.float32).astype(float) for k in usable}
+    unit = {k: v / np.linalg.norm(v) for k, v in unit.items()}
+    close = lambda i, j: i != j and i in unit and j in unit and unit[i] @ unit[j] >= 0.95
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if (close(i, j) or rows[i][0] is not None and rows[i][0] == rows[j][0]) and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    want = []
+    for i, (own, _) in enumerate(rows):
+        ids = [rows[j][0] for j in range(len(rows)) if label[j] == label[i] and rows[j][0] is not None]
+        component = min(ids, default=None)
+        want.append((own, sum(close(i, j) for j in range(len(rows))), component, own is not None and own == component))
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    assert sorted(map(tuple, vector_dedup.near_vectors(frame).collect()), key=repr) == sorted(want, key=repr)
+    assert [n for own, n, *_ in want if own in (1000, 1001)] == [3, 3, 3]
+
+
 def test_vector_links_with_a_common_direction(spark):
     rng = np.random.default_rng(3)
     unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)

@@ -19,15 +19,16 @@ QUERIES = {
 }
 
 OP1_SQL = """
-WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
-n AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS e FROM v
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+n AS (SELECT r, vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS e FROM v
       WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(e, lambda y: y * y)) > 0),
-pairs AS (SELECT a.vec_id AS u, b.vec_id AS w FROM n a JOIN n b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_inner_product(a.e, b.e) >= 0.95),
-reach(id, node) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.id, p.w FROM reach r JOIN pairs p ON p.u = r.node),
+pairs AS (SELECT a.r, a.vec_id AS u, b.vec_id AS w FROM n a JOIN n b ON a.r <> b.r AND len(a.e) = len(b.e) AND list_inner_product(a.e, b.e) >= 0.95),
+edges AS (SELECT DISTINCT u, w FROM pairs WHERE u <> w),
+reach(id, node) AS (SELECT DISTINCT vec_id, vec_id FROM v UNION SELECT r.id, p.w FROM reach r JOIN edges p ON p.u = r.node),
 comp AS (SELECT id, min(node) AS component_id FROM reach GROUP BY id),
-deg AS (SELECT u, count(*) AS n FROM pairs GROUP BY u)
+deg AS (SELECT r, count(*) AS n FROM pairs GROUP BY r)
 SELECT v.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id::BIGINT AS component_id, v.vec_id = component_id AS kept
-FROM v LEFT JOIN deg ON deg.u = v.vec_id JOIN comp ON comp.id = v.vec_id
+FROM v LEFT JOIN deg ON deg.r = v.r JOIN comp ON comp.id = v.vec_id
 """
 
 ORACLES = {"op1_vector_dedup": OP1_SQL, "op8_decontaminate": decontaminate.OP8_SQL, "op12_hard_negatives": hard_negatives.OP12_SQL}

@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from tracewright.llm import links
 from tracewright.llm.common import cut, one_blas_thread, ship_with, table
+from tracewright.llm.keyed import join_many
 
 THRESHOLD = 0.95
 #: Most vectors that rotations are learned from, ITQ steps, and the chance that a link at the threshold is missed.
@@ -321,21 +322,31 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
 
     Integer ids. Vectors that are null, empty, zero, or hold null or non-finite components link with nothing and are
     components of their own, as do vectors of different length with one another. Repeated rows and equal vectors link
-    with one another. Rows that share an id are one in components. A null id has a null component and is not kept
-    (unless rows with ids equal it). An empty table gives an empty one; further columns are ignored.
+    with one another. Rows that share an id are one in components, whatever their vectors; each row has the links of its
+    own vector. Rows with a null id link like all others; a component is named by the smallest id that is not null, and is
+    null if there is none. A null id is not kept. An empty table gives an empty one; further columns are ignored.
     """
     coded, plans, kind = encoded(vectors, id_col, vec_col, threshold)
     coded = cut(coded)
     members = coded.where("dim is not null")
-    nodes = cut(members.groupBy("vec").agg(F.min("id").alias("node"), F.first("dim").alias("dim"), F.first("codes").alias("codes"), F.count(F.lit(1)).alias("copies")))
-    found = cut(linked(nodes.where("node is not null"), plans, kind, threshold))
+    nodes = members.groupBy("vec").agg(F.first("dim").alias("dim"), F.first("codes").alias("codes"), F.count(F.lit(1)).alias("copies"))
+    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))  # a number for each distinct vector, fixed by the checkpoint
+    found = cut(linked(nodes, plans, kind, threshold))
     counts = found.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
-    labels = links.components(found.where("v is not null").select("u", "v"))
-    known = nodes.select("vec", "node", "copies").join(counts, "node", "left").join(labels, "node", "left")
-    known = known.select("vec", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    out = coded.select("id", "vec").join(known, "vec", "left")
-    component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.cast("long").alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+    named = cut(join_many(members.select("id", "vec"), nodes.select("vec", "node", "copies"), ["vec"], "copies", "inner").groupBy("id", "node").agg(F.count(F.lit(1)).alias("rows")))
+    of_id = named.where("id is not null").groupBy("id").agg(F.min("node").alias("first"))
+    same_id = named.join(of_id, "id").where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
+    labels = links.components(found.where("v is not null").select("u", "v").unionByName(same_id))
+    label = F.coalesce("component", "node")
+    whole = cut(nodes.select("vec", "node", "copies").join(labels, "node", "left").join(counts, "node", "left").select("vec", "node", "copies", label.alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    least = named.groupBy("node").agg(F.min("id").alias("id")).join(whole.select("node", "component"), "node").groupBy("component").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("vectors"))
+    known = cut(join_many(whole, cut(least), ["component"], "vectors").select("vec", "node", "copies", "n_links", "component_id"))
+    linked_rows = join_many(members.select("id", "vec"), known, ["vec"], "copies", "inner").select("id", "n_links", "component_id")
+    alone = coded.where("dim is null").select("id")
+    by_id = of_id.join(known.select(F.col("node").alias("first"), "component_id"), "first").select("id", "component_id")
+    alone = alone.join(by_id, "id", "left").select("id", F.lit(0).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    out = linked_rows.unionByName(alone)
+    return out.select(F.col("id").alias("vec_id"), F.col("n_links").cast("long").alias("n_links"), F.col("component_id").cast("long").alias("component_id"), F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def op1_vector_dedup(spark, sf_dir):
