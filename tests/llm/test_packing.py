@@ -65,6 +65,17 @@ def test_units_give_the_ids_of_whole_texts(model, monkeypatch):
         assert table.encode_parts(np.frombuffer(joined.encode(), np.uint8)).tolist() == model.encode(joined, add_special_tokens=False).ids
 
 
+def test_plain_words_are_merged_as_by_the_tokenizer(model):
+    rng = random.Random(2)
+    letters = "aaabcdeeefghiiijklmnooopqrstuvwxyzßàéèêëçñöüÿ"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 22))) for _ in range(4000)] + ["a" * n for n in range(1, 60)] + ["the", "être", "÷", "é÷a", "ab" * 30]
+    table = packing.UnitTable(public_tokenizers.path(packing.MODEL))
+    data = " ".join(words).encode()
+    ids, _ = table.encode(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    assert ids.tolist() == model.encode(" ".join(words), add_special_tokens=False).ids
+    assert len(table.known) < 100  # only the long and odd ones went to the tokenizer
+
+
 def test_table_is_emptied_and_filled_again(model, monkeypatch):
     monkeypatch.setattr(packing, "TABLE_UNITS", 3)
     table = packing.UnitTable(public_tokenizers.path(packing.MODEL))

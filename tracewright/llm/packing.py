@@ -8,17 +8,21 @@ as they can. Sequences that look alike are planned together, as a range of numbe
 plan with the fewest sequences is taken. Pieces are numbered within their length by a range partitioning, and each
 finds its sequence and place in the plan by that number; nothing else is shuffled, and no text or id is.
 
-Ids come from a table of distinct units: white space separates the tokenizer's words, and a letter and a stop after it never
-share one, so texts are cut there (a very long one in parts), each distinct unit is encoded once, and ids are joined
-back by position.
+Ids come from the distinct units of a slice of texts: white space separates the tokenizer's words, and a letter and a stop
+after it never share one, so texts are cut there (a very long one in parts), each distinct unit is encoded once, and ids are
+joined back by position. Plain words of small letters are merged all together in numpy, a merge of each at a time; the
+tokenizer itself encodes all other units, and a table keeps these.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +37,19 @@ from tracewright.llm.common import cut, id_field, ids_and_texts, map_texts, tabl
 from tracewright.llm.keyed import before, in_order, run_places
 
 MODEL, END, TOKENS = "word_bpe_49k.json", 1, 4096
-#: Distinct units, and their bytes, that a worker keeps from slice to slice; bytes of a slice, and of a part of a long text.
-TABLE_UNITS, TABLE_BYTES, SLICE_BYTES = 400_000, 6_000_000, 4 << 20
+#: Distinct units, and their bytes, of each of the two generations that a worker keeps, from slice to slice and task to task;
+#: bytes of a slice, and of a part of a long text.
+TABLE_UNITS, TABLE_BYTES, SLICE_BYTES = 300_000, 5_000_000, 4 << 20
 #: Weights of tokens, places and attention work that plans are tried with.
 WEIGHTS = ((1.0, 0.0, 0.0), (1.0, 1.0, 1.0), (1.0, 0.25, 0.25))
 _SPACE, _LETTER, _STOP = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LETTER[97:123] = True
 _STOP[[ord(c) for c in ".,:;!?"]] = True
+_AFTER_C3 = np.zeros(256, bool)  # second bytes of the small letters of Latin-1
+_AFTER_C3[[0x9F, *range(0xA0, 0xB7), *range(0xB8, 0xC0)]] = True
+#: Bytes of the longest plain word; the rank of a pair that doesn't merge.
+PLAIN_BYTES, NEVER = 48, 2**31 - 1
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -78,33 +87,128 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     return held, np.searchsorted(starts, offsets)
 
 
+class Merges:
+    """The merges of a byte-level tokenizer whose words end in `</w>`, for many words at once."""
+
+    def __init__(self, path: str):
+        model = json.loads(Path(path).read_text())["model"]
+        vocab, pairs = model["vocab"], [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        self.size = max(vocab.values()) + 1
+        keys = np.array([vocab[a] * self.size + vocab[b] for a, b in pairs], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.ranks = keys[order], order.astype(np.int32)
+        self.merged = np.array([vocab[a + b] for a, b in pairs], np.int32)
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # these bytes are written as they are, the others from 256 on
+        sign = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
+        self.inner = np.array([vocab[sign[b]] for b in range(256)], np.int32)
+        self.last = np.array([vocab[sign[b] + "</w>"] for b in range(256)], np.int32)
+        first = self.inner[:, None].repeat(256, axis=1).ravel()
+        self.pairs = np.stack([self.rank(first, np.tile(second, 256)) for second in (self.inner, self.last)]).reshape(2, 256, 256)
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a.astype(np.int64) * self.size + b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], NEVER).astype(np.int32)
+
+    def encode(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words one after another, and how many each has. Of each word the leftmost pair of the lowest rank merges, round by round."""
+        word = np.repeat(np.arange(len(sizes)), sizes)
+        ends = np.cumsum(sizes) - 1
+        final = np.zeros(len(data), bool)
+        final[ends] = True
+        sign = np.where(final, self.last[data], self.inner[data])
+        rank = np.full(len(data), NEVER, np.int32)
+        rank[:-1] = np.where(final[:-1], NEVER, self.pairs[final[1:].astype(np.int8), data[:-1], data[1:]])
+        done = []
+        while len(word):
+            starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            least, count = np.minimum.reduceat(rank, starts), np.diff(np.append(starts, len(word)))
+            live = least < NEVER
+            if not live.all():
+                kept = np.repeat(live, count)
+                done.append((word[~kept], sign[~kept]))
+                word, sign, rank, least, count = word[kept], sign[kept], rank[kept], least[live], count[live]
+                if not len(word):
+                    break
+            hit = np.flatnonzero(rank == np.repeat(least, count))
+            hit = hit[np.append(True, word[hit][1:] != word[hit][:-1])]
+            sign[hit] = self.merged[least]
+            left, right = hit - 1, np.minimum(hit + 2, len(word) - 1)
+            more = (right == hit + 2) & (word[right] == word[hit])
+            rank[hit] = np.where(more, self.rank(sign[hit], sign[right]), NEVER)
+            left, own = left[(left >= 0) & (word[left] == word[hit])], hit[(left >= 0) & (word[left] == word[hit])]
+            rank[left] = self.rank(sign[left], sign[own])
+            kept = np.ones(len(word), bool)
+            kept[hit + 1] = False
+            word, sign, rank = word[kept], sign[kept], rank[kept]
+        word, sign = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (np.zeros(0, np.int64), np.zeros(0, np.int32))
+        return sign[np.argsort(word, kind="stable")].astype(np.uint32), np.bincount(word, minlength=len(sizes))
+
+
 class UnitTable:
-    """Ids of each distinct unit, as bytes of 32-bit integers."""
+    """Ids of distinct units. Plain words are merged anew for each slice; of other units a table keeps the ids, as bytes
+    of 32-bit integers. When those of late are too many they become the older ones, which are forgotten when that happens
+    again; units in use move on."""
 
     def __init__(self, path: str):
-        self.model = tokenizer(path)
+        self.model, self.merges = tokenizer(path), Merges(path)
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.size = 0
 
     def rows(self, found: list[bytes]) -> list[bytes]:
         if len(self.known) > TABLE_UNITS or self.size > TABLE_BYTES:
-            self.known.clear()
-            self.size = 0
-        new = [u for u in found if u not in self.known]
-        self.size += sum(map(len, new))
+            self.older, self.known, self.size = self.known, {}, 0
+        out = list(map(self.known.get, found))
+        missing = [i for i, ids in enumerate(out) if ids is None]
+        new = []
+        for i in missing:
+            u = found[i]
+            out[i] = ids = self.older.get(u)
+            if ids is None:
+                new.append(i)
+            else:
+                self.known[u] = ids
         for start in range(0, len(new), 20_000):
             part = new[start : start + 20_000]
-            for u, x in zip(part, self.model.encode_batch_fast([u.decode() for u in part], add_special_tokens=False), strict=True):
-                self.known[u] = np.array(x.ids, "<u4").tobytes()
-        return list(map(self.known.__getitem__, found))
+            for i, x in zip(part, self.model.encode_batch_fast([found[i].decode() for i in part], add_special_tokens=False), strict=True):
+                out[i] = self.known[found[i]] = array("I", x.ids).tobytes()
+        self.size += sum(len(found[i]) for i in missing)
+        return out
+
+    def ids_of(self, found: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct units one after another, and how many each has."""
+        n = len(found)
+        bounds = np.frombuffer(found.buffers()[1], np.int64, n + 1, found.offset * 8)
+        data = np.frombuffer(found.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+        bounds, sizes = bounds - bounds[0], np.diff(bounds)
+        fine = _LETTER[data]
+        pair = (data[:-1] == 0xC3) & _AFTER_C3[data[1:]]  # a unit does not end within a character
+        fine[:-1] |= pair
+        fine[1:] |= pair
+        odd = np.concatenate([[0], np.cumsum(~fine)])
+        plain = (odd[bounds[1:]] == odd[bounds[:-1]]) & (sizes <= PLAIN_BYTES) & (sizes > 0)
+        ids, counts = self.merges.encode(data[np.repeat(plain, sizes)], sizes[plain])
+        rest = np.flatnonzero(~plain)
+        if not len(rest):
+            return ids, counts
+        rows = self.rows(found.take(pa.array(rest)).to_pylist())
+        each = np.zeros(n, np.int64)
+        each[plain] = counts
+        each[rest] = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
+        out, of_plain = np.zeros(int(each.sum()), np.uint32), np.repeat(plain, each)
+        out[of_plain] = ids
+        out[~of_plain] = np.frombuffer(b"".join(rows), "<u4")
+        return out, each
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and the n + 1 offsets of the texts among them."""
         found, bounds = units(data, offsets)
+        if not len(found):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         coded = found.dictionary_encode()
-        rows = self.rows(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
-        each = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)])), pa.array(np.frombuffer(b"".join(rows), "<u4")))
+        ids, sizes = self.ids_of(coded.dictionary)
+        each = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)])), pa.array(ids))
         ids = each.take(coded.indices).flatten().to_numpy(zero_copy_only=False)
         ends = np.concatenate([[0], np.cumsum(sizes[coded.indices.to_numpy(zero_copy_only=False)])]).astype(np.int64)
         return ids, ends[bounds]
@@ -129,18 +233,16 @@ def pieces(docs: DataFrame, tokens: int = TOKENS, end_id: int = END, model_path:
     path = model_path or public_tokenizers.path(MODEL)
     last = T.StructField("ids_crc32", T.LongType()) if digest else T.StructField("ids", T.ArrayType(T.IntegerType()))
     schema = T.StructType([id_field(docs, id_col, "doc_id"), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), last])
-    held: list[UnitTable] = []  # one table in each task
     end = np.array([end_id], "<u4")
 
     def code(part: pa.RecordBatch) -> pa.RecordBatch:
-        if not held:
-            held.append(UnitTable(path))
+        units_of = unit_table(path)
         data, offsets = utf8(part.column("text"))
         if len(data) > SLICE_BYTES and part.num_rows == 1:
-            ids = held[0].encode_parts(data)
+            ids = units_of.encode_parts(data)
             offsets = np.array([0, len(ids)])
         else:
-            ids, offsets = held[0].encode(data, offsets)
+            ids, offsets = units_of.encode(data, offsets)
         rows, starts, lengths, kept = [], [], [], []
         for row, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
             own = np.concatenate([ids[a:b], end]).astype("<u4")
@@ -156,6 +258,12 @@ def pieces(docs: DataFrame, tokens: int = TOKENS, end_id: int = END, model_path:
     return map_texts(ids_and_texts(docs, id_col, text_col), code, schema, SLICE_BYTES)
 
 
+@lru_cache(maxsize=1)
+def unit_table(path: str) -> UnitTable:
+    """The table of this process, which tasks share one after another."""
+    return UnitTable(path)
+
+
 @dataclass
 class Plan:
     """Where pieces go: those of a length with numbers from `low` on, `each` to a sequence, from sequence `first` on, at `offset`."""
