@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import text as tx
 from tracewright.functions.tokens import identifier_hashes
-from tracewright.operators import joins, models, retrieval, routing, search, traces
+from tracewright.operators import joins, models, postings, retrieval, routing, search, traces
 from tracewright.plans.trace_queries import trace_of_events
 from tracewright.sources import code_files, issues, sinks, trace_log
 from tracewright.streaming import trace_stream
@@ -54,7 +54,9 @@ def plain_bm25(docs, query):
 def small_blocks(monkeypatch):
     monkeypatch.setattr(search, "QUERIES", 2)
     monkeypatch.setattr(search, "ROWS", 7)
-    monkeypatch.setattr(search, "AT_ONCE", 2)  # and several passes
+    monkeypatch.setattr(search, "PASS_BYTES", 2000)  # and several passes
+    monkeypatch.setattr(postings, "SEGMENT", 5)
+    monkeypatch.setattr(postings, "ASKED", 4)
 
 
 def corpus(n=60):
@@ -111,14 +113,55 @@ def test_hybrid_search(spark, small_blocks):
         assert [(r["doc"], r["score"]) for r in got if r["query"] == q] == best({i: a[i] + b[i] + named(i) for i in every}, 5)
 
 
-def test_search_has_no_row_for_each_query_and_document(spark):
-    """Blocks meet, in a broadcast join, and texts are tokenized once for each pass."""
-    docs, queries = corpus(20)
-    frame, asked = spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(list(queries.items()), "item int, text string")
-    plan = search.lexical_top(frame, "doc_id", "text", asked, "item", "text", 5)._jdf.queryExecution().executedPlan().toString()
+def test_dense_search_has_no_row_for_each_query_and_document(spark):
+    """Blocks meet, in a broadcast join."""
+    frame = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(50)], "id long, v array<double>")
+    plan = search.dense_top(frame, "id", "v", frame.where("id < 9"), "id", "v", 5)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastNestedLoopJoin BuildRight, Cross" in plan and "CartesianProduct" not in plan
 
 
+@pytest.fixture(scope="module")
+def topics(spark):
+    """400 documents, ten after another about one thing, each with common words too."""
+    rng = random.Random(4)
+    common, special = [f"w{i}" for i in range(30)], [[f"t{t}_{i}" for i in range(6)] for t in range(40)]
+    docs = {i: " ".join(rng.choices(common, k=20) + rng.choices(special[i // 10], k=rng.randrange(1, 12))) for i in range(400)}
+    return docs, spark.createDataFrame(list(docs.items()), "doc_id long, text string").coalesce(1)
+
+
+def test_postings_skip_segments_below_the_threshold(spark, topics, monkeypatch):
+    monkeypatch.setattr(postings, "SEGMENT", 10)
+    docs, frame = topics
+    queries = {t: f"t{t}_0 t{t}_1 w1 w2 t{t}_2" for t in range(0, 40, 4)} | {100: "w1 w2 w3", 101: "nowhere", 102: ""}
+    asked = spark.createDataFrame(list(queries.items()), "item int, text string")
+    index = postings.Postings.build(frame, "doc_id", "text")
+    assert (index.documents, index.rows.where("hash is null").count()) == (400, 40)
+    own = postings.Pass(index, index.asked(asked, "item", "text"), 5, 6)
+    chosen = own.segments().groupBy("query").count().collect()
+    touched = own.bounds(own.terms(np.arange(len(own.hash)))).groupBy("query").count().collect()
+    assert all(r["count"] == 40 for r in touched)
+    assert all(r["count"] <= 10 for r in chosen if r["query"] < 100)  # of 40
+    got = index.top(asked, "item", "text", 5).orderBy("query", "rank").collect()
+    for q, text in queries.items():
+        assert [(r["doc"], r["score"]) for r in got if r["query"] == q] == best(plain_bm25(docs, text), 5)
+
+
+def test_postings_are_kept_and_read_by_folders(spark, topics, tmp_path):
+    docs, frame = topics
+    postings.Postings.build(frame, "doc_id", "text").save(str(tmp_path / "index"))
+    index = postings.Postings.load(spark, str(tmp_path / "index"))
+    asked = spark.createDataFrame([(1, "t3_1 w7"), (2, "t9_0")], "item int, text string")
+    got = index.top(asked, "item", "text", 3).orderBy("query", "rank").collect()
+    for q, text in ((1, "t3_1 w7"), (2, "t9_0")):
+        assert [(r["doc"], r["score"]) for r in got if r["query"] == q] == best(plain_bm25(docs, text), 3)
+    own = postings.Pass(index, index.asked(asked, "item", "text"), 3, 6)
+    files = {f.rsplit("bucket=", 1)[1].split("/")[0] for f in own.rows.select("hash").inputFiles()}
+    every = {p.name.split("=")[1] for p in (tmp_path / "index" / "rows").glob("bucket=*")}
+    assert files <= every and len(every) > 50
+    plan = own.rows._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
+
+
 def plain_asof(left, right):
     out = []
     for i, (k, t) in enumerate(left):

@@ -2,8 +2,8 @@
 
 Documents and queries are packed into blocks of bounded size, and each pair of blocks is one matrix product, of which
 only the k best documents of each query leave: no frame ever has a row for each query and document. Texts are tokenized
-once for the counts of terms and once for the blocks, in numpy. Scores are rounded before they are compared, and ties
-go to the smaller id, in blocks and over all of them alike.
+once, in numpy. Scores are rounded before they are compared, and ties
+go to the smaller id, in blocks and over all of them alike. Search by words alone goes through an index: see postings.
 """
 
 from __future__ import annotations
@@ -20,10 +20,10 @@ from pyspark.sql import types as T
 
 from tracewright.functions.tokens import identifier_hashes
 from tracewright.operators.retrieval import B, EPSILON, K1, PATH_BOOST
-from tracewright.session import ship
+from tracewright.session import cut, ship
 
-#: Blocks of queries (some 10 KB a query at most) that are broadcast at once; with more of them there are more passes.
-AT_ONCE = 32
+#: Bytes of query blocks that are broadcast at once; with more of them there are more passes.
+PASS_BYTES = 32 << 20
 #: Queries and documents of a block; bytes of text tokenized at once; distinct terms that a task counts before it passes them on.
 QUERIES, ROWS, TEXT_BYTES, COUNTED = 128, 1024, 4 << 20, 1 << 19
 
@@ -51,34 +51,28 @@ def _slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.Record
         yield batch.slice(start)
 
 
-def term_counts(docs: DataFrame, text: str) -> DataFrame:
-    """(hash, df, tokens): documents with each term; the row with a null hash has the documents and tokens in all."""
-    ship(docs.sparkSession)
+def counts_of(blocks: DataFrame) -> DataFrame:
+    """(hash, df, tokens) from text_blocks: documents with each term; the row with a null hash has the documents and tokens in all."""
 
     def count(batches):
         held, n, documents, tokens = [], 0, 0, 0
         rows = lambda h, c: pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), pa.array(np.zeros(len(h), np.int64))], ["hash", "df", "tokens"])
         for batch in batches:
-            for part in _slices(batch, "text", TEXT_BYTES):
-                hashes, bounds = identifier_hashes(part.column("text"))
-                text = np.repeat(np.arange(part.num_rows), np.diff(bounds))
-                order = np.lexsort([text, hashes])
-                hashes, text = hashes[order], text[order]
-                new = np.append(True, (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1]))[: len(hashes)]
-                held.append(np.unique(hashes[new], return_counts=True))
-                n += len(held[-1][0])
-                documents, tokens = documents + part.num_rows, tokens + len(hashes)
-                if n > 2 * COUNTED:
-                    held = [_added(held)]
-                    n = len(held[0][0])
-                    if n > COUNTED:
-                        yield rows(*held.pop())
-                        n = 0
+            held.append(np.unique(np.frombuffer(b"".join(batch.column("hashes").to_pylist()), np.int64), return_counts=True))
+            n += len(held[-1][0])
+            documents, tokens = documents + batch.num_rows, tokens + int(batch.column("tokens").to_numpy().sum())
+            if n > 2 * COUNTED:
+                held = [_added(held)]
+                n = len(held[0][0])
+                if n > COUNTED:
+                    yield rows(*held.pop())
+                    n = 0
         if held:
             yield rows(*_added(held))
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([documents]), pa.array([tokens])], ["hash", "df", "tokens"])
 
-    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "hash long, df long, tokens long").groupBy("hash").agg(F.sum("df").alias("df"), F.sum("tokens").alias("tokens"))
+    ship(blocks.sparkSession)
+    return blocks.select("tokens", "hashes").mapInArrow(count, "hash long, df long, tokens long").groupBy("hash").agg(F.sum("df").alias("df"), F.sum("tokens").alias("tokens"))
 
 
 def _added(parts):
@@ -173,22 +167,21 @@ def unit_vectors(values: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return out / np.where(length > 0, length, 1), there
 
 
-def lexical_scores(rows: pa.Table, terms: pa.Table, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """BM25 by document and query, and whether they share a term."""
-    hashes, column = np.unique(terms.column("hash").to_numpy(), return_inverse=True)
-    weights = np.zeros((len(hashes), len(queries)))
-    weights[column, np.searchsorted(queries, terms.column("query").to_numpy())] = terms.column("weight").to_numpy()
+def lexical_scores(rows: pa.Table, terms: pa.Table, queries: np.ndarray) -> np.ndarray:
+    """BM25 by document and query: what the postings of the documents add for the queries that ask for their terms."""
+    terms = terms.sort_by("hash")
+    hash_, column, weight = terms.column("hash").to_numpy(), np.searchsorted(queries, terms.column("query").to_numpy()), terms.column("weight").to_numpy()
     mean, tokens = terms.column("mean_terms")[0].as_py(), rows.column("tokens").to_numpy(zero_copy_only=False) if rows.num_rows else np.zeros(0)
     found = [np.frombuffer(x or b"", np.int64) for x in rows.column("hashes").to_pylist()]
     own, times = np.concatenate([*found, np.zeros(0, np.int64)]), np.frombuffer(b"".join(x or b"" for x in rows.column("times").to_pylist()), np.int32)
     text = np.repeat(np.arange(len(found)), [len(x) for x in found])
-    at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
-    kept = hashes[at] == own
-    times, text = times[kept].astype(float), text[kept]
-    used, at = np.unique(at[kept], return_inverse=True)
-    weights, part = weights[used], np.zeros((len(found), len(used)))
-    part[text, at] = times * (K1 + 1) / (times + K1 * (1 - B + B * tokens[text] / mean))
-    return part @ weights, (part > 0).astype(np.float32) @ (weights != 0).astype(np.float32) > 0
+    low, high = np.searchsorted(hash_, own, "left"), np.searchsorted(hash_, own, "right")
+    kept = np.flatnonzero(high > low)
+    low, n, times, text = low[kept], (high - low)[kept], times[kept].astype(float), text[kept]
+    part = times * (K1 + 1) / (times + K1 * (1 - B + B * tokens[text] / mean))
+    each = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    total = np.bincount(np.repeat(text, n) * len(queries) + column[each], np.repeat(part, n) * weight[each], minlength=len(found) * len(queries))
+    return total.reshape(len(found), len(queries))
 
 
 def best(scores: np.ndarray, there: np.ndarray, docs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -203,8 +196,24 @@ def best(scores: np.ndarray, there: np.ndarray, docs: np.ndarray, k: int) -> tup
     return i[rank < k], j[rank < k]
 
 
-def _scored(rows: DataFrame, queries: DataFrame, blocks: int, work, schema: str) -> DataFrame:
-    """What work gives for every block of rows with every block of queries; the queries are broadcast, AT_ONCE blocks a pass."""
+def _passes(queries: DataFrame) -> list[list[int]]:
+    """Blocks that are broadcast together, by their measured sizes; a larger one is a pass of its own."""
+    size = sum((F.coalesce(F.length(c), F.lit(0)) for c in queries.columns if c != "block"), F.lit(0).cast("long"))
+    out, held = [], PASS_BYTES
+    for block, n in queries.select("block", size).orderBy("block").collect():  # a row for QUERIES queries
+        if held + n > PASS_BYTES:
+            out.append([])
+            held = 0
+        out[-1].append(block)
+        held += n
+    return out or [[]]
+
+
+def _scored(rows: DataFrame, queries: DataFrame, work, schema: str) -> DataFrame:
+    """What work gives for every block of rows with every block of queries; the queries are broadcast, some bytes a pass.
+
+    Both are materialized: every pass reads them.
+    """
 
     def run(batches):
         for batch in batches:
@@ -213,7 +222,8 @@ def _scored(rows: DataFrame, queries: DataFrame, blocks: int, work, schema: str)
                 own = {name: _unpacked(value[k]) for name, value in values.items()}
                 yield from work(own.pop("rows"), own)
 
-    parts = [queries if blocks <= AT_ONCE else queries.where(F.col("block").between(k, k + AT_ONCE - 1)) for k in range(0, blocks, AT_ONCE)]
+    passes = _passes(queries)
+    parts = [queries if len(passes) == 1 else queries.where(F.col("block").isin(own)) for own in passes]
     return reduce(DataFrame.unionByName, (rows.crossJoin(F.broadcast(part.drop("block"))).mapInArrow(run, schema) for part in parts))
 
 
@@ -224,18 +234,13 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
 
 
 def lexical_top(docs: DataFrame, doc: str, text: str, queries: DataFrame, query: str, query_text: str, k: int, places: int = 6) -> DataFrame:
-    """(query, doc, score, rank): the k best documents of each query by BM25, of those that share a term with it."""
+    """(query, doc, score, rank): the k best documents of each query by BM25, of those that share a term with it.
 
-    def work(rows, own):
-        ids, docs_of = np.unique(own["terms"].column("query").to_numpy()), rows.column("doc").to_numpy()
-        score, shared = lexical_scores(rows, own["terms"], ids)
-        score = np.round(score, places)
-        i, j = best(score, shared, docs_of, k)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[j]), pa.array(docs_of[i]), pa.array(score[i, j])], ["query", "doc", "score"])
+    The index is built for this query set alone; postings.Postings keeps one for many.
+    """
+    from tracewright.operators.postings import Postings
 
-    blocks = blocks_for(queries.count())
-    asked = query_blocks(blocks, terms=weighted_terms(queries, query, query_text, term_counts(docs, text)))
-    return _ranked(_scored(row_blocks(text_blocks(docs, doc, text)), asked, blocks, work, "query long, doc long, score double"), k)
+    return Postings.build(docs, doc, text).top(queries, query, query_text, k, places)
 
 
 def dense_top(vectors: DataFrame, doc: str, vector: str, queries: DataFrame, query: str, query_vector: str, k: int, places: int = 6) -> DataFrame:
@@ -254,7 +259,7 @@ def dense_top(vectors: DataFrame, doc: str, vector: str, queries: DataFrame, que
     blocks = blocks_for(queries.count())
     asked = query_blocks(blocks, vectors=queries.select(F.col(query).cast("long").alias("query"), F.col(query_vector).alias("vector")))
     own = vectors.select(F.col(doc).cast("long").alias("doc"), F.col(vector).alias("vector"))
-    return _ranked(_scored(row_blocks(own), asked, blocks, work, "query long, doc long, score double"), k)
+    return _ranked(_scored(row_blocks(own), cut(asked), work, "query long, doc long, score double"), k)
 
 
 RANGES = ("dense_low", "dense_high", "lexical_low", "lexical_high")
@@ -276,7 +281,7 @@ def hybrid_top(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int,
             y, asked = unit_vectors(own["vectors"].column("vector"))
             if x.shape[1] == y.shape[1]:
                 dense[:, np.searchsorted(ids, own["vectors"].column("query").to_numpy())] = np.where(there[:, None] & asked[None, :], x @ y.T, 0)
-        return ids, dense, lexical_scores(rows, own["terms"], ids)[0] if own["terms"] is not None else np.zeros_like(dense)
+        return ids, dense, lexical_scores(rows, own["terms"], ids) if own["terms"] is not None else np.zeros_like(dense)
 
     def ranges(rows, own):
         ids, dense, lexical = scores(rows, own)
@@ -299,15 +304,17 @@ def hybrid_top(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int,
         yield pa.RecordBatch.from_arrays([pa.array(ids[j]), pa.array(docs_of[i]), pa.array(score[i, j]), pa.array(dense[i, j]), pa.array(lexical[i, j])], ["query", "doc", "score", "dense", "lexical"])
 
     blocks, long = blocks_for(queries.count()), F.col("query").cast("long").alias("query")
+    texts = cut(text_blocks(docs, "doc", "text"))
     asked = query_blocks(
         blocks,
-        terms=weighted_terms(queries, "query", "text", term_counts(docs, "text")),
+        terms=weighted_terms(queries, "query", "text", counts_of(texts)),
         vectors=queries.where("vector is not null").select(long, "vector"),
         paths=queries.select(long, F.explode("paths").alias("path")),
     )
-    texts = text_blocks(docs, "doc", "text").join(docs.select(F.col("doc").cast("long").alias("doc"), "path").where("path is not null"), "doc", "left")
-    rows = row_blocks(texts.join(vectors.select(F.col("doc").cast("long").alias("doc"), "vector"), "doc", "full"))
-    limits = _scored(rows, asked, blocks, ranges, "query long, " + ", ".join(f"{c} double" for c in RANGES))
+    asked = cut(asked)
+    texts = texts.join(docs.select(F.col("doc").cast("long").alias("doc"), "path").where("path is not null"), "doc", "left")
+    rows = cut(row_blocks(texts.join(vectors.select(F.col("doc").cast("long").alias("doc"), "vector"), "doc", "full")))
+    limits = _scored(rows, asked, ranges, "query long, " + ", ".join(f"{c} double" for c in RANGES))
     limits = limits.groupBy("query").agg(*((F.min if c.endswith("low") else F.max)(c).alias(c) for c in RANGES))
-    asked = asked.join(_blocks_of(limits, blocks, "ranges"), "block", "left")
-    return _ranked(_scored(rows, asked, blocks, work, "query long, doc long, score double, dense double, lexical double"), k)
+    asked = cut(asked.join(_blocks_of(limits, blocks, "ranges"), "block", "left"))
+    return _ranked(_scored(rows, asked, work, "query long, doc long, score double, dense double, lexical double"), k)
