@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tracewright.operators import joins
+from tracewright.operators import commits, joins
 from tracewright.plans import query
 from tracewright.plans.trace_queries import table
 
@@ -92,6 +93,30 @@ def asof_commit(spark, sf_dir):
     return joins.asof_backward(buys, views, "user_id", "ts", "view_ts", ["view_id"], tie="view_id", width=86_400.0).select("event_id", "view_id")
 
 
+@query(
+    "asof_commit_order",
+    """
+    WITH RECURSIVE r AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, CASE WHEN event_type = 'error' THEN ts - INTERVAL 1 DAY ELSE ts END AS t FROM events),
+    e AS (SELECT user_id, n, CASE WHEN n % 5 = 3 THEN n - 2 ELSE n - 1 END AS p FROM r UNION ALL SELECT user_id, n, n - 3 FROM r WHERE n % 5 = 0),
+    h AS (SELECT user_id, max(n) AS n FROM r GROUP BY user_id),
+    walk(user_id, n, until) AS (SELECT user_id, n, TIMESTAMP '9999-12-31' FROM h UNION SELECT w.user_id, e.p, least(w.until, r.t) FROM walk w JOIN e ON e.user_id = w.user_id AND e.n = w.n JOIN r ON r.user_id = w.user_id AND r.n = w.n WHERE e.p > 0),
+    seen AS (SELECT user_id, n, t, max(until) AS until FROM walk JOIN r USING (user_id, n) GROUP BY ALL)
+    SELECT q.event_id, arg_max(n, (t, until)) AS commit_n FROM (SELECT * FROM events WHERE event_type = 'purchase') q LEFT JOIN seen s ON s.user_id = q.user_id AND s.t <= q.ts AND q.ts < s.until GROUP BY q.event_id
+    """,
+)
+def asof_commit_order(spark, sf_dir):
+    """Events of a user are commits of a repository: every fifth merges a side branch, and the clock of errors is a day late."""
+    e = table(spark, sf_dir, "events")
+    at = F.when(F.col("event_type") == "error", F.col("ts") - F.expr("INTERVAL 1 DAY")).otherwise(F.col("ts"))
+    r = e.select(F.col("user_id").cast("string").alias("repo"), at.alias("committed_at"), F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("n"))
+    first = F.when(F.col("n") % 5 == 3, F.col("n") - 2).otherwise(F.col("n") - 1)
+    parents = F.filter(F.array(first, F.when(F.col("n") % 5 == 0, F.col("n") - 3)), lambda p: p > 0)
+    made = r.select("repo", F.col("n").cast("string").alias("commit_id"), "committed_at", parents.cast("array<string>").alias("parents"))
+    heads = r.groupBy("repo").agg(F.max("n").cast("string").alias("commit_id")).withColumn("branch", F.lit("main"))
+    asks = e.where("event_type = 'purchase'").select("event_id", F.col("user_id").cast("string").alias("repo"), F.lit("main").alias("branch"), "ts")
+    return commits.asof_commit(asks, made, heads, "ts").select("event_id", F.col("commit_id").cast("long").alias("commit_n"))
+
+
 @query(
     "event_band_join",
     "SELECT a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON a.user_id = b.user_id AND b.event_id BETWEEN a.event_id AND a.event_id + 100 WHERE a.event_type = 'error' AND b.event_type = 'view'",
