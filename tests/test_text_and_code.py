@@ -84,13 +84,6 @@ def test_evaluate_reports_the_first_failing_check(spark):
     }
 
 
-def test_exception_changes():
-    change = lambda a, b: pyast.catch_change(frozenset(a), frozenset(b))
-    assert [change(["KeyError"], ["LookupError"]), change(["ValueError"], ["Exception"]), change(["ValueError"], ["*"])] == ["broadened"] * 3
-    assert [change(["*"], ["ValueError"]), change(["Exception"], ["ValueError"])] == ["narrowed"] * 2
-    assert {change(["ValueError"], ["OSError"]), change(["ValueError", "KeyError"], ["LookupError"]), change(["IOError"], ["OSError"]), change(["CustomError"], ["Exception"]), change(["os.error"], ["Exception"])} == {None}
-
-
 BODY = "def f():\n    try:\n        {body}\n    except ValueError{as_}:\n        {handler}\n"
 
 
@@ -113,19 +106,56 @@ FINDINGS = [
 ]
 
 
-@pytest.mark.parametrize(("old", "new", "kinds"), FINDINGS)
-def test_error_handling(old, new, kinds):
-    found, error = pyast.error_handling_findings(old, new, [(1, 50)], "a/b.py")
-    assert error is None
-    assert [f["kind"] for f in found] == kinds
+FILES = "patch_id string, file_path string, old_source string, new_source string, diff_text string"
+
+
+def test_error_handling(spark):
+    files = spark.createDataFrame([(str(k), "a/b.py", old, new, "@@ -1 +1,50 @@") for k, (old, new, _) in enumerate(FINDINGS)], FILES)
+    got = {r["patch_id"]: r for r in patches.error_handling(files).collect()}
+    for k, (_, _, kinds) in enumerate(FINDINGS):
+        assert got[str(k)]["error"] is None and [f["kind"] for f in got[str(k)]["findings"]] == kinds
+    found = {f["kind"]: (f["location"], f["detail"]) for r in got.values() for f in r["findings"]}
+    assert found["error_logging_downgraded"] == ("f:L4", "from error to info") and found["missing_error_handling_new_code"] == ("g:L1", "calls get without any try")
+
+
+def test_exception_changes(spark):
+    broader = [("KeyError", "LookupError"), ("ValueError", "Exception"), ("ValueError", ""), ("(KeyError, IndexError)", "LookupError"), ("IOError", "Exception")]
+    other = [("", "ValueError"), ("Exception", "ValueError"), ("ValueError", "OSError"), ("(ValueError, KeyError)", "LookupError"), ("IOError", "OSError"), ("CustomError", "Exception"), ("os.error", "Exception"), ("", ""), ("e[0]", "Exception")]
+    code = lambda x: source().replace("except ValueError", f"except {x}".rstrip())
+    files = spark.createDataFrame([(f"{a}>{b}", "a.py", code(a), code(b), "@@ +1,9 @@") for a, b in broader + other], FILES)
+    assert {r["patch_id"]: [f["kind"] for f in r["findings"]] for r in patches.error_handling(files).collect()} == {f"{a}>{b}": ["broadened_except"] for a, b in broader} | {f"{a}>{b}": [] for a, b in other}
 
 
 def test_error_handling_scope_of_a_diff(spark):
-    assert pyast.error_handling_findings(source(), "def f():\n    go()\n", [(4, 3)], "a.py") == ([], None)
-    assert pyast.error_handling_findings("x = 1\n", "def g(u):\n    return requests.get(u)\n", [(1, 9)], "tests/b.py")[0] == []
-    assert pyast.error_handling_findings("def f(:", "x", [(1, 1)], "a.py")[1].startswith("SyntaxError")
-    files = spark.createDataFrame([("p", "a.py", source(), "def f():\n    go()\n", "@@ -1,6 +1,2 @@\n"), ("q", "a.py", None, None, None)], "patch_id string, file_path string, old_source string, new_source string, diff_text string")
-    assert {r["patch_id"]: r["signal"] for r in patches.error_handling(files).collect()} == {"p": True, "q": False}
+    late = "def f():\n    x = 1\n\n\nclass A:\n    def f(self):\n        go()\n"
+    early = "class A:\n    def f(self):\n        try:\n            go()\n        except ValueError:\n            pass\n\n\ndef f():\n    try:\n        x = 1\n    except* KeyError:\n        pass\n"
+    rows = [
+        ("p", "a.py", source(), "def f():\n    go()\n", "@@ -1,6 +1,2 @@\n"), ("q", "a.py", None, None, None), ("gone", "a.py", source(), "def f():\n    go()\n", "@@ -1,6 +4,0 @@"), ("test", "tests/b.py", "x = 1\n", "def g(u):\n    return requests.get(u)\n", "@@ +1,9 @@"),
+        ("bad", "a.py", "def f(:", "x", "@@ +1 @@"), ("two", "a.py", source(handler="raise"), source(), "@@ +1,9 @@"), ("two", "b.py", source(extra="    except KeyError:\n        pass\n"), source(), "@@ +1,9 @@"), ("both", "a.py", early, late, "@@ +1,9 @@"),
+        ("many", "a.py", source(handler="logger.critical(1)\n        log.error(2)\n        raise"), source(handler="logger.warning(1)"), "@@ +1,9 @@"), ("names", "a.py", source().replace("ValueError", "(KeyError, IndexError)"), source().replace("ValueError", "LookupError"), "@@ +1,9 @@"),
+    ]
+    got = {(r["patch_id"], r["file_path"]): [f["kind"] for f in r["findings"]] if r["error"] is None else r["error"][:11] for r in patches.error_handling(spark.createDataFrame(rows, FILES)).collect()}
+    assert got == {
+        ("p", "a.py"): ["removed_try_block"], ("q", "a.py"): [], ("gone", "a.py"): [], ("test", "tests/b.py"): [], ("bad", "a.py"): "SyntaxError", ("two", "a.py"): ["removed_raise"], ("two", "b.py"): ["removed_except_clause"],
+        ("both", "a.py"): [], ("many", "a.py"): ["removed_raise", "error_logging_downgraded"], ("names", "a.py"): ["broadened_except"],
+    }
+    by_qualname = patches.error_handling(spark.createDataFrame(rows[7:8], FILES), by_qualname=True).first()
+    assert [f["location"] for f in by_qualname["findings"]] == ["f:L3"]
+
+
+def test_deep_sources_are_rows_like_others(spark):
+    """Long sums and many nested blocks: facts as of any source, and no job fails."""
+    terms = "x = " + "+".join(["a"] * 3000) + "\ndef f(p=" + "+".join(["b"] * 3000) + "):\n    return 1\n"
+    nested = "def g():\n" + "".join(" " * (k + 1) + "if a:\n" for k in range(90)) + " " * 91 + "raise A\n"
+    deeper = "x = " + "(" * 5000 + ")" * 5000
+    rows = [("t", "t.py", terms, terms.replace("return 1", "return 2"), "@@ +1,9 @@"), ("n", "n.py", nested, nested, "@@ +1,99 @@"), ("d", "d.py", deeper, deeper, "@@ +1,9 @@"), ("u", "u.py", "-" * 20_000 + "1", "not " * 20_000 + "1", "@@ +1 @@"), ("ok", "ok.py", "x = 1", "x = 1", "")]
+    files = spark.createDataFrame(rows, FILES)
+    chunks, errors = patches.chunk_files(files, source="new_source")
+    assert {r["name"] for r in chunks.collect()} == {"f", "g"}
+    assert {r["file_path"] for r in errors.collect()} <= {"d.py", "u.py"}
+    assert {r["patch_id"]: r["passed"] for r in patches.signature_unchanged(files).collect()} == dict.fromkeys("tndu", True) | {"ok": True}
+    assert {r["patch_id"] for r in patches.error_handling(files).collect()} == {"t", "n", "d", "u", "ok"}
+    assert len(patches.syntax_valid(files).collect()) == 5
 
 
 def test_chunks_and_signatures(spark):

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import ast
-import traceback
 import builtins
+import sys
+import traceback
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 SCOPES = (*FUNCTIONS, ast.Lambda)
@@ -15,10 +17,30 @@ def parse(source: str | None) -> tuple[ast.Module | None, str | None]:
     """The tree, or why there is none."""
     try:
         return ast.parse(source or ""), None
-    except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
+    except FAILURES as e:
         return None, f"{type(e).__name__}: {e}"
 
 
+#: What parsing a source, or writing out its tree, may raise; it belongs to the row of that source.
+FAILURES = (SyntaxError, ValueError, RecursionError, MemoryError)
+
+
+@contextmanager
+def deep(frames: int = 200_000):
+    """Room for the recursion of ast.unparse over trees as deep as the parser makes them."""
+    before = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(before, frames))
+    try:
+        yield
+    finally:
+        sys.setrecursionlimit(before)
+
+
+def unparsed(node: ast.AST) -> str:
+    with deep():
+        return ast.unparse(node)
+
+
 def dotted(node: ast.AST) -> str | None:
     """a.b.c for a chain of attributes on a name; None for other expressions."""
     names = []
@@ -28,13 +50,10 @@ def dotted(node: ast.AST) -> str | None:
     return ".".join([node.id, *names]) if isinstance(node, ast.Name) else None
 
 
-def parse_error(source: str | None) -> dict | None:
-    """Type, message, traceback, and for a SyntaxError its place, of what keeps a source from being parsed."""
-    try:
-        ast.parse(source or "")
-    except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
-        place = {k: getattr(e, k, None) for k in ("lineno", "offset")}
-        return {"error": f"{type(e).__name__}: {e}", "error_type": type(e).__name__, "traceback": traceback.format_exc(), **place}
+def failure(e: Exception) -> dict:
+    """Type, message, traceback, and for a SyntaxError its place."""
+    place = {k: getattr(e, k, None) for k in ("lineno", "offset")}
+    return {"error": f"{type(e).__name__}: {e}", "error_type": type(e).__name__, "traceback": "".join(traceback.format_exception(e)), **place}
 
 
 # --- chunks ---------------------------------------------------------------------------------------------------------
@@ -64,12 +83,12 @@ class Chunker:
         signature = None
         if not is_class:
             word = "async def" if isinstance(node, ast.AsyncFunctionDef) else "def"
-            gives = f"-> {ast.unparse(node.returns)}" if node.returns is not None else ""
-            signature = f"{word} {node.name}({ast.unparse(node.args)}) {gives}:"
+            gives = f"-> {unparsed(node.returns)}" if node.returns is not None else ""
+            signature = f"{word} {node.name}({unparsed(node.args)}) {gives}:"
         return {
             "chunk_id": chunk_id, "type": kind, "name": node.name, "class_name": owner, "file_path": self.path, "start_line": node.lineno, "end_line": node.end_lineno,
             "source": self.whole(node), "class_context": context, "signature": signature, "docstring": ast.get_docstring(node), "decorators": [self.span(d.lineno, d.end_lineno) for d in node.decorator_list],
-            "bases": [ast.unparse(b) for b in node.bases] if is_class else None,
+            "bases": [unparsed(b) for b in node.bases] if is_class else None,
             "class_attributes": [self.span(x.lineno, x.end_lineno) for x in node.body if isinstance(x, (ast.Assign, ast.AnnAssign))] if is_class else None,
             "imports": self.imports,
         }
@@ -86,10 +105,12 @@ class Chunker:
                     yield self.row(m, "method", f"{self.path} ::{node.name}.{m.name}", node.name, context)
 
 
-def chunks(path: str, source: str | None) -> tuple[list[dict], str | None]:
-    """Chunks of a file, or no chunks and the parse error."""
-    tree, error = parse(source)
-    return ([], error) if tree is None else (list(Chunker(path, source or "", tree).rows()), None)
+def chunks(path: str, source: str | None) -> tuple[list[dict], dict | None]:
+    """Chunks of a file, or no chunks and what failed."""
+    try:
+        return list(Chunker(path, source or "", ast.parse(source or "")).rows()), None
+    except FAILURES as e:
+        return [], failure(e)
 
 
 # --- signatures -----------------------------------------------------------------------------------------------------
@@ -98,17 +119,18 @@ def chunks(path: str, source: str | None) -> tuple[list[dict], str | None]:
 def signatures(source: str | None) -> dict[str, str]:
     """Arguments by qualified name (Class.method); empty where the source doesn't parse. Later definitions win."""
     tree, _ = parse(source)
-    found: dict[str, str] = {}
-    todo = [(tree, "")] if tree is not None else []
-    while todo:
-        node, prefix = todo.pop(0)
+    return {name: unparsed(node.args) for name, node in named(tree)} if tree is not None else {}
+
+
+def named(tree: ast.Module) -> Iterator[tuple[str, ast.AST]]:
+    """Functions in breadth-first order with their qualified names."""
+    todo: list[tuple[ast.AST, str]] = [(tree, "")]
+    for node, prefix in todo:
+        if isinstance(node, FUNCTIONS):
+            yield prefix[:-1], node
         for child in ast.iter_child_nodes(node):
-            if isinstance(child, (*FUNCTIONS, ast.ClassDef)):
-                name = f"{prefix}{child.name}"
-                if not isinstance(child, ast.ClassDef):
-                    found[name] = ast.unparse(child.args)
-                todo.append((child, f"{name}."))
-    return found
+            scope = isinstance(child, (*FUNCTIONS, ast.ClassDef))
+            todo.append((child, f"{prefix}{child.name}." if scope else prefix))
 
 
 # --- guardrail ------------------------------------------------------------------------------------------------------
@@ -157,133 +179,67 @@ RISKY_METHODS = {
 RISKY_OWNERS = ("requests", "httpx", "urllib", "subprocess", "json", "yaml", "client", "session", "conn")
 
 
-def own_nodes(root: ast.AST, stop: tuple[type, ...], top: bool = False) -> Iterator[ast.AST]:
-    """Nodes below root in source order, not entering nodes of the stop types (these are given, their insides not)."""
-    for child in [root] if top else ast.iter_child_nodes(root):
-        yield child
-        if not isinstance(child, stop):
-            yield from own_nodes(child, stop)
-
-
-def tries_of(function: ast.AST) -> list[ast.Try]:
-    return [n for n in own_nodes(function, SCOPES) if isinstance(n, ast.Try)]
+def own_nodes(roots: list[ast.AST], stop: tuple[type, ...]) -> Iterator[ast.AST]:
+    """The roots and nodes below them in source order, not entering nodes of the stop types (these are given, their insides not)."""
+    todo = roots[::-1]
+    while todo:
+        node = todo.pop()
+        yield node
+        if not isinstance(node, stop):
+            todo += list(ast.iter_child_nodes(node))[::-1]
 
 
 def raises_in_body(block: ast.Try) -> bool:
-    return any(isinstance(n, ast.Raise) for s in block.body for n in own_nodes(s, (ast.Try, *SCOPES), top=True))
+    return any(isinstance(n, ast.Raise) for n in own_nodes(block.body, (ast.Try, *SCOPES)))
 
 
-def owner_name(function: ast.Attribute) -> str:
-    value = function.value
-    return value.id if isinstance(value, ast.Name) else value.attr if isinstance(value, ast.Attribute) else ""
+def called(node: ast.Call) -> dict | None:
+    """(owner, name) of a call: owner is the last part of what the name is taken from, null for a plain name."""
+    if isinstance(node.func, ast.Name):
+        return {"owner": None, "name": node.func.id}
+    if not isinstance(node.func, ast.Attribute):
+        return None
+    value = node.func.value
+    return {"owner": value.id if isinstance(value, ast.Name) else value.attr if isinstance(value, ast.Attribute) else "", "name": node.func.attr}
 
 
-def caught(handler: ast.ExceptHandler) -> frozenset[str]:
-    """Names that a handler catches, as written; * for a bare one."""
+def caught(handler: ast.ExceptHandler) -> list[str]:
+    """Distinct names that a handler catches, as written and sorted; * for a bare one."""
     if handler.type is None:
-        return frozenset("*")
+        return ["*"]
     each = handler.type.elts if isinstance(handler.type, ast.Tuple) else [handler.type]
-    return frozenset((dotted(e) or "<unresolved>") if isinstance(e, (ast.Name, ast.Attribute)) else "<unresolved>" for e in each)
-
-
-def severities(handler: ast.ExceptHandler) -> list[str]:
-    """Methods of the logging calls in a handler."""
-    calls = [n.func for n in ast.walk(handler) if isinstance(n, ast.Call) and isinstance(n.func, ast.Attribute)]
-    return [f.attr for f in calls if f.attr in SEVERITY and any(x in owner_name(f).lower() for x in LOGGER_NAMES)]
-
-
-def exception_class(name: str) -> type | None:
-    found = getattr(builtins, name, None)
-    return found if isinstance(found, type) and issubclass(found, BaseException) else None
-
-
-def catch_change(old: frozenset[str], new: frozenset[str]) -> str | None:
-    """broadened, narrowed or None (equal, sideways, or with a name that is no builtin exception)."""
-    if "*" in old or "*" in new:
-        return None if old & new & {"*"} else "broadened" if "*" in new else "narrowed"
-    a, b = [exception_class(x) for x in old], [exception_class(x) for x in new]
-    if None in a or None in b:
-        return None
-    wider, narrower = (all(any(issubclass(x, y) for y in q) for x in p) for p, q in ((a, b), (b, a)))
-    return None if wider == narrower else "broadened" if wider else "narrowed"
-
+    return sorted({(dotted(e) or "<unresolved>") if isinstance(e, (ast.Name, ast.Attribute)) else "<unresolved>" for e in each})
 
-def is_risky(call: ast.Call) -> bool:
-    if isinstance(call.func, ast.Name):
-        return call.func.id == "open"
-    return isinstance(call.func, ast.Attribute) and call.func.attr in RISKY_METHODS and any(x in owner_name(call.func).lower() for x in RISKY_OWNERS)
 
+def calls_of(nodes: list[ast.AST]) -> list[dict]:
+    return [c for c in (called(n) for n in nodes if isinstance(n, ast.Call)) if c]
 
-def _names(handler: ast.ExceptHandler) -> str:
-    return ", ".join(sorted(caught(handler)))
 
+def handler_facts(handler: ast.ExceptHandler) -> dict:
+    inside = list(ast.walk(handler))
+    return {"line": handler.lineno, "caught": caught(handler), "raises": any(isinstance(n, ast.Raise) for n in inside), "calls": calls_of(inside)}
 
-def error_handling_findings(old_source: str | None, new_source: str | None, ranges: list[tuple[int, int]], path: str, by_qualname: bool = False) -> tuple[list[dict], str | None]:
-    """What a change took from the error handling of the functions it touches; or none and the parse error.
 
-    ranges: new-side line ranges of the change, empty ones allowed. Old and new functions meet by bare name (the first
-    in breadth-first order), or by qualified name.
-    """
-    old_tree, old_error = parse(old_source)
-    new_tree, new_error = parse(new_source)
-    if old_tree is None or new_tree is None:
-        return [], old_error or new_error
-    known: dict[str, ast.AST] = {}
-    for name, node in _named(old_tree, by_qualname):
-        known.setdefault(name, node)
-    found: list[dict] = []
-    for name, node in _named(new_tree, by_qualname):
-        if any(a <= node.end_lineno and b >= node.lineno and a <= b for a, b in ranges):
-            old = known.get(name)
-            own = _new_code(node, path) if old is None else _changes(old, node)
-            found += [{"kind": kind, "location": f"{node.name}:L{line}", "detail": detail} for kind, line, detail in own]
-    return found, None
-
-
-def _named(tree: ast.Module, by_qualname: bool) -> Iterator[tuple[str, ast.AST]]:
-    """Functions in breadth-first order with their names."""
-    todo: list[tuple[ast.AST, str]] = [(tree, "")]
-    for node, prefix in todo:
-        for child in ast.iter_child_nodes(node):
-            scope = isinstance(child, (*FUNCTIONS, ast.ClassDef))
-            todo.append((child, f"{prefix}{child.name}." if scope else prefix))
-    for node, prefix in todo:
-        if isinstance(node, FUNCTIONS):
-            yield (prefix[:-1] if by_qualname else node.name), node
-
-
-def _new_code(node: ast.AST, path: str) -> Iterator[tuple[str, int, str]]:
-    parts = path.replace("\\", "/").split("/")
-    if "tests" in parts or (parts[-1].startswith("test_") and parts[-1].endswith(".py")):
-        return
-    inside = list(ast.walk(node))
-    calls = {n.func.attr if isinstance(n.func, ast.Attribute) else n.func.id for n in inside if isinstance(n, ast.Call) and is_risky(n)}
-    if calls and not any(isinstance(n, ast.Try) for n in inside):
-        yield "missing_error_handling_new_code", node.lineno, f"calls {', '.join(sorted(calls))} without any try"
-
-
-def _changes(old: ast.AST, new: ast.AST) -> Iterator[tuple[str, int, str]]:
-    before, after = tries_of(old), tries_of(new)
-    paired = list(zip(before, after, strict=False))
-    handlers = [pair for a, b in paired for pair in zip(a.handlers, b.handlers, strict=False)]
-    for block in before[len(after) :]:
-        yield "removed_try_block", block.lineno, "the block's body runs unguarded"
-    for a, b in paired:
-        for h in a.handlers[len(b.handlers) :]:
-            yield "removed_except_clause", h.lineno, f"no handler in the place of [{_names(h)}]"
-    reraises = lambda h: any(isinstance(n, ast.Raise) for n in ast.walk(h))
-    for a, b in handlers:
-        if reraises(a) and not reraises(b):
-            yield "removed_raise", b.lineno, f"[{_names(a)}] was raised again and is swallowed"
-    for a, b in handlers:
-        was, now = severities(a), severities(b)
-        if was and not now:
-            yield "error_logging_removed", b.lineno, f"{max(was, key=SEVERITY.get)} was logged, nothing is"
-        elif was and max(map(SEVERITY.get, now)) < max(map(SEVERITY.get, was)):
-            yield "error_logging_downgraded", b.lineno, f"from {max(was, key=SEVERITY.get)} to {max(now, key=SEVERITY.get)}"
-    for a, b in handlers:
-        if catch_change(caught(a), caught(b)) == "broadened":
-            yield "broadened_except", b.lineno, f"from [{_names(a)}] to [{_names(b)}]"
-    for a, b in paired:
-        if raises_in_body(a) and not raises_in_body(b):
-            yield "removed_raise", b.lineno, "the guarded body raised and no longer does"
+def function_facts(source: str | None) -> tuple[list[dict], str | None]:
+    """Of each function, in breadth-first order: its names and lines, what it calls, and its try blocks (not those of
+    functions inside) with their handlers; or none and the parse error."""
+    tree, error = parse(source)
+    if tree is None:
+        return [], error
+    out = []
+    for place, (qualname, node) in enumerate(named(tree)):
+        inside = list(ast.walk(node))
+        calls = {(c["owner"], c["name"]) for c in calls_of(inside)}
+        has_try = any(isinstance(n, ast.Try) for n in inside)
+        tries = [n for n in own_nodes(list(ast.iter_child_nodes(node)), SCOPES) if isinstance(n, ast.Try)] if has_try else []
+        out.append({
+            "place": place, "name": node.name, "qualname": qualname, "line": node.lineno, "end_line": node.end_lineno, "has_try": has_try, "calls": [{"owner": o, "name": n} for o, n in sorted(calls, key=repr)],
+            "tries": [{"line": t.lineno, "raises": raises_in_body(t), "handlers": [handler_facts(h) for h in t.handlers]} for t in tries],
+        })
+    return out, None
+
+
+def exception_ancestors() -> dict[str, list[str]]:
+    """Builtin exceptions by name, each with the names of all classes that it is one of (itself and aliases among them)."""
+    known = {n: c for n, c in vars(builtins).items() if isinstance(c, type) and issubclass(c, BaseException)}
+    return {n: sorted(m for m, d in known.items() if issubclass(c, d)) for n, c in sorted(known.items())}
