@@ -1,4 +1,7 @@
-import pytest
+import random
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,6 +53,37 @@ GUARD = {
 }
 
 
+def test_first_pair_against_all_pairs(spark):
+    rng = random.Random(0)
+    rows = [(i, "\n".join(rng.choice(["x", "x", "x", "open", "close", "open close"]) for _ in range(rng.randrange(25)))) for i in range(300)]
+    frame = spark.createDataFrame(rows, "i int, t string")
+    for window in (1, 3, 10):
+        got = dict(frame.select("i", guardrail.first_pair(F.split("t", "\n"), "open", "close", window)).collect())
+        for i, text in rows:
+            lines = text.split("\n")
+            pairs = [(a + 1, b + 1) for a in range(len(lines)) for b in range(a, min(len(lines), a + window + 1)) if "open" in lines[a] and "close" in lines[b]]
+            assert (tuple(got[i]) if got[i] else None) == min(pairs, default=None)
+
+
+def test_pair_search_is_linear_and_patterns_run_once(spark):
+    started = time.time()
+    text = "k = os.environ['X']\n" * 100_000 + "print(k)\n"
+    found = guardrail.scan_text(spark.createDataFrame([(text,)], "source string")).first()
+    assert found["detail"] == "lines 99991 and 100001" and time.time() - started < 20
+    plan = guardrail.scan_text(spark.createDataFrame([("x",)], "source string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") <= 17 + 2 * 3  # a line's second pattern stands beside and behind its first
+
+
+def test_required_parts_are_in_what_patterns_find():
+    """Whatever part of a pattern's text is changed, no text that it finds lacks the part."""
+    samples = ["rm  -rf /", "rm -f a/*", "git push --force", "git 'push' -f", "git reset --hard", "dd if=/dev/x", "mkfs /dev", "> /dev/sda", "chmod -R 777 /", "chown -R a b", "AKIA" + "A" * 16, "sk-" + "a" * 20, "api_key = '" + "x" * 20 + "'", "eval (", "exec(", "os.system (", "pickle.loads(", "__import__("]
+    for k, patterns in guardrail.PATTERNS.items():
+        for p, part in zip(patterns, guardrail.REQUIRED[k], strict=True):
+            hits = [s for s in samples if re.search(p, s)]
+            assert hits and all(part in s for s in hits)
+            assert not any(re.search(p, s.replace(part, "")) for s in hits)
+
+
 def test_guardrail(spark):
     frame = spark.createDataFrame([(i, s) for i, s in enumerate(GUARD)], "i int, source string")
     got = [(r["category"], r["ast_parse_ok"]) for r in guardrail.scan(frame).orderBy("i").collect()]

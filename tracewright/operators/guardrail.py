@@ -47,52 +47,81 @@ NEIGHBOURS = {
 }
 
 
+#: What every text that a pattern finds holds, so that a look for it rules the pattern out.
+REQUIRED = {
+    DESTRUCTIVE: ("-rf", "-f", "push", "--hard", "if=", "mkfs", "/dev/sd", "777", "chown"),
+    CREDENTIALS: ("AKIA", "sk-", "api_key"),
+    CODE: ("eval", "exec", "os.system", "pickle.loads", "__import__"),
+}
+REQUIRED_NEIGHBOURS = {
+    CREDENTIALS: ((".env", "os.getenv"), ("requests.", "urllib", "socket.", "print", "log")),
+    CODE: (("subprocess.",), ("shell",)),
+}
+
+
+def bound(value: Column, use) -> Column:
+    """use(value), where value is worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def first_pair(text_lines: Column, first: str, second: str, window: int) -> Column:
     """(a, b): the first lines, from 1, such that a has the first pattern and b within window lines on the second.
 
-    In one row: numbers of matching lines, no join and no shuffle.
+    In one row and in a time linear in the lines: each line becomes a sign that tells which patterns it has, and the
+    leftmost shortest match over the signs is the pair.
     """
+    sign = lambda line: F.when(line.rlike(first), F.when(line.rlike(second), "c").otherwise("a")).when(line.rlike(second), "b").otherwise(".")
+    signs = F.array_join(F.transform(text_lines, sign), "")
+    pattern = F.lit(f"c|a.{{0,{window - 1}}}?[bc]")
+
+    def found(s):
+        return bound(F.regexp_substr(s, pattern), lambda m: bound(F.regexp_instr(s, pattern), lambda a: F.when(m.isNotNull(), F.struct(a.alias("a"), (a + F.length(m) - 1).alias("b")))))
 
-    def matching(pattern):
-        numbered = F.transform(text_lines, lambda line, i: F.when(line.rlike(pattern), i + 1))
-        return F.filter(numbered, lambda i: i.isNotNull())
+    return bound(signs, found)
 
-    later = matching(second)
-    pairs = F.transform(matching(first), lambda a: F.struct(a.alias("a"), F.array_min(F.filter(later, lambda b: (b >= a) & (b <= a + window))).alias("b")))
-    return F.array_min(F.filter(pairs, lambda p: p["b"].isNotNull()))
+
+def _holds(source: Column, parts) -> Column:
+    out = F.contains(source, F.lit(parts[0]))
+    for p in parts[1:]:
+        out = out | F.contains(source, F.lit(p))
+    return out
 
 
 def text_findings(source: Column) -> dict[str, Column]:
     """By category the first finding of the text layer, null where there is none."""
     found = {}
     for category in PRIORITY:
-        own = F.coalesce(*(F.when(source.rlike("(?U)" + p), F.lit(f"pattern {p}")) for p in PATTERNS[category]))
+        own = F.coalesce(*(F.when(_holds(source, [part]) & source.rlike("(?U)" + p), F.lit(f"pattern {p}")) for p, part in zip(PATTERNS[category], REQUIRED[category], strict=True)))
         if category in NEIGHBOURS:
             a, b, window = NEIGHBOURS[category]
-            pair = first_pair(lines(source), "(?U)" + a, "(?U)" + b, window)
-            near = F.when(pair.isNotNull(), F.concat(F.lit("lines "), pair["a"].cast("string"), F.lit(" and "), pair["b"].cast("string")))
-            own = F.coalesce(own, near)
+            there = _holds(source, REQUIRED_NEIGHBOURS[category][0]) & _holds(source, REQUIRED_NEIGHBOURS[category][1])
+            said = bound(first_pair(lines(source), "(?U)" + a, "(?U)" + b, window), lambda p: F.concat(F.lit("lines "), p["a"].cast("string"), F.lit(" and "), p["b"].cast("string")))
+            own = F.coalesce(own, F.when(there, said))
         found[category] = own
     return found
 
 
+def _first_hit(details: dict[str, Column]) -> Column:
+    """(category, detail) of the most urgent category with a detail; null where none has one."""
+    every = F.array(*(F.struct(F.lit(k).alias("category"), details[k].alias("detail")) for k in PRIORITY))
+    return F.get(F.filter(every, lambda x: x["detail"].isNotNull()), F.lit(0))
+
+
+def _reported(frame: DataFrame, hit: Column) -> DataFrame:
+    marked = frame.withColumn("__hit", hit)
+    return marked.withColumns({"tripped": F.col("__hit").isNotNull(), "category": F.col("__hit.category"), "detail": F.col("__hit.detail")}).drop("__hit")
+
+
 def scan_text(frame: DataFrame, source: str = "source") -> DataFrame:
     """Adds tripped, category and detail by the text rules alone. A null source trips nothing."""
-    found = text_findings(F.coalesce(F.col(source), F.lit("")))
-    return _reported(frame.withColumn("__found", F.struct(*(c.alias(k) for k, c in found.items()))), lambda k: F.col("__found")[k]).drop("__found")
+    return _reported(frame, _first_hit(text_findings(F.coalesce(F.col(source), F.lit("")))))
 
 
 def scan(frame: DataFrame, source: str = "source") -> DataFrame:
     """Adds tripped, category, detail and ast_parse_ok (whether the tree layer could run)."""
     ship(frame.sparkSession)
     tree = F.udf(pyast.guardrail_facts, "parse_ok boolean, code_execution string, credentials string", useArrow=True)
-    found = text_findings(F.coalesce(F.col(source), F.lit("")))
-    marked = frame.withColumns({"__text": F.struct(*(c.alias(k) for k, c in found.items())), "__tree": tree(F.col(source))})
-    by_tree = {CODE: "code_execution", CREDENTIALS: "credentials"}
-    out = _reported(marked, lambda k: F.coalesce(F.col("__text")[k], F.col("__tree")[by_tree[k]]) if k in by_tree else F.col("__text")[k])
-    return out.withColumn("ast_parse_ok", F.col("__tree.parse_ok")).drop("__text", "__tree")
-
-
-def _reported(frame, detail_of):
-    hit = F.coalesce(*(F.when(detail_of(k).isNotNull(), F.struct(F.lit(k).alias("category"), detail_of(k).alias("detail"))) for k in PRIORITY))
-    return frame.withColumns({"tripped": hit.isNotNull(), "category": hit["category"], "detail": hit["detail"]})
+    marked = frame.withColumn("__tree", tree(F.col(source)))
+    found, by_tree = text_findings(F.coalesce(F.col(source), F.lit(""))), {CODE: "code_execution", CREDENTIALS: "credentials"}
+    hit = _first_hit({k: F.coalesce(c, F.col("__tree")[by_tree[k]]) if k in by_tree else c for k, c in found.items()})
+    return _reported(marked, hit).withColumn("ast_parse_ok", F.col("__tree.parse_ok")).drop("__tree")
