@@ -390,3 +390,21 @@ def test_lm_slices_hold_whole_texts(spark, monkeypatch):
     assert own.count() == docs.count() and own.select("slice").distinct().count() == 5
     spread = own.withColumn("task", F.spark_partition_id()).groupBy("slice").agg(F.count_distinct("task").alias("n"))
     assert {r["n"] for r in spread.collect()} == {1}
+
+
+def test_the_classifier_sees_each_text_once(spark, monkeypatch):
+    """run() writes what the first stage keeps, so later stages do not score again."""
+    seen, plain = spark.sparkContext.accumulator(0), toxicity.drop_toxic
+
+    def counted(docs, model):
+        def run(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        return plain(docs.mapInArrow(run, docs.schema), model)
+
+    monkeypatch.setattr(toxicity, "drop_toxic", counted)
+    n = spark.read.parquet(f"{DATA}/documents.parquet").count()
+    out = corpus_pipeline.run(spark, DATA)
+    assert out.count() > 0 and out.count() > 0 and seen.value == n

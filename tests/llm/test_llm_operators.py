@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import string
+import zlib
 import time
 
 import numpy as np
@@ -212,7 +213,7 @@ def test_base_spans_are_segments_of_every_segmentation():
 
 def test_personal_data(spark, odd, empty):
     texts = [f"{w} mail bob{i}.x@mail{i}.example.com or +1 (442) 555-{1000 + i} from 10.0.{i}.1 with 4539578763621486 now" for i, w in enumerate(string.ascii_lowercase * 2)]
-    weights = pii_crf.fit(texts[::2])
+    weights = pii_crf.fit(pii_crf.chosen_zones(texts[::2]))
     right, found, wanted = pii_crf.quality(texts[1::2], weights)
     assert wanted >= 10 and right >= 0.9 * wanted and right >= 0.9 * found
     frame = spark.createDataFrame([*enumerate(texts), (100, "call (442) 555-2345 now"), (101, "in 2024 it had 12 items")], "doc_id int, text string")
@@ -456,7 +457,7 @@ def test_pii_zones_of_all_sampled_texts():
     texts = [first, *(f"id {k} mail a{k}@b.org" for k in range(80))]
     got = pii_crf.chosen_zones(texts)
     assert len(got) == 83 and all(any(f"a{k}@b.org" in z for z in got) for k in range(80))
-    one, other = pii_crf.fit(texts[::-1]), pii_crf.fit(texts)
+    one, other = (pii_crf.fit(pii_crf.chosen_zones(x)) for x in (texts[::-1], texts))
     assert pii_crf.chosen_zones(texts[::-1]) == got and (one.features == other.features).all() and (one.after == other.after).all()
     assert len(pii_crf.chosen_zones([f"mail a{k}@b.org" for k in range(900)])) == pii_crf.TRAIN_ZONES
 
@@ -680,3 +681,57 @@ def test_pipeline(spark, tmp_path):
 
 def test_registry_names_every_operator():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
+
+
+# --- bounded memory and work
+
+
+def test_shingles_of_stretches_are_those_of_the_whole_text(monkeypatch):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(["ab", "C", " ", "\n", "\t\t", "é", "word"]) for _ in range(rng.randrange(200))) for _ in range(200)] + ["", None, "one", "one two", "one two three", " " * 50, "x" * 300]
+    whole = [np.concatenate([*simhash_dedup.shingle_hashes(t), np.zeros(0, "<u8")]).tolist() for t in texts]
+    prints = simhash_dedup.fingerprints_of(texts).tolist()
+    for most in (1, 7, 40):
+        monkeypatch.setattr(simhash_dedup, "STRETCH_BYTES", most)
+        assert [np.concatenate([*simhash_dedup.shingle_hashes(t), np.zeros(0, "<u8")]).tolist() for t in texts] == whole
+        assert simhash_dedup.fingerprints_of(texts).tolist() == prints
+
+
+def test_a_long_text_is_hashed_in_bounded_memory():
+    import tracemalloc
+
+    text = "some words of a long text " * 800_000  # 20 MB
+    tracemalloc.start()
+    simhash_dedup.fingerprints_of([text])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 130 << 20  # two copies of the text and a stretch
+
+
+def test_many_languages_train_within_seconds(spark, monkeypatch):
+    rng = random.Random(1)
+    word = lambda k: "".join(rng.choice(string.ascii_lowercase[k % 20 : k % 20 + 7]) for _ in range(6))
+    rows = [(i, " ".join(word(i % 300) for _ in range(12)), f"l{i % 300:03}") for i in range(1200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    started = time.time()
+    learned = language_id.train(frame)
+    assert len(learned.names) == len({x for i, _, x in rows if zlib.crc32(str(i).encode()) % 4 != 2}) and time.time() - started < 30
+    small = frame.where("lang < 'l004'")
+    want = language_id.train(small)
+    monkeypatch.setattr(language_id, "COUNTED_AT_ONCE", 1)  # parts of counts leave a task again and again
+    got = language_id.train(small)
+    assert got.names == want.names and np.allclose(got.weight, want.weight, atol=1e-4) and (got.scripts == want.scripts).all()
+
+
+def test_token_calls_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(token_counts, "CALL_BYTES", 50)
+
+    class Model:
+        sizes = []
+
+        def encode(self, parts, num_threads):
+            self.sizes.append(sum(len(p.encode()) for p in parts))
+            return [[1]] * len(parts)
+
+    counts = token_counts.count_tokens(["é é é é é é é é", "a", None, "漢" * 40, "b", "é" * 20, "é" * 20], Model())
+    assert len(counts) == 7 and sum(n > 50 for n in Model.sizes) == 1  # the one long part

@@ -13,7 +13,6 @@ come back to the driver. Labelling is one Arrow pass without a shuffle.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +25,8 @@ from tracewright.llm.words import Words
 
 #: Most documents of each language that are learned from, in how many parts, and buckets of each n-gram order.
 DOCS_EACH, PARTS, BUCKET_BITS = 3_000, 8, 14
+#: Languages whose counts (512 KB each) a task holds before it passes them on.
+COUNTED_AT_ONCE = 64
 ORDERS = (1, 2, 3, 4)
 #: Log-probability that a change of language must gain.
 SWITCH = 8.0
@@ -223,35 +224,55 @@ def train(docs: DataFrame, docs_each: int = DOCS_EACH, id_col: str = "doc_id", t
     """Learn from documents with text and language whose id is not held out; None where there are none."""
     own = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
     own = own.where((remainder(F.col("id")) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    there = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not there:
-        return None
-    names = sorted(there)
-    share = reduce(lambda c, x: c.when(F.col("lang") == x, min(1.0, docs_each / there[x])), names, F.when(F.lit(False), 0.0))
-    chosen = own.where(F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1_000_000)) < share * 1_000_000)
+    shares = own.groupBy("lang").agg(F.least(F.lit(1.0), docs_each / F.count(F.lit(1))).alias("share"))
+    chosen = own.join(shares, "lang").where(F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1_000_000)) < F.col("share") * 1_000_000)
     size, n_scripts = len(ORDERS) << BUCKET_BITS, len(_SCRIPTS)
-    number = {x: i for i, x in enumerate(names)}
+    schema = "lang string, place binary, n binary, scripts binary"
+
+    def row(lang, grams, scripts):
+        place = np.flatnonzero(grams)
+        return {"lang": lang, "place": place.astype(np.int32).tobytes(), "n": grams[place].astype(np.float64).tobytes(), "scripts": scripts.astype(np.float64).tobytes()}
+
+    def packed(rows):
+        return pa.RecordBatch.from_pylist(rows, pa.schema([("lang", pa.string()), ("place", pa.binary()), ("n", pa.binary()), ("scripts", pa.binary())]))
 
     def count(batches):
-        grams, scripts = np.zeros((len(names), size)), np.zeros((len(names), n_scripts))
+        held = {}
         for part in (p for batch in batches for p in by_bytes(batch)):
             words = Words.of(part.column("text"))
             data, offsets = words.lowered()
             if not len(data):
                 continue
-            lang = np.array([number[x] for x in part.column("lang").to_pylist()])
-            of_word = lang[np.searchsorted(words.bounds, np.arange(len(words.code)), "right") - 1]
-            seen = np.bincount(of_word * len(words.distinct) + words.code, minlength=len(names) * len(words.distinct)).reshape(len(names), -1)
+            coded = part.column("lang").dictionary_encode()
+            of_word = coded.indices.to_numpy()[np.searchsorted(words.bounds, np.arange(len(words.code)), "right") - 1]
             owner, gram = ngrams(data, offsets)
             has = script_bits(data, offsets)
-            for k in range(len(names)):
-                grams[k] += np.bincount(gram, seen[k][owner], minlength=size)
-                scripts[k] += [(seen[k] * (has >> s & 1)).sum() for s in range(n_scripts)]
-        yield pa.RecordBatch.from_arrays([pa.array([grams.tobytes()]), pa.array([scripts.tobytes()])], ["grams", "scripts"])
-
-    parts = ship_with(chosen).select("text", "lang").repartition(PARTS).mapInArrow(count, "grams binary, scripts binary").collect()
-    add = lambda k, shape: sum(np.frombuffer(r[k]).reshape(shape) for r in parts)
-    return Languages.from_counts(names, add("grams", (len(names), size)), add("scripts", (len(names), n_scripts)))
+            for k, lang in enumerate(coded.dictionary.to_pylist()):
+                seen = np.bincount(words.code[of_word == k], minlength=len(words.distinct))
+                grams, scripts = held.setdefault(lang, (np.zeros(size), np.zeros(n_scripts)))
+                grams += np.bincount(gram, seen[owner], minlength=size)
+                scripts += [(seen * (has >> s & 1)).sum() for s in range(n_scripts)]
+            if len(held) > COUNTED_AT_ONCE:
+                yield packed([row(lang, *own) for lang, own in held.items()])
+                held = {}
+        if held:
+            yield packed([row(lang, *own) for lang, own in held.items()])
+
+    def add(rows: pa.Table) -> pa.Table:
+        grams, scripts = np.zeros(size), np.zeros(n_scripts)
+        for place, n, own in zip(*(rows.column(c).to_pylist() for c in ("place", "n", "scripts")), strict=True):
+            grams[np.frombuffer(place, np.int32)] += np.frombuffer(n)
+            scripts += np.frombuffer(own)
+        return pa.Table.from_batches([packed([row(rows.column("lang")[0].as_py(), grams, scripts)])])
+
+    found = ship_with(chosen).select("text", "lang").repartition(PARTS).mapInArrow(count, schema).groupBy("lang").applyInArrow(add, schema)
+    found = sorted(found.collect(), key=lambda r: r["lang"])  # a row for each language
+    if not found:
+        return None
+    counts = np.zeros((len(found), size), np.float32 if len(found) > COUNTED_AT_ONCE else np.float64)
+    for k, r in enumerate(found):
+        counts[k, np.frombuffer(r["place"], np.int32)] = np.frombuffer(r["n"])
+    return Languages.from_counts([r["lang"] for r in found], counts, np.stack([np.frombuffer(r["scripts"]) for r in found]))
 
 
 def identify(docs: DataFrame, model: Languages | None, switch: float = SWITCH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -265,8 +286,10 @@ def identify(docs: DataFrame, model: Languages | None, switch: float = SWITCH, i
     schema = T.StructType([id_field(docs, id_col, "doc_id"), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(span))])
     arrow_spans = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
+    known = docs.sparkSession.sparkContext.broadcast(model)
+
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
-        texts = part.column("text")
+        texts, model = part.column("text"), known.value
         pred, score, spans = [UNDETERMINED] * len(texts), [0.0] * len(texts), [[]] * len(texts)
         if model is not None:
             words = Words.of(part.column("text"))

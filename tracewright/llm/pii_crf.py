@@ -32,7 +32,7 @@ KINDS = ["email", "ip", "card", "phone"]
 #: Tokens of an entity; characters around an anchor; documents of the sample, zones trained on, steps of training.
 MOST_TOKENS, AROUND, SAMPLE, TRAIN_ZONES, STEPS = 18, 48, 300, 300, 80
 #: Zones of one document that are trained on, at most.
-ZONES_OF_TEXT = 3
+ZONES_OF_TEXT, ZONE_OF_TEXT = 3, 600  # zones of a text that are learned from, and characters of each
 #: Tokens whose candidates are scored at once, and characters of zones that are segmented together (a longer one alone).
 SCORE_TOKENS, ZONE_CHARS = 8_000, 250_000
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -411,17 +411,17 @@ def rewritten(text: str, gold: list[tuple[int, int, int]], rng: np.random.Genera
 
 def chosen_zones(texts: list[str]) -> list[str]:
     """At most TRAIN_ZONES zones, of all texts and a few of each, that a hash chooses; the same for any order of texts."""
-    order = lambda piece: hashlib.blake2b(piece.encode("utf-8", "replace")).digest()
-    found = []
-    for text in texts:
-        found += sorted((text[a : min(b, a + 600)] for a, b in zones(text)), key=order)[:ZONES_OF_TEXT]
-    return sorted(found, key=order)[:TRAIN_ZONES]
+    return first_by_hash([z for text in texts for z in first_by_hash([text[a : min(b, a + ZONE_OF_TEXT)] for a, b in zones(text)], ZONES_OF_TEXT)], TRAIN_ZONES)
 
 
-def examples(texts: list[str], seed: int = 3) -> tuple[list[str], list[list[tuple[int, int, int]]]]:
-    """Zones of texts with their base spans, each as it is and rewritten."""
+def first_by_hash(found: list[str], most: int) -> list[str]:
+    return sorted(found, key=lambda piece: hashlib.blake2b(piece.encode("utf-8", "replace")).digest())[:most]
+
+
+def examples(zones_: list[str], seed: int = 3) -> tuple[list[str], list[list[tuple[int, int, int]]]]:
+    """Zones with their base spans, each as it is and rewritten."""
     rng, pieces, golds = np.random.default_rng(seed), [], []
-    for piece in chosen_zones(texts):
+    for piece in zones_:
         gold = base_spans(piece)
         for new, spans in ((piece, gold), rewritten(piece, gold, rng)):
             pieces.append(new)
@@ -429,10 +429,10 @@ def examples(texts: list[str], seed: int = 3) -> tuple[list[str], list[list[tupl
     return pieces, golds
 
 
-def fit(texts: list[str], seed: int = 3) -> Field:
+def fit(zones_: list[str], seed: int = 3) -> Field:
     """A field learned from zones of texts; the blank one where there are none."""
     field = Field.blank()
-    pieces, golds = examples(texts, seed)
+    pieces, golds = examples(zones_, seed)
     tokens = Tokens.of(pieces)
     start, size, features = segments(tokens)
     if not len(start):
@@ -474,7 +474,7 @@ def fit(texts: list[str], seed: int = 3) -> Field:
 
 def quality(texts: list[str], field: Field, seed: int = 5) -> tuple[int, int, int]:
     """Right, found and wanted added spans on rewritten zones of texts: of the entities that no base pattern finds."""
-    pieces, golds = examples(texts, seed)
+    pieces, golds = examples(chosen_zones(texts), seed)
     right = found = wanted = 0
     got = scan_batch(pieces, field, np.ones(len(pieces), bool))
     for k, gold in enumerate(golds):
@@ -486,15 +486,22 @@ def quality(texts: list[str], field: Field, seed: int = 5) -> tuple[int, int, in
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Field:
-    """Fit on at most SAMPLE documents with an @ or a long number, of ten times as many that a hash of the id chooses.
+    """Fit on zones of at most SAMPLE documents with an @ or a long number, of ten times as many that a hash of the id chooses.
 
-    Tasks send what they find of these few only, so the driver sees a bounded number of texts at any size.
+    Tasks cut the zones out, a few short ones of each text, so texts neither are sorted nor come to the driver, which sees a
+    bounded number of bytes at any size.
     """
     own = ids_and_texts(docs, id_col, text_col)
     share = min(1.0, 10 * SAMPLE / max(1, own.count()))
-    chosen = own.where(F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1_000_000_000)) < int(share * 1_000_000_000))
-    rows = chosen.where(F.col("text").rlike(r"@|[0-9]{3}")).orderBy(F.xxhash64(F.lit("sample"), "id"), "text").select("text").limit(SAMPLE).collect()
-    return fit([r["text"] for r in rows])
+    chosen = own.where(F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1_000_000_000)) < int(share * 1_000_000_000)).where(F.col("text").rlike(r"@|[0-9]{3}"))
+    chosen = chosen.withColumns({"order": F.xxhash64(F.lit("sample"), "id"), "of_text": F.xxhash64("text")})
+
+    def cut_out(part: pa.RecordBatch) -> pa.RecordBatch:
+        found = [chosen_zones([t]) for t in part.column("text").to_pylist()]
+        return pa.RecordBatch.from_arrays([part.column("order"), part.column("of_text"), pa.array(found, pa.list_(pa.string()))], ["order", "of_text", "zones"])
+
+    rows = map_texts(chosen.select("order", "of_text", "text"), cut_out, T.StructType.fromDDL("order long, of_text long, zones array<string>"))
+    return fit(first_by_hash([z for r in rows.orderBy("order", "of_text").limit(SAMPLE).collect() for z in r["zones"]], TRAIN_ZONES))
 
 
 def scan_batch(texts: list[str | None], field: Field, wanted: np.ndarray) -> dict[int, list[tuple[int, int, int, bool]]]:

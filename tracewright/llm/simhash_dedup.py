@@ -10,6 +10,9 @@ bucket are verified on the whole fingerprint, in blocks; components come from st
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -23,6 +26,9 @@ from tracewright.llm.common import cut, free_name, id_field, ids_and_texts, map_
 BITS, RADIUS, SHINGLE_WORDS, SEED = 64, 3, 3, 42
 #: Ids (some 50 bytes each) that are sent to the texts; with more of them both sides are shuffled.
 DROPPED_IDS = 1_000_000
+#: Bytes of a text whose words and hashes are in memory at once, some 25 times as much.
+STRETCH_BYTES = 1 << 20
+_GAP = re.compile(rb"[ \t\n\r\x0b\x0c]")
 
 
 def covering_masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
@@ -31,34 +37,49 @@ def covering_masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
     return [sum((bin(vectors[p] & v).count("1") & 1) << p for p in range(bits)) for v in range(1, 2 ** (radius + 1))]
 
 
-def shingle_hashes(text: str | None, words_each: int = SHINGLE_WORDS, seed: int = SEED) -> list[int]:
-    """XXH64 of each shingle of a text, repeats included: A-Z lower-cased, words parted by ASCII white space."""
-    words = text.encode().lower().split() if text else []
-    if len(words) <= words_each:
-        return [xxhash.xxh64_intdigest(b" ".join(words), seed)] if words else []
-    digest, joined = xxhash.xxh64_intdigest, b" ".join(words)
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(sizes + 1) - 1
-    starts = (ends - sizes)[: len(words) - words_each + 1].tolist()
-    return [digest(joined[a:b], seed) for a, b in zip(starts, ends[words_each - 1 :].tolist(), strict=True)]
+def word_stretches(data: bytes, most: int) -> Iterator[list[bytes]]:
+    """Words of a text, those of some bytes at once; a stretch ends before white space."""
+    start = 0
+    while start < len(data):
+        end = len(data) if len(data) - start <= most else next((m.start() for m in _GAP.finditer(data, start + most)), len(data))
+        yield data[start:end].split()
+        start = end
+
+
+def shingle_hashes(text: str | None, words_each: int = SHINGLE_WORDS, seed: int = SEED) -> Iterator[np.ndarray]:
+    """XXH64 of the shingles of a text, repeats included, a stretch of the text after another: A-Z lower-cased, words parted
+    by ASCII white space. Each stretch takes over the last words of the one before, so none is lost."""
+    digest, held, seen = xxhash.xxh64_intdigest, [], False
+    for words in word_stretches(text.encode().lower() if text else b"", STRETCH_BYTES):
+        words = held + words
+        n = len(words) - words_each + 1
+        if n > 0:
+            joined = b" ".join(words)
+            sizes = np.fromiter(map(len, words), np.int64, len(words))
+            ends = np.cumsum(sizes + 1) - 1
+            starts = (ends - sizes)[:n].tolist()
+            yield np.array([digest(joined[a:b], seed) for a, b in zip(starts, ends[words_each - 1 :].tolist(), strict=True)], "<u8")
+            seen, words = True, words[n:]
+        held = words
+    if held and not seen:
+        yield np.array([digest(b" ".join(held), seed)], "<u8")
 
 
 def fingerprints_of(texts: list[str | None], words_each: int = SHINGLE_WORDS, seed: int = SEED) -> np.ndarray:
     """A bit is set where over half of a text's hashes have it; zero for texts without words."""
     out = np.zeros(len(texts), np.uint64)
     for k, text in enumerate(texts):
-        hashes = np.array(shingle_hashes(text, words_each, seed), "<u8")
-        counts = np.zeros(BITS, np.int64)
-        for start in range(0, len(hashes), 1 << 16):
-            part = hashes[start : start + (1 << 16)]
-            counts += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-        if len(hashes):
-            out[k] = np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0]
+        counts, n = np.zeros(BITS, np.int64), 0
+        for hashes in shingle_hashes(text, words_each, seed):
+            n += len(hashes)
+            counts += np.unpackbits(hashes.view(np.uint8).reshape(len(hashes), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+        if n:
+            out[k] = np.packbits(2 * counts > n, bitorder="little").view("<u8")[0]
     return out
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: the id and fp, the fingerprint as a long."""
+    """Per row: the id and fp, the fingerprint as a long. Long texts are hashed in stretches of STRETCH_BYTES."""
     schema = T.StructType([id_field(docs, id_col, "doc_id"), T.StructField("fp", T.LongType())])
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:

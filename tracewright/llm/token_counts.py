@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 from tracewright.llm.common import id_field, ids_and_texts, map_texts, table
 
 MODEL = "piece_bpe_32k.model"
-#: Characters of a part of a long text, and of all parts that are encoded in one call.
-PART_CHARS, CALL_CHARS = 2_000, 200_000
+#: Characters of a part of a long text, and UTF-8 bytes of all parts that are encoded in one call.
+PART_CHARS, CALL_BYTES = 2_000, 200_000
 TOKEN_LIMIT = 4096
 _SAFE = re.compile("(?<=[^ ▁]) (?=.)", re.DOTALL)
 
@@ -61,10 +61,11 @@ def count_tokens(texts: list[str | None], model) -> np.ndarray:
         owner += [i] * len(own)
     counts, start, held = [], 0, 0
     for k, part in enumerate(parts):
-        if held > CALL_CHARS:
+        n = len(part) if part.isascii() else len(part.encode())
+        if held and held + n > CALL_BYTES:
             counts += map(len, model.encode(parts[start:k], num_threads=1))
             start, held = k, 0
-        held += len(part)
+        held += n
     counts += map(len, model.encode(parts[start:], num_threads=1))
     return np.bincount(owner, weights=counts, minlength=len(texts)).astype(np.int64) if texts else np.zeros(0, np.int64)
 

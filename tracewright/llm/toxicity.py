@@ -170,7 +170,7 @@ def _share(ids, most: int, there: int):
 def _sketch(batches):
     """Adds the least hash of each text's three-word shingles."""
     for batch in batches:
-        key = [min(shingle_hashes(t), default=0) - (1 << 63) for t in batch.column("text").to_pylist()]
+        key = [min((int(h.min()) for h in shingle_hashes(t)), default=0) - (1 << 63) for t in batch.column("text").to_pylist()]
         yield batch.append_column("key", pa.array(key, pa.int64()))
 
 
