@@ -7,7 +7,7 @@ name; all but the last return the columns that they are given.
 from __future__ import annotations
 
 from tracewright.llm import decontaminate, piece_codec, secret_scan, simhash_dedup, toxicity
-from tracewright.llm.common import table
+from tracewright.llm.common import cut, table
 
 
 def toxicity_stage(spark, docs, sf_dir):
@@ -53,8 +53,14 @@ ORACLE_SQL = None  # learned scores, fingerprints and a tokenizer are beyond SQL
 
 
 def run(spark, sf_dir):
-    """All stages over the documents, one after another."""
+    """All stages over the documents, one after another.
+
+    Later stages read what they are given several times, so what the classifier keeps is written to the checkpoint folder
+    once; the stages that only leave out documents by id, or by a broadcast table, are cheap to repeat.
+    """
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name in ("toxicity", "decontaminate"):
+            docs = cut(docs)
     return docs
