@@ -1,7 +1,10 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from tracewright.operators import routing, traces
+from tracewright.sources import trace_log
 
 # run -> node/outcome(duration) in file order, task_success, retries, latency
 RUNS = {
@@ -68,3 +71,15 @@ def test_routing(spark):
         frame.select(routing.escalation_category(F.col("reason"), F.col("outcome"), strict=True)).collect()
     routes = spark.createDataFrame([("api_error", 9, "provider_error"), ("dirty_worktree", 9, "not_retryable"), ("malformed_edit", 3, "attempt"), ("malformed_edit", 4, "retry_exhausted"), ("stale_chunks", 1, "attempt_fresh_retrieval"), (None, 1, "not_retryable")], "reason string, attempt int, want string")
     assert all(r["want"] == r["got"] for r in routes.withColumn("got", routing.retry_route(F.col("reason"), F.col("attempt"))).collect())
+
+
+def test_a_run_over_rotated_files_has_one_order(spark, tmp_path):
+    """The first file by time is the last by name and holds the longer lines; listing order does not matter."""
+    row = lambda at, run, node, outcome, pad="": json.dumps({"timestamp": at, "node_name": node, "run_id": run, "outcome": outcome, "source_id": pad})
+    (tmp_path / "log.9.jsonl").write_text("\n".join(["", row("2024-01-01T00:00:05+02:00", "x", "resolve", "success", "p" * 500), row("2024-01-01T00:00:06+02:00", "r", "escalate", "failure"), row("2024-01-01T01:00:00+02:00", "q", "patch_application", "success")]))
+    (tmp_path / "log.1.jsonl").write_text("\n".join([row("2023-12-31T23:30:00+00:00", "r", "patch_application", "success"), row(None, "q", "escalate", "failure")]))
+    (tmp_path / "log.0.jsonl").write_text(row(None, "late", "patch_application", "success") + "\n" + row("no time", "r", "patch_application", "success"))
+    log = trace_log.one_order(trace_log.read_json_lines(spark, str(tmp_path), trace_log.PIPELINE_LOG))
+    assert {r["run_id"]: r["passed"] for r in traces.task_success(log).collect()} == {"x": None, "r": False, "q": True, "late": True}
+    assert [r["outcome"] for r in trace_log.rows_of_run(log, "r").collect()] == ["failure", "success", "success"]
+    assert log.columns == trace_log.read_json_lines(spark, str(tmp_path), trace_log.PIPELINE_LOG).columns

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tracewright.functions import pyast
 from tracewright.functions import text as tx
 from tracewright.operators.joins import first_existing, in_ranges, unique_suffix_match
+from tracewright.operators.names import unused_names
 from tracewright.session import ship
 
 
@@ -72,10 +73,14 @@ def dependency_changed(files: DataFrame, anywhere: bool = False) -> DataFrame:
     return own.select("patch_id", (F.size("__hit") == 0).alias("passed"), F.array_join(ordered, ", ").alias("detail"))
 
 
-def no_unused_code(files: DataFrame, lint: DataFrame) -> DataFrame:
-    """Per patch: no unused import or variable on an added line. lint: patch_id, line (`path:line:col: message`)."""
-    parsed = lint.select("patch_id", tx.lint_finding(F.col("line")).alias("f")).where("f is not null").select("patch_id", F.col("f.path").alias("file_path"), F.col("f.line").alias("n"), F.col("f.message").alias("message"))
-    unused = parsed.where(F.contains("message", F.lit("imported but unused")) | F.contains("message", F.lit("assigned to but never used")))
+def no_unused_code(files: DataFrame, lint: DataFrame | None = None) -> DataFrame:
+    """Per patch: no unused import or variable on an added line. lint: patch_id, line (`path:line:col: message`) of a linter;
+    without one the names that sources bind and use are looked at themselves (see names.unused_names)."""
+    if lint is None:
+        unused = unused_names(files).select("patch_id", "file_path", F.col("line").alias("n"), "message")
+    else:
+        parsed = lint.select("patch_id", tx.lint_finding(F.col("line")).alias("f")).where("f is not null").select("patch_id", F.col("f.path").alias("file_path"), F.col("f.line").alias("n"), F.col("f.message").alias("message"))
+        unused = parsed.where(F.contains("message", F.lit("imported but unused")) | F.contains("message", F.lit("assigned to but never used")))
     own = files.select("patch_id", "file_path", tx.added_ranges(F.col("diff_text")).alias("ranges")).join(unused, ["patch_id", "file_path"], "left")
     bad = F.coalesce(in_ranges(F.col("n"), F.col("ranges")), F.lit(False))
     return _fold(own, bad, F.concat_ws(":", "file_path", F.col("n").cast("string"), "message"))

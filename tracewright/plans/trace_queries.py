@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracewright.operators import routing, traces
 from tracewright.plans import query
+from tracewright.sources import trace_log
 
 
 def table(spark, sf_dir, name):
@@ -45,6 +47,22 @@ def task_success(spark, sf_dir):
     return traces.task_success(trace_of_events(spark, sf_dir))
 
 
+@query(
+    "task_success_rotated",
+    """
+    WITH e AS (SELECT *, 'log.' || (31 - day(ts)) AS file, row_number() OVER (PARTITION BY day(ts) ORDER BY ts, event_id) AS place FROM events), f AS (SELECT file, min(ts) AS began FROM e GROUP BY file)
+    SELECT user_id AS run_id, arg_min(event_type = 'purchase', (began, file, place)) FILTER (WHERE event_type IN ('purchase', 'error')) AS passed FROM e JOIN f USING (file) GROUP BY user_id
+    """,
+)
+def task_success_rotated(spark, sf_dir):
+    """A file for each day, the last with the smallest number, as rotation names them; rows count anew in each."""
+    e = table(spark, sf_dir, "events")
+    place = F.row_number().over(Window.partitionBy(F.day("ts")).orderBy("ts", "event_id"))
+    own = e.select("event_id", F.concat(F.lit("log."), (31 - F.day("ts")).cast("string")).alias("file"), place.alias("place"), F.col("ts").cast("string").alias("timestamp"))
+    log = trace_of_events(spark, sf_dir).withColumnRenamed("seq", "event_id").join(own, "event_id").withColumnRenamed("place", "seq")
+    return traces.task_success(trace_log.one_order(log))
+
+
 @query("task_success_with_retry", "SELECT user_id AS run_id, arg_min(event_type IN ('purchase', 'signup'), event_id) FILTER (WHERE event_type IN ('purchase', 'error', 'signup')) AS passed FROM events GROUP BY user_id")
 def task_success_with_retry(spark, sf_dir):
     return traces.task_success(trace_of_events(spark, sf_dir), include_retry=True)

@@ -17,6 +17,8 @@ CLASSIFICATIONS = "source_id string, category string, is_actionable boolean, rea
 RAW_ISSUES = "source string, source_id string, title string, body string, state string, labels array<string>, created_at string, url string, collected_At string"
 GRADING_KEY = "source_id string, closed_At string, linked_fix_id string, linked_fix_diff_url string, comments array<struct<author:string,body:string,created_at:string>>"
 PATCH_ID = "patch_id"
+#: Files whose beginnings are sent to every task; with more of them the log is shuffled by file.
+MOST_FILES = 100_000
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str, strict: bool = False) -> DataFrame:
@@ -54,6 +56,22 @@ def _numbered(batches):
         yield pa.RecordBatch.from_arrays([batch.column("file"), pa.array(seq), batch.column("line")], ["file", "seq", "line"])
 
 
+def one_order(log: DataFrame, at: str = "timestamp") -> DataFrame:
+    """A log of several files (with file and seq) whose seq is one order over all of them: files go by the first time in
+    them, then by name; rows of a file by their own seq.
+
+    Whatever takes the first or last row by seq (verdicts, last wins) then sees a log that was rotated as one file. Files
+    without any time come last. A row without a seq keeps none.
+    """
+    time = F.try_to_timestamp(F.col(at).cast("string"))
+    files = log.groupBy("file").agg(F.min_by(time, F.when(time.isNotNull(), F.col("seq"))).alias("__began"))
+    began = F.coalesce(F.col("__began"), F.lit("9999-12-31").cast("timestamp"))
+    few = files.limit(MOST_FILES + 1).count() <= MOST_FILES
+    marked = log.join(F.broadcast(files) if few else files, "file", "left")
+    order = F.struct(began.alias("began"), F.col("file").alias("file"), F.col("seq").alias("place"))
+    return marked.withColumn("seq", F.when(F.col("seq").isNotNull(), order)).drop("__began").select(*log.columns)
+
+
 def rows_of_run(log: DataFrame, run_id: str) -> DataFrame:
     """One run's rows in order; the filter is pushed to columnar copies of the log."""
     return log.where(F.col("run_id") == run_id).orderBy("seq")
