@@ -73,3 +73,37 @@ def test_counters_and_checkpoints(spark, tmp_path):
     assert sinks.read_checkpoint(spark, str(tmp_path / "none")).count() == 0
     runs = models.new_runs(done)
     assert runs.count() == 3
+
+
+def test_prompts_have_the_facts_that_are_there(spark):
+    chunk = "chunk_id string, file_path string, start_line int, end_line int, class_name string, imports array<string>, class_context string, decorators array<string>, source string"
+    full = ("a.py ::A.m", "a.py", 3, 9, "A", ["import os", "import re"], "    def __init__(self): pass", ["@x"], "    def m(self): pass")
+    bare = ("a.py :: f", "a.py", 1, 2, None, [], None, None, "def f(): pass")
+    rows = [(1, "T", "B", [full, bare], (2, "malformed_edit", "no such text")), (2, None, None, [], None), (3, "T", "B", None, None)]
+    frame = spark.createDataFrame(rows, f"id int, title string, body string, chunks array<struct<{', '.join(c.replace(' ', ':', 1) for c in chunk.split(', '))}>>, retry struct<attempt:int,reason:string,detail:string>")
+    got = {r["id"]: r["p"] for r in frame.select("id", models.chunk_prompt(F.col("title"), F.col("body"), F.col("chunks"), F.col("retry")).alias("p")).collect()}
+    assert got[1] == (
+        "ISSUE TITLE: T\n\nISSUE BODY:\nB\n\n=== CANDIDATE CHUNKS ===\n\nchunk_id: a.py ::A.m\nfile_path: a.py\nlines: 3-9\nclass_name: A\nimports: import os, import re\nclass __init__ context:\n    def __init__(self): pass\ndecorators: @x\n\nsource:\n    def m(self): pass"
+        "\n\n---\n\nchunk_id: a.py :: f\nfile_path: a.py\nlines: 1-2\n\nsource:\ndef f(): pass\n\n=== PREVIOUS ATTEMPT FAILED ===\nThis is retry attempt 2.\nFailure reason: malformed_edit\nDetail: no such text\nDo not repeat the same old_source that was rejected. Address the specific reason above before proposing a fix."
+    )
+    assert got[2] == "ISSUE TITLE: \n\nISSUE BODY:\n\n\n=== CANDIDATE CHUNKS ===\n\n" and got[3] == "ISSUE TITLE: T\n\nISSUE BODY:\nB\n\n=== CANDIDATE CHUNKS ===\n\n"
+
+
+def test_rerank_sees_the_pool_only(spark):
+    """Twenty of forty chunks are pooled, and each pair of them is scored once, some at a time."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def rerank():
+        def score(pairs):
+            assert len(pairs) <= 32
+            seen.add(len(pairs))
+            return [float(b.split("_")[1].split("(")[0]) for _, b in pairs]
+
+        return score
+
+    chunks = spark.createDataFrame([(i, f"def f_{i}(a): return b{i % 4}", f"p/m{i % 5}.py", f"f_{i}") for i in range(40)], "doc long, source string, file_path string, name string")
+    asked = spark.createDataFrame([(7, "what is b1", "b1 f_3", ["p/m3.py"]), (8, "nothing", "", [])], "query long, semantic string, lexical string, file_paths array<string>")
+    got = models.retrieve_chunks(chunks, asked, lambda: lambda texts: [[float(len(t)), float(t.count("b")), 1.0] for t in texts], rerank).orderBy("query", "rank").collect()
+    assert seen.value == 40 and [r["rank"] for r in got if r["query"] == 7] == [1, 2, 3, 4, 5]
+    scores = [r["score"] for r in got if r["query"] == 7]
+    assert scores == sorted(scores, reverse=True) and all(r["score"] == r["doc"] for r in got)

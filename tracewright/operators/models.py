@@ -78,3 +78,58 @@ def counted(frame: DataFrame, name: str, **conditions: Column):
 
     seen = Observation(name)
     return frame.observe(seen, F.count(F.lit(1)).alias("rows"), *(F.count_if(c).alias(k) for k, c in conditions.items())), seen
+
+
+def scored_pairs(pairs: DataFrame, factory: Callable[[], Callable[[list[tuple[str, str]]], list[float]]], left: str, right: str, out: str = "score", at_once: int = 32) -> DataFrame:
+    """Adds `out`: the score that a model gives each pair of texts, `at_once` pairs a call. The factory runs once in a task."""
+    schema = T.StructType([*pairs.schema.fields, T.StructField(out, T.DoubleType())])
+
+    def run(batches):
+        model = None
+        for batch in batches:
+            model = model or factory()
+            texts = [(a or "", b or "") for a, b in zip(batch.column(left).to_pylist(), batch.column(right).to_pylist(), strict=True)]
+            scores = [float(x) for k in range(0, len(texts), at_once) for x in model(texts[k : k + at_once])]
+            yield batch.append_column(out, pa.array(scores, pa.float64()))
+
+    return ship_with(pairs).mapInArrow(run, schema)
+
+
+def retrieve_chunks(chunks: DataFrame, asked: DataFrame, embed: Callable, rerank: Callable, pool: int | None = None, k: int | None = None, places: int = 6) -> DataFrame:
+    """(query, doc, score, rank): for each query the k chunks that a rerank model likes best among a pool by hybrid search.
+
+    chunks: doc, source, file_path, name; their source, path and name are searched, and the embedding model sees the beginning
+    of the source. asked: query, and semantic, lexical, file_paths as issues.build_query gives them. The rerank model sees
+    the pairs of the pool only. Ids are whole numbers; chunks that share one are not told apart.
+    """
+    from tracewright.operators import retrieval, search
+
+    text = F.concat_ws(" ", "source", "file_path", "name")
+    docs = chunks.select(F.col("doc").cast("long").alias("doc"), text.alias("text"), F.col("file_path").alias("path"))
+    vectors = embedded(chunks.select(F.col("doc").cast("long").alias("doc"), embedding_text(F.col("source")).alias("text")), embed, "text", "vector").select("doc", "vector")
+    own = asked.select(F.col("query").cast("long").alias("query"), "semantic", F.col("lexical").alias("text"), F.col("file_paths").alias("paths"))
+    queries = embedded(own, embed, "semantic", "vector").select("query", "text", "paths", "vector")
+    pooled = search.hybrid_top(docs, vectors, queries, pool or retrieval.POOL, places).select("query", "doc")
+    pairs = pooled.join(own.select("query", "semantic"), "query").join(chunks.select(F.col("doc").cast("long").alias("doc"), "source"), "doc")
+    return retrieval.top_k(scored_pairs(pairs, rerank, "semantic", "source").select("query", "doc", "score"), k or retrieval.FINAL, places)
+
+
+def chunk_prompt(title: Column, body: Column, chunks: Column, retry: Column | None = None) -> Column:
+    """What a model is asked: the issue, then its candidate chunks, each with the facts that are there, then why the attempt
+    before failed. chunks: an array of rows of patches.chunk_files; retry: (attempt, reason, detail), or null."""
+
+    def block(c):
+        lists = lambda name: F.when(F.size(c[name]) > 0, F.concat(F.lit(f"{name}: "), F.array_join(c[name], ", ")))
+        filled = lambda name, label: F.when(F.length(c[name]) > 0, F.concat(F.lit(label), c[name]))
+        place = F.concat(F.lit("lines: "), c["start_line"].cast("string"), F.lit("-"), c["end_line"].cast("string"))
+        head = F.concat_ws("\n", F.concat(F.lit("chunk_id: "), c["chunk_id"]), F.concat(F.lit("file_path: "), c["file_path"]), place, filled("class_name", "class_name: "), lists("imports"), filled("class_context", "class __init__ context:\n"), lists("decorators"))
+        return F.concat(head, F.lit("\n\nsource:\n"), c["source"])
+
+    asked = F.concat(F.lit("ISSUE TITLE: "), F.coalesce(title, F.lit("")), F.lit("\n\nISSUE BODY:\n"), F.coalesce(body, F.lit("")), F.lit("\n\n=== CANDIDATE CHUNKS ===\n\n"), F.coalesce(F.array_join(F.transform(chunks, block), "\n\n---\n\n"), F.lit("")))
+    if retry is None:
+        return asked
+    again = F.concat(
+        F.lit("\n\n=== PREVIOUS ATTEMPT FAILED ===\nThis is retry attempt "), retry["attempt"].cast("string"), F.lit(".\nFailure reason: "), retry["reason"], F.lit("\nDetail: "), retry["detail"],
+        F.lit("\nDo not repeat the same old_source that was rejected. Address the specific reason above before proposing a fix."),
+    )
+    return F.concat(asked, F.coalesce(again, F.lit("")))

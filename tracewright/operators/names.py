@@ -74,7 +74,16 @@ def unresolved_imports(tree: DataFrame) -> DataFrame:
     module m.n or a name n; a name that m itself imports is followed, and so are star imports: a frontier of (module, name)
     moves along re-exports until it finds a definition or has been everywhere. Modules with a __getattr__ give every name.
     """
-    files = cut(facts_of(module_names(tree), "source").select(*FILE, "changed", "root", "module", "package", "facts.imports", F.filter("facts.bindings", lambda b: (b["scope"] == 0) & (b["what"] != "import")).alias("own")))
+    return _unresolved(_module_facts(tree))
+
+
+def _module_facts(tree: DataFrame) -> DataFrame:
+    """What is asked of each file of a tree, from one parse of it."""
+    own = F.filter("facts.bindings", lambda b: (b["scope"] == 0) & (b["what"] != "import"))
+    return cut(facts_of(module_names(tree), "source").select(*FILE, "changed", "root", "module", "package", "facts.imports", own.alias("own"), "facts.error"))
+
+
+def _unresolved(files: DataFrame) -> DataFrame:
     on = ["patch_id", "root"]
     modules = cut(files.select(*on, "module").distinct())
     packages = modules.select(*on, F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("module", r"\."))), lambda i: F.array_join(F.slice(F.split("module", r"\."), 1, i), "."))).alias("module")).where("module <> ''").distinct()
@@ -122,12 +131,12 @@ def unresolved_imports(tree: DataFrame) -> DataFrame:
 def imports_resolve(tree: DataFrame) -> DataFrame:
     """Per patch: whether all judged imports of its changed files are given by a file of the tree; null where none is judged
     and all changed files parse. A changed file that doesn't parse does not import."""
-    facts = facts_of(module_names(tree).where("changed"), "source")
-    broken = facts.where("facts.error is not null").select("patch_id", F.concat_ws(": ", "file_path", "facts.error").alias("label"))
-    bad = unresolved_imports(tree).select("patch_id", F.concat(F.col("file_path"), F.lit(":"), F.col("line").cast("string"), F.lit(": "), "imported").alias("label"))
+    files = _module_facts(tree)
+    broken = files.where("changed and error is not null").select("patch_id", F.concat_ws(": ", "file_path", "error").alias("label"))
+    bad = _unresolved(files).select("patch_id", F.concat(F.col("file_path"), F.lit(":"), F.col("line").cast("string"), F.lit(": "), "imported").alias("label"))
     wrong = bad.unionByName(broken).groupBy("patch_id").agg(F.array_join(F.array_sort(F.collect_list("label")), "; ").alias("detail"))
-    names = module_names(tree).select("patch_id", "root", F.split("module", r"\.")[0].alias("top")).distinct()
-    own = facts.select("patch_id", "root", F.explode("facts.imports").alias("i")).select("patch_id", "root", F.split("i.module", r"\.")[0].alias("top"), "i.level")
-    judged = own.join(names.withColumn("inside", F.lit(True)), ["patch_id", "root", "top"], "left").where("inside or level > 0").select("patch_id").distinct().withColumn("judged", F.lit(True))
+    tops = files.select("patch_id", "root", F.split("module", r"\.")[0].alias("top")).distinct()
+    own = files.where("changed").select("patch_id", "root", F.explode("imports").alias("i")).select("patch_id", "root", F.split("i.module", r"\.")[0].alias("top"), "i.level")
+    judged = own.join(tops.withColumn("inside", F.lit(True)), ["patch_id", "root", "top"], "left").where("inside or level > 0").select("patch_id").distinct().withColumn("judged", F.lit(True))
     out = tree.select("patch_id").distinct().join(wrong, "patch_id", "left").join(judged, "patch_id", "left")
     return out.select("patch_id", F.when(F.col("detail").isNotNull(), False).when(F.col("judged"), True).alias("passed"), F.coalesce("detail", F.lit("")).alias("detail"))

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracewright.operators import names, patches
+from tracewright.operators import models, names, patches
 from tracewright.plans import query
+from tracewright.plans.retrieval_queries import bm25_of, top_of
 from tracewright.plans.sources_of_text import Module
+from tracewright.plans.text_queries import CHUNKS_SQL, code_files
 from tracewright.plans.trace_queries import table
+from tracewright.session import cut
+from tracewright.sources import issues
 
 #: Imports and variables that are used or not.
 NAMES = Module(
@@ -61,3 +65,49 @@ def imports_resolve(spark, sf_dir):
     file = lambda path, source: F.struct(F.lit(path).alias("file_path"), source.alias("source"), F.lit(path.endswith(("u.py", "__init__.py"))).alias("changed"))
     files = F.array(file("lib/setup.py", F.lit("")), file("lib/pkg/__init__.py", INIT.source(t)), file("lib/pkg/defs.py", DEFS.source(t)), file("lib/use/u.py", USER.source(t)))
     return names.imports_resolve(d.select(F.col("doc_id").alias("patch_id"), F.explode(files).alias("f")).select("patch_id", "f.*"))
+
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def letter_counts():
+    """Stands for an embedding model: how often each letter occurs."""
+    return lambda texts: [[float(t.lower().count(c)) for c in LETTERS] for t in texts]
+
+
+def like_in_length():
+    """Stands for a rerank model: texts of like length are alike."""
+    return lambda pairs: [-abs(float(len(a) - len(b))) for a, b in pairs]
+
+
+_COUNTS = lambda t: f"list_transform({list(LETTERS)}, lambda c: (length({t}) - length(replace(lower({t}), c, '')))::DOUBLE)"
+_NORM = lambda v: f"sqrt(list_sum(list_transform({v}, lambda x: x * x)))"
+
+
+@query(
+    "retrieve_chunks",
+    f"""
+    WITH chunks AS ({CHUNKS_SQL}),
+    c AS (SELECT *, doc_of * 1000000 + start_line AS doc, source || ' ' || file_path || ' ' || name AS text FROM (SELECT *, regexp_extract(file_path, '([0-9]+)', 1)::BIGINT AS doc_of FROM chunks)),
+    named AS (SELECT doc_of, arg_min(name, start_line) AS f, any_value(file_path) AS p FROM c WHERE name LIKE 'f%' AND type = 'function' AND doc_of % 50 = 0 GROUP BY doc_of),
+    asked AS (SELECT doc_of AS query, 'Issue' || chr(10) || chr(10) || 'ValueError: raised in `' || f || '` of `' || p || '`' AS semantic, lower(f || ' ' || p || ' ValueError') AS lexical, p FROM named),
+    {bm25_of("SELECT doc AS doc_id, text FROM c", "SELECT query AS item_id, lexical AS text FROM asked")},
+    v AS (SELECT doc, {_COUNTS("left(source, 6000)")} AS e FROM c), qv AS (SELECT query, {_COUNTS("semantic")} AS e FROM asked),
+    cosines AS (SELECT query, doc, list_inner_product(qv.e, v.e) / ({_NORM("qv.e")} * {_NORM("v.e")}) AS score FROM qv, v),
+    both2 AS (SELECT query, doc, d.score AS d, coalesce(l.score, 0) AS l FROM cosines d LEFT JOIN score l USING (query, doc)),
+    mm AS (SELECT *, min(d) OVER w AS d0, max(d) OVER w AS d1, min(l) OVER w AS l0, max(l) OVER w AS l1 FROM both2 WINDOW w AS (PARTITION BY query)),
+    fused AS (SELECT query, doc, CASE WHEN d1 - d0 < 1e-9 THEN 0 ELSE (d - d0) / (d1 - d0) END + CASE WHEN l1 - l0 < 1e-9 THEN 0 ELSE (l - l0) / (l1 - l0) END + CASE WHEN doc // 1000000 = query THEN 0.25 ELSE 0 END AS score FROM mm),
+    pool AS ({top_of("fused", 20, 6)}), again AS (SELECT query, doc, -abs(length(semantic) - length(source))::DOUBLE AS score FROM pool JOIN asked USING (query) JOIN c USING (doc))
+    {top_of("again", 5, 6)}
+    """,
+)
+def retrieve_chunks(spark, sf_dir):
+    """Issues that name a function and its file ask for chunks of modules made of the words of whole texts."""
+    found, _ = patches.chunk_files(code_files(spark, sf_dir), source="new_source")
+    number = F.regexp_extract("file_path", "([0-9]+)", 1).cast("long")
+    chunks = cut(found.select((number * 1_000_000 + F.col("start_line")).alias("doc"), number.alias("doc_of"), "start_line", "type", "source", "file_path", "name"))  # files are parsed once
+    named = chunks.where("name like 'f%' and type = 'function' and doc_of % 50 = 0").groupBy("doc_of").agg(F.min_by("name", "start_line").alias("f"), F.first("file_path").alias("p"))
+    body = F.concat(F.lit("ValueError: raised in `"), "f", F.lit("` of `"), "p", F.lit("`"))
+    records = named.select(F.col("doc_of").alias("source_id"), F.lit("Issue").alias("title"), body.alias("body"))
+    asked = issues.build_query(records, chunks).withColumnRenamed("source_id", "query")
+    return models.retrieve_chunks(chunks, asked, letter_counts, like_in_length)

@@ -8,31 +8,36 @@ from tracewright.operators import retrieval, search
 from tracewright.plans import query
 from tracewright.plans.trace_queries import table
 
-_BM25 = """
-tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[A-Za-z_][A-Za-z0-9_]*') AS w FROM documents),
+def bm25_of(documents: str, queries: str) -> str:
+    """CTEs up to score (query, doc, score): BM25 of documents (doc_id, text) for queries (item_id, text)."""
+    return f"""
+tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[A-Za-z_][A-Za-z0-9_]*') AS w FROM ({documents})),
 stats AS (SELECT count(*)::DOUBLE AS n, avg(len(w))::DOUBLE AS mean_len FROM tok),
 post AS (SELECT doc_id, len(w) AS dl, term, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS term FROM tok) GROUP BY ALL),
 raw AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS r FROM post, stats GROUP BY term, n),
 idf AS (SELECT term, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw),
-q AS (SELECT item_id AS query, term, count(*) AS qtf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[A-Za-z_][A-Za-z0-9_]*')) AS term FROM benchmark) GROUP BY ALL),
+q AS (SELECT item_id AS query, term, count(*) AS qtf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[A-Za-z_][A-Za-z0-9_]*')) AS term FROM ({queries})) GROUP BY ALL),
 score AS (SELECT query, doc_id AS doc, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / mean_len))) AS score FROM q JOIN idf USING (term) JOIN post USING (term), stats GROUP BY ALL)
 """
+
+
+_BM25 = bm25_of("SELECT * FROM documents", "SELECT * FROM benchmark")
 _COS = """
 v AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings),
 cosines AS (SELECT a.vec_id AS query, b.vec_id AS doc, list_inner_product(a.e, b.e) / (a.n * b.n) AS score FROM v a, v b WHERE a.vec_id % 50 = 0)
 """
 
 
-def _top(source, k, places):
+def top_of(source, k, places):
     return f"SELECT query, doc, score, rank::INT AS rank FROM (SELECT query, doc, round(score, {places}) AS score, row_number() OVER (PARTITION BY query ORDER BY round(score, {places}) DESC, doc) AS rank FROM {source}) WHERE rank <= {k}"
 
 
-@query("bm25_topk", f"WITH {_BM25} {_top('score', 20, 6)}")
+@query("bm25_topk", f"WITH {_BM25} {top_of('score', 20, 6)}")
 def bm25_topk(spark, sf_dir):
     return search.lexical_top(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text", 20)
 
 
-@query("cosine_topk", f"WITH {_COS} {_top('cosines', 20, 5)}")
+@query("cosine_topk", f"WITH {_COS} {top_of('cosines', 20, 5)}")
 def cosine_topk(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     return search.dense_top(e, "vec_id", "embedding", e.where(F.col("vec_id") % 50 == 0), "vec_id", "embedding", 20, places=5)
@@ -59,12 +64,12 @@ def fused(spark, sf_dir, k, places):
     return search.hybrid_top(docs, vectors, items.join(asked, "query"), k, places)
 
 
-@query("hybrid_topk", f"WITH {_FUSED} {_top('fused', 20, 5)}")
+@query("hybrid_topk", f"WITH {_FUSED} {top_of('fused', 20, 5)}")
 def hybrid_topk(spark, sf_dir):
     return fused(spark, sf_dir, 20, 5).select("query", "doc", "score", "rank")
 
 
-@query("retrieve_rerank", f"WITH {_FUSED}, pool AS ({_top('fused', 20, 6)}), again AS (SELECT query, doc, d AS score FROM both2 JOIN pool USING (query, doc)) {_top('again', 5, 6)}")
+@query("retrieve_rerank", f"WITH {_FUSED}, pool AS ({top_of('fused', 20, 6)}), again AS (SELECT query, doc, d AS score FROM both2 JOIN pool USING (query, doc)) {top_of('again', 5, 6)}")
 def retrieve_rerank(spark, sf_dir):
     pool = fused(spark, sf_dir, retrieval.POOL, 6)
     return retrieval.top_k(pool.select("query", "doc", F.col("dense").alias("score")), retrieval.FINAL)

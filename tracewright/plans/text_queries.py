@@ -440,7 +440,10 @@ def _chunks_sql():
     return f"WITH {CODE.pieces_sql(**NEW)} " + " UNION ALL ".join(f"SELECT {row} FROM p WHERE k = {k} AND doc_id % 4 <> 3" for k, row in rows)
 
 
-@query("chunk_source", _chunks_sql())
+CHUNKS_SQL = _chunks_sql()
+
+
+@query("chunk_source", CHUNKS_SQL)
 def chunk_source(spark, sf_dir):
     """Functions, classes and methods of modules; lists are joined to strings."""
     chunks, _ = patches.chunk_files(code_files(spark, sf_dir), source="new_source")
