@@ -20,13 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.llm.common import by_bytes, id_field, ids_and_texts, is_held_out, map_texts, remainder, ship_with, table, utf8
+from tracewright.llm.common import by_bytes, cut, id_field, ids_and_texts, is_held_out, map_texts, remainder, ship_with, table, utf8
 from tracewright.llm.words import Words
 
 #: Most documents of each language that are learned from, in how many parts, and buckets of each n-gram order.
 DOCS_EACH, PARTS, BUCKET_BITS = 3_000, 8, 14
 #: Languages whose counts (512 KB each) a task holds before it passes them on.
 COUNTED_AT_ONCE = 64
+#: Languages whose shares are sent to every task; with more of them texts are shuffled by language.
+SENT_LANGUAGES = 100_000
 ORDERS = (1, 2, 3, 4)
 #: Log-probability that a change of language must gain.
 SWITCH = 8.0
@@ -224,8 +226,9 @@ def train(docs: DataFrame, docs_each: int = DOCS_EACH, id_col: str = "doc_id", t
     """Learn from documents with text and language whose id is not held out; None where there are none."""
     own = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
     own = own.where((remainder(F.col("id")) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    shares = own.groupBy("lang").agg(F.least(F.lit(1.0), docs_each / F.count(F.lit(1))).alias("share"))
-    chosen = own.join(shares, "lang").where(F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1_000_000)) < F.col("share") * 1_000_000)
+    shares = cut(own.groupBy("lang").agg(F.least(F.lit(1.0), docs_each / F.count(F.lit(1))).alias("share")))
+    few = shares.count() <= SENT_LANGUAGES  # then texts stay where they are until they are chosen
+    chosen = own.join(F.broadcast(shares) if few else shares, "lang").where(F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1_000_000)) < F.col("share") * 1_000_000)
     size, n_scripts = len(ORDERS) << BUCKET_BITS, len(_SCRIPTS)
     schema = "lang string, place binary, n binary, scripts binary"
 
