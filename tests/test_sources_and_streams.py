@@ -92,3 +92,28 @@ def test_stream_gives_the_batch_result(spark, tmp_path):
     stream = trace_stream.read_trace_stream(spark, str(tmp_path / "in"), batch.schema.simpleString()[7:-1].replace(":", " "), per_trigger=1)
     got = trace_stream.drain(trace_stream.running_verdicts(stream), "verdicts", str(tmp_path / "check"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, traces.task_success(batch).collect()))
+
+
+def test_a_versioned_table_changes_in_one_step(spark, tmp_path):
+    table, schema = sinks.VersionedTable(spark, str(tmp_path / "t")), "id long"
+    content = lambda: sorted(r["id"] for r in table.read(schema).collect())
+    assert content() == []
+    assert (table.replace(spark.range(3)), table.append(spark.range(10, 12)), content()) == (1, 2, [0, 1, 2, 10, 11])
+
+    def fails(batches):
+        for batch in batches:
+            yield batch
+        raise RuntimeError("a task is lost")
+
+    with pytest.raises(Exception, match="a task is lost"):
+        table.replace(spark.range(100, 200, 1, 4).mapInArrow(fails, schema))
+    assert content() == [0, 1, 2, 10, 11] and table.versions() == [1, 2]
+    assert len(list((tmp_path / "t" / "data").iterdir())) == 2  # nothing of the failed write is left
+    late, seen = sinks.VersionedTable(spark, str(tmp_path / "t")), []
+    plain = late.versions
+    late.versions = lambda: plain() if seen else seen.append(1) or [1]  # it has not seen the second version yet
+    assert (late.append(spark.range(20, 22)), content()) == (3, [0, 1, 2, 10, 11, 20, 21])
+    assert table.replace(spark.range(1)) == 4 and content() == [0]
+    assert len(table.read(schema, 3).collect()) == 7
+    table.expire(1)
+    assert table.versions() == [4] and content() == [0] and len(list((tmp_path / "t" / "data").iterdir())) == 1

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,12 +16,15 @@ DETAIL_CHARS = 500
 
 
 def append_log(rows: DataFrame, path: str) -> None:
-    """JSON lines, appended; the committer makes the write atomic."""
+    """JSON lines, appended task by task: a reader may see a part of what is being written. VersionedTable has no such moment."""
     rows.write.mode("append").json(path)
 
 
 def replace_json(rows: DataFrame, path: str) -> None:
-    """JSON lines in place of what is at a path: written beside it, then moved there, so a run that is cut off changes nothing."""
+    """JSON lines in place of what is at a path: written beside it, then moved there, so a run that is cut off changes nothing.
+
+    Plain files for plain readers; between the two moves nothing is at the path. VersionedTable has no such moment.
+    """
     spark = rows.sparkSession
     place = spark._jvm.org.apache.hadoop.fs.Path
     fs = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -32,6 +38,75 @@ def replace_json(rows: DataFrame, path: str) -> None:
     fs.delete(old, True)
 
 
+class VersionedTable:
+    """A table whose content changes in one step: readers see the whole of what was there before, or the whole of the new.
+
+    Every write goes to a folder of its own. A version is a small file that names the folders of the table; the one with the
+    highest number counts, and writing it is the commit. Two writers cannot make the same version: the later one takes the
+    next number, and an append takes in what the other one wrote (where the file system's rename refuses a target that is there,
+    as HDFS's does). A write that fails leaves no version, and its folder is removed.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, kind: str = "json"):
+        self.spark, self.path, self.kind = spark, path.rstrip("/"), kind
+        self._place = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def versions(self) -> list[int]:
+        folder = self._place(f"{self.path}/versions")
+        names = [f.getPath().getName() for f in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        return sorted(int(n) for n in names if n.isdigit())
+
+    def folders(self, version: int) -> list[str]:
+        return json.loads("".join(r["value"] for r in self.spark.read.text(f"{self.path}/versions/{version:020}").collect()))
+
+    def read(self, schema: str, version: int | None = None) -> DataFrame:
+        """The table, or a version of it that is still kept; without any version an empty one."""
+        found = self.versions() if version is None else [version]
+        folders = self.folders(found[-1]) if found else []
+        return self.spark.read.schema(schema).format(self.kind).load([f"{self.path}/{f}" for f in folders]) if folders else self.spark.createDataFrame([], schema)
+
+    def replace(self, rows: DataFrame) -> int:
+        return self._write(rows, False)
+
+    def append(self, rows: DataFrame) -> int:
+        return self._write(rows, True)
+
+    def _write(self, rows: DataFrame, keep: bool) -> int:
+        own = f"data/{uuid.uuid4().hex}"
+        try:
+            rows.write.format(self.kind).save(f"{self.path}/{own}")
+        except Exception:
+            self._fs.delete(self._place(f"{self.path}/{own}"), True)
+            raise
+        while True:
+            last = max(self.versions(), default=0)
+            if self._commit(last + 1, [*(self.folders(last) if keep and last else []), own]):
+                return last + 1
+
+    def _commit(self, version: int, folders: list[str]) -> bool:
+        """Written beside, then moved: a version is whole as soon as it can be seen. False if there is one already."""
+        target, written = self._place(f"{self.path}/versions/{version:020}"), self._place(f"{self.path}/versions/_{uuid.uuid4().hex}")
+        out = self._fs.create(written, False)
+        out.write(bytearray(json.dumps(folders).encode()))
+        out.close()
+        if not self._fs.exists(target) and self._fs.rename(written, target):
+            return True
+        self._fs.delete(written, False)
+        return False
+
+    def expire(self, keep: int = 2) -> None:
+        """Removes all but the last versions, and the folders that only these named. Not while others write."""
+        found = self.versions()
+        gone, kept = found[: max(0, len(found) - keep)], found[max(0, len(found) - keep) :]
+        named = {f for v in kept for f in self.folders(v)}
+        stale = {f for v in gone for f in self.folders(v)} - named
+        for v in gone:
+            self._fs.delete(self._place(f"{self.path}/versions/{v:020}"), False)
+        for f in sorted(stale):
+            self._fs.delete(self._place(f"{self.path}/{f}"), True)
+
+
 def append_usage(rows: DataFrame, path: str) -> None:
     append_log(with_total(rows), path)
 
