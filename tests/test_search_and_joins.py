@@ -395,3 +395,15 @@ def test_formats_and_unit_vectors(spark, tmp_path):
         sinks.replace_json(spark.range(n), str(tmp_path / "out"))
         assert spark.read.json(str(tmp_path / "out")).count() == n
     assert sorted(p.name for p in tmp_path.iterdir()) == ["out"]
+
+
+def test_suffixes_both_ways(spark):
+    """Against all pairs: nested endings, many ranges, equal texts, an empty candidate, characters of several bytes."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abé/") for _ in range(rng.randrange(1, 9))) for _ in range(400)]
+    asked, known = [*words[:200], "", "zzz", None, "x" + words[300], "a" * 60], [*words[150:], "a" * 40, None]
+    got = joins.any_suffix_match(spark.createDataFrame([(w,) for w in asked], "c string").repartition(3), spark.createDataFrame([(w,) for w in known], "p string"), "c", "p")
+    want = {c: min((k for k in known if k is not None and (k.endswith(c) or c.endswith(k))), default=None) for c in asked if c is not None}
+    assert dict(got.collect()) == {c: k for c, k in want.items() if k is not None}
+    few = spark.createDataFrame([("b",)], "c string"), spark.createDataFrame([], "p string")
+    assert joins.any_suffix_match(*few, "c", "p").collect() == []

@@ -5,11 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tracewright.session import cut, ship
+
 
 def first_wins(frame: DataFrame, key: str, order: str) -> DataFrame:
     """Of the rows of each key the one that is first in the order."""
@@ -130,15 +135,63 @@ def unique_suffix_match(candidates: DataFrame, files: DataFrame, candidate: str,
 def any_suffix_match(candidates: DataFrame, files: DataFrame, candidate: str, path: str) -> DataFrame:
     """Each candidate with the least known path that ends in its text or that its text ends in; by characters.
 
-    Both directions become equality on a common suffix: either side is shortened to the lengths that the other has.
+    Texts of both sides are sorted from their ends, by ranges: a text and all that end in it then are neighbours, and one pass
+    with the endings that are still open finds both directions, whatever the lengths. Endings that a range's first text has
+    in common with earlier ranges are carried into it: at most one for each of its characters.
     """
-    sizes_c = candidates.select(F.length(candidate).alias("n")).distinct()
-    sizes_f = files.select(F.length(path).alias("n")).distinct()
-    c, f = candidates.select(candidate).distinct(), files.select(path).distinct()
-    longer = f.join(sizes_c, F.length(path) >= F.col("n")).withColumn(candidate, F.expr(f"right({path}, n)")).select(candidate, path)
-    shorter = c.join(sizes_f, F.length(candidate) >= F.col("n")).withColumn("__tail", F.expr(f"right({candidate}, n)")).select(candidate, F.col("__tail").alias(path)).join(f, path)
-    hits = longer.join(c, candidate, "left_semi").unionByName(shorter.select(candidate, path))
-    return hits.groupBy(candidate).agg(F.min(path).alias(path))
+    ship(candidates.sparkSession)
+    both = candidates.select(F.reverse(candidate).alias("text"), F.lit(True).alias("asks"), F.lit(False).alias("known"))
+    both = both.unionByName(files.select(F.reverse(path).alias("text"), F.lit(False).alias("asks"), F.lit(True).alias("known"))).where("text is not null")
+    both = both.groupBy("text").agg(F.bool_or("asks").alias("asks"), F.bool_or("known").alias("known"))
+
+    def placed(batches):
+        for batch in batches:
+            yield batch.append_column("part", pa.array(np.full(batch.num_rows, TaskContext.get().partitionId(), np.int32)))
+
+    rows = cut(both.repartitionByRange("text").sortWithinPartitions("text").mapInArrow(placed, "text string, asks boolean, known boolean, part int"))
+    firsts = rows.groupBy("part").agg(F.min("text").alias("first"))
+    open_ = firsts.select(F.col("part").alias("into"), F.explode(F.transform(F.sequence(F.lit(0), F.length("first")), lambda n: F.left("first", n))).alias("text"))
+    carried: dict[int, list] = {}
+    for r in rows.join(F.broadcast(open_), "text").where("part < into").collect():
+        carried.setdefault(r["into"], []).append((r["text"], r["asks"], r["known"]))
+
+    def matched(batches):
+        stack, found, ready = [], [], False  # of open endings: text, whether it asks, the least known path it ends in, the least that ends in it
+
+        def least(a, b):
+            return b if a is None else a if b is None else min(a, b)
+
+        def close():
+            text, asks, _, below = stack.pop()
+            if stack:
+                stack[-1][3] = least(stack[-1][3], below)
+            if asks and below is not None:
+                found.append((text[::-1], below))
+
+        def enter(text, asks, known):
+            own = text[::-1] if known else None
+            while stack and not text.startswith(stack[-1][0]):
+                close()
+            above = least(stack[-1][2] if stack else None, own)
+            if asks and above is not None:
+                found.append((text[::-1], above))
+            stack.append([text, asks, above, own])
+
+        for batch in batches:
+            if not ready and batch.num_rows:
+                ready = True
+                for text, asks, known in sorted(carried.get(batch.column("part")[0].as_py(), ())):
+                    enter(text, asks, known)
+            for text, asks, known in zip(*(batch.column(c).to_pylist() for c in ("text", "asks", "known")), strict=True):
+                enter(text, asks, known)
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.string()), pa.array([k for _, k in found], pa.string())], [candidate, path])
+            found.clear()
+        while stack:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.string()), pa.array([k for _, k in found], pa.string())], [candidate, path])
+
+    schema = T.StructType([T.StructField(candidate, T.StringType()), T.StructField(path, T.StringType())])
+    return rows.mapInArrow(matched, schema).groupBy(candidate).agg(F.min(path).alias(path))
 
 
 def positional_full(left: DataFrame, right: DataFrame, on: Sequence[str], order: str, width: float | None = None) -> DataFrame:
