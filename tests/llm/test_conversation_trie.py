@@ -6,6 +6,7 @@ import random
 import zlib
 from collections import defaultdict
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,6 +52,9 @@ def test_query_over_the_table(spark):
     data = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{data}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     assert got(registry.QUERIES["op11_prefix_trie"](spark, data)) == by_hand(rows)
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW conversations AS SELECT * FROM '{data}/conversations.parquet'")
+    assert sorted(c.execute(registry.ORACLES["op11_prefix_trie"]).fetchall(), key=repr) == by_hand(rows)
 
 
 @pytest.mark.parametrize("seed", [1, 2])

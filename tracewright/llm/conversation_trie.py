@@ -252,3 +252,19 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
 
 def op11_prefix_trie(spark, sf_dir):
     return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+OP11_SQL = """
+WITH own AS (SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS turns FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+b AS (SELECT *, list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)) AS bytes FROM own),
+h AS (SELECT conv_id, turns, xor(list_reduce(bytes, lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 6 AS h FROM b),
+rebuilt AS (SELECT h.conv_id, list_concat(coalesce(own.turns[1:h.h], []), h.turns[h.h + 1:]) AS turns FROM h LEFT JOIN own ON own.conv_id = h.conv_id - h.conv_id % 100),
+prefixes AS (SELECT conv_id, d, turns[1:d] AS p, len(turns) AS n FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM rebuilt)),
+nodes AS (SELECT d, p, min(conv_id) AS c, count(*) AS n_convs, array_to_string(list(conv_id::VARCHAR ORDER BY conv_id) FILTER (WHERE n = d), ',') AS ends FROM prefixes GROUP BY d, p),
+parents AS (SELECT DISTINCT d - 1 AS d, p[1:d - 1] AS p FROM nodes WHERE d > 0),
+marked AS (SELECT n.*, parents.d IS NULL AS leaf, CASE WHEN n.d > 0 THEN (n_convs - 1) * length(n.p[-1].text) ELSE 0 END AS saved FROM nodes n LEFT JOIN parents ON parents.d = n.d AND parents.p = n.p),
+above AS (SELECT a AS d, p[1:a] AS p, d AS own_d, leaf, saved FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM marked)),
+sums AS (SELECT d, p, count(*) FILTER (WHERE own_d = d + 1) AS n_children, count(*) FILTER (WHERE leaf) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM above GROUP BY d, p)
+SELECT n.c::BIGINT AS conv_id, n.d::BIGINT AS depth, up.c::BIGINT AS parent_conv_id, n.n_convs::BIGINT AS n_convs, n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM nodes n JOIN sums s ON s.d = n.d AND s.p = n.p LEFT JOIN nodes up ON up.d = n.d - 1 AND up.p = n.p[1:n.d - 1]
+"""

@@ -31,4 +31,4 @@ SELECT v.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id::BIGINT AS comp
 FROM v LEFT JOIN deg ON deg.r = v.r JOIN comp ON comp.id = v.vec_id
 """
 
-ORACLES = {"op1_vector_dedup": OP1_SQL, "op8_decontaminate": decontaminate.OP8_SQL, "op12_hard_negatives": hard_negatives.OP12_SQL}
+ORACLES = {"op1_vector_dedup": OP1_SQL, "op8_decontaminate": decontaminate.OP8_SQL, "op11_prefix_trie": conversation_trie.OP11_SQL, "op12_hard_negatives": hard_negatives.OP12_SQL}
