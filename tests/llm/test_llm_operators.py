@@ -680,7 +680,7 @@ def test_pipeline(spark, tmp_path):
 
 
 def test_registry_names_every_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 14))
 
 
 # --- bounded memory and work
