@@ -39,8 +39,9 @@ def reachable(commits: DataFrame, heads: DataFrame) -> DataFrame:
     others = commits.where(F.size("parents") > 1).select(*NODE, F.explode(F.slice("parents", 2, F.size("parents") - 1)).alias("to"))
     found, new = None, cut(heads.select("repo", "branch", "commit_id").distinct())
     while not new.isEmpty():
-        for jump in jumps:
-            new = new.unionByName(new.join(jump, NODE).select("repo", "branch", F.col("to").alias("commit_id"))).distinct()
+        for jump in jumps:  # cut each time: the plan of a frame that is used twice would double with every table
+            last, new = new, cut(new.unionByName(new.join(jump, NODE).select("repo", "branch", F.col("to").alias("commit_id"))).distinct())
+            discard(last)
         if found is not None:
             new = new.join(found, ["repo", "branch", "commit_id"], "left_anti")
         new = cut(new)
