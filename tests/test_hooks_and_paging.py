@@ -107,3 +107,15 @@ def test_rerank_sees_the_pool_only(spark):
     assert seen.value == 40 and [r["rank"] for r in got if r["query"] == 7] == [1, 2, 3, 4, 5]
     scores = [r["score"] for r in got if r["query"] == 7]
     assert scores == sorted(scores, reverse=True) and all(r["score"] == r["doc"] for r in got)
+
+
+def test_sources_of_chunks_stay_off_the_driver(spark, tmp_path):
+    """Spark takes strings to be 20 bytes long; joins that trust this would broadcast all sources."""
+    rows = [(i, f"def f_{i}(a): return {'x' * 5000}", f"p/m{i}.py", f"f_{i}") for i in range(40)]
+    spark.createDataFrame(rows, "doc long, source string, file_path string, name string").write.parquet(str(tmp_path / "chunks"))
+    chunks = spark.read.parquet(str(tmp_path / "chunks"))
+    asked = spark.createDataFrame([(7, "what is f_7", "f_7", ["p/m7.py"])], "query long, semantic string, lexical string, file_paths array<string>")
+    found = models.retrieve_chunks(chunks, asked, lambda: lambda texts: [[float(len(t)), 1.0] for t in texts], lambda: lambda pairs: [float("f_7(" in b) for _, b in pairs])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "NestedLoop" not in plan
+    assert [r["doc"] for r in found.orderBy("rank").collect()] == [7, 0, 1, 2, 3]

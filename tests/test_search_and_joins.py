@@ -113,6 +113,26 @@ def test_hybrid_search(spark, small_blocks):
         assert [(r["doc"], r["score"]) for r in got if r["query"] == q] == best({i: a[i] + b[i] + named(i) for i in every}, 5)
 
 
+def test_hybrid_search_reads_documents_once(spark, monkeypatch):
+    """Documents don't travel once for each query block; equal texts are many, and terms are in few queries or in most."""
+    monkeypatch.setattr(search, "QUERIES", 12)
+    monkeypatch.setattr(search, "ROWS", 7)
+    docs = {i: f"all w{i % 5} w{i % 3} " + ("rare" if i in (31, 140) else "") for i in range(150)}
+    queries = {q: f"all all w{q % 5} " + ("rare" if q == 3 else "") for q in range(40)}
+    vector = {i: [1.0, float(i % 4)] for i in docs}
+    frame = spark.createDataFrame([(i, t, f"p{i % 50}.py") for i, t in docs.items()], "doc long, text string, path string").repartition(3)
+    vecs = spark.createDataFrame(list(vector.items()), "doc long, vector array<double>")
+    asked = spark.createDataFrame([(q, t, [1.0, float(q % 3)], [f"p{q}.py"]) for q, t in queries.items()], "query long, text string, vector array<double>, paths array<string>")
+    found = search.hybrid_top(frame, vecs, asked, 6)
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    got = found.orderBy("query", "rank").collect()
+    unit = lambda x: {i: 0.0 if max(x.values()) - min(x.values()) < 1e-9 else (v - min(x.values())) / (max(x.values()) - min(x.values())) for i, v in x.items()}
+    for q, text in queries.items():
+        y, lexical = np.array([1.0, q % 3]), plain_bm25(docs, text)
+        a, b = unit({i: float(np.dot(v, y) / np.linalg.norm(v) / np.linalg.norm(y)) for i, v in vector.items()}), unit({i: lexical.get(i, 0.0) for i in docs})
+        assert [(r["doc"], r["score"]) for r in got if r["query"] == q] == best({i: a[i] + b[i] + 0.25 * (i % 50 == q) for i in docs}, 6)
+
+
 def test_dense_search_has_no_row_for_each_query_and_document(spark):
     """Blocks meet, in a broadcast join."""
     frame = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(50)], "id long, v array<double>")

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tracewright.functions.text import without_fence
 from tracewright.operators.retrieval import EMBED_CHARS
-from tracewright.session import ship
+from tracewright.session import cut, ship
 
 RESPONSE = "edits array<struct<chunk_id:string,file_path:string,old_source:string,new_source:string,reasoning:string>>, summary string, insufficient_context boolean, follow_up_query string"
 
@@ -100,7 +100,8 @@ def retrieve_chunks(chunks: DataFrame, asked: DataFrame, embed: Callable, rerank
 
     chunks: doc, source, file_path, name; their source, path and name are searched, and the embedding model sees the beginning
     of the source. asked: query, and semantic, lexical, file_paths as issues.build_query gives them. The rerank model sees
-    the pairs of the pool only. Ids are whole numbers; chunks that share one are not told apart.
+    the pairs of the pool only. Ids are whole numbers; chunks that share one are not told apart. Joins with chunks are
+    merged: what Spark takes their sources to measure is far too little, and it would send them all through the driver.
     """
     from tracewright.operators import retrieval, search
 
@@ -108,9 +109,9 @@ def retrieve_chunks(chunks: DataFrame, asked: DataFrame, embed: Callable, rerank
     docs = chunks.select(F.col("doc").cast("long").alias("doc"), text.alias("text"), F.col("file_path").alias("path"))
     vectors = embedded(chunks.select(F.col("doc").cast("long").alias("doc"), embedding_text(F.col("source")).alias("text")), embed, "text", "vector").select("doc", "vector")
     own = asked.select(F.col("query").cast("long").alias("query"), "semantic", F.col("lexical").alias("text"), F.col("file_paths").alias("paths"))
-    queries = embedded(own, embed, "semantic", "vector").select("query", "text", "paths", "vector")
-    pooled = search.hybrid_top(docs, vectors, queries, pool or retrieval.POOL, places).select("query", "doc")
-    pairs = pooled.join(own.select("query", "semantic"), "query").join(chunks.select(F.col("doc").cast("long").alias("doc"), "source"), "doc")
+    queries = cut(embedded(own, embed, "semantic", "vector"))
+    pooled = search.hybrid_top(docs, vectors, queries.drop("semantic"), pool or retrieval.POOL, places).select("query", "doc")
+    pairs = pooled.join(queries.select("query", "semantic").hint("merge"), "query").join(chunks.select(F.col("doc").cast("long").alias("doc"), "source").hint("merge"), "doc")
     return retrieval.top_k(scored_pairs(pairs, rerank, "semantic", "source").select("query", "doc", "score"), k or retrieval.FINAL, places)
 
 

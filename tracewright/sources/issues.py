@@ -74,11 +74,11 @@ def build_query(records: DataFrame, chunks: DataFrame) -> DataFrame:
     """
     text = F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("body", F.lit("")))
     own = records.select("source_id", tx.semantic_text(F.col("title"), F.col("body")).alias("semantic"), tx.exception_types(text).alias("exception_types"))
-    named = records.select("source_id", F.explode(tx.identifiers(text)).alias("name")).join(chunks.select("name").distinct(), "name", "left_semi")
+    named = records.select("source_id", F.explode(tx.identifiers(text)).alias("name")).join(chunks.select("name").distinct().hint("merge"), "name", "left_semi")
     paths = records.select("source_id", F.explode(tx.python_paths(text)).alias("candidate"))
     known = any_suffix_match(paths.select("candidate").distinct(), chunks.select("file_path").distinct(), "candidate", "file_path")
     by_name = named.groupBy("source_id").agg(F.array_sort(F.collect_set("name")).alias("identifiers"))
-    by_path = paths.join(known, "candidate").groupBy("source_id").agg(F.array_sort(F.collect_set("file_path")).alias("file_paths"))
+    by_path = paths.join(known.hint("merge"), "candidate").groupBy("source_id").agg(F.array_sort(F.collect_set("file_path")).alias("file_paths"))
     out = own.join(by_name, "source_id", "left").join(by_path, "source_id", "left")
     none = F.array().cast("array<string>")
     out = out.withColumns({c: F.coalesce(c, none) for c in ("identifiers", "file_paths")})
