@@ -366,6 +366,25 @@ def test_lm_gradient():
         assert g[i] == pytest.approx((loss(flat + step) - loss(flat - step)) / 2e-4, abs=2e-5)
 
 
+def test_lm_steps_fill_the_same_arrays():
+    """Gradients of steps of any size are the same in arrays that are used again, and so are scores."""
+    rng = np.random.default_rng(3)
+    network = lm_score.Network.initial(np.repeat(np.arange(lm_score.CLUSTERS), lm_score.MEMBERS), np.tile(np.arange(lm_score.MEMBERS), lm_score.CLUSTERS), np.ones(lm_score.CODES))
+    room, seen = lm_score.Room(), []
+    for n in (300, 500, 20, 500):
+        context, target = rng.integers(0, lm_score.PAD + 1, (n, 4)).astype(np.uint16), rng.integers(0, lm_score.CODES, n).astype(np.uint16)
+        g, loss = network.gradient(context, target, room)
+        alone, same = network.gradient(context, target)
+        assert g.tobytes() == alone.tobytes() and loss == same
+        seen.append(room.held["words"])
+    assert seen[1] is seen[2] is seen[3]
+    scorer, codes = network.scorer(), rng.integers(0, lm_score.CODES, 900).astype(np.uint16)
+    padded, place = lm_score.windows(codes, np.array([0, 900]))
+    first = scorer.log_probs(padded, place)
+    scorer.log_probs(padded, place[:70])
+    assert scorer.log_probs(padded, place).tobytes() == first.tobytes()
+
+
 def test_lm_scores_follow_the_formula_and_the_text_alone():
     rng, network = np.random.default_rng(1), small_network()
     scorer, own = network.scorer(), rng.integers(0, lm_score.CODES, 7).astype(np.uint16)

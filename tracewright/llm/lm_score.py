@@ -368,6 +368,19 @@ def clusters_of(counts: np.ndarray, clusters: int = CLUSTERS) -> tuple[np.ndarra
 
 # --- the network
 
+class Room:
+    """Arrays that a step leaves and the next one fills again, so that memory is asked for and its pages are touched once."""
+
+    def __init__(self, kind: np.dtype | type = np.float32):
+        self.kind, self.held = kind, {}
+
+    def of(self, name: str, *shape: int) -> np.ndarray:
+        n = int(np.prod(shape))
+        if len(self.held.get(name, ())) < n:
+            self.held[name] = np.empty(n, self.kind)
+        return self.held[name][:n].reshape(shape)
+
+
 OUTER = CLUSTERS + BANDS
 #: The last column of outer and own is the bias.
 SHAPES = {"embed": (CODES + 1, EMBED), "inner": (len(SHIFTS) * EMBED, HIDDEN), "inner_bias": (HIDDEN,), "outer": (OUTER, HIDDEN + 1), "own": (CLUSTERS, MEMBERS, HIDDEN + 1)}
@@ -405,17 +418,21 @@ class Network:
         p["own"][cluster[:MODELLED], member, -1] = np.maximum(np.log(mass[:MODELLED] / of_cluster[cluster[:MODELLED]]), -30)
         return cls(flat, cluster, member)
 
-    def gradient(self, context: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, float]:
-        """Of the mean negative log-probability of the targets; and the sum. context: codes by window and shift."""
-        p, flat = unpack(self.flat), np.zeros(SIZE, self.flat.dtype)
+    def gradient(self, context: np.ndarray, target: np.ndarray, room: Room | None = None) -> tuple[np.ndarray, float]:
+        """Of the mean negative log-probability of the targets; and the sum. context: codes by window and shift. With a room
+        the gradient is there until the next one."""
+        room = room or Room(self.flat.dtype)
+        p, flat = unpack(self.flat), room.of("flat", SIZE)
+        flat[:] = 0
         g, n = unpack(flat), len(target)
         at, target = np.arange(n), target.astype(np.int64)
-        x = p["embed"][context].reshape(n, -1)
-        hidden = np.ones((n, HIDDEN + 1), flat.dtype)
+        x = np.take(p["embed"], context.ravel(), axis=0, out=room.of("x", context.size, EMBED), mode="clip").reshape(n, -1)
+        hidden = room.of("hidden", n, HIDDEN + 1)
+        hidden[:, -1] = 1
         hidden[:, :-1] = np.tanh(x @ p["inner"] + p["inner_bias"])
         # clusters and bands
         cluster = self.cluster[target]
-        z = p["outer"] @ hidden.T
+        z = np.matmul(p["outer"], hidden.T, out=room.of("z", OUTER, n))
         np.clip(z, -MOST, MOST, out=z)
         loss = -z[cluster, at]
         np.exp(z, out=z)
@@ -431,7 +448,7 @@ class Network:
         its, member, there = cluster[own], self.member[target[own]], hidden[own]
         cuts = np.searchsorted(its, np.arange(CLUSTERS + 1)).tolist()
         used = [(k, slice(a, b)) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
-        z, at, more = np.empty((len(own), MEMBERS), flat.dtype), np.arange(len(own)), np.empty_like(there)
+        z, at, more = room.of("words", len(own), MEMBERS), np.arange(len(own)), room.of("more", *there.shape)
         for k, part in used:
             np.matmul(there[part], p["own"][k].T, out=z[part])
         np.clip(z, -MOST, MOST, out=z)
@@ -453,7 +470,7 @@ class Network:
         order = np.argsort(codes, kind="stable")
         codes = codes[order]
         first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
-        g["embed"][codes[first]] = np.add.reduceat(back[order], first)
+        g["embed"][codes[first]] = np.add.reduceat(np.take(back, order, axis=0, out=room.of("back", *back.shape), mode="clip"), first)
         return flat, float(loss.sum())
 
     def scorer(self) -> Scorer:
@@ -468,7 +485,7 @@ class Scorer:
         self.tables = [np.rint((p["embed"] @ p["inner"][i * EMBED : (i + 1) * EMBED]) * 4096).astype(np.float32) / 4096 for i in range(len(SHIFTS))]
         self.inner_bias = p["inner_bias"].astype(np.float32)
         self.outer, self.own = self._whole(p["outer"]), np.ascontiguousarray(self._whole(p["own"]).transpose(0, 2, 1))
-        self.cluster, self.member = network.cluster, network.member
+        self.cluster, self.member, self.room = network.cluster, network.member, Room()
 
     @staticmethod
     def _whole(weights: np.ndarray) -> np.ndarray:
@@ -478,7 +495,7 @@ class Scorer:
 
     @staticmethod
     def _logits(z: np.ndarray) -> None:
-        z /= np.float32(WEIGHT_STEPS * HIDDEN_STEPS)
+        z *= np.float32(1 / (WEIGHT_STEPS * HIDDEN_STEPS))  # a power of two, so nothing is lost
         np.clip(z, -MOST, MOST, out=z)
 
     def log_probs(self, padded: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -487,15 +504,19 @@ class Scorer:
         for start in range(0, len(place), AT_ONCE):
             at = place[start : start + AT_ONCE]
             target = padded[at].astype(np.int64)
-            inner = self.tables[0][padded[at + SHIFTS[0]]]
+            inner, more = (self.room.of(name, len(at), HIDDEN) for name in ("inner", "more"))
+            np.take(self.tables[0], padded[at + SHIFTS[0]], axis=0, out=inner, mode="clip")
             for table_of, shift in zip(self.tables[1:], SHIFTS[1:], strict=True):
-                inner += table_of[padded[at + shift]]
+                inner += np.take(table_of, padded[at + shift], axis=0, out=more, mode="clip")
             inner += self.inner_bias
-            hidden = np.ones((len(at), HIDDEN + 1), np.float32)
-            hidden[:, :-1] = np.rint(np.tanh(inner) * np.float32(HIDDEN_STEPS))
+            np.tanh(inner, out=inner)
+            inner *= np.float32(HIDDEN_STEPS)
+            hidden = self.room.of("hidden", len(at), HIDDEN + 1)
+            hidden[:, -1] = 1
+            np.rint(inner, out=hidden[:, :-1])
             # clusters by row, added up one after another
             cluster = self.cluster[target]
-            z = self.outer @ hidden.T
+            z = np.matmul(self.outer, hidden.T, out=self.room.of("z", OUTER, len(at)))
             self._logits(z)
             own = z[cluster, np.arange(len(at))]
             np.exp(z, out=z)
@@ -508,7 +529,7 @@ class Scorer:
             words = words[np.argsort(cluster[words].astype(np.uint8), kind="stable")]
             there = hidden[words]
             cuts = np.searchsorted(cluster[words], np.arange(CLUSTERS + 1)).tolist()
-            z = np.empty((len(words), MEMBERS), np.float32)
+            z = self.room.of("words", len(words), MEMBERS)
             for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                 if a < b:
                     np.matmul(there[a:b], self.own[k], out=z[a:b])
@@ -527,6 +548,7 @@ class Descent:
         self.network = Network(start.flat.copy(), start.cluster, start.member)
         self.squares, self.seen = np.full(SIZE, 1e-8, np.float32), 0
         self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.room = Room()
 
     def learn(self, context: np.ndarray, target: np.ndarray) -> None:
         self.held.append((context, target))
@@ -538,9 +560,10 @@ class Descent:
         end = len(target) // STEP_WINDOWS * STEP_WINDOWS if whole else len(target)
         for start in range(0, end, STEP_WINDOWS):
             own = slice(start, min(start + STEP_WINDOWS, end))
-            g, _ = self.network.gradient(context[own], target[own])
-            self.squares += g * g
-            g /= np.sqrt(self.squares)
+            g, _ = self.network.gradient(context[own], target[own], self.room)
+            more = np.multiply(g, g, out=self.room.of("squares", SIZE))
+            self.squares += more
+            g /= np.sqrt(self.squares, out=more)
             g *= RATE
             self.network.flat -= g
         self.held = [(context[end:], target[end:])] if end < len(target) else []
